@@ -108,10 +108,11 @@ def with_fold(
 ) -> DataFrame:
     """Add a fold number 0 .. folds-1 by a hash of the key.
 
-    The hash is taken twice, so that folds of a part of a ``hash_split`` are of
-    equal size: that part is itself a range of the single hash.
+    A part of a ``hash_split`` is a range of the single hash, so folds need an
+    independent one: the hash, its upper half mixed into its lower, hashed again.
     """
-    mixed = unit_hash(unit_hash(F.col(key), seed))
+    once = unit_hash(F.col(key), seed)
+    mixed = unit_hash(once.bitwiseXOR(F.shiftright(once, 16)))
     number = F.floor(mixed * F.lit(folds) / F.lit(HASH_RANGE))
     return append_column(df, name, number.cast("int"))
 

@@ -3,12 +3,16 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Sequence
+from itertools import product
+from multiprocessing.pool import ThreadPool
 
 import numpy as np
 import pyarrow as pa
-from pyspark.ml import Estimator
-from pyspark.ml.evaluation import Evaluator
-from pyspark.ml.tuning import CrossValidator, CrossValidatorModel, ParamGridBuilder
+from pyspark import inheritable_thread_target
+from pyspark.ml import Estimator, Pipeline
+from pyspark.ml.classification import LogisticRegression
+from pyspark.ml.evaluation import BinaryClassificationEvaluator, Evaluator
+from pyspark.ml.tuning import CrossValidator, CrossValidatorModel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -182,21 +186,92 @@ def cross_validate(
     return validator.fit(df)
 
 
-def logistic_grid(estimator, grid: dict[str, list] | None = None) -> list:
-    """Grid of a logistic stage without points that cannot differ: the elastic
-    net share means nothing where there is no penalty."""
-    builder = ParamGridBuilder()
-    for name, values in (grid or LOGISTIC_GRID).items():
-        builder.addGrid(estimator.getParam(name), values)
-    penalty, share = estimator.getParam("regParam"), estimator.getParam("elasticNetParam")
-    distinct = {}
-    for point in builder.build():
-        key = tuple(
-            (p.name, 0.0 if p == share and point.get(penalty) == 0.0 else v)
-            for p, v in sorted(point.items(), key=lambda item: item[0].name)
-        )
-        distinct.setdefault(key, point)
-    return list(distinct.values())
+def logistic_points(grid: dict[str, list] | None = None) -> list[dict]:
+    """All points of a logistic grid, the last parameter varying fastest."""
+    grid = grid or LOGISTIC_GRID
+    return [dict(zip(grid, values)) for values in product(*grid.values())]
+
+
+def _penalty(point: dict) -> tuple[float, float]:
+    """Penalty and elastic net share; the share means nothing without a penalty."""
+    strength = point.get("regParam", 0.0)
+    return strength, point.get("elasticNetParam", 0.0) if strength else 0.0
+
+
+def logistic_cross_validate(
+    df: DataFrame,
+    estimator: LogisticRegression,
+    folds: int = LOGISTIC_FOLDS,
+    grid: dict[str, list] | None = None,
+    fold_column: str = "fold",
+    prefix: Sequence = (),
+    parallelism: int = 4,
+) -> DataFrame:
+    """Cross-validated area under ROC of each grid point, with its rank.
+
+    Gives what a cross-validator gives for the whole grid, with fewer fits:
+
+    * stages before the estimator do not depend on the grid; they are fitted
+      once per fold,
+    * points without penalty that differ in the elastic net share are one point,
+    * a fit that converged before its iteration limit is also the fit of every
+      higher limit.
+
+    ``df`` is scanned for every fit; keep it if it is costly to compute.  Each
+    running fit holds its training part, so ``parallelism`` is a memory choice.
+    """
+    points = logistic_points(grid)
+    chains: dict[tuple[float, float], list[int]] = {}
+    for point in points:
+        limits = chains.setdefault(_penalty(point), [])
+        limit = point.get("maxIter", estimator.getMaxIter())
+        if limit not in limits:
+            limits.append(limit)
+    evaluator = BinaryClassificationEvaluator(
+        labelCol=estimator.getLabelCol(),
+        rawPredictionCol=estimator.getRawPredictionCol(),
+        numBins=0,
+    )
+
+    def run(work):
+        (strength, share), train, held = work
+        metrics, metric = {}, None
+        reached = previous = 0
+        for limit in sorted(chains[strength, share]):
+            if reached >= previous:
+                settings = {"regParam": strength, "elasticNetParam": share, "maxIter": limit}
+                model = estimator.copy(
+                    {estimator.getParam(name): value for name, value in settings.items()}
+                ).fit(train)
+                reached = model.summary.totalIterations
+                metric = evaluator.evaluate(model.transform(held))
+            metrics[limit], previous = metric, limit
+        return metrics
+
+    totals: dict[tuple[tuple[float, float], int], list[float]] = {}
+    with ThreadPool(min(parallelism, len(chains))) as pool:
+        for f in range(folds):
+            train = df.where(F.col(fold_column) != f)
+            held = df.where(F.col(fold_column) == f)
+            if prefix:
+                before = Pipeline(stages=list(prefix)).fit(train)
+                train, held = before.transform(train), before.transform(held)
+            work = [(key, train, held) for key in chains]
+            for key, metrics in zip(chains, pool.map(inheritable_thread_target(run), work)):
+                for limit, metric in metrics.items():
+                    totals.setdefault((key, limit), []).append(metric)
+
+    rows = []
+    for number, point in enumerate(points):
+        limit = point.get("maxIter", estimator.getMaxIter())
+        values = totals[_penalty(point), limit]
+        strength, share = point.get("regParam", 0.0), point.get("elasticNetParam", 0.0)
+        rows.append((number, float(strength), float(share), limit, sum(values) / len(values)))
+    table = df.sparkSession.createDataFrame(
+        rows, "point int, reg_param double, elastic_net double, max_iter int, metric double"
+    )
+    order = Window.orderBy(F.col("metric").desc(), "point")
+    return table.withColumn("rank", F.row_number().over(order))
 
 
 def grid_report(model: CrossValidatorModel, spark) -> DataFrame:

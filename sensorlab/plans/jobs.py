@@ -11,8 +11,7 @@ from collections.abc import Sequence
 from contextlib import ExitStack
 from dataclasses import dataclass, field
 
-from pyspark.ml import Model
-from pyspark.ml.evaluation import BinaryClassificationEvaluator
+from pyspark.ml import Model, Pipeline
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -104,9 +103,13 @@ class LogisticJobParams(JobParams):
 
 @dataclass
 class JobResult:
+    """The report; the model of the training part; where tuned, the grid's
+    metrics and the best point fitted on the data it was tuned on."""
+
     report: DataFrame
     model: Model
     grid: DataFrame | None = None
+    best: Model | None = None
 
 
 class _Report:
@@ -194,7 +197,7 @@ def run_elm(
         model = report.timed("fit", "training seconds", lambda: estimator.fit(train))
         _evaluate(report, "train", model, train)
         _evaluate(report, "test", model, test)
-        grid = None
+        grid = best_model = None
         if params.tune:
             held = scope.enter_context(kept(_folds(test, params, params.folds)))
             points = tune.elm_grid_points(params.activationFunc, params.hiddenNodes)
@@ -208,23 +211,38 @@ def run_elm(
             best = min(rows, key=lambda r: r["rank"])
             report.add("tune", "best hidden nodes", best["hidden_nodes"], best["activation"])
             report.add("tune", "best misclassification", best["error"])
+            best_model = estimator.copy(
+                {
+                    estimator.activationFunc: best["activation"],
+                    estimator.hiddenNodes: best["hidden_nodes"],
+                }
+            ).fit(held)
             grid = spark.createDataFrame(rows)
-    return JobResult(report.table(spark), model, grid)
+    return JobResult(report.table(spark), model, grid, best_model)
 
 
-def _tune_logistic(report, spark, pipeline, stage, data, params) -> DataFrame:
-    grid = tune.logistic_grid(stage, params.grid)
-    evaluator = BinaryClassificationEvaluator(labelCol="binaryLabel", numBins=0)
+def _tune_logistic(
+    report: _Report, estimator, data: DataFrame, params: LogisticJobParams, prefix=()
+) -> tuple[DataFrame, Model]:
+    """Grid table, and the best point fitted on all the data it was tuned on."""
     with kept(_folds(data, params, params.folds)) as held:
-        model = report.timed(
+        rows = report.timed(
             "tune",
             "cross-validation seconds",
-            lambda: tune.cross_validate(pipeline, grid, evaluator, held, params.folds, "fold"),
+            lambda: tune.logistic_cross_validate(
+                held, estimator, params.folds, params.grid, prefix=prefix
+            ).collect(),
         )
-    table = tune.grid_report(model, spark)
-    best = table.where("rank = 1").first()
-    report.add("tune", "best auroc", best["metric"], str(sorted(best["params"].items())))
-    return table
+    best = min(rows, key=lambda r: r["rank"])
+    settings = {
+        "regParam": best["reg_param"],
+        "elasticNetParam": best["elastic_net"],
+        "maxIter": best["max_iter"],
+    }
+    report.add("tune", "best auroc", best["metric"], str(settings))
+    chosen = estimator.copy({estimator.getParam(k): v for k, v in settings.items()})
+    model = Pipeline(stages=[*prefix, chosen]).fit(data)
+    return data.sparkSession.createDataFrame(rows), model
 
 
 def run_logistic(
@@ -242,10 +260,10 @@ def run_logistic(
         report.add("fit", "intercept", model.intercept)
         _evaluate(report, "train", model, train)
         _evaluate(report, "test", model, test)
-        grid = None
+        grid = best = None
         if params.tune:
-            grid = _tune_logistic(report, spark, estimator, estimator, data, params)
-    return JobResult(report.table(spark), model, grid)
+            grid, best = _tune_logistic(report, estimator, data, params)
+    return JobResult(report.table(spark), model, grid, best)
 
 
 def run_pca_logistic(
@@ -270,11 +288,11 @@ def run_pca_logistic(
             report.add("fit", "explained variance", share, f"component {i + 1}")
         _evaluate(report, "train", model, train)
         _evaluate(report, "test", model, test)
-        grid = None
+        grid = best = None
         if params.tune:
-            stage = pipeline.getStages()[-1]
-            grid = _tune_logistic(report, spark, pipeline, stage, train, params)
-    return JobResult(report.table(spark), model, grid)
+            *prefix, estimator = pipeline.getStages()
+            grid, best = _tune_logistic(report, estimator, train, params, prefix)
+    return JobResult(report.table(spark), model, grid, best)
 
 
 # Layer width, activations and split of the exploration.

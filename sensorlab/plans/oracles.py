@@ -30,7 +30,7 @@ def knuth(key: str, seed: int = 0) -> str:
 
 
 def knuth_twice(key: str, seed: int = 0) -> str:
-    h = knuth(key, seed)
+    h = f"xor(CAST({knuth(key, seed)} AS BIGINT), CAST({knuth(key, seed)} AS BIGINT) >> 16)"
     return f"((({h} % 2147483648) * 2654435761 + ({h} // 2147483648) * 1103515245) % 4294967296)"
 
 
