@@ -248,6 +248,7 @@ def logistic_cross_validate(
             metrics[limit], previous = metric, limit
         return metrics
 
+    inherit = inheritable_thread_target(df.sparkSession)
     totals: dict[tuple[tuple[float, float], int], list[float]] = {}
     with ThreadPool(min(parallelism, len(chains))) as pool:
         for f in range(folds):
@@ -257,7 +258,7 @@ def logistic_cross_validate(
                 before = Pipeline(stages=list(prefix)).fit(train)
                 train, held = before.transform(train), before.transform(held)
             work = [(key, train, held) for key in chains]
-            for key, metrics in zip(chains, pool.map(inheritable_thread_target(run), work)):
+            for key, metrics in zip(chains, pool.map(inherit(run), work)):
                 for limit, metric in metrics.items():
                     totals.setdefault((key, limit), []).append(metric)
 
