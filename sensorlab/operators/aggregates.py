@@ -40,9 +40,12 @@ def range_label_totals(
 
 
 def reconcile(df: DataFrame, source: str) -> DataFrame:
-    """Rows per source with the whole in a null-source row, from one scan."""
-    return df.rollup(source).agg(
-        F.count("*").alias("count"), (F.grouping(source) == 1).alias("is_total")
+    """Rows per source, and of the whole in a row marked as the total.
+
+    The rollup runs over the counted sources, so no row is expanded.
+    """
+    return count_by(df, source).rollup(source).agg(
+        F.sum("count").alias("count"), (F.grouping(source) == 1).alias("is_total")
     )
 
 
@@ -61,5 +64,5 @@ def word_count(df: DataFrame, text: str = "text") -> DataFrame:
     """Occurrences of each blank-separated word; empty words at the end of a
     text are dropped, those inside it are kept.  All-blank texts have no words."""
     df = df.where(~F.col(text).rlike("^ +$"))
-    words = F.explode(F.split(F.regexp_replace(F.col(text), " +$", ""), " ", -1))
+    words = F.explode(F.split(F.rtrim(text), " ", -1))
     return df.select(words.alias("word")).groupBy("word").agg(F.count("*").alias("count"))

@@ -14,6 +14,9 @@ from sensorlab.functions.hashing import lattice
 # The ways to draw a layer.
 INITS = ("uniform", "normal", "arithmetic")
 
+# Rows whose hidden outputs are held at once while scoring.
+SCORE_ROWS = 2000
+
 
 @dataclass(frozen=True)
 class Layer:
@@ -37,6 +40,14 @@ class Layer:
         z += self.bias
         return activate(self.activation, z)
 
+    def scores(self, x: np.ndarray, beta: np.ndarray) -> np.ndarray:
+        """Network outputs of a block of rows, a few rows at a time to stay in cache."""
+        parts = [
+            self.outputs(x[start : start + SCORE_ROWS]) @ beta
+            for start in range(0, len(x), SCORE_ROWS)
+        ]
+        return np.concatenate(parts) if parts else np.empty((0, *beta.shape[1:]))
+
     def first(self, nodes: int) -> Layer:
         """The layer made of the first nodes only."""
         return Layer(self.weights[:nodes], self.bias[:nodes], self.activation)

@@ -163,7 +163,7 @@ def score_column(features: Column, layer: Layer, beta: np.ndarray) -> Column:
 
     @F.arrow_udf("double")
     def score(x: pa.Array) -> pa.Array:
-        return pa.array(layer.outputs(matrix(x)) @ beta if len(x) else np.empty(0))
+        return pa.array(layer.scores(matrix(x), beta))
 
     return score(features)
 
@@ -269,7 +269,7 @@ class _ElmModelParts(MLWritable, MLReadable):
 
     def output(self, features) -> float:
         row = np.asarray(features.toArray(), dtype=float)[None, :]
-        return float((self.layer.outputs(row) @ self.beta)[0])
+        return float(self.layer.scores(row, self.beta)[0])
 
     def score(self, df: DataFrame) -> Column:
         return score_column(as_array(df, self.getFeaturesCol()), self.layer, self.beta)

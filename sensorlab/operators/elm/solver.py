@@ -122,18 +122,23 @@ def design_rows(
         for batch in batches:
             if not batch.num_rows:
                 continue
-            x = matrix(batch.column("x"))
-            y = numbers(batch.column("y"))
+            x, y = matrix(batch.column("x")), numbers(batch.column("y"))
             folds = batch.column("fold").to_numpy()
-            for i, design in enumerate(make(x)):
-                rows = np.column_stack([design, y])
-                for f in np.unique(folds).tolist():
-                    part = f * blocks + i
-                    chosen = rows if blocks == 1 and fold_column is None else rows[folds == f]
-                    factors[part] = fold(factors.get(part), chosen)
+            present = np.unique(folds).tolist()
+            # the design of a few rows is made and folded while it is in cache
+            step = FOLD_ROWS * len(present)
+            for start in range(0, len(y), step):
+                part_of = folds[start : start + step]
+                for i, design in enumerate(make(x[start : start + step])):
+                    rows = np.column_stack([design, y[start : start + step]])
+                    for f in present:
+                        part = f * blocks + i
+                        chosen = rows if len(present) == 1 else rows[part_of == f]
+                        factors[part] = fold(factors.get(part), chosen)
         bucket = TaskContext.get().partitionId() % BUCKETS
         for part, factor in factors.items():
-            yield factor_batch(bucket, part, factor)
+            if factor is not None:
+                yield factor_batch(bucket, part, factor)
 
     number = F.col(fold_column).cast("int") if fold_column else F.lit(0)
     rows = df.select(

@@ -117,34 +117,39 @@ def with_fold(
     return append_column(df, name, number.cast("int"))
 
 
-def _rank_cut(df: DataFrame, key: str, wanted: int, seed: int) -> tuple[int, int | None]:
-    """Hash and key of the ``wanted``-th row by (hash, key).
+def _bins(df: DataFrame, h: Column, low: int, width: int, step: int) -> list[tuple[int, int]]:
+    """Rows per bin of the hash range; at most width / step bins reach the driver."""
+    rows = df if width == HASH_RANGE else df.where((h >= F.lit(low)) & (h < F.lit(low + width)))
+    number = F.floor((h - F.lit(low)) / F.lit(step)).alias("bin")
+    return sorted((int(r["bin"]), r["count"]) for r in rows.groupBy(number).count().collect())
+
+
+def _rank_cut(df: DataFrame, key: str, fraction: float, seed: int) -> tuple[int, int] | None:
+    """Hash and key of the last chosen row by (hash, key); None where none is.
 
     The hash range is narrowed by counting 2^11 equal bins, three times, so
-    that no rows are sorted or gathered.  Only bin counts reach the driver.
+    that no rows are sorted or gathered.
     """
     h = unit_hash(F.col(key), seed)
-    low, width, before = 0, HASH_RANGE, 0
+    low, width, wanted = 0, HASH_RANGE, None
     while width > 1:
         step = max(1, width // 2048)
-        bins = (
-            df.where((h >= F.lit(low)) & (h < F.lit(low + width)))
-            .groupBy(F.floor((h - F.lit(low)) / F.lit(step)).alias("bin"))
-            .count()
-            .collect()
-        )
-        for row in sorted(bins, key=lambda r: r["bin"]):
-            if before + row["count"] >= wanted:
-                low, width = low + int(row["bin"]) * step, step
+        bins = _bins(df, h, low, width, step)
+        if wanted is None:
+            wanted = int(fraction * sum(count for _, count in bins))
+            if wanted == 0:
+                return None
+        for number, count in bins:
+            if count >= wanted:
+                low, width = low + number * step, step
                 break
-            before += row["count"]
-    ties = df.where(h == F.lit(low)).select(key)
+            wanted -= count
     # rows sharing one hash value: about n / 2^32 of them when keys are unique
-    edge = ties.orderBy(key).limit(wanted - before).agg(F.max(key), F.count(key)).first()
-    covered = ties.where(F.col(key) <= F.lit(edge[0])).count()
-    if covered != wanted - before:
+    ties = df.where(h == F.lit(low)).select(key)
+    edge = ties.orderBy(key).limit(wanted).agg(F.max(key)).first()[0]
+    if ties.where(F.col(key) <= F.lit(edge)).count() != wanted:
         raise ValueError(f"{key} is not unique; an exact split needs a unique key")
-    return low, edge[0]
+    return low, edge
 
 
 def exact_split(
@@ -155,10 +160,10 @@ def exact_split(
     ``key`` must be a unique integer.  The parts are plain filters over the
     input: rows are neither sorted nor shuffled.
     """
-    wanted = int(fraction * df.count())
-    if wanted == 0:
+    cut = _rank_cut(df, key, fraction, seed)
+    if cut is None:
         return df.where(F.lit(False)), df
-    cut_hash, cut_key = _rank_cut(df, key, wanted, seed)
+    cut_hash, cut_key = cut
     h = unit_hash(F.col(key), seed)
     chosen = (h < F.lit(cut_hash)) | ((h == F.lit(cut_hash)) & (F.col(key) <= F.lit(cut_key)))
     return df.where(chosen), df.where(~chosen)

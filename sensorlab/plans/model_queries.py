@@ -10,12 +10,14 @@ from __future__ import annotations
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
-from sensorlab.operators import features, linear, prepare, tune
+from sensorlab.functions.labels import above
+from sensorlab.operators import evaluate, features, linear, prepare, tune
 from sensorlab.plans import oracles as o
+from sensorlab.plans.jobs import LogisticJobParams, run_logistic
 from sensorlab.plans.registry import query
-from sensorlab.schema import CHEST
+from sensorlab.schema import CHEST, LOGISTIC_FEATURES
 from sensorlab.session import kept
-from sensorlab.sources.adapters import labelled_readings, labelled_vectors, vectors
+from sensorlab.sources.adapters import labelled_readings, labelled_vectors, readings, vectors
 
 EIGHT = [f"x{i + 1}" for i in range(8)]
 TIGHT = linear.LogisticParams(tol=1e-12, maxIter=200)
@@ -54,35 +56,35 @@ def _moments(scored, probability, names, digits: int = 5):
     return means.select(F.inline(F.array(*structs)))
 
 
-@query("logistic_fit", _moment_sql(EIGHT))
+@query("logistic_fit_check", _moment_sql(EIGHT))
 def logistic_fit(spark, sf_dir):
     rows = _vector_features(spark, sf_dir)
     scored = linear.fit_logistic(rows, TIGHT).transform(rows)
     return _moments(scored, vector_to_array("probability")[1], EIGHT)
 
 
-@query("glm_binomial", _moment_sql(EIGHT))
+@query("glm_binomial_check", _moment_sql(EIGHT))
 def glm_binomial(spark, sf_dir):
     rows = _vector_features(spark, sf_dir)
     scored = linear.fit_binomial(rows, tol=1e-12).transform(rows)
     return _moments(scored, F.col("probability"), EIGHT)
 
 
-def _newton_sql(names: list[str], steps: int = 8) -> str:
-    """Newton's method, one solved linear system per step."""
+def _newton(tables: str, rows: str, names: list[str], steps: int = 8) -> tuple[str, str]:
+    """WITH list of Newton's method on rows with columns y and ``names``, one
+    solved linear system per step; and the name of its last weights."""
     n = len(names) + 1
     x = ["1.0::DOUBLE", *names]
-    parts = [
-        o.LABELLED_VECTORS,
-        f"axes AS (SELECT binaryLabel AS y, {_axes(len(names))} FROM labelled)",
-        f"w0 AS (SELECT [{', '.join(['0.0::DOUBLE'] * n)}] AS b)",
-    ]
+    parts = [tables, f"w0 AS (SELECT [{', '.join(['0.0::DOUBLE'] * n)}] AS b)"]
     for step in range(steps):
-        z = " + ".join(f"b[{i + 1}] * {v}" for i, v in enumerate(x))
         parts.append(
-            f"p{step} AS (SELECT axes.*, 1 / (1 + exp(-({z}))) AS p FROM axes, w{step})"
+            f"p{step} AS (SELECT {rows}.*, {_probability(names)} AS p FROM {rows}, w{step})"
         )
-        sums = [f"sum(p * (1 - p) * {a} * {b}) AS g{i}_{j}" for i, a in enumerate(x) for j, b in enumerate(x)]
+        sums = [
+            f"sum(p * (1 - p) * {a} * {b}) AS g{i}_{j}"
+            for i, a in enumerate(x)
+            for j, b in enumerate(x)
+        ]
         sums += [f"sum((y - p) * {a}) AS r{i}" for i, a in enumerate(x)]
         parts.append(f"s{step} AS (SELECT {', '.join(sums)} FROM p{step})")
         lists = [
@@ -94,20 +96,101 @@ def _newton_sql(names: list[str], steps: int = 8) -> str:
         parts.append(o.gauss_jordan(f"e{step}", n, f"d{step}"))
         moved = ", ".join(f"w{step}.b[{i + 1}] + d{step}.b[{i + 1}]" for i in range(n))
         parts.append(f"w{step + 1} AS (SELECT [{moved}] AS b FROM w{step}, d{step})")
+    return f"WITH RECURSIVE {', '.join(parts)} ", f"w{steps}"
+
+
+def _probability(names: list[str]) -> str:
+    z = " + ".join(f"b[{i + 1}] * {v}" for i, v in enumerate(["1.0::DOUBLE", *names]))
+    return f"(1 / (1 + exp(-({z}))))"
+
+
+def _axes_tables(count: int) -> str:
+    return (
+        f"{o.LABELLED_VECTORS}, axes AS (SELECT binaryLabel AS y, {_axes(count)} FROM labelled)"
+    )
+
+
+def _coefficients_sql(names: list[str]) -> str:
+    newton, weights = _newton(_axes_tables(len(names)), "axes", names)
+    return (
+        f"{newton} SELECT unnest({['(intercept)', *names]!r}) AS feature, "
+        f"unnest([round(v, 4) + 0.0 for v in b]) AS coefficient FROM {weights}"
+    )
+
+
+def _cut_error_sql(names: list[str]) -> str:
+    newton, weights = _newton(_axes_tables(len(names)), "axes", names)
     return (
-        f"WITH RECURSIVE {', '.join(parts)} SELECT unnest({['(intercept)', *names]!r}) AS feature, "
-        f"unnest([round(v, 4) + 0.0 for v in b]) AS coefficient FROM w{steps}"
+        f"{newton} SELECT {o.rounded(f'avg(CASE WHEN ({_probability(names)} > 0.4) <> (y > 0.5) THEN 1.0 ELSE 0.0 END)', 9)} "
+        f"AS error FROM axes, {weights}"
+    )
+
+
+@query("glm_cut_error", _cut_error_sql(EIGHT))
+def glm_cut_error(spark, sf_dir):
+    """Error of class 1 above a probability of 0.4."""
+    rows = _vector_features(spark, sf_dir)
+    scored = linear.fit_binomial(rows, tol=1e-12).transform(rows)
+    predicted = scored.withColumn("prediction", above("probability", linear.GLM_CUT))
+    return evaluate.error_metrics(predicted).select(
+        F.round("misclassification", 9).alias("error")
+    )
+
+
+def _job_sql() -> str:
+    """Sizes, coefficients and both metrics of the logistic job on readings."""
+    names = LOGISTIC_FEATURES
+    test = f"{o.knuth('session_id', 12345)} < {int(0.5 * 2**32)}"
+    split = (
+        f"{o.LABELLED}, split AS (SELECT binaryLabel AS y, {test} AS is_test, {', '.join(names)} "
+        "FROM labelled), train AS (SELECT * FROM split WHERE NOT is_test)"
+    )
+    newton, weights = _newton(split, "train", names)
+    parts = [
+        f"scored AS (SELECT split.*, {_probability(names)} AS p FROM split, {weights})",
+        "train_scored AS (SELECT * FROM scored WHERE NOT is_test)",
+        "test_scored AS (SELECT * FROM scored WHERE is_test)",
+    ]
+    rows = ["SELECT 'data' AS stage, 'samples' AS metric, '' AS note, count(*)::DOUBLE AS value FROM split"]
+    for stage in ("train", "test"):
+        wrong = "avg(CASE WHEN (p > 0.5) <> (y > 0.5) THEN 1.0 ELSE 0.0 END)"
+        rows.append(f"SELECT '{stage}', 'rows', '', count(*)::DOUBLE FROM {stage}_scored")
+        rows.append(
+            f"SELECT '{stage}', 'misclassification', '', {o.rounded(wrong, 5)} FROM {stage}_scored"
+        )
+        rows.append(
+            f"SELECT '{stage}', 'auroc', '', {o.rounded('area', 5)} "
+            f"FROM ({o.ranked_area(f'{stage}_scored', 'p', 'y')})"
+        )
+    for i, name in enumerate(["", *names]):
+        metric = "coefficient" if name else "intercept"
+        rows.append(
+            f"SELECT 'fit', '{metric}', '{name}', {o.rounded(f'b[{i + 1}]', 5)} FROM {weights}"
+        )
+    return f"{newton.rstrip()}, {', '.join(parts)} {' UNION ALL '.join(rows)}"
+
+
+@query("job_logistic", _job_sql())
+def job_logistic(spark, sf_dir):
+    """What the logistic job reports, but for its timings."""
+    params = LogisticJobParams(key="session_id", tune=False, model=TIGHT)
+    report = run_logistic(spark, readings(spark, sf_dir), params).report
+    return report.where(~F.col("metric").endswith("seconds")).select(
+        "stage",
+        "metric",
+        F.coalesce("note", F.lit("")).alias("note"),
+        F.round("value", 5).alias("value"),
     )
 
 
-@query("logistic_coefficients", _newton_sql(EIGHT[:3]))
+@query("logistic_coefficients", _coefficients_sql(EIGHT[:3]))
 def logistic_coefficients(spark, sf_dir):
     model = linear.fit_logistic(_vector_features(spark, sf_dir, 3), TIGHT)
     table = linear.coefficient_table(model, EIGHT[:3], spark)
     return table.select("feature", F.round("coefficient", 4).alias("coefficient"))
 
 
-@query("pca_logistic", _moment_sql(EIGHT[:3]))
+@query("pca_logistic_check", _moment_sql(EIGHT[:3]))
 def pca_logistic(spark, sf_dir):
     """Three axes on three components: a rotation, so the moments must hold."""
     rows = _vector_features(spark, sf_dir, 3).drop("features")
@@ -187,7 +270,7 @@ def pca_project(spark, sf_dir):
     return projected.select("vec_id", F.round(squares, 6).alias("squares"))
 
 
-@query("logistic_grid")
+@query("logistic_grid_check")
 def logistic_grid(spark, sf_dir):
     """The job's whole grid, five folds by key: metric and rank per point."""
     rows = prepare.with_fold(_vector_features(spark, sf_dir), "vec_id", tune.LOGISTIC_FOLDS)

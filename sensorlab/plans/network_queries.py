@@ -26,7 +26,7 @@ from sensorlab.operators.elm.solver import gram
 from sensorlab.operators.pinv import cross_product, pseudo_inverse, row_product
 from sensorlab.plans import oracles as o
 from sensorlab.plans.jobs import ElmJobParams, JobParams, LogisticJobParams
-from sensorlab.plans.jobs import run_elm, run_exploration, run_logistic, run_pca_logistic
+from sensorlab.plans.jobs import run_elm, run_exploration, run_pca_logistic
 from sensorlab.plans.registry import query, written_once
 from sensorlab.schema import CHANNELS, CHEST
 from sensorlab.session import scratch_path
@@ -212,8 +212,8 @@ def _classifier(act="tanh", nodes=NODES):
     return ElmClassifier(activationFunc=act, hiddenNodes=nodes, init="arithmetic")
 
 
-def _fit_query(act: str):
-    @query(f"elm_fit_{act}", _fit_sql(act))
+def _fit_query(name: str, act: str):
+    @query(name, _fit_sql(act))
     def run(spark, sf_dir):
         rows = _rows(spark, sf_dir, "subject")
         return _fitted_sums(_classifier(act).fit(rows), rows)
@@ -221,8 +221,10 @@ def _fit_query(act: str):
     return run
 
 
-for _act in ["tanh", "sin", "radbas"]:
-    _fit_query(_act)
+_fit_query("elm_fit_check", "tanh")
+_fit_query("elm_fit_sin", "sin")
+_fit_query("elm_fit_radbas", "radbas")
+_fit_query("elm_fit_sigmoid", "sigmoid")
 
 
 def _moment_sql(tables, rows, inputs, nodes, act, target, digits) -> str:
@@ -254,9 +256,9 @@ def _moments(rows, features, layer, output, digits):
     return means.select(F.inline(F.array(*structs)))
 
 
-def _wide_fit(act: str, nodes: int):
+def _wide_fit(name: str, act: str, nodes: int):
     @query(
-        f"elm_normal_equations_{act}_{nodes}",
+        name,
         _moment_sql(o.LABELLED, "labelled", INPUTS, nodes, act, "binaryLabel", 4),
     )
     def run(spark, sf_dir):
@@ -269,8 +271,8 @@ def _wide_fit(act: str, nodes: int):
     return run
 
 
-_wide_fit("tanh", 100)
-_wide_fit("sigmoid", 50)
+_wide_fit("elm_normal_equations", "tanh", 100)
+_wide_fit("elm_normal_equations_sigmoid", "sigmoid", 50)
 
 
 # regression: the square root of an amount, both scaled to [-1, 1]
@@ -293,7 +295,7 @@ def _regression_rows(spark, sf_dir):
     return scaled.select(F.array("x").alias("features"), "y")
 
 
-@query("elm_regression", _moment_sql(_SCALED, "scaled", ["x"], 40, "hardlim", "y", 4))
+@query("elm_regression_check", _moment_sql(_SCALED, "scaled", ["x"], 40, "hardlim", "y", 4))
 def elm_regression(spark, sf_dir):
     rows = _regression_rows(spark, sf_dir)
     model = ElmRegressor(
@@ -303,7 +305,7 @@ def elm_regression(spark, sf_dir):
     return _moments(scored, [F.col("features")[0]], model.layer, F.col("prediction"), 4)
 
 
-@query("elm_online", _fit_sql("tanh"))
+@query("elm_online_equals_batch", _fit_sql("tanh"))
 def elm_online(spark, sf_dir):
     """Trained by a stream of the subjects' files, in several micro-batches."""
     folder = written_once(
@@ -380,7 +382,7 @@ def _grid_sql() -> str:
     )
 
 
-@query("elm_grid", _grid_sql())
+@query("elm_grid_check", _grid_sql())
 def elm_grid(spark, sf_dir):
     rows = prepare.with_fold(_vector_rows(spark, sf_dir), "vec_id", _FOLDS)
     table = tune.elm_cross_validate(rows, _POINTS, _FOLDS, init="arithmetic", threshold=0.5)
@@ -417,7 +419,7 @@ def _pinv_sql() -> str:
     )
 
 
-@query("svd_pseudo_inverse", _pinv_sql())
+@query("svd_pseudo_inverse_check", _pinv_sql())
 def svd_pseudo_inverse(spark, sf_dir):
     """Each row's column of the pseudo-inverse of all vectors' first axes."""
     rows = vectors(spark, sf_dir).select("vec_id", F.slice("embedding", 1, _AXES).alias("features"))
@@ -493,12 +495,6 @@ def job_elm(spark, sf_dir):
     ).report
 
 
-@query("job_logistic")
-def job_logistic(spark, sf_dir):
-    params = LogisticJobParams(key="session_id", tune=False)
-    return run_logistic(spark, readings(spark, sf_dir), params).report
-
-
 @query("job_pca_logistic")
 def job_pca_logistic(spark, sf_dir):
     params = LogisticJobParams(features=tuple(CHANNELS), key="session_id", tune=False)

@@ -632,7 +632,7 @@ def auroc_ties(spark, sf_dir):
 
 
 @query(
-    "aupr",
+    "aupr_check",
     f"WITH {o.LABELLED_VECTORS}, points AS (SELECT embedding[1] AS s, sum(binaryLabel) AS p, "
     "count(*) AS c FROM labelled GROUP BY 1), curve AS (SELECT s, "
     "sum(p) OVER (ORDER BY s DESC) AS tp, sum(c) OVER (ORDER BY s DESC) AS called, "

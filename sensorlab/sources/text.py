@@ -13,7 +13,9 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from sensorlab.functions.labels import SECONDS_PER_READING
 from sensorlab.schema import CHANNELS, LABEL, exploration_names
+from sensorlab.session import scratch_path
 
 
 def to_number(text: Column, permissive: bool = False) -> Column:
@@ -92,43 +94,74 @@ def list_source_files(spark: SparkSession, path: str | list[str]) -> DataFrame:
     return spark.read.text(path).select(F.col("_metadata.file_path").alias("file_path")).distinct()
 
 
-def read_numbered(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    """Lines with their file and their number in it, counted from 1.
+# Most splits whose offsets are sent to every executor: at 100 bytes each about
+# 100 MB.  128 MB splits reach this number at 128 TB of text.
+BROADCAST_SPLITS = 1_000_000
 
-    A file may be far larger than a task can order.  Each split numbers its own
-    lines; one small aggregate then gives the lines before each split.  Only
-    that per-split table is windowed, never the lines.
-    """
-    lines = spark.read.text(path).select(
+
+def _scan_lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """Lines with the file and split they are in and an id that follows their order."""
+    return spark.read.text(path).select(
         F.col("_metadata.file_path").alias("file_path"),
         F.col("_metadata.file_block_start").alias("block_start"),
         F.monotonically_increasing_id().alias("scan_id"),
         "value",
     )
-    splits = lines.groupBy("file_path", "block_start").agg(
-        F.min("scan_id").alias("first_id"), F.count("*").alias("lines")
-    )
+
+
+def _number(scanned: DataFrame) -> DataFrame:
+    """Replace split and id by the line's number in its file, counted from 1.
+
+    A file may be far larger than a task can order.  Ids are consecutive inside
+    a split, so a line's number is its distance from the split's first id plus
+    the lines of the file's earlier splits.  Only the table of splits is
+    windowed; it is joined by broadcast up to ``BROADCAST_SPLITS`` rows, beyond
+    that the join is left to Spark.
+
+    The scan is written once, because how files are split can change from one
+    scan to the next as a cluster grows or loses executors.
+    """
+    spark = scanned.sparkSession
+    path = scratch_path(spark, "scanned")
+    scanned.write.parquet(path)
+    lines = spark.read.parquet(path)
     earlier = Window.partitionBy("file_path").orderBy("block_start").rowsBetween(
         Window.unboundedPreceding, -1
     )
-    offsets = splits.select(
-        "file_path",
-        "block_start",
-        "first_id",
-        F.coalesce(F.sum("lines").over(earlier), F.lit(0)).alias("lines_before"),
+    offsets = (
+        lines.groupBy("file_path", "block_start")
+        .agg(F.min("scan_id").alias("first_id"), F.count("*").alias("lines"))
+        .select(
+            "file_path",
+            "block_start",
+            (F.coalesce(F.sum("lines").over(earlier), F.lit(0)) - F.col("first_id") + 1).alias(
+                "shift"
+            ),
+        )
     )
+    splits = scratch_path(spark, "splits")
+    offsets.write.parquet(splits)
+    offsets = spark.read.parquet(splits)
+    if offsets.count() <= BROADCAST_SPLITS:
+        offsets = F.broadcast(offsets)
+    rest = [c for c in scanned.columns if c not in ("file_path", "block_start", "scan_id")]
     return lines.join(offsets, ["file_path", "block_start"]).select(
-        "file_path",
-        (F.col("lines_before") + F.col("scan_id") - F.col("first_id") + 1).alias("reading_no"),
-        "value",
+        "file_path", (F.col("scan_id") + F.col("shift")).alias("reading_no"), *rest
     )
 
 
+def read_numbered(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """Lines with their file and their number in it."""
+    return _number(_scan_lines(spark, path))
+
+
 def read_recording(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    """Readings with file, number in the file and seconds since its start."""
-    from sensorlab.functions.labels import SECONDS_PER_READING
+    """Readings with file, number in the file and seconds since its start.
 
-    numbered = parse_fields(read_numbered(spark, path), CHANNELS + [LABEL])
+    What is written on the way is the readings as columns, so this is also the
+    one conversion from text that later scans profit from.
+    """
+    numbered = _number(parse_fields(_scan_lines(spark, path), CHANNELS + [LABEL]))
     return numbered.withColumn("seconds", (F.col("reading_no") - 1) * F.lit(SECONDS_PER_READING))
 
 

@@ -43,9 +43,14 @@ class OnlineElm:
         self.features = features
         self.target = target
         self.rcond = rcond
+        # the last two states by batch id, so that storage is read on restart only
+        self._recent: dict[int, np.ndarray] = {}
 
     def _state(self, before: int | None = None) -> np.ndarray | None:
         """Newest factor, or the newest one older than a batch."""
+        known = [b for b in self._recent if before is None or b < before]
+        if known:
+            return self._recent[max(known)]
         try:
             states = self.spark.read.schema(STATE).parquet(self.state_path)
         except AnalysisException:
@@ -72,6 +77,10 @@ class OnlineElm:
             [(i, row.tolist()) for i, row in enumerate(factor)], "position int, row array<double>"
         )
         table.coalesce(1).write.mode("overwrite").parquet(f"{self.state_path}/batch={batch_id}")
+        self._recent = {b: f for b, f in self._recent.items() if b < batch_id}
+        while len(self._recent) > 1:
+            del self._recent[min(self._recent)]
+        self._recent[batch_id] = factor
 
     def start(self, stream: DataFrame, checkpoint: str) -> StreamingQuery:
         """Train on all files the stream has now, then stop."""

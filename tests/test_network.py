@@ -269,6 +269,10 @@ def test_stream_equals_batch_and_repeats_are_harmless(spark, rows):
     manual.update(parts[2], 4)
     manual.update(parts[2], 4)
     assert np.allclose(manual.model().beta, batch, rtol=1e-6)
+    # a new process has only the written state
+    restarted = OnlineElm(spark, layer, manual.state_path)
+    restarted.update(parts[2], 4)
+    assert np.allclose(restarted.model().beta, batch, rtol=1e-6)
 
 
 def test_grid_equals_spark_cross_validation(rows):
