@@ -217,3 +217,32 @@ def gram(df: DataFrame, design: list, target) -> DataFrame:
         ]
     )
     return wide.select(F.inline(rows))
+
+
+def layer_moments(
+    df: DataFrame, layer: Layer, targets: list, features: str = "features"
+) -> DataFrame:
+    """Sum over rows of each node's output times each target, as (node, target, value).
+
+    The form of :func:`gram` for wide layers: a task sends one nodes x targets
+    matrix, and their sum is an ordinary aggregate.
+    """
+
+    width = len(targets)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((layer.nodes, width))
+        for batch in batches:
+            x, t = matrix(batch.column("x")), matrix(batch.column("t"))
+            for start in range(0, len(t), FOLD_ROWS):
+                total += layer.outputs(x[start : start + FOLD_ROWS]).T @ t[start : start + FOLD_ROWS]
+        nodes = np.repeat(np.arange(layer.nodes, dtype=np.int32), width)
+        numbers_ = np.tile(np.arange(width, dtype=np.int32), layer.nodes)
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(nodes), pa.array(numbers_), pa.array(total.reshape(-1))],
+            names=["node", "target", "value"],
+        )
+
+    rows = df.select(as_array(df, features).alias("x"), F.array(*targets).alias("t"))
+    sums = rows.mapInArrow(run, "node int, target int, value double")
+    return sums.groupBy("node", "target").agg(F.sum("value").alias("value"))

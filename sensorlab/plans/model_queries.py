@@ -35,23 +35,32 @@ def _vector_features(spark, sf_dir, count=8):
     return features.assemble(rows, names)
 
 
-def _moment_sql(names: list[str], digits: int = 5) -> str:
-    cells = [o.rounded("avg(binaryLabel)", digits)]
-    cells += [o.rounded(f"avg(binaryLabel * {n})", digits) for n in names]
+def _moment_sql(names: list[str]) -> str:
+    """Per feature, the mean of label times feature; and that of residual times
+    feature, which a fit without penalty makes zero."""
+    cells = [o.rounded("avg(binaryLabel)", 9)]
+    cells += [o.rounded(f"avg(binaryLabel * {n})", 9) for n in names]
     return (
         f"WITH {o.LABELLED_VECTORS}, axes AS (SELECT binaryLabel, {_axes(len(names))} "
         f"FROM labelled) SELECT unnest({['one', *names]!r}) AS feature, "
-        f"unnest([{', '.join(cells)}]) AS moment FROM axes"
+        f"unnest([{', '.join(cells)}]) AS moment, 0.0::DOUBLE AS residual FROM axes"
     )
 
 
-def _moments(scored, probability, names, digits: int = 5):
+def _moments(scored, probability, names):
+    label = F.col("binaryLabel")
+    factors = {"one": F.lit(1.0), **{n: F.col(n) for n in names}}
     means = scored.agg(
-        F.avg(probability).alias("one"), *[F.avg(probability * F.col(n)).alias(n) for n in names]
+        *[F.avg(label * x).alias(f"m_{n}") for n, x in factors.items()],
+        *[F.avg((probability - label) * x).alias(f"r_{n}") for n, x in factors.items()],
     )
     structs = [
-        F.struct(F.lit(n).alias("feature"), F.round(n, digits).alias("moment"))
-        for n in ["one", *names]
+        F.struct(
+            F.lit(n).alias("feature"),
+            F.round(f"m_{n}", 9).alias("moment"),
+            F.round(f"r_{n}", 5).alias("residual"),
+        )
+        for n in factors
     ]
     return means.select(F.inline(F.array(*structs)))
 

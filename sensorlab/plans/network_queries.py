@@ -22,7 +22,7 @@ from sensorlab.operators.elm.model import (
     score_activations,
     score_column,
 )
-from sensorlab.operators.elm.solver import gram
+from sensorlab.operators.elm.solver import gram, layer_moments
 from sensorlab.operators.pinv import cross_product, pseudo_inverse, row_product
 from sensorlab.plans import oracles as o
 from sensorlab.plans.jobs import ElmJobParams, JobParams, LogisticJobParams
@@ -197,14 +197,14 @@ def elm_predict(spark, sf_dir):
 def _fit_sql(act: str) -> str:
     return (
         o.fitted_network(o.LABELLED, "labelled", ["subject", "binaryLabel"], INPUTS, NODES, act)
-        + f"SELECT subject, count(*) AS rows, {o.rounded('sum(t)', 4)} AS fitted FROM scored "
+        + f"SELECT subject, count(*) AS rows, {o.rounded('avg(t)', 5)} AS fitted FROM scored "
         "GROUP BY subject"
     )
 
 
-def _fitted_sums(model, rows):
+def _fitted_means(model, rows):
     return rows.withColumn("t", model.score(rows)).groupBy("subject").agg(
-        F.count("*").alias("rows"), F.round(F.sum("t"), 4).alias("fitted")
+        F.count("*").alias("rows"), F.round(F.avg("t"), 5).alias("fitted")
     )
 
 
@@ -216,7 +216,7 @@ def _fit_query(name: str, act: str):
     @query(name, _fit_sql(act))
     def run(spark, sf_dir):
         rows = _rows(spark, sf_dir, "subject")
-        return _fitted_sums(_classifier(act).fit(rows), rows)
+        return _fitted_means(_classifier(act).fit(rows), rows)
 
     return run
 
@@ -227,10 +227,11 @@ _fit_query("elm_fit_radbas", "radbas")
 _fit_query("elm_fit_sigmoid", "sigmoid")
 
 
-def _moment_sql(tables, rows, inputs, nodes, act, target, digits) -> str:
-    """Mean of node output times target, per node."""
+def _moment_sql(tables, rows, inputs, nodes, act, target) -> str:
+    """Per node, the mean of output times target; and that of output times
+    residual, which least squares makes zero."""
     sums = [f"avg(h{i} * {target}) AS m{i}" for i in range(1, nodes + 1)]
-    cells = [o.rounded(f"m{i}", digits) for i in range(1, nodes + 1)]
+    cells = [o.rounded(f"m{i}", 9) for i in range(1, nodes + 1)]
     parts = [
         tables,
         o.layer(nodes, len(inputs)),
@@ -239,34 +240,31 @@ def _moment_sql(tables, rows, inputs, nodes, act, target, digits) -> str:
     ]
     return (
         f"WITH {', '.join(parts)} SELECT unnest(range({nodes})) AS node, "
-        f"unnest([{', '.join(cells)}]) AS moment FROM sums"
+        f"unnest([{', '.join(cells)}]) AS moment, 0.0::DOUBLE AS residual FROM sums"
     )
 
 
-def _moments(rows, features, layer, output, digits):
-    """The same with the fitted output in the target's place."""
-    h = hidden_columns(features, layer)
-    means = rows.agg(*[F.avg(c * output).alias(f"m{i}") for i, c in enumerate(h)])
-    structs = [
-        F.struct(
-            F.lit(i).cast("bigint").alias("node"), F.round(f"m{i}", digits).alias("moment")
-        )
-        for i in range(layer.nodes)
-    ]
-    return means.select(F.inline(F.array(*structs)))
+def _moments(rows, layer, output, target):
+    """The same, of fitted rows: target 0 is the label, target 1 its residual."""
+    sums = layer_moments(rows, layer, [target, output - target])
+    count = rows.agg(F.count("*")).scalar()
+    mean = F.col("value") / count
+    return sums.groupBy(F.col("node").cast("bigint").alias("node")).agg(
+        F.round(F.max(F.when(F.col("target") == 0, mean)), 9).alias("moment"),
+        F.round(F.max(F.when(F.col("target") == 1, mean)), 5).alias("residual"),
+    )
 
 
 def _wide_fit(name: str, act: str, nodes: int):
     @query(
         name,
-        _moment_sql(o.LABELLED, "labelled", INPUTS, nodes, act, "binaryLabel", 4),
+        _moment_sql(o.LABELLED, "labelled", INPUTS, nodes, act, "binaryLabel"),
     )
     def run(spark, sf_dir):
         rows = _rows(spark, sf_dir)
         model = _classifier(act, nodes).fit(rows)
         scored = rows.withColumn("t", model.score(rows))
-        x = [F.col("features")[i] for i in range(3)]
-        return _moments(scored, x, model.layer, F.col("t"), 4)
+        return _moments(scored, model.layer, F.col("t"), F.col("binaryLabel"))
 
     return run
 
@@ -295,14 +293,14 @@ def _regression_rows(spark, sf_dir):
     return scaled.select(F.array("x").alias("features"), "y")
 
 
-@query("elm_regression_check", _moment_sql(_SCALED, "scaled", ["x"], 40, "hardlim", "y", 4))
+@query("elm_regression_check", _moment_sql(_SCALED, "scaled", ["x"], 40, "hardlim", "y"))
 def elm_regression(spark, sf_dir):
     rows = _regression_rows(spark, sf_dir)
     model = ElmRegressor(
         labelCol="y", activationFunc="hardlim", hiddenNodes=40, init="arithmetic"
     ).fit(rows)
     scored = model.transform(rows)
-    return _moments(scored, [F.col("features")[0]], model.layer, F.col("prediction"), 4)
+    return _moments(scored, model.layer, F.col("prediction"), F.col("y"))
 
 
 @query("elm_online_equals_batch", _fit_sql("tanh"))
@@ -321,7 +319,7 @@ def elm_online(spark, sf_dir):
         .parquet(folder)
     )
     online.start(stream, scratch_path(spark, "online-checkpoint")).awaitTermination()
-    return _fitted_sums(online.model(), _rows(spark, sf_dir, "subject"))
+    return _fitted_means(online.model(), _rows(spark, sf_dir, "subject"))
 
 
 @query("elm_save_load", _fit_sql("tanh"))
@@ -329,7 +327,7 @@ def elm_save_load(spark, sf_dir):
     rows = _rows(spark, sf_dir, "subject")
     path = scratch_path(spark, "model")
     _classifier().fit(rows).save(path)
-    return _fitted_sums(ElmClassificationModel.load(path), rows)
+    return _fitted_means(ElmClassificationModel.load(path), rows)
 
 
 @query(

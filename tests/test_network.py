@@ -135,6 +135,15 @@ def test_gram_rows(rows, arrays):
     assert len(got) == 4 * 5 // 2 + 4
 
 
+def test_layer_moments(rows, arrays):
+    x, y = arrays
+    layer = draw_layer(30, 3)
+    got = solver.layer_moments(rows, layer, [F.col("binaryLabel"), F.lit(1.0)]).collect()
+    expected = layer.outputs(x).T @ np.column_stack([y, np.ones(len(y))])
+    assert len(got) == 60
+    assert all(np.isclose(r["value"], expected[r["node"], r["target"]]) for r in got)
+
+
 def test_bad_training_rows(spark, rows):
     elm = ElmClassifier(hiddenNodes=10)
     with pytest.raises(ValueError, match="empty"):
