@@ -110,6 +110,44 @@ def test_folded_factor_keeps_the_gram_matrix():
     assert np.allclose(tiny.T @ tiny, a[:3].T @ a[:3])
 
 
+def _blocks(kind, width=12, rows=40_000):
+    rng = np.random.default_rng(11)
+    a = rng.normal(size=(rows, width))
+    if kind == "decaying":
+        a *= 10.0 ** -np.arange(width)
+    elif kind == "deficient":
+        a[:, 5] = a[:, 4] - a[:, 3]
+        a[:, 7] = 0.0
+    elif kind == "late":
+        # a column that is constant at first, then far away
+        a[: rows // 2, 2] = 1.0
+        a[rows // 2 :, 2] *= 1e6
+    elif kind == "sorted":
+        a = a[np.lexsort((a[:, 1].round(1), a[:, 0].round(1)))]
+        a = np.tanh(a @ rng.random((width, width)))
+    elif kind == "zero":
+        a[:] = 0.0
+    return a
+
+
+@pytest.mark.parametrize("kind", ["plain", "decaying", "deficient", "late", "sorted", "zero"])
+def test_row_factor_is_as_good_as_qr(kind):
+    a = _blocks(kind)
+    sums = solver.RowFactor()
+    for block in np.array_split(a, 41):
+        sums.add(block)
+    got = np.linalg.svd(sums.settle(), compute_uv=False)
+    expected = np.linalg.svd(a, compute_uv=False)
+    assert np.allclose(got, expected, rtol=1e-9, atol=1e-12 * expected[0] + 1e-300)
+    assert sums.rows == len(a)
+    if kind != "zero":
+        y = a @ np.ones(12)
+        design = solver.RowFactor()
+        for block in np.array_split(np.column_stack([a, y]), 41):
+            design.add(block)
+        assert np.allclose(a @ solver.solve(design.settle()), y, atol=1e-6 * np.abs(y).max())
+
+
 def test_rank_deficient_fit_has_minimum_norm(spark):
     rng = np.random.default_rng(3)
     x = rng.normal(size=(300, 1))
@@ -153,6 +191,8 @@ def test_bad_training_rows(spark, rows):
     null = rows.withColumn("features", F.array(F.lit(None).cast("double"), F.lit(1.0), F.lit(1.0)))
     with pytest.raises(PySparkException, match="null inside"):
         elm.fit(null)
+    with pytest.raises(PySparkException, match="not finite"):
+        elm.fit(rows.withColumn("features", F.array(*[F.lit(float("nan"))] * 3)))
     ragged = rows.withColumn(
         "features", F.when(F.col("key") > 5, F.col("features")).otherwise(F.array(F.lit(1.0)))
     )
