@@ -46,6 +46,16 @@ def database(sf_dir: str) -> duckdb.DuckDBPyConnection:
     return connection
 
 
+# The same type in both engines.
+TYPES = {
+    "bigint": "BIGINT",
+    "int": "INTEGER",
+    "double": "DOUBLE",
+    "string": "VARCHAR",
+    "boolean": "BOOLEAN",
+}
+
+
 def _cell(value):
     if isinstance(value, float):
         if math.isnan(value):
@@ -66,11 +76,16 @@ def compare(spark, connection, function, sql: str | None, sf_dir: str) -> tuple[
     count = sum(ours.values())
     if sql is None:
         return count > 0, f"{count} rows, no SQL"
-    result = connection.execute(sql)
-    names = [d[0] for d in result.description]
+    result = connection.sql(sql)
+    names = result.columns
     theirs = rows_of(names, result.fetchall())
     if sorted(names) != sorted(df.columns):
         return False, f"columns {sorted(df.columns)} against {sorted(names)}"
+    given = {n: TYPES.get(t, t) for n, t in df.dtypes}
+    found = {n: str(t) for n, t in zip(names, result.types)}
+    if given != found:
+        odd = {n: (given[n], found[n]) for n in given if given[n] != found[n]}
+        return False, f"types differ: {odd}"
     if ours != theirs:
         lost, extra = theirs - ours, ours - theirs
         return False, (
