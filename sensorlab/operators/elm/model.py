@@ -25,8 +25,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sensorlab.functions.activations import activate, check_activation
+from sensorlab.functions.arrow import matrix
 from sensorlab.operators.elm.layer import INITS, Layer, draw_layer
-from sensorlab.operators.elm.solver import RCOND, design_rows, gather, matrix, solve
+from sensorlab.operators.elm.solver import RCOND, design_rows, gather, solve
 from sensorlab.operators.features import as_array
 
 # Production defaults and limits of the classifier's parameters.

@@ -22,8 +22,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sensorlab.operators.features import as_array
+from sensorlab.functions.arrow import matrix, numbers
 from sensorlab.operators.elm.layer import Layer
+from sensorlab.operators.features import as_array
 
 # Singular values below this fraction of the largest count as zero.  A dense
 # pseudo-inverse takes rows x machine epsilon, which is this for 45,000 rows;
@@ -105,27 +106,6 @@ class RowFactor:
         return self.factor
 
 
-def matrix(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
-    """A list<double> Arrow column as a rows x width array."""
-    if isinstance(column, pa.ChunkedArray):
-        column = column.combine_chunks()
-    if column.null_count:
-        raise ValueError("null vector among the rows")
-    flat = column.flatten()
-    if flat.null_count:
-        raise ValueError("null inside a vector")
-    values = flat.to_numpy(zero_copy_only=False)
-    if len(column) and (column.value_lengths().to_numpy() != len(values) // len(column)).any():
-        raise ValueError("vectors differ in length")
-    return values.reshape(len(column), -1) if len(column) else values.reshape(0, 0)
-
-
-def numbers(column: pa.Array) -> np.ndarray:
-    if column.null_count:
-        raise ValueError("null target among the rows")
-    return column.to_numpy(zero_copy_only=False).astype(np.float64)
-
-
 def factor_batch(bucket: int, part: int, factor: np.ndarray) -> pa.RecordBatch:
     height, width = factor.shape
     offsets = pa.array(np.arange(height + 1, dtype=np.int32) * width)
@@ -177,6 +157,8 @@ def design_rows(
             if not batch.num_rows:
                 continue
             x, y = matrix(batch.column("x")), numbers(batch.column("y"))
+            if batch.column("fold").null_count:
+                raise ValueError("null fold among the rows")
             folds = batch.column("fold").to_numpy()
             present = np.unique(folds).tolist()
             # the design of a few rows is made and folded while it is in cache

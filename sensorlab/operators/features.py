@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.ml.feature import PCA, PCAModel, VectorAssembler, VectorSlicer
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.linalg import VectorUDT
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from sensorlab.functions.arrow import matrix
 from sensorlab.schema import check_feature_columns
 
 
@@ -60,20 +64,51 @@ def feature_count(df: DataFrame, column: str = "features") -> DataFrame:
     )
 
 
-def covariance(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Sample covariance of every pair of columns, as (i, j, covariance) rows.
+def cross_product(df: DataFrame, left: str, right: str) -> DataFrame:
+    """Sum over rows of the outer product of two vector columns, as (i, j, value).
 
-    One aggregate over the table; pairs become rows only after it.
+    Each task sends one small matrix; their sum is an ordinary aggregate.
     """
-    pairs = [(i, j) for i in range(len(columns)) for j in range(i, len(columns))]
-    wide = df.agg(*[F.covar_samp(columns[i], columns[j]).alias(f"c{i}_{j}") for i, j in pairs])
-    rows = F.array(
-        *[
-            F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"), F.col(f"c{i}_{j}").alias("cov"))
-            for i, j in pairs
-        ]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = None
+        for batch in batches:
+            if batch.num_rows:
+                part = matrix(batch.column("a")).T @ matrix(batch.column("b"))
+                total = part if total is None else total + part
+        if total is not None:
+            height, width = total.shape
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array(np.repeat(np.arange(height, dtype=np.int32), width)),
+                    pa.array(np.tile(np.arange(width, dtype=np.int32), height)),
+                    pa.array(total.reshape(-1)),
+                ],
+                names=["i", "j", "value"],
+            )
+
+    pairs = df.select(as_array(df, left).alias("a"), as_array(df, right).alias("b"))
+    parts = pairs.mapInArrow(run, "i int, j int, value double")
+    return parts.groupBy("i", "j").agg(F.sum("value").alias("value"))
+
+
+def covariance(df: DataFrame, source: str = "features") -> DataFrame:
+    """Sample covariance of every pair of vector elements, as (i, j, cov) rows.
+
+    Two scans: the mean vector, then products of the centred rows.
+    """
+    vector = as_vector(df.select(source), source, "vector")
+    means, rows = vector.agg(
+        vector_to_array(Summarizer.mean(F.col("vector"))).alias("mean"), F.count("*")
+    ).first()
+    if rows < 2:
+        raise ValueError("covariance needs two rows")
+    mean = F.array(*[F.lit(m) for m in means])
+    centred = df.select(
+        F.zip_with(as_array(df, source), mean, lambda x, m: x - m).alias("centred")
     )
-    return wide.select(F.inline(rows))
+    sums = cross_product(centred, "centred", "centred")
+    return sums.select("i", "j", (F.col("value") / (rows - 1)).alias("cov"))
 
 
 def fit_pca(df: DataFrame, k: int = 3, source: str = "features", target: str = "pca") -> PCAModel:

@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sensorlab.operators.elm.solver import design_rows, gather, matrix
+from sensorlab.functions.arrow import matrix
+from sensorlab.operators.elm.solver import design_rows, gather
 from sensorlab.operators.features import as_array
 
 
@@ -52,31 +51,3 @@ def pseudo_inverse(
     """
     s, v = singular_factors(df, width, source)
     return df.withColumn(target, row_product(as_array(df, source), (v / s**2) @ v.T))
-
-
-def cross_product(df: DataFrame, left: str, right: str) -> DataFrame:
-    """Sum over rows of the outer product of two vector columns, as (i, j, value).
-
-    Each task sends one small matrix; their sum is an ordinary aggregate.
-    """
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = None
-        for batch in batches:
-            if batch.num_rows:
-                part = matrix(batch.column("a")).T @ matrix(batch.column("b"))
-                total = part if total is None else total + part
-        if total is not None:
-            height, width = total.shape
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(np.repeat(np.arange(height, dtype=np.int32), width)),
-                    pa.array(np.tile(np.arange(width, dtype=np.int32), height)),
-                    pa.array(total.reshape(-1)),
-                ],
-                names=["i", "j", "value"],
-            )
-
-    pairs = df.select(as_array(df, left).alias("a"), as_array(df, right).alias("b"))
-    parts = pairs.mapInArrow(run, "i int, j int, value double")
-    return parts.groupBy("i", "j").agg(F.sum("value").alias("value"))

@@ -16,6 +16,7 @@ from pyspark.ml.tuning import CrossValidator, CrossValidatorModel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from sensorlab.functions.arrow import matrix, numbers
 from sensorlab.operators.elm.layer import Layer, draw_layer
 from sensorlab.operators.elm.model import vector_length
 from sensorlab.operators.elm.solver import (
@@ -23,8 +24,6 @@ from sensorlab.operators.elm.solver import (
     design_rows,
     fold,
     gather,
-    matrix,
-    numbers,
     solve,
 )
 from sensorlab.operators.features import as_array

@@ -217,6 +217,7 @@ def run_elm(
                     estimator.hiddenNodes: best["hidden_nodes"],
                 }
             ).fit(held)
+            _evaluate(report, "tuned", best_model, held)
             grid = spark.createDataFrame(rows)
     return JobResult(report.table(spark), model, grid, best_model)
 
@@ -263,6 +264,7 @@ def run_logistic(
         grid = best = None
         if params.tune:
             grid, best = _tune_logistic(report, estimator, data, params)
+            _evaluate(report, "tuned", best, data)
     return JobResult(report.table(spark), model, grid, best)
 
 
@@ -292,6 +294,7 @@ def run_pca_logistic(
         if params.tune:
             *prefix, estimator = pipeline.getStages()
             grid, best = _tune_logistic(report, estimator, train, params, prefix)
+            _evaluate(report, "tuned", best, test)
     return JobResult(report.table(spark), model, grid, best)
 
 

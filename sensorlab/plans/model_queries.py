@@ -19,7 +19,8 @@ from sensorlab.schema import CHEST, LOGISTIC_FEATURES
 from sensorlab.session import kept
 from sensorlab.sources.adapters import labelled_readings, labelled_vectors, readings, vectors
 
-EIGHT = [f"x{i + 1}" for i in range(8)]
+AXES = [f"x{i + 1}" for i in range(64)]
+EIGHT = AXES[:8]
 TIGHT = linear.LogisticParams(tol=1e-12, maxIter=200)
 
 
@@ -27,8 +28,8 @@ def _axes(count: int) -> str:
     return ", ".join(f"embedding[{i + 1}] AS x{i + 1}" for i in range(count))
 
 
-def _vector_features(spark, sf_dir, count=8):
-    names = EIGHT[:count]
+def _vector_features(spark, sf_dir, count=64):
+    names = AXES[:count]
     rows = labelled_vectors(spark, sf_dir).select(
         "vec_id", "binaryLabel", *[F.col("embedding")[i].alias(n) for i, n in enumerate(names)]
     )
@@ -65,18 +66,18 @@ def _moments(scored, probability, names):
     return means.select(F.inline(F.array(*structs)))
 
 
-@query("logistic_fit_check", _moment_sql(EIGHT))
+@query("logistic_fit_check", _moment_sql(AXES))
 def logistic_fit(spark, sf_dir):
     rows = _vector_features(spark, sf_dir)
     scored = linear.fit_logistic(rows, TIGHT).transform(rows)
-    return _moments(scored, vector_to_array("probability")[1], EIGHT)
+    return _moments(scored, vector_to_array("probability")[1], AXES)
 
 
-@query("glm_binomial_check", _moment_sql(EIGHT))
+@query("glm_binomial_check", _moment_sql(AXES))
 def glm_binomial(spark, sf_dir):
     rows = _vector_features(spark, sf_dir)
     scored = linear.fit_binomial(rows, tol=1e-12).transform(rows)
-    return _moments(scored, F.col("probability"), EIGHT)
+    return _moments(scored, F.col("probability"), AXES)
 
 
 def _newton(tables: str, rows: str, names: list[str], steps: int = 8) -> tuple[str, str]:
@@ -138,7 +139,7 @@ def _cut_error_sql(names: list[str]) -> str:
 @query("glm_cut_error", _cut_error_sql(EIGHT))
 def glm_cut_error(spark, sf_dir):
     """Error of class 1 above a probability of 0.4."""
-    rows = _vector_features(spark, sf_dir)
+    rows = _vector_features(spark, sf_dir, 8)
     scored = linear.fit_binomial(rows, tol=1e-12).transform(rows)
     predicted = scored.withColumn("prediction", above("probability", linear.GLM_CUT))
     return evaluate.error_metrics(predicted).select(
@@ -207,26 +208,24 @@ def pca_logistic(spark, sf_dir):
     return _moments(scored, vector_to_array("probability")[1], EIGHT[:3])
 
 
-_COVARIANCES = [(i, j) for i in range(8) for j in range(i, 8)]
+_COVARIANCES = [(i, j) for i in range(64) for j in range(i, 64)]
 
 
-@query(
-    "pca_covariance",
-    f"WITH {o.VECTORS}, c AS (SELECT "
-    + ", ".join(
-        f"covar_samp(embedding[{i + 1}], embedding[{j + 1}]) AS c{i}_{j}" for i, j in _COVARIANCES
+def _covariance_sql() -> str:
+    sums = ", ".join(f"covar_samp(embedding[{i + 1}], embedding[{j + 1}])" for i, j in _COVARIANCES)
+    lists = [", ".join(f"{pair[k]}" for pair in _COVARIANCES) for k in (0, 1)]
+    return (
+        f"WITH {o.VECTORS}, c AS (SELECT [{sums}] AS cells FROM vectors), upper_half AS ("
+        f"SELECT unnest([{lists[0]}]) AS i, unnest([{lists[1]}]) AS j, unnest(cells) AS cov FROM c) "
+        f"SELECT i, j, {o.rounded('cov', 9)} AS cov FROM upper_half UNION ALL "
+        f"SELECT j, i, {o.rounded('cov', 9)} FROM upper_half WHERE i < j"
     )
-    + " FROM vectors) "
-    + " UNION ALL ".join(
-        f"SELECT {i} AS i, {j} AS j, {o.rounded(f'c{i}_{j}', 9)} AS cov FROM c"
-        for i, j in _COVARIANCES
-    ),
-)
+
+
+@query("pca_covariance", _covariance_sql())
 def pca_covariance(spark, sf_dir):
-    rows = vectors(spark, sf_dir).select(
-        *[F.col("embedding")[i].alias(n) for i, n in enumerate(EIGHT)]
-    )
-    return features.covariance(rows, EIGHT).select("i", "j", F.round("cov", 9).alias("cov"))
+    table = features.covariance(vectors(spark, sf_dir), "embedding")
+    return table.select("i", "j", F.round("cov", 9).alias("cov"))
 
 
 # eigenvalues of the symmetric 3 x 3 covariance by the trigonometric formula

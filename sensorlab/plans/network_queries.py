@@ -23,7 +23,8 @@ from sensorlab.operators.elm.model import (
     score_column,
 )
 from sensorlab.operators.elm.solver import gram, layer_moments
-from sensorlab.operators.pinv import cross_product, pseudo_inverse, row_product
+from sensorlab.operators.features import cross_product
+from sensorlab.operators.pinv import pseudo_inverse, row_product
 from sensorlab.plans import oracles as o
 from sensorlab.plans.jobs import ElmJobParams, JobParams, LogisticJobParams
 from sensorlab.plans.jobs import run_elm, run_exploration, run_pca_logistic
@@ -273,6 +274,27 @@ _wide_fit("elm_normal_equations", "tanh", 100)
 _wide_fit("elm_normal_equations_sigmoid", "sigmoid", 50)
 
 
+@query(
+    "elm_normal_equations_vectors",
+    _moment_sql(
+        o.LABELLED_VECTORS,
+        "labelled",
+        [f"embedding[{i}]" for i in range(1, 65)],
+        40,
+        "sigmoid",
+        "binaryLabel",
+    ),
+)
+def elm_normal_equations_vectors(spark, sf_dir):
+    """All 64 axes as features."""
+    rows = labelled_vectors(spark, sf_dir).select(
+        F.col("embedding").alias("features"), "binaryLabel"
+    )
+    model = _classifier("sigmoid", 40).fit(rows)
+    scored = rows.withColumn("t", model.score(rows))
+    return _moments(scored, model.layer, F.col("t"), F.col("binaryLabel"))
+
+
 # regression: the square root of an amount, both scaled to [-1, 1]
 _SCALED = (
     o.READINGS

@@ -1,4 +1,4 @@
-"""Online training: a classifier kept up to date by a stream of labelled rows.
+"""Online training: a network kept up to date by a stream of rows and targets.
 
 The state is the triangular factor of all rows seen, at most nodes + 1 rows of
 nodes + 1 numbers.  A micro-batch is reduced by the batch solver and stacked on
@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.query import StreamingQuery
 
 from sensorlab.operators.elm.layer import Layer
-from sensorlab.operators.elm.model import ElmClassificationModel
+from sensorlab.operators.elm.model import ElmClassificationModel, ElmRegressionModel
 from sensorlab.operators.elm.solver import RCOND, design_rows, fold, gather, solve
 
 STATE = "position int, row array<double>, batch bigint"
@@ -92,12 +92,13 @@ class OnlineElm:
             .start()
         )
 
-    def model(self) -> ElmClassificationModel:
-        """Classifier from the newest state."""
+    def model(self, regression: bool = False) -> ElmClassificationModel | ElmRegressionModel:
+        """Network from the newest state, as a classifier or as a regression."""
         factor = self._state()
         if factor is None:
             raise ValueError("no rows seen yet")
-        model = ElmClassificationModel(self.layer, solve(factor, rcond=self.rcond))
+        kind = ElmRegressionModel if regression else ElmClassificationModel
+        model = kind(self.layer, solve(factor, rcond=self.rcond))
         model._set(
             activationFunc=self.layer.activation,
             hiddenNodes=self.layer.nodes,

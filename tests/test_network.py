@@ -19,7 +19,8 @@ from sensorlab.operators.elm.model import (
     score_activations,
 )
 from sensorlab.operators.evaluate import MisclassificationEvaluator
-from sensorlab.operators.pinv import cross_product, pseudo_inverse
+from sensorlab.operators.features import cross_product
+from sensorlab.operators.pinv import pseudo_inverse
 from sensorlab.schema import CHEST
 from sensorlab.session import scratch_path
 from sensorlab.streaming.online import OnlineElm
@@ -318,6 +319,7 @@ def test_stream_equals_batch_and_repeats_are_harmless(spark, rows):
     manual.update(parts[2], 4)
     manual.update(parts[2], 4)
     assert np.allclose(manual.model().beta, batch, rtol=1e-6)
+    assert np.array_equal(manual.model(regression=True).beta, manual.model().beta)
     # a new process has only the written state
     restarted = OnlineElm(spark, layer, manual.state_path)
     restarted.update(parts[2], 4)

@@ -163,8 +163,10 @@ def test_ragged_vectors_are_found(spark):
 
 def test_covariance_and_components(signal):
     x = np.array(signal.select(*CHEST).collect())
-    got = {(r["i"], r["j"]): r["cov"] for r in features.covariance(signal, CHEST).collect()}
+    cells = features.covariance(features.assemble(signal, CHEST)).collect()
+    got = {(r["i"], r["j"]): r["cov"] for r in cells}
     expected = np.cov(x.T)
+    assert len(got) == 9
     assert all(abs(expected[i, j] - v) < 1e-10 for (i, j), v in got.items())
     model = features.fit_pca(features.assemble(signal, CHEST), 2)
     values, vectors = np.linalg.eigh(expected)
