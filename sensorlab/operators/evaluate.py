@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark import keyword_only
 from pyspark.ml.evaluation import BinaryClassificationEvaluator, Evaluator
-from pyspark.ml.param.shared import HasLabelCol, HasPredictionCol
+from pyspark.ml.functions import vector_to_array
+from pyspark.ml.linalg import VectorUDT
+from pyspark.ml.param.shared import HasLabelCol, HasPredictionCol, HasRawPredictionCol
 from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sensorlab.functions.labels import above, squared_difference
@@ -84,6 +88,75 @@ def best_threshold(sweep: DataFrame) -> DataFrame:
     return sweep.orderBy("error", "step").limit(1)
 
 
+def _score_column(df: DataFrame, score: str) -> Column:
+    """A numeric score, or the second element of a raw prediction vector."""
+    if isinstance(df.schema[score].dataType, VectorUDT):
+        return vector_to_array(F.col(score))[1]
+    return F.col(score).cast("double")
+
+
+def _ranked_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Over distinct scores in order: positives, negatives, and pairs in which
+    the positive has the higher score, ties counting half."""
+    first, positives, negatives, pairs = None, 0, 0, 0.0
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        p = batch.column("positives").to_numpy()
+        n = batch.column("negatives").to_numpy()
+        below = negatives + np.cumsum(n) - n
+        pairs += float(p.astype(np.float64) @ (below + 0.5 * n))
+        first = batch.column("score")[0].as_py() if first is None else first
+        positives += int(p.sum())
+        negatives += int(n.sum())
+    if first is not None:
+        yield pa.RecordBatch.from_arrays(
+            [
+                pa.array([first]),
+                pa.array([positives], pa.int64()),
+                pa.array([negatives], pa.int64()),
+                pa.array([pairs]),
+            ],
+            names=["first", "positives", "negatives", "pairs"],
+        )
+
+
+def area_under_roc(df: DataFrame, score: str = "rawPrediction", label: str = "binaryLabel") -> float:
+    """Exact area under the ROC curve.
+
+    It is the share of (positive, negative) pairs that the score puts in order,
+    ties counting half.  Scores are first counted, so one score of very many rows
+    is one row; then ranged and sorted over the tasks, each of which returns its
+    totals in one row.  Pairs across tasks follow from the totals.
+    """
+    positive = F.col(label) > 0.5
+    counts = (
+        df.select(_score_column(df, score).alias("score"), positive.alias("positive"))
+        .groupBy("score")
+        .agg(
+            F.count_if("positive").alias("positives"),
+            F.count_if(~F.col("positive")).alias("negatives"),
+        )
+    )
+    parts = (
+        counts.repartitionByRange("score")
+        .sortWithinPartitions("score")
+        .mapInArrow(_ranked_pairs, "first double, positives long, negatives long, pairs double")
+        .collect()
+    )
+    if not parts:
+        raise ValueError("no rows to evaluate")
+    pairs, below, positives = 0.0, 0, 0
+    for part in sorted(parts, key=lambda r: r["first"]):
+        pairs += part["pairs"] + float(part["positives"]) * below
+        below += part["negatives"]
+        positives += part["positives"]
+    if not positives or not below:
+        # one class only: what a curve through (1, 1) gives
+        return 1.0 if positives else 0.0
+    return pairs / (float(positives) * below)
+
+
 def area_under(
     df: DataFrame,
     score: str = "rawPrediction",
@@ -96,11 +169,32 @@ def area_under(
     ``bins=0`` is exact.  With more, Spark merges neighbouring points of the
     curve, which is enough for very many distinct scores.
     """
+    if metric == "areaUnderROC" and bins == 0:
+        return area_under_roc(df, score, label)
     return BinaryClassificationEvaluator(
         rawPredictionCol=score, labelCol=label, metricName=metric, numBins=bins
     ).evaluate(df)
 
 
+class AreaUnderRocEvaluator(
+    Evaluator, HasRawPredictionCol, HasLabelCol, DefaultParamsReadable, DefaultParamsWritable
+):
+    """:func:`area_under_roc` for cross-validators; larger is better."""
+
+    @keyword_only
+    def __init__(self, *, rawPredictionCol="rawPrediction", labelCol="binaryLabel"):
+        super().__init__()
+        self._setDefault(rawPredictionCol="rawPrediction", labelCol="binaryLabel")
+        self._set(**self._input_kwargs)
+
+    def _evaluate(self, dataset: DataFrame) -> float:
+        return area_under_roc(
+            dataset,
+            self.getOrDefault(self.rawPredictionCol),
+            self.getOrDefault(self.labelCol),
+        )
+
+
 class MisclassificationEvaluator(
     Evaluator, HasPredictionCol, HasLabelCol, DefaultParamsReadable, DefaultParamsWritable
 ):

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark import inheritable_thread_target
 from pyspark.ml import Estimator, Pipeline
 from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.evaluation import BinaryClassificationEvaluator, Evaluator
+from pyspark.ml.evaluation import Evaluator
 from pyspark.ml.tuning import CrossValidator, CrossValidatorModel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -26,6 +26,7 @@ from sensorlab.operators.elm.solver import (
     gather,
     solve,
 )
+from sensorlab.operators.evaluate import area_under_roc
 from sensorlab.operators.features import as_array
 
 # Grids and fold counts of the classifier jobs.
@@ -226,12 +227,6 @@ def logistic_cross_validate(
         limit = point.get("maxIter", estimator.getMaxIter())
         if limit not in limits:
             limits.append(limit)
-    evaluator = BinaryClassificationEvaluator(
-        labelCol=estimator.getLabelCol(),
-        rawPredictionCol=estimator.getRawPredictionCol(),
-        numBins=0,
-    )
-
     def run(work):
         (strength, share), train, held = work
         metrics, metric = {}, None
@@ -243,7 +238,11 @@ def logistic_cross_validate(
                     {estimator.getParam(name): value for name, value in settings.items()}
                 ).fit(train)
                 reached = model.summary.totalIterations
-                metric = evaluator.evaluate(model.transform(held))
+                metric = area_under_roc(
+                    model.transform(held),
+                    estimator.getRawPredictionCol(),
+                    estimator.getLabelCol(),
+                )
             metrics[limit], previous = metric, limit
         return metrics
 

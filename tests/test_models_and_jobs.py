@@ -34,10 +34,35 @@ def test_area_under_roc(spark):
     assert np.isclose(area, brute_area(scores, labels))
     squeezed = df.withColumn("score", F.tanh(F.col("score") / 40) * 3)
     assert np.isclose(evaluate.area_under(squeezed, "score"), area)
+    assert np.isclose(evaluate.area_under(df.repartition(11), "score"), area)
+    spark_area = BinaryClassificationEvaluator(
+        rawPredictionCol="score", labelCol="binaryLabel", numBins=0
+    )
+    assert np.isclose(spark_area.evaluate(df), area)
+    for one_class in (0.0, 1.0):
+        part = df.where(F.col("binaryLabel") == one_class)
+        assert evaluate.area_under(part, "score") == spark_area.evaluate(part) == one_class
+    with pytest.raises(ValueError, match="no rows"):
+        evaluate.area_under(df.limit(0), "score")
     perfect = df.withColumn("score", F.col("binaryLabel"))
     assert evaluate.area_under(perfect, "score", metric="areaUnderPR") == 1.0
 
 
+def test_area_of_many_scores_and_one_hot_score(spark):
+    rng = np.random.default_rng(6)
+    scores = rng.normal(size=30_000)
+    scores[rng.random(30_000) < 0.34] = 0.25
+    labels = (rng.random(30_000) < 1 / (1 + np.exp(-scores))).astype(float)
+    df = spark.createDataFrame(
+        [(float(s), float(y)) for s, y in zip(scores, labels)], "score double, binaryLabel double"
+    ).repartition(6)
+    exact = BinaryClassificationEvaluator(
+        rawPredictionCol="score", labelCol="binaryLabel", numBins=0
+    ).evaluate(df)
+    assert np.isclose(evaluate.AreaUnderRocEvaluator(rawPredictionCol="score").evaluate(df), exact)
+    assert evaluate.AreaUnderRocEvaluator().isLargerBetter()
+
+
 def test_error_metrics(spark):
     df = spark.createDataFrame(
         [(1.0, 1.0), (0.0, 1.0), (1.0, 0.0), (0.0, 0.0)], "prediction double, binaryLabel double"
