@@ -95,7 +95,7 @@ def main() -> None:
         state.model()
 
     def ten_subjects():
-        """As the reference figure: the table of ten subjects' files, built but not run."""
+        """As the published figure: the table of ten subjects' files, built but not run."""
         prepare.labelled(read_readings(spark, subject_files))
 
     def count_ten_subjects():
