@@ -199,7 +199,10 @@ def run_elm(
         _evaluate(report, "test", model, test)
         grid = best_model = None
         if params.tune:
-            held = scope.enter_context(kept(_folds(test, params, params.folds)))
+            held = _folds(test, params, params.folds)
+            if not params.key:
+                # a random split sorts its input, so it is worth keeping
+                held = scope.enter_context(kept(held))
             points = tune.elm_grid_points(params.activationFunc, params.hiddenNodes)
             rows = report.timed(
                 "tune",
@@ -226,14 +229,14 @@ def _tune_logistic(
     report: _Report, estimator, data: DataFrame, params: LogisticJobParams, prefix=()
 ) -> tuple[DataFrame, Model]:
     """Grid table, and the best point fitted on all the data it was tuned on."""
-    with kept(_folds(data, params, params.folds)) as held:
-        rows = report.timed(
-            "tune",
-            "cross-validation seconds",
-            lambda: tune.logistic_cross_validate(
-                held, estimator, params.folds, params.grid, prefix=prefix
-            ).collect(),
-        )
+    held = _folds(data, params, params.folds)
+    rows = report.timed(
+        "tune",
+        "cross-validation seconds",
+        lambda: tune.logistic_cross_validate(
+            held, estimator, params.folds, params.grid, prefix=prefix
+        ).collect(),
+    )
     best = min(rows, key=lambda r: r["rank"])
     settings = {
         "regParam": best["reg_param"],

@@ -325,25 +325,43 @@ def elm_regression(spark, sf_dir):
     return _moments(scored, model.layer, F.col("prediction"), F.col("y"))
 
 
+def _train_online(spark, folder, schema, layer, target):
+    """A network trained by a stream of a folder's files, in several micro-batches."""
+    online = OnlineElm(spark, layer, scratch_path(spark, "online-state"), target=target)
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 4).parquet(folder)
+    online.start(stream, scratch_path(spark, "online-checkpoint")).awaitTermination()
+    return online
+
+
 @query("elm_online_equals_batch", _fit_sql("tanh"))
 def elm_online(spark, sf_dir):
-    """Trained by a stream of the subjects' files, in several micro-batches."""
+    """Trained by a stream of the subjects' files."""
     folder = written_once(
         spark,
         sf_dir,
         "stream",
         lambda path: _rows(spark, sf_dir, "subject").write.partitionBy("subject").parquet(path),
     )
-    online = OnlineElm(spark, _layer(), scratch_path(spark, "online-state"))
-    stream = (
-        spark.readStream.schema("features array<double>, binaryLabel double, subject bigint")
-        .option("maxFilesPerTrigger", 4)
-        .parquet(folder)
-    )
-    online.start(stream, scratch_path(spark, "online-checkpoint")).awaitTermination()
+    schema = "features array<double>, binaryLabel double, subject bigint"
+    online = _train_online(spark, folder, schema, _layer(), "binaryLabel")
     return _fitted_means(online.model(), _rows(spark, sf_dir, "subject"))
 
 
+@query("elm_online_regression", _moment_sql(_SCALED, "scaled", ["x"], 40, "hardlim", "y"))
+def elm_online_regression(spark, sf_dir):
+    rows = _regression_rows(spark, sf_dir)
+    folder = written_once(
+        spark,
+        sf_dir,
+        "stream-roots",
+        lambda path: rows.repartitionByRange(6, "y").write.parquet(path),
+    )
+    layer = _layer("hardlim", 40, 1)
+    online = _train_online(spark, folder, "features array<double>, y double", layer, "y")
+    scored = online.model(regression=True).transform(rows)
+    return _moments(scored, layer, F.col("prediction"), F.col("y"))
+
+
 @query("elm_save_load", _fit_sql("tanh"))
 def elm_save_load(spark, sf_dir):
     rows = _rows(spark, sf_dir, "subject")
