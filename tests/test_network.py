@@ -326,6 +326,27 @@ def test_stream_equals_batch_and_repeats_are_harmless(spark, rows):
     assert np.allclose(restarted.model().beta, batch, rtol=1e-6)
 
 
+def test_models_score_streams(spark, rows):
+    folder = scratch_path(spark, "live")
+    rows.write.parquet(folder)
+    model = ElmClassifier(hiddenNodes=10, decisionThreshold=0.5).fit(rows)
+    stream = spark.readStream.schema(rows.schema).parquet(folder)
+    out = scratch_path(spark, "scored")
+    (
+        model.transform(stream)
+        .select("key", "prediction")
+        .writeStream.format("parquet")
+        .option("path", out)
+        .option("checkpointLocation", scratch_path(spark, "scored-checkpoint"))
+        .trigger(availableNow=True)
+        .start()
+        .awaitTermination()
+    )
+    batch = model.transform(rows).select("key", "prediction")
+    live = spark.read.parquet(out)
+    assert live.count() == rows.count() and live.exceptAll(batch).count() == 0
+
+
 def test_grid_equals_spark_cross_validation(rows):
     folded = prepare.with_fold(rows, "key", 3).persist()
     points = tune.elm_grid_points("tanh", 15)
