@@ -85,6 +85,10 @@ def test_threshold_sweep(spark):
     got = {r["step"]: r["error"] for r in sweep.collect()}
     expected = {i: float(np.mean((s > 0.05 * i) != y)) for i in range(1, 21)}
     assert got == pytest.approx(expected)
+    odd = evaluate.threshold_sweep(df, "s", "y", [0.7, 0.2, 0.7]).collect()
+    assert [r["error"] for r in odd] == pytest.approx(
+        [float(np.mean((s > t) != y)) for t in (0.7, 0.2, 0.7)]
+    )
     best = evaluate.best_threshold(sweep).first()
     assert best["step"] == min(expected, key=lambda i: (round(expected[i], 12), i))
     plan = sweep._jdf.queryExecution().executedPlan().toString()
