@@ -18,10 +18,14 @@ from sensorlab.schema import CHANNELS, LABEL, exploration_names
 from sensorlab.session import scratch_path
 
 
-def to_number(text: Column, permissive: bool = False) -> Column:
-    """Text to double, blanks around it allowed.  A bad number fails the job, or
-    gives null if permissive."""
-    return text.try_cast("double") if permissive else text.cast("double")
+def to_number(text: Column, permissive: bool = False, name: str = "a cell") -> Column:
+    """Text to double, blanks around it allowed.  What is no number gives null if
+    permissive, else fails the job, whatever the session's ANSI setting."""
+    number = text.try_cast("double")
+    if permissive:
+        return number
+    problem = F.raise_error(F.lit(f"missing or not a number: {name}"))
+    return F.coalesce(number, problem.cast("double"))
 
 
 def parse_fields(
@@ -33,13 +37,11 @@ def parse_fields(
 ) -> DataFrame:
     """Replace a text column by one double column per name.
 
-    Surplus fields are ignored.  A line with too few fields fails the job, or
-    gives nulls if permissive.
+    Surplus fields are ignored; a missing one counts as no number.
     """
     fields = F.split(F.col(line), separator)
-    pick = F.get if permissive else (lambda array, i: F.element_at(array, i + 1))
     parsed = [
-        to_number(pick(fields, F.lit(i) if permissive else i), permissive).alias(name)
+        to_number(F.get(fields, F.lit(i)), permissive, name).alias(name)
         for i, name in enumerate(names)
     ]
     return lines.select(*[c for c in lines.columns if c != line], *parsed)

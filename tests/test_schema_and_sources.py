@@ -82,8 +82,12 @@ def test_missing_path(spark, recording):
 def test_bad_lines_fail_or_become_null(spark, tmp_path, name, line):
     path = tmp_path / f"{name}.txt"
     path.write_text("\n".join([*reading_lines(3, 1), line]) + "\n")
-    with pytest.raises(PySparkException):
-        text.read_readings(spark, str(path)).collect()
+    for ansi in ("false", "true"):
+        spark.conf.set("spark.sql.ansi.enabled", ansi)
+        with pytest.raises(PySparkException, match="not a number"):
+            text.read_readings(spark, str(path)).collect()
+    unused = "acc_Chest_X" if name == "short" else "ecg_1"
+    assert text.read_readings(spark, str(path)).select(unused).count() == 4
     rows = text.read_readings(spark, str(path), permissive=True).collect()
     assert len(rows) == 4
     assert (rows[3]["acc_Chest_X"] is None) == (name == "letters")
