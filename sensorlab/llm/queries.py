@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sensorlab.llm import lines
+from sensorlab.llm import lines, secret_scan
 from sensorlab.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -24,3 +24,10 @@ def op3_line_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Base counts and the verdict of the line rules on every document."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return lines.clean_lines(docs).drop("text", "cleaned")
+
+
+@query
+def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets of every document: counts, digest of the base spans, and all spans."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return secret_scan.scan_secrets(docs).drop("text")
