@@ -28,20 +28,22 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def written(df: DataFrame, tag: str, *, by: list[str] | None = None) -> DataFrame:
-    """Write a table to the shared scratch folder and read it back.
-
-    Lineage ends there, so a lost executor costs its tasks only. The folder is
-    removed when the application ends.
-    """
-    spark = df.sparkSession
+def scratch(spark: SparkSession, tag: str) -> str:
+    """A new path in the shared scratch folder, removed when the application ends."""
     path = scratch_path(spark, tag)
-    writer = df.write.option("compression", "zstd")
-    (writer.partitionBy(*by) if by else writer).parquet(path)
-    jvm = spark.sparkContext._jvm
-    place = jvm.org.apache.hadoop.fs.Path(path)
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(place)
-    return spark.read.schema(df.schema).parquet(path)
+    return path
+
+
+def written(df: DataFrame, tag: str) -> DataFrame:
+    """Write a table to the scratch folder and read it back.
+
+    Lineage ends there, so a lost executor costs its tasks only.
+    """
+    path = scratch(df.sparkSession, tag)
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def map_arrow(

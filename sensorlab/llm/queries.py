@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sensorlab.llm import lines, secret_scan
-from sensorlab.llm.common import table
+from sensorlab.llm import lines, secret_scan, token_files
+from sensorlab.llm.common import scratch, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -26,6 +26,15 @@ def op3_line_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.clean_lines(docs).drop("text", "cleaned")
 
 
+@query
+def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of every document, written to files of directly addressable codes and read back."""
+    path = scratch(spark, "token-files")
+    docs = table(spark, sf_dir, "documents")
+    token_files.write_tokens(docs, path, "byte_bpe_50k.json", end=0)
+    return token_files.read_documents(spark, path)
+
+
 @query
 def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Secrets of every document: counts, digest of the base spans, and all spans."""
