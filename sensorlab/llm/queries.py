@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sensorlab.llm import lines, secret_scan, token_files
+from sensorlab.llm import lines, packing, secret_scan, token_files
 from sensorlab.llm.common import scratch, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -19,6 +19,13 @@ def query(function: Callable[[SparkSession, str], DataFrame]):
     return function
 
 
+@query
+def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in sequences of at most 4096 ids."""
+    docs = table(spark, sf_dir, "documents")
+    return packing.pack(docs, "word_bpe_49k.json", end=1, capacity=4096).drop("row_id")
+
+
 @query
 def op3_line_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Base counts and the verdict of the line rules on every document."""
