@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sensorlab.llm import lines, packing, secret_scan, token_files
+from sensorlab.llm import lines, minhash, packing, secret_scan, token_files
 from sensorlab.llm.common import scratch, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -33,6 +33,12 @@ def op3_line_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.clean_lines(docs).drop("text", "cleaned")
 
 
+@query
+def op7_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate components of all documents at a similarity of 0.85."""
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 @query
 def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids of every document, written to files of directly addressable codes and read back."""
