@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sensorlab.llm import lines, minhash, mixing, packing, secret_scan, token_files
+from sensorlab.llm import lines, minhash, mixing, neighbours, packing, secret_scan, token_files
 from sensorlab.llm.common import scratch, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -39,6 +39,12 @@ def op3_line_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.clean_lines(docs).drop("text", "cleaned")
 
 
+@query
+def op6_multiprobe_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest found of every vector whose id is divisible by 20."""
+    return neighbours.nearest(table(spark, sf_dir, "embeddings"))
+
+
 @query
 def op7_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate components of all documents at a similarity of 0.85."""
