@@ -109,16 +109,20 @@ _GAP = np.zeros(256, dtype=bool)
 _GAP[[ord(c) for c in SPACE]] = True
 
 
-def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+def word_hashes(texts: list[bytes], head: int | None = None) -> tuple[np.ndarray, np.ndarray]:
     """A 64-bit hash of every word, A-Z lower-cased, and the number of words of every text.
 
-    The hash of a word is a polynomial in its bytes, taken from running sums.
+    The hash of a word is a polynomial in its bytes, taken from running sums. With
+    ``head`` the first so many bytes are hashed, of words that are longer.
     """
     joined = np.frombuffer(b" ".join([*texts, b""]), dtype=np.uint8)
     ends = np.cumsum(np.fromiter((len(t) + 1 for t in texts), np.int64, len(texts)))
     gap = _GAP[joined]
     edge = np.flatnonzero(np.diff(np.concatenate(([True], gap, [True])).astype(np.int8)))
     starts, stops = edge[0::2], edge[1::2]
+    if head is not None:
+        longer = stops - starts > head
+        starts, stops = starts[longer], starts[longer] + head
     up = _powers(_BASE, len(joined) + 1)
     down = _powers(_INVERSE, len(joined) + 1)
     sums = np.zeros(len(joined) + 1, dtype=U)

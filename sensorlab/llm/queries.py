@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sensorlab.llm import lines, minhash, mixing, neighbours, packing, rule_ensemble, secret_scan, token_files
+from sensorlab.llm import lines, minhash, mixing, neighbours, packing, rule_ensemble, secret_scan, token_files, toxicity
 from sensorlab.llm.common import scratch, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -46,6 +46,13 @@ def op4_rule_ensemble(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rule_ensemble.classify(docs, labels)
 
 
+@query
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity score of every document."""
+    docs, labels = (table(spark, sf_dir, name) for name in ("documents", "labels"))
+    return toxicity.classify(docs, labels)
+
+
 @query
 def op6_multiprobe_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 20 nearest found of every vector whose id is divisible by 20."""

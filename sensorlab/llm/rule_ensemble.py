@@ -19,6 +19,7 @@ that clash with a statistic are replaced; an empty table gives an empty table.
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
@@ -199,16 +200,23 @@ def remainder(doc_id: Column, divisor: int) -> Column:
     return F.crc32(doc_id.cast("string")) % divisor
 
 
-def learned_from(scored: DataFrame, labels: DataFrame, target: str, most: int) -> DataFrame:
+def learned_from(
+    scored: DataFrame, labels: DataFrame, target: str, most: int, held_out: Callable[[Column], Column]
+) -> DataFrame:
     """Rows that are not held out with their label; at most about ``most``, by hash."""
     own = labels.select(
         F.col("doc_id").cast("bigint").alias("doc_id"), F.col(target).cast("int").alias("label")
     ).where("doc_id IS NOT NULL AND label IN (0, 1)")
-    joined = written(scored.where("NOT held_out").join(own, "doc_id").drop("held_out"), "labelled")
-    rows = joined.count()
-    if rows <= most:
-        return joined
-    return joined.where(F.pmod(F.xxhash64("doc_id", F.lit(SEED)), F.lit(rows)) < most)
+    usable = own.where(~held_out(F.col("doc_id")))
+    rows = max(1, usable.count())
+    if rows > most:
+        usable = usable.where(F.pmod(F.xxhash64("doc_id", F.lit(SEED)), F.lit(rows)) < most)
+    return written(scored.where("NOT held_out").drop("held_out").join(usable, "doc_id"), "labelled")
+
+
+def held_out(doc_id: Column) -> Column:
+    """Documents whose labels are not learned from; false for a null id."""
+    return F.coalesce(remainder(doc_id, 3) == 1, F.lit(False))
 
 
 def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -216,11 +224,11 @@ def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
     doc_id = F.col("doc_id").cast("bigint")
     texts = docs.select(
         doc_id.alias("doc_id"),
-        F.coalesce(remainder(doc_id, 3) == 1, F.lit(False)).alias("held_out"),
+        held_out(doc_id).alias("held_out"),
         "text",
     )
     stats = written(with_statistics(texts), "statistics")
-    model = fit(learned_from(stats, labels, "quality", SAMPLE_ROWS))
+    model = fit(learned_from(stats, labels, "quality", SAMPLE_ROWS, held_out))
     score = F.col("score")
     return stats.select("doc_id", "held_out", model.score().alias("score")).withColumn(
         "predicted", (score >= 0.5).cast("int")
