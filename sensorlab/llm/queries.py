@@ -7,7 +7,18 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sensorlab.llm import lines, minhash, mixing, neighbours, packing, rule_ensemble, secret_scan, token_files, toxicity
+from sensorlab.llm import (
+    extraction,
+    lines,
+    minhash,
+    mixing,
+    neighbours,
+    packing,
+    rule_ensemble,
+    secret_scan,
+    token_files,
+    toxicity,
+)
 from sensorlab.llm.common import scratch, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -65,6 +76,12 @@ def op7_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+@query
+def op8_page_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page."""
+    return extraction.extract_text(table(spark, sf_dir, "pages"))
+
+
 @query
 def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids of every document, written to files of directly addressable codes and read back."""
