@@ -10,9 +10,8 @@ where no pretoken crosses, and encoded whole if even that is not certain.
 from __future__ import annotations
 
 import re
-from collections import ChainMap
 from functools import lru_cache
-from itertools import chain
+from itertools import accumulate, chain
 
 import numpy as np
 
@@ -22,7 +21,7 @@ REMEMBERED = 700_000
 # Latin-1 letters and numbers, and the vocabularies' pretoken patterns over them.
 _L = "A-Za-zªµºÀ-ÖØ-öø-ÿ"
 _N = "0-9²³¹¼½¾"
-_SHORT = "'s|'t|'re|'ve|'m|'ll|'d"
+_SHORT = "'(?:s|t|re|ve|m|ll|d)"
 _BYTE_PRETOKEN = re.compile(rf"{_SHORT}| ?[{_L}]+| ?[{_N}]+| ?[^\s{_L}{_N}]+|\s+(?!\S)|\s+")
 _WORD_PRETOKEN = re.compile(rf"{_SHORT}|[{_L}]+|[{_N}]|[^\s{_L}{_N}]+")
 _BYTE_LETTERS = re.compile(f" [{_L}]+").fullmatch
@@ -111,15 +110,17 @@ class Encoder:
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of every text as little-endian unsigned 32-bit integers."""
         units = list(map(self.split, texts))
-        known = self.known
-        new = sorted(set(chain.from_iterable(units)).difference(known))
-        if new:
-            fresh = self._encode_units(new)
-            if len(known) < REMEMBERED:
-                known.update(fresh)
-            else:  # for these texts only
-                known = ChainMap(fresh, known)
-        return [b"".join(map(known.__getitem__, u)) for u in units]
+        flat = list(chain.from_iterable(units))
+        ids = list(map(self.known.get, flat))
+        holes = [i for i, x in enumerate(ids) if x is None]
+        if holes:
+            fresh = self._encode_units(sorted({flat[i] for i in holes}))
+            for i in holes:
+                ids[i] = fresh[flat[i]]
+            if len(self.known) < REMEMBERED:
+                self.known.update(fresh)
+        ends = list(accumulate(map(len, units)))
+        return [b"".join(ids[a:b]) for a, b in zip([0, *ends], ends)]
 
 
 @lru_cache(maxsize=4)
