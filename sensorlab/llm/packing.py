@@ -1,12 +1,14 @@
 """Best-fit packing of documents into sequences by sums of squares.
 
 A document's ids and its end id are cut into pieces of the sequence length only
-where they are longer. A piece goes where the sum, over all residual gaps, of
-the squared number of open sequences with that gap becomes smallest; a new
-sequence is one of the choices. Pieces are placed longest first within groups of
-about ``GROUP`` pieces, dealt by hash, so no task holds more than a group, and
-each group leaves only its last few sequences open: on 20,000 pieces of
-generated prose it used 0.1 % more sequences than their ids would fill.
+where they are longer. Of the open sequences a piece fits in it goes to the one
+that makes the sum, over all residual gaps, of the squared number of open
+sequences with that gap smallest; it opens a sequence where it fits in none.
+Pieces are placed longest first within groups of about ``GROUP`` pieces, dealt
+by hash, so no task holds more than a group, and each group leaves only its last
+few sequences open. On 20,000 pieces of the test documents it used as many
+sequences as their ids would fill, on uniform lengths 0.4 % more; with a new
+sequence as one more choice for every piece it was 0.1 % and 5 % more.
 
 Null and empty texts are one piece of the end id. Repeated rows are packed as
 often as they stand. An empty table gives an empty table. Further columns are
@@ -48,18 +50,17 @@ def sum_of_squares(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.n
         change = 2 * (gaps[: capacity + 1 - size] - old) + 2
         change[0] = 1 - 2 * old[0]
         change[old == 0] = never
-        change[capacity - size] = 2 * gaps[capacity - size] + 1 if size < capacity else 0
         rest = int(change.argmin())
-        gap = rest + size
-        if gap == capacity:
+        if change[rest] == never:
+            rest = capacity - size
             number, opened = opened, opened + 1
         else:
-            number = where[gap].pop()
-            gaps[gap] -= 1
+            number = where[rest + size].pop()
+            gaps[rest + size] -= 1
         if rest:
             gaps[rest] += 1
             where[rest].append(number)
-        numbers[i], offsets[i] = number, capacity - gap
+        numbers[i], offsets[i] = number, capacity - rest - size
     return numbers, offsets
 
 
