@@ -180,3 +180,21 @@ def clean_lines(df: DataFrame, text: str = "text", max_loss: int = MAX_LOSS) ->
         return pa.RecordBatch.from_arrays([*batch.columns, *new], names=[*rest, *names])
 
     return map_arrow(df.select(*rest), run, f"{types}, {SCHEMA}")
+
+
+def keep_clean(df: DataFrame, text: str = "text", max_loss: int = MAX_LOSS) -> DataFrame:
+    """Documents that the rules keep, without their failed lines; all other columns as they are."""
+    at = df.columns.index(text)
+    types = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        texts = [x or "" for x in batch.column(at).to_pylist()]
+        rows: list[tuple] = []
+        for a, b in slices([x.encode() for x in texts]):
+            rows += clean_texts(texts[a:b], max_loss)
+        columns = list(batch.columns)
+        columns[at] = pa.array([row[-1] for row in rows], pa.string())
+        whole = pa.RecordBatch.from_arrays(columns, names=batch.schema.names)
+        return whole.filter(pa.array([row[-2] for row in rows], pa.bool_()))
+
+    return map_arrow(df, run, types)

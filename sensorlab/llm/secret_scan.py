@@ -171,15 +171,15 @@ def redact(text: str, spans: list[tuple[int, int, str]], mark: str) -> str:
     return "".join([*out, text[done:]])
 
 
-def scan_secrets(df: DataFrame, text: str = "text", mark: str | None = None) -> DataFrame:
-    """Add the columns of ``SCHEMA``; with a mark, replace secrets in the text by it."""
+def scan_secrets(df: DataFrame, text: str = "text") -> DataFrame:
+    """Add the columns of ``SCHEMA``."""
     names = [part.split()[0] for part in SCHEMA.split(", ")]
     rest = [c for c in df.columns if c not in names]
     types = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.select(*rest).schema)
     at = rest.index(text)
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        rows, texts = [], []
+        rows = []
         for value in batch.column(at).to_pylist():
             spans = find_spans((value or "").encode())
             base = [s for s in spans if s[2] in BASE]
@@ -190,13 +190,25 @@ def scan_secrets(df: DataFrame, text: str = "text", mark: str | None = None) ->
                     digest(spans),
                 )
             )
-            if mark is not None:
-                texts.append(redact(value, spans, mark) if spans else value)
-        columns = list(batch.columns)
-        if mark is not None:
-            columns[at] = pa.array(texts, pa.string())
         kinds = [pa.int64()] * 3 + [pa.string()] * 2
         new = [pa.array(x, kind) for x, kind in zip(zip(*rows), kinds)]
-        return pa.RecordBatch.from_arrays([*columns, *new], names=[*rest, *names])
+        return pa.RecordBatch.from_arrays([*batch.columns, *new], names=[*rest, *names])
 
     return map_arrow(df.select(*rest), run, f"{types}, {SCHEMA}")
+
+
+def redact_secrets(df: DataFrame, mark: str, text: str = "text") -> DataFrame:
+    """Replace every secret in the text by a mark; all other columns as they are."""
+    types = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)
+    at = df.columns.index(text)
+
+    def clean(value: str | None) -> str | None:
+        spans = find_spans(value.encode()) if value else []
+        return redact(value, spans, mark) if spans else value
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        columns = list(batch.columns)
+        columns[at] = pa.array(map(clean, columns[at].to_pylist()), pa.string())
+        return pa.RecordBatch.from_arrays(columns, names=batch.schema.names)
+
+    return map_arrow(df, run, types)
