@@ -28,8 +28,7 @@ def _recounted(docs: DataFrame) -> DataFrame:
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Failed lines go, and documents that the rules reject."""
-    judged = lines.clean_lines(docs).where("kept").withColumn("text", F.col("cleaned"))
-    return _recounted(judged.select(*docs.columns))
+    return _recounted(lines.keep_clean(docs))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -39,13 +38,12 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def secret_scans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Secrets are replaced by a mark."""
-    scanned = secret_scan.scan_secrets(docs, mark=SECRET_MARK)
-    return _recounted(scanned.select(*docs.columns))
+    return _recounted(secret_scan.redact_secrets(docs, SECRET_MARK))
 
 
 def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document with the words that the mix takes of it."""
-    return mixing.mix_documents(docs).select(*docs.columns)
+    return _recounted(mixing.mix_documents(docs))
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
