@@ -1,4 +1,8 @@
-"""Metrics of predictions and scores, each from one aggregate where it can be."""
+"""Metrics of predictions and scores, each from one aggregate where it can be.
+
+One rule for all: a null score, prediction or label fails the job, as an empty
+table does. Rows are never left out of a metric.
+"""
 
 from __future__ import annotations
 
@@ -22,11 +26,18 @@ SWEEP_STEP = 0.05
 SWEEP_COUNT = 20
 
 
+def present(column: str | Column, what: str) -> Column:
+    """The column as a double; a null fails the job."""
+    value = (F.col(column) if isinstance(column, str) else column).cast("double")
+    problem = F.raise_error(F.lit(f"null {what} among the rows"))
+    return F.coalesce(value, problem.cast("double"))
+
+
 def error_metrics(
     df: DataFrame, prediction: str = "prediction", label: str = "binaryLabel"
 ) -> DataFrame:
     """Total squared difference, row count and their ratio; an empty table fails."""
-    gap = squared_difference(prediction, label)
+    gap = present(squared_difference(prediction, label), "prediction or label")
     return df.agg(F.sum(gap).alias("total"), F.count("*").alias("rows")).select(
         F.when(F.col("rows") == 0, F.raise_error(F.lit("no rows to evaluate")).cast("double"))
         .otherwise(F.col("total"))
@@ -40,7 +51,8 @@ def error_breakdown(
     df: DataFrame, prediction: str = "prediction", label: str = "binaryLabel"
 ) -> DataFrame:
     """Rows and summed difference per distinct squared difference."""
-    rows = df.select(squared_difference(prediction, label).alias("squared_diff"))
+    gap = present(squared_difference(prediction, label), "prediction or label")
+    rows = df.select(gap.alias("squared_diff"))
     return rows.groupBy("squared_diff").agg(
         F.sum("squared_diff").alias("total"), F.count("*").alias("rows")
     )
@@ -49,7 +61,12 @@ def error_breakdown(
 def confusion_counts(
     df: DataFrame, prediction: str = "prediction", label: str = "binaryLabel"
 ) -> DataFrame:
-    return df.groupBy(label, prediction).agg(F.count("*").alias("count"))
+    kinds = {f.name: f.dataType for f in df.schema.fields}
+    rows = df.select(
+        present(label, "label").cast(kinds[label]).alias(label),
+        present(prediction, "prediction").cast(kinds[prediction]).alias(prediction),
+    )
+    return rows.groupBy(label, prediction).agg(F.count("*").alias("count"))
 
 
 def sweep_thresholds() -> list[float]:
@@ -66,10 +83,11 @@ def threshold_sweep(
     """
     thresholds = sweep_thresholds() if thresholds is None else list(thresholds)
     wrong = [
-        F.sum((above(score, cut) != F.col(label)).cast("bigint")).alias(f"wrong_{i}")
+        F.sum((above("score", cut) != F.col("label")).cast("bigint")).alias(f"wrong_{i}")
         for i, cut in enumerate(thresholds)
     ]
-    counted = df.agg(F.count("*").alias("rows"), *wrong)
+    rows = df.select(present(score, "score").alias("score"), present(label, "label").alias("label"))
+    counted = rows.agg(F.count("*").alias("rows"), *wrong)
     rows = F.array(
         *[
             F.struct(
@@ -89,33 +107,76 @@ def best_threshold(sweep: DataFrame) -> DataFrame:
 
 
 def _score_column(df: DataFrame, score: str) -> Column:
-    """A numeric score, or the second element of a raw prediction vector."""
+    """A numeric score, or the second element of a raw prediction vector; never null."""
     if isinstance(df.schema[score].dataType, VectorUDT):
-        return vector_to_array(F.col(score))[1]
-    return F.col(score).cast("double")
+        return present(vector_to_array(F.col(score))[1], "score")
+    return present(score, "score")
 
 
-def _ranked_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Over distinct scores in order: positives, negatives, and pairs in which
-    the positive has the higher score, ties counting half."""
-    first, positives, negatives, pairs = None, 0, 0, 0.0
+def _combined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Positives and negatives of every distinct score of a batch."""
     for batch in batches:
         if not batch.num_rows:
             continue
-        p = batch.column("positives").to_numpy()
-        n = batch.column("negatives").to_numpy()
-        below = negatives + np.cumsum(n) - n
-        pairs += float(p.astype(np.float64) @ (below + 0.5 * n))
-        first = batch.column("score")[0].as_py() if first is None else first
-        positives += int(p.sum())
-        negatives += int(n.sum())
-    if first is not None:
+        # adding zero makes one score of both zeros
+        scores, place = np.unique(batch.column(0).to_numpy() + 0.0, return_inverse=True)
+        positive = batch.column(1).to_numpy(zero_copy_only=False).astype(np.int64)
+        positives = np.bincount(place, positive, len(scores)).astype(np.int64)
+        counts = np.bincount(place, minlength=len(scores))
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(scores), pa.array(positives), pa.array(counts - positives)],
+            names=["score", "positives", "negatives"],
+        )
+
+
+class _Ranking:
+    """Positives, negatives, and pairs in which the positive has the higher score,
+    ties counting half, over rows in the order of their scores."""
+
+    def __init__(self):
+        self.first: float | None = None
+        self.positives = self.negatives = 0
+        self.pairs = 0.0
+        # rows of the greatest score so far, which further rows may share
+        self.last, self.last_positives, self.last_negatives = 0.0, 0, 0
+
+    def add(self, scores: np.ndarray, positives: np.ndarray, negatives: np.ndarray) -> None:
+        if self.first is None:
+            self.first = float(scores[0])
+        else:
+            scores = np.r_[self.last, scores]
+            positives = np.r_[self.last_positives, positives]
+            negatives = np.r_[self.last_negatives, negatives]
+        scores, place = np.unique(scores, return_inverse=True)
+        p = np.bincount(place, positives, len(scores))
+        n = np.bincount(place, negatives, len(scores))
+        self._count(p[:-1], n[:-1])
+        self.last, self.last_positives, self.last_negatives = scores[-1], int(p[-1]), int(n[-1])
+
+    def _count(self, p: np.ndarray, n: np.ndarray) -> None:
+        below = self.negatives + np.cumsum(n) - n
+        self.pairs += float(p @ (below + 0.5 * n))
+        self.positives += int(p.sum())
+        self.negatives += int(n.sum())
+
+    def settle(self) -> None:
+        self._count(np.array([self.last_positives * 1.0]), np.array([self.last_negatives * 1.0]))
+
+
+def _ranked_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One row for a range of scores: its first score and its ranking."""
+    ranking = _Ranking()
+    for batch in batches:
+        if batch.num_rows:
+            ranking.add(*(batch.column(i).to_numpy() for i in range(3)))
+    if ranking.first is not None:
+        ranking.settle()
         yield pa.RecordBatch.from_arrays(
             [
-                pa.array([first]),
-                pa.array([positives], pa.int64()),
-                pa.array([negatives], pa.int64()),
-                pa.array([pairs]),
+                pa.array([ranking.first]),
+                pa.array([ranking.positives], pa.int64()),
+                pa.array([ranking.negatives], pa.int64()),
+                pa.array([ranking.pairs]),
             ],
             names=["first", "positives", "negatives", "pairs"],
         )
@@ -125,21 +186,16 @@ def area_under_roc(df: DataFrame, score: str = "rawPrediction", label: str = "bi
     """Exact area under the ROC curve.
 
     It is the share of (positive, negative) pairs that the score puts in order,
-    ties counting half.  Scores are first counted, so one score of very many rows
-    is one row; then ranged and sorted over the tasks, each of which returns its
-    totals in one row.  Pairs across tasks follow from the totals.
+    ties counting half.  Tasks first count equal scores batch by batch, so one
+    score of very many rows is few; then rows are ranged and sorted, once, and
+    each task returns its totals in one row.  Equal scores share a range; pairs
+    across ranges follow from the totals.
     """
-    positive = F.col(label) > 0.5
-    counts = (
-        df.select(_score_column(df, score).alias("score"), positive.alias("positive"))
-        .groupBy("score")
-        .agg(
-            F.count_if("positive").alias("positives"),
-            F.count_if(~F.col("positive")).alias("negatives"),
-        )
-    )
+    positive = present(label, "label") > 0.5
     parts = (
-        counts.repartitionByRange("score")
+        df.select(_score_column(df, score).alias("score"), positive.alias("positive"))
+        .mapInArrow(_combined, "score double, positives long, negatives long")
+        .repartitionByRange("score")
         .sortWithinPartitions("score")
         .mapInArrow(_ranked_pairs, "first double, positives long, negatives long, pairs double")
         .collect()
@@ -147,7 +203,8 @@ def area_under_roc(df: DataFrame, score: str = "rawPrediction", label: str = "bi
     if not parts:
         raise ValueError("no rows to evaluate")
     pairs, below, positives = 0.0, 0, 0
-    for part in sorted(parts, key=lambda r: r["first"]):
+    # a range of nothing but NaN is the last, as in Spark's order
+    for part in sorted(parts, key=lambda r: (r["first"] != r["first"], r["first"])):
         pairs += part["pairs"] + float(part["positives"]) * below
         below += part["negatives"]
         positives += part["positives"]
@@ -171,9 +228,10 @@ def area_under(
     """
     if metric == "areaUnderROC" and bins == 0:
         return area_under_roc(df, score, label)
+    rows = df.select(_score_column(df, score).alias("score"), present(label, "label").alias("label"))
     return BinaryClassificationEvaluator(
-        rawPredictionCol=score, labelCol=label, metricName=metric, numBins=bins
-    ).evaluate(df)
+        rawPredictionCol="score", labelCol="label", metricName=metric, numBins=bins
+    ).evaluate(rows)
 
 
 class AreaUnderRocEvaluator(

@@ -203,3 +203,47 @@ def test_jobs_prune_columns(spark, signal):
     assert set(GLM_FEATURES) <= set(CHANNELS)
 
 
+
+
+def _with_null(spark, column):
+    rows = [(i / 400, float(i % 2), float(i % 3 > 0)) for i in range(400)]
+    odd = [None if c == column else 0.5 for c in ("score", "binaryLabel", "prediction")]
+    schema = "score double, binaryLabel double, prediction double"
+    return spark.createDataFrame([*rows, tuple(odd)], schema).repartition(5)
+
+
+@pytest.mark.parametrize("column", ["score", "binaryLabel", "prediction"])
+def test_metrics_fail_on_a_null(spark, column):
+    df = _with_null(spark, column)
+    works = {
+        "score": [
+            lambda: evaluate.area_under(df, "score"),
+            lambda: evaluate.area_under(df, "score", metric="areaUnderPR"),
+            lambda: evaluate.threshold_sweep(df, "score", "binaryLabel").collect(),
+        ],
+        "prediction": [
+            lambda: evaluate.error_metrics(df).collect(),
+            lambda: evaluate.error_breakdown(df).collect(),
+            lambda: evaluate.confusion_counts(df).collect(),
+        ],
+    }
+    works["binaryLabel"] = works["score"] + works["prediction"]
+    for work in works[column]:
+        with pytest.raises(Exception, match="null"):
+            work()
+
+
+def test_area_takes_one_range_exchange(spark):
+    """Scores that are nearly all distinct, and some of very many rows, over several tasks."""
+    from pyspark.ml.evaluation import BinaryClassificationEvaluator
+
+    df = spark.range(30_000, numPartitions=6).select(
+        F.when(F.col("id") % 4 == 0, F.lit(0.25)).otherwise(F.col("id") * 7919 % 30_011 / 30_011.0).alias("score"),
+        (F.xxhash64("id") % 3 > 0).cast("double").alias("binaryLabel"),
+    )
+    exact = BinaryClassificationEvaluator(
+        rawPredictionCol="score", labelCol="binaryLabel", numBins=0
+    ).evaluate(df)
+    assert np.isclose(evaluate.area_under(df, "score"), exact, atol=1e-12)
+    zeros = spark.createDataFrame([(0.0, 1.0), (-0.0, 0.0)], "score double, binaryLabel double")
+    assert evaluate.area_under(zeros, "score") == 0.5
