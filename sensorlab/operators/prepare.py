@@ -131,6 +131,10 @@ def _rank_cut(df: DataFrame, key: str, fraction: float, seed: int) -> tuple[int,
     that no rows are sorted or gathered.
     """
     h = unit_hash(F.col(key), seed)
+    # a hot or coarse key shows here, before any of its rows are gathered
+    size = df.agg(F.count("*").alias("n"), F.approx_count_distinct(key, 0.02).alias("keys")).first()
+    if size["keys"] < 0.9 * size["n"]:
+        raise ValueError(f"{key} is not unique; an exact split needs a unique key")
     low, width, wanted = 0, HASH_RANGE, None
     while width > 1:
         step = max(1, width // 2048)
@@ -146,9 +150,10 @@ def _rank_cut(df: DataFrame, key: str, fraction: float, seed: int) -> tuple[int,
             wanted -= count
     # rows sharing one hash value: about n / 2^32 of them when keys are unique
     ties = df.where(h == F.lit(low)).select(key)
-    edge = ties.orderBy(key).limit(wanted).agg(F.max(key)).first()[0]
-    if ties.where(F.col(key) <= F.lit(edge)).count() != wanted:
+    found = ties.agg(F.count("*").alias("n"), F.count_distinct(key).alias("keys")).first()
+    if found["n"] != found["keys"]:
         raise ValueError(f"{key} is not unique; an exact split needs a unique key")
+    edge = ties.orderBy(key).limit(wanted).agg(F.max(key)).first()[0]
     return low, edge
 
 
@@ -157,7 +162,8 @@ def exact_split(
 ) -> tuple[DataFrame, DataFrame]:
     """Exactly ``floor(fraction * n)`` rows without replacement, and the others.
 
-    ``key`` must be a unique integer.  The parts are plain filters over the
+    ``key`` must be a unique integer; a key
+    that is plainly not, or repeats where the cut falls, is refused.  The parts are plain filters over the
     input: rows are neither sorted nor shuffled.
     """
     cut = _rank_cut(df, key, fraction, seed)

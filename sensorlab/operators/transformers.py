@@ -10,7 +10,7 @@ from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
 from pyspark.sql import DataFrame
 
 from sensorlab.functions.labels import above
-from sensorlab.schema import LABEL, append_field, check_numeric
+from sensorlab.schema import LABEL, require
 from pyspark.sql import types as T
 
 
@@ -41,8 +41,10 @@ class ThresholdBinarizer(
         return self.getOrDefault(self.threshold)
 
     def transformSchema(self, schema: T.StructType) -> T.StructType:
-        check_numeric(schema, self.getInputCol())
-        return append_field(schema, self.getOutputCol(), T.DoubleType())
+        require(schema, {self.getInputCol(): "numeric"})
+        if self.getOutputCol() in schema.fieldNames():
+            raise ValueError(f"Column {self.getOutputCol()} already exists")
+        return T.StructType([*schema.fields, T.StructField(self.getOutputCol(), T.DoubleType())])
 
     def _transform(self, dataset: DataFrame) -> DataFrame:
         self.transformSchema(dataset.schema)
