@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sensorlab.session import scratch_path
+from sensorlab.session import remove_at_end, scratch_path
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -31,10 +31,12 @@ def query(name: str, oracle: str | None = None) -> Callable[[Query], Query]:
 def written_once(
     spark: SparkSession, sf_dir: str, tag: str, write: Callable[[str], object]
 ) -> str:
-    """Path of a derived copy of the tables, written at its first use by the application."""
+    """Path of a derived copy of the tables, written at its first use by the application
+    and removed when it ends.  The tables are taken not to change meanwhile."""
     key = (spark.sparkContext.applicationId, sf_dir, tag)
     if key not in _written:
         path = scratch_path(spark, tag)
         write(path)
+        remove_at_end(spark, path)
         _written[key] = path
     return _written[key]

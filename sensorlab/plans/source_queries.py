@@ -16,8 +16,8 @@ from sensorlab.sources.adapters import readings, table, vectors
 
 COLUMNS = CHANNELS + [LABEL]
 
-# channels that differ in kind: fractions, large amounts, key residues
-CHECKED = ["acc_Chest_X", "acc_Chest_Y", "ecg_1", "magno_Arm_Z", LABEL]
+# every field of a record
+CHECKED = COLUMNS
 
 
 def _sums(df, key):

@@ -1,7 +1,9 @@
 """Delimited text recordings as tables, and back.
 
 All readers are ``spark.read`` scans with column expressions behind them, so
-files stay splittable and unused channels are never converted to numbers.
+files stay splittable.  Readings are strict by default: a record with a short
+or bad field fails the job whatever columns it uses.  ``lazy=True`` converts
+the used columns only, and so notices the faults in those only.
 """
 
 from __future__ import annotations
@@ -14,8 +16,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sensorlab.functions.labels import SECONDS_PER_READING
-from sensorlab.schema import CHANNELS, LABEL, exploration_names
-from sensorlab.session import scratch_path
+from sensorlab.schema import CHANNELS, EXPLORATION_NAMES, LABEL
+from sensorlab.session import remove_at_end, scratch_path
 
 
 def to_number(text: Column, permissive: bool = False, name: str = "a cell") -> Column:
@@ -34,24 +36,36 @@ def parse_fields(
     separator: str = "\t",
     permissive: bool = False,
     line: str = "value",
+    lazy: bool = False,
 ) -> DataFrame:
     """Replace a text column by one double column per name.
 
-    Surplus fields are ignored; a missing one counts as no number.
+    Surplus fields are ignored; a missing one counts as no number.  Unless lazy
+    or permissive, every record is checked as a whole: the filter that does so
+    reads all fields, so no query can leave it out.
     """
     fields = F.split(F.col(line), separator)
+    rest = [c for c in lines.columns if c != line]
+    if not (lazy or permissive):
+        cells = F.slice(fields, 1, len(names))
+        faults = F.exists(cells, lambda cell: cell.try_cast("double").isNull())
+        bad = (F.size(cells) < len(names)) | faults
+        problem = F.raise_error(F.lit("a record is short or holds no number")).cast("boolean")
+        lines = lines.where(F.when(bad, problem).otherwise(F.lit(True)))
     parsed = [
         to_number(F.get(fields, F.lit(i)), permissive, name).alias(name)
         for i, name in enumerate(names)
     ]
-    return lines.select(*[c for c in lines.columns if c != line], *parsed)
+    return lines.select(*rest, *parsed)
 
 
 def read_readings(
-    spark: SparkSession, path: str | list[str], permissive: bool = False
+    spark: SparkSession, path: str | list[str], permissive: bool = False, lazy: bool = False
 ) -> DataFrame:
     """Tab-separated readings from a file, several files or a folder."""
-    return parse_fields(spark.read.text(path), CHANNELS + [LABEL], "\t", permissive)
+    return parse_fields(
+        spark.read.text(path), CHANNELS + [LABEL], "\t", permissive, lazy=lazy
+    )
 
 
 def try_read_readings(spark: SparkSession, path: str | list[str]) -> DataFrame | None:
@@ -75,7 +89,7 @@ def read_whitespace(
 ) -> DataFrame:
     """Headerless columns separated by runs of blanks, named on the way in."""
     lines = spark.read.text(path).select(F.trim("value").alias("value"))
-    return parse_fields(lines, names or exploration_names(), r"\s+")
+    return parse_fields(lines, names or EXPLORATION_NAMES, r"\s+")
 
 
 def read_csv_trimmed(
@@ -96,11 +110,6 @@ def list_source_files(spark: SparkSession, path: str | list[str]) -> DataFrame:
     return spark.read.text(path).select(F.col("_metadata.file_path").alias("file_path")).distinct()
 
 
-# Most splits whose offsets are sent to every executor: at 100 bytes each about
-# 100 MB.  128 MB splits reach this number at 128 TB of text.
-BROADCAST_SPLITS = 1_000_000
-
-
 def _scan_lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """Lines with the file and split they are in and an id that follows their order."""
     return spark.read.text(path).select(
@@ -111,21 +120,24 @@ def _scan_lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
     )
 
 
-def _number(scanned: DataFrame) -> DataFrame:
+def _number(scanned: DataFrame, target: str | None = None) -> DataFrame:
     """Replace split and id by the line's number in its file, counted from 1.
 
     A file may be far larger than a task can order.  Ids are consecutive inside
     a split, so a line's number is its distance from the split's first id plus
     the lines of the file's earlier splits.  Only the table of splits is
-    windowed; it is joined by broadcast up to ``BROADCAST_SPLITS`` rows, beyond
-    that the join is left to Spark.
+    windowed; how it is joined is left to Spark.
 
     The scan is written once, because how files are split can change from one
-    scan to the next as a cluster grows or loses executors.
+    scan to the next as a cluster grows or loses executors.  ``target`` is where:
+    a caller that converts a recording names the table it wants to keep;
+    otherwise it is scratch, removed when the application ends.
     """
     spark = scanned.sparkSession
-    path = scratch_path(spark, "scanned")
+    path = target or scratch_path(spark, "scanned")
     scanned.write.parquet(path)
+    if target is None:
+        remove_at_end(spark, path)
     lines = spark.read.parquet(path)
     earlier = Window.partitionBy("file_path").orderBy("block_start").rowsBetween(
         Window.unboundedPreceding, -1
@@ -143,9 +155,8 @@ def _number(scanned: DataFrame) -> DataFrame:
     )
     splits = scratch_path(spark, "splits")
     offsets.write.parquet(splits)
+    remove_at_end(spark, splits)
     offsets = spark.read.parquet(splits)
-    if offsets.count() <= BROADCAST_SPLITS:
-        offsets = F.broadcast(offsets)
     rest = [c for c in scanned.columns if c not in ("file_path", "block_start", "scan_id")]
     return lines.join(offsets, ["file_path", "block_start"]).select(
         "file_path", (F.col("scan_id") + F.col("shift")).alias("reading_no"), *rest
@@ -157,13 +168,15 @@ def read_numbered(spark: SparkSession, path: str | list[str]) -> DataFrame:
     return _number(_scan_lines(spark, path))
 
 
-def read_recording(spark: SparkSession, path: str | list[str]) -> DataFrame:
+def read_recording(
+    spark: SparkSession, path: str | list[str], target: str | None = None
+) -> DataFrame:
     """Readings with file, number in the file and seconds since its start.
 
-    What is written on the way is the readings as columns, so this is also the
-    one conversion from text that later scans profit from.
+    What is written on the way is the readings as columns: with ``target`` it is
+    kept there as the one conversion from text that later scans profit from.
     """
-    numbered = _number(parse_fields(_scan_lines(spark, path), CHANNELS + [LABEL]))
+    numbered = _number(parse_fields(_scan_lines(spark, path), CHANNELS + [LABEL]), target)
     return numbered.withColumn("seconds", (F.col("reading_no") - 1) * F.lit(SECONDS_PER_READING))
 
 
@@ -174,19 +187,27 @@ def write_delimited(
     separator: str = "\t",
     partition_by: str | None = None,
 ) -> str:
-    """Write the columns as headerless text, one file per task and partition value."""
+    """Write the columns as headerless text, a few files per partition value."""
     line = F.concat_ws(separator, *[F.col(c).cast("string") for c in columns]).alias("value")
     keys = [partition_by] if partition_by else []
-    df.select(line, *keys).write.mode("overwrite").partitionBy(*keys).text(path)
+    _arranged(df.select(line, *keys), partition_by).write.mode("overwrite").partitionBy(
+        *keys
+    ).text(path)
     return path
 
 
+def _arranged(df: DataFrame, key: str | None) -> DataFrame:
+    """Rows of one key in few tasks: small keys share one, a hot one is split over several."""
+    return df.hint("rebalance", key) if key else df
+
+
 def to_parquet(df: DataFrame, path: str, partition_by: str | None = None) -> str:
     """Convert once, so later scans prune columns and push filters down.
 
-    Rows of one partition value are spread over the writing tasks as they come:
-    a value holding a third of the table is never gathered into one task.
+    Rows of one partition value are brought together before they are written, so
+    there are a few files per value; a value holding a third of the table is
+    split over several tasks.
     """
-    writer = df.write.mode("overwrite")
+    writer = _arranged(df, partition_by).write.mode("overwrite")
     (writer.partitionBy(partition_by) if partition_by else writer).parquet(path)
     return path

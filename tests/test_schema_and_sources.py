@@ -12,9 +12,9 @@ from tests.conftest import reading_lines
 def test_reading_schema_has_24_doubles():
     assert len(schema.READING) == 24
     assert {f.dataType for f in schema.READING} == {T.DoubleType()}
-    assert len(set(schema.exploration_names())) == 24
-    assert schema.exploration_names()[5] == "Acc_LAnkle_X"
-    assert schema.exploration_names()[3] == "ECG_1"
+    assert len(set(schema.EXPLORATION_NAMES)) == 24
+    plain = [n.replace("LAnkle", "Ankle").lower() for n in schema.EXPLORATION_NAMES]
+    assert plain[:-1] == [c.lower() for c in schema.CHANNELS]
     assert schema.all_channels(schema.READING) == schema.CHANNELS
 
 
@@ -27,17 +27,17 @@ def test_unknown_feature_columns_are_rejected(bad):
 
 def test_type_checks(spark):
     df = spark.createDataFrame([(1, 2.0, "a")], "i int, d double, s string")
-    schema.check_column_type(df, "d", T.DoubleType())
-    schema.check_column_types(df, "i", [T.LongType(), T.IntegerType()])
-    schema.check_numeric(df, "i")
-    with pytest.raises(ValueError, match="numeric"):
-        schema.check_numeric(df, "s")
-    with pytest.raises(ValueError, match="bigint"):
-        schema.check_column_type(df, "i", T.LongType(), "ids")
-    with pytest.raises(ValueError, match="exist"):
-        schema.check_numeric(df, "z")
-    assert schema.append_field(df.schema, "", T.LongType()) == df.schema
-    assert schema.append_field(df.schema, "n", T.LongType()).fieldNames()[-1] == "n"
+    schema.require(df, {"d": "double", "i": ["bigint", "int"], "s": "text"})
+    schema.require(df, {"i": "numeric", "d": "numeric"})
+    wrong = {"s": "numeric", "i": "bigint", "d": "double", "z": "any"}
+    assert schema.violations(df, wrong) == [
+        ("s", "numeric", "string"), ("i", "bigint", "int"), ("z", "any", "absent")
+    ]
+    with pytest.raises(ValueError, match="s is string.*i is int.*z is absent.*ids"):
+        schema.require(df, wrong, "ids")
+    rows = schema.violation_table(df, wrong).collect()
+    assert [(r["name"], r["filled"]) for r in rows] == [("s", 1), ("i", 1), ("z", 0)]
+    assert schema.violation_table(df, {}).count() == 0
     with pytest.raises(ValueError, match="already"):
         schema.append_column(df, "d", F.lit(1))
 
@@ -84,10 +84,12 @@ def test_bad_lines_fail_or_become_null(spark, tmp_path, name, line):
     path.write_text("\n".join([*reading_lines(3, 1), line]) + "\n")
     for ansi in ("false", "true"):
         spark.conf.set("spark.sql.ansi.enabled", ansi)
-        with pytest.raises(PySparkException, match="not a number"):
+        with pytest.raises(PySparkException, match="holds no number"):
             text.read_readings(spark, str(path)).collect()
+        with pytest.raises(PySparkException, match="not a number"):
+            text.read_readings(spark, str(path), lazy=True).collect()
     unused = "acc_Chest_X" if name == "short" else "ecg_1"
-    assert text.read_readings(spark, str(path)).select(unused).count() == 4
+    assert text.read_readings(spark, str(path), lazy=True).select(unused).count() == 4
     rows = text.read_readings(spark, str(path), permissive=True).collect()
     assert len(rows) == 4
     assert (rows[3]["acc_Chest_X"] is None) == (name == "letters")
@@ -190,3 +192,45 @@ def test_scratch_and_scoped_cache(spark):
     with kept(df) as held:
         assert held.is_cached
     assert not df.is_cached
+
+
+def test_strict_reading_fails_whatever_is_used(spark, tmp_path):
+    good, junk, short = reading_lines(3, 9, 1)
+    cells = junk.split("\t")
+    cells[10] = "junk"
+    lines = [good, "\t".join(cells), "\t".join(short.split("\t")[:5])]
+    for name, rows in (("one", lines), ("two", lines[:2]), ("three", [good, lines[2]])):
+        path = tmp_path / f"{name}.txt"
+        path.write_text("\n".join(rows) + "\n")
+        for used in (lambda df: df.count(), lambda df: df.agg(F.sum("acc_Chest_X")).collect()):
+            with pytest.raises(PySparkException):
+                used(text.read_readings(spark, str(path)))
+        assert text.read_readings(spark, str(path), lazy=True).count() == len(rows)
+        assert text.read_readings(spark, str(path), permissive=True).count() == len(rows)
+        with pytest.raises(PySparkException):
+            text.read_recording(spark, str(path)).count()
+
+
+def test_partitioned_writes_leave_few_files(spark, tmp_path):
+    rows = spark.range(20_000, numPartitions=20).select(
+        F.when(F.col("id") % 3 == 0, 0).otherwise(F.col("id") % 10).alias("subject"),
+        F.col("id").cast("double").alias("x"),
+    )
+    text.to_parquet(rows, str(tmp_path / "p"), "subject")
+    assert len(list((tmp_path / "p").rglob("*.parquet"))) <= 20
+    assert spark.read.parquet(str(tmp_path / "p")).count() == 20_000
+    text.write_delimited(rows, str(tmp_path / "t"), ["x"], partition_by="subject")
+    assert len(list((tmp_path / "t").rglob("*.txt"))) <= 20
+
+
+def test_a_hot_value_is_split_when_written(spark, tmp_path):
+    before = spark.conf.get("spark.sql.adaptive.advisoryPartitionSizeInBytes")
+    spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", "64k")
+    try:
+        rows = spark.range(200_000, numPartitions=8).select(
+            F.lit(1).alias("subject"), F.rand(1).alias("x")
+        )
+        text.to_parquet(rows, str(tmp_path / "hot"), "subject")
+    finally:
+        spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", before)
+    assert len(list((tmp_path / "hot").rglob("*.parquet"))) > 2
