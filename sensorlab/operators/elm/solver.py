@@ -31,10 +31,13 @@ from sensorlab.operators.features import as_array
 # it is fixed here so that a fit does not change rank with the table's size.
 RCOND = 1e-11
 
-# Task outputs are spread over this many buckets, then over its square root.
+# Task outputs are spread over this many buckets of each part; a further level
+# folds so many buckets into one.
 BUCKETS = 1024
+FAN_IN = 32
 
-# Most bytes of factors the driver accepts.
+# Levels are added until the factors that reach the driver take no more than
+# this, or are one of each part.
 DRIVER_BYTES = 64 * 1024 * 1024
 
 # Rows factored at once: small enough to stay in a core's cache.
@@ -119,8 +122,8 @@ def factor_batch(bucket: int, part: int, factor: np.ndarray) -> pa.RecordBatch:
     )
 
 
-def _refold(buckets: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Fold factor rows that share a part; ``buckets`` limits the next bucket number."""
+def _refold() -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Fold factor rows that share a part; they go on under one of their buckets."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         factors: dict[int, np.ndarray] = {}
@@ -130,7 +133,7 @@ def _refold(buckets: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Re
                 continue
             parts = batch.column("part").to_numpy()
             rows = matrix(batch.column("row"))
-            bucket = int(batch.column("bucket")[0].as_py()) % buckets
+            bucket = int(batch.column("bucket")[0].as_py())
             for part in np.unique(parts).tolist():
                 factors[part] = fold(factors.get(part), rows[parts == part])
         for part, factor in factors.items():
@@ -185,23 +188,26 @@ def design_rows(
     return rows.mapInArrow(run, FACTOR)
 
 
+def bucket_levels(width: int, parts: int) -> list[int]:
+    """Buckets per part after each shuffle; known from the problem, not from the table."""
+    levels = [BUCKETS]
+    while levels[-1] > 1 and levels[-1] * parts * width * width * 8 > DRIVER_BYTES:
+        levels.append(max(1, levels[-1] // FAN_IN))
+    return levels
+
+
 def gather(
     factors: DataFrame, width: int, parts: int = 1, empty_ok: bool = False
 ) -> dict[int, np.ndarray]:
-    """Fold task factors down to one per part.
+    """Fold task factors down to one per part, by a tree of fixed fan-in.
 
-    One shuffle by bucket; a second, to the square root of the buckets, where
-    the first could leave more than ``DRIVER_BYTES`` for the driver.
+    Parts are folded apart, so no task needs all of them.  What reaches the
+    driver is at most ``DRIVER_BYTES``, or one factor of each part.
     """
-    spark = factors.sparkSession
-    tasks = min(int(spark.conf.get("spark.sql.shuffle.partitions")), BUCKETS)
-    level = factors.repartition("bucket").mapInArrow(_refold(BUCKETS), FACTOR)
-    if tasks * parts * width * width * 8 > DRIVER_BYTES:
-        few = int(BUCKETS**0.5)
-        while few > 1 and few * parts * width * width * 8 > DRIVER_BYTES:
-            few //= 2
-        level = level.withColumn("bucket", F.pmod("bucket", F.lit(few)))
-        level = level.repartition("bucket").mapInArrow(_refold(few), FACTOR)
+    level = factors
+    for buckets in bucket_levels(width, parts):
+        level = level.withColumn("bucket", F.pmod("bucket", F.lit(buckets)))
+        level = level.repartition("part", "bucket").mapInArrow(_refold(), FACTOR)
     result: dict[int, np.ndarray] = {}
     table = level.select("part", "row").toArrow()
     numbers_ = table.column("part").to_numpy()

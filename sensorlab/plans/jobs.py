@@ -41,7 +41,7 @@ from sensorlab.schema import (
     LOGISTIC_FEATURES,
     check_feature_columns,
 )
-from sensorlab.session import kept
+from sensorlab.session import kept, remove_at_end, scratch_path
 from sensorlab.sources.text import read_readings
 
 REPORT = "stage string, metric string, value double, note string"
@@ -174,9 +174,18 @@ def _evaluate(report: _Report, stage: str, model: Model, df: DataFrame) -> None:
 
 
 def _folds(df: DataFrame, params: JobParams, folds: int) -> DataFrame:
+    """A fold number on every row, the same in every scan.
+
+    Without a key the numbers are random, so the rows are written once with
+    them: a recomputed row could else stand in training and held-out parts.
+    """
     if params.key:
         return with_fold(df, params.key, folds, seed=SPLIT_SEED)
-    return df.withColumn("fold", F.floor(F.rand(SPLIT_SEED) * folds).cast("int"))
+    spark = df.sparkSession
+    path = scratch_path(spark, "folds")
+    df.withColumn("fold", F.floor(F.rand(SPLIT_SEED) * folds).cast("int")).write.parquet(path)
+    remove_at_end(spark, path)
+    return spark.read.parquet(path)
 
 
 def run_elm(
@@ -200,9 +209,6 @@ def run_elm(
         grid = best_model = None
         if params.tune:
             held = _folds(test, params, params.folds)
-            if not params.key:
-                # a random split sorts its input, so it is worth keeping
-                held = scope.enter_context(kept(held))
             points = tune.elm_grid_points(params.activationFunc, params.hiddenNodes)
             rows = report.timed(
                 "tune",

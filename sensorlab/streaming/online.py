@@ -5,13 +5,18 @@ nodes + 1 numbers.  A micro-batch is reduced by the batch solver and stacked on
 it, so the online model equals a batch fit of the same rows, in any order and
 any division into micro-batches; there is no late data.
 
-State is written per batch id and built from the newest earlier one.  When a
-batch is repeated after a failure it starts from the same earlier state and
-replaces its own, so no row counts twice.
+State is written per stream and batch id and built from the newest earlier one.
+When a batch is repeated after a failure it starts from the same earlier state
+and replaces its own, so no row counts twice; older states than the last two
+are removed.  A stream is known by its checkpoint: starting again with the same
+checkpoint continues it, another checkpoint on a state that has rows is refused
+unless ``after`` says that it adds to them.
 """
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
@@ -22,7 +27,9 @@ from sensorlab.operators.elm.layer import Layer
 from sensorlab.operators.elm.model import ElmClassificationModel, ElmRegressionModel
 from sensorlab.operators.elm.solver import RCOND, design_rows, fold, gather, solve
 
-STATE = "position int, row array<double>, batch bigint"
+STATE = "position int, row array<double>, run string, batch bigint"
+#: States that are kept: the newest, and the one a repeated batch starts from.
+KEPT = 2
 
 
 class OnlineElm:
@@ -43,18 +50,24 @@ class OnlineElm:
         self.features = features
         self.target = target
         self.rcond = rcond
-        # the last two states by batch id, so that storage is read on restart only
+        # name of the stream, and the state that it starts from
+        self._run = "direct"
+        self._base: np.ndarray | None = None
+        # the last states by batch id, so that storage is read on restart only
         self._recent: dict[int, np.ndarray] = {}
 
-    def _state(self, before: int | None = None) -> np.ndarray | None:
-        """Newest factor, or the newest one older than a batch."""
-        known = [b for b in self._recent if before is None or b < before]
-        if known:
-            return self._recent[max(known)]
+    def _states(self) -> DataFrame | None:
         try:
-            states = self.spark.read.schema(STATE).parquet(self.state_path)
+            return self.spark.read.schema(STATE).parquet(self.state_path)
         except AnalysisException:
             return None
+
+    def _stored(self, run: str, before: int | None = None) -> np.ndarray | None:
+        """Newest factor of a stream, or the newest one older than a batch."""
+        states = self._states()
+        if states is None:
+            return None
+        states = states.where(F.col("run") == run)
         if before is not None:
             states = states.where(F.col("batch") < before)
         newest = states.agg(F.max("batch")).first()[0]
@@ -63,6 +76,16 @@ class OnlineElm:
         rows = states.where(F.col("batch") == newest).orderBy("position").collect()
         return np.array([r["row"] for r in rows])
 
+    def _state(self, before: int | None = None) -> np.ndarray | None:
+        known = [b for b in self._recent if before is None or b < before]
+        if known:
+            return self._recent[max(known)]
+        stored = self._stored(self._run, before)
+        return self._base if stored is None else stored
+
+    def _path(self, batch_id: int) -> str:
+        return f"{self.state_path}/run={self._run}/batch={batch_id}"
+
     def update(self, batch: DataFrame, batch_id: int) -> None:
         """Add one micro-batch; calling it again for the same id changes nothing."""
         layer = self.layer
@@ -76,19 +99,52 @@ class OnlineElm:
         table = self.spark.createDataFrame(
             [(i, row.tolist()) for i, row in enumerate(factor)], "position int, row array<double>"
         )
-        table.coalesce(1).write.mode("overwrite").parquet(f"{self.state_path}/batch={batch_id}")
+        table.coalesce(1).write.mode("overwrite").parquet(self._path(batch_id))
         self._recent = {b: f for b, f in self._recent.items() if b < batch_id}
-        while len(self._recent) > 1:
-            del self._recent[min(self._recent)]
         self._recent[batch_id] = factor
+        while len(self._recent) > KEPT:
+            oldest = min(self._recent)
+            del self._recent[oldest]
+            self._remove(oldest)
+        self._remove(batch_id - KEPT)
+
+    def _remove(self, batch_id: int) -> None:
+        place = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self._path(batch_id))
+        place.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+
+    def _begin(self, checkpoint: str, after: str | None) -> None:
+        run = hashlib.md5(checkpoint.encode()).hexdigest()[:16]
+        states = self._states()
+        known = [] if states is None else [r["run"] for r in states.select("run").distinct().collect()]
+        if run not in known and known and after is None:
+            raise ValueError(
+                f"{self.state_path} has the state of another stream; name its checkpoint in "
+                "`after` to add to it, or use another path"
+            )
+        if after is not None:
+            self._base = self._stored(hashlib.md5(after.encode()).hexdigest()[:16])
+            if self._base is None:
+                raise ValueError(f"no state of a stream with the checkpoint {after}")
+        self._run, self._recent = run, {}
+
+    def start(
+        self,
+        stream: DataFrame,
+        checkpoint: str,
+        after: str | None = None,
+        trigger: dict | None = None,
+    ) -> StreamingQuery:
+        """Train on all files the stream has now, then stop; or as ``trigger`` says,
+        for example ``{"processingTime": "1 minute"}``.
 
-    def start(self, stream: DataFrame, checkpoint: str) -> StreamingQuery:
-        """Train on all files the stream has now, then stop."""
+        ``after`` is the checkpoint of an earlier stream whose state this one adds to.
+        """
+        self._begin(checkpoint, after)
         return (
             stream.select(self.features, self.target)
             .writeStream.foreachBatch(self.update)
             .option("checkpointLocation", checkpoint)
-            .trigger(availableNow=True)
+            .trigger(**(trigger or {"availableNow": True}))
             .start()
         )
 
