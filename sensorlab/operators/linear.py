@@ -70,6 +70,26 @@ def fit_binomial(
     ).fit(df)
 
 
+def summary_table(
+    model: GeneralizedLinearRegressionModel, names: Sequence[str], spark
+) -> DataFrame:
+    """Estimate, standard error, z and p of every coefficient, the intercept last."""
+    found = model.summary
+    estimates = [*model.coefficients.toArray().tolist(), model.intercept]
+    rows = zip(
+        [*names, "(intercept)"],
+        estimates,
+        found.coefficientStandardErrors,
+        found.tValues,
+        found.pValues,
+        strict=True,
+    )
+    return spark.createDataFrame(
+        [(name, *map(float, values)) for name, *values in rows],
+        "feature string, estimate double, std_error double, z double, p double",
+    )
+
+
 def pca_logistic(
     channels: Sequence[str], params: LogisticParams = LogisticParams(), k: int = 3
 ) -> Pipeline:

@@ -28,6 +28,7 @@ from sensorlab.operators.elm.solver import (
 )
 from sensorlab.operators.evaluate import area_under_roc
 from sensorlab.operators.features import as_array
+from sensorlab.session import kept
 
 # Grids and fold counts of the classifier jobs.
 ELM_GRID_ACTIVATIONS = ["tanh", "sin"]
@@ -157,7 +158,8 @@ def elm_cross_validate(
         F.avg(F.col("wrong") / F.col("rows")).alias("error"), F.sum("rows").alias("rows")
     )
     # one row per grid point from here on
-    order = Window.orderBy("error", "point")
+    # errors that differ by the order of summing only are equal
+    order = Window.orderBy(F.round("error", 12), "point")
     return names.join(metric, "point").withColumn("rank", F.row_number().over(order))
 
 
@@ -217,8 +219,8 @@ def logistic_cross_validate(
     * a fit that converged before its iteration limit is also the fit of every
       higher limit.
 
-    ``df`` is scanned for every fit; keep it if it is costly to compute.  Each
-    running fit holds its training part, so ``parallelism`` is a memory choice.
+    Each fold's training and held-out rows are kept once while its points are
+    fitted on them, ``parallelism`` at a time.
     """
     points = logistic_points(grid)
     chains: dict[tuple[float, float], list[int]] = {}
@@ -255,10 +257,11 @@ def logistic_cross_validate(
             if prefix:
                 before = Pipeline(stages=list(prefix)).fit(train)
                 train, held = before.transform(train), before.transform(held)
-            work = [(key, train, held) for key in chains]
-            for key, metrics in zip(chains, pool.map(inherit(run), work)):
-                for limit, metric in metrics.items():
-                    totals.setdefault((key, limit), []).append(metric)
+            with kept(train) as train, kept(held) as held:
+                work = [(key, train, held) for key in chains]
+                for key, metrics in zip(chains, pool.map(inherit(run), work)):
+                    for limit, metric in metrics.items():
+                        totals.setdefault((key, limit), []).append(metric)
 
     rows = []
     for number, point in enumerate(points):
@@ -269,7 +272,7 @@ def logistic_cross_validate(
     table = df.sparkSession.createDataFrame(
         rows, "point int, reg_param double, elastic_net double, max_iter int, metric double"
     )
-    order = Window.orderBy(F.col("metric").desc(), "point")
+    order = Window.orderBy(F.round("metric", 12).desc(), "point")
     return table.withColumn("rank", F.row_number().over(order))
 
 

@@ -24,11 +24,13 @@ from sensorlab.operators.elm.model import (
     NODE_LIMITS,
     ElmClassifier,
 )
+from sensorlab.operators.elm.layer import draw_layer
 from sensorlab.operators.features import assemble
 from sensorlab.operators.prepare import (
     hash_split,
     labelled,
     random_split,
+    scale_symmetric,
     with_binary_label,
     with_fold,
     with_velocity,
@@ -43,6 +45,7 @@ from sensorlab.schema import (
 )
 from sensorlab.session import kept, remove_at_end, scratch_path
 from sensorlab.sources.text import read_readings
+from sensorlab.streaming.online import OnlineElm
 
 REPORT = "stage string, metric string, value double, note string"
 
@@ -311,6 +314,8 @@ def run_pca_logistic(
 EXPLORE_NODES = 50
 EXPLORE_ACTIVATIONS = ("sigmoid", "radbas")
 EXPLORE_FRACTION = 0.5
+ONLINE_NODES = (10, 40, 100)
+ONLINE_BATCHES = 3
 
 VELOCITIES = {
     "Velocity_Chest": CHANNELS[0:3],
@@ -319,10 +324,43 @@ VELOCITIES = {
 }
 
 
+def _explore_online(report: _Report, spark: SparkSession, data: DataFrame, scale: float) -> None:
+    """Networks trained online on channels, on velocities, and on velocities scaled to
+    [-1, 1], and their training error and time, in several micro-batches of files."""
+    rows = with_velocity(with_binary_label(labelled(data)), VELOCITIES)
+    speeds = scale_symmetric(rows.select("binaryLabel", *VELOCITIES), list(VELOCITIES))
+    inputs = {
+        "channels": rows.select("binaryLabel", F.array(*[F.col(c) / scale for c in CHANNELS[:3]]).alias("features")),
+        "velocities": rows.select("binaryLabel", F.array(*VELOCITIES).alias("features")),
+        "scaled velocities": speeds.select("binaryLabel", F.array(*VELOCITIES).alias("features")),
+    }
+    for name, table in inputs.items():
+        folder = scratch_path(spark, "stream")
+        table.repartition(ONLINE_BATCHES).write.parquet(folder)
+        remove_at_end(spark, folder)
+        stored = spark.read.parquet(folder)
+        for nodes in ONLINE_NODES:
+            layer = draw_layer(nodes, 3, "sigmoid")
+            online = OnlineElm(spark, layer, scratch_path(spark, "online-state"))
+            stream = spark.readStream.schema(stored.schema).option("maxFilesPerTrigger", 1).parquet(folder)
+            checkpoint = scratch_path(spark, "online-checkpoint")
+            for path in (online.state_path, checkpoint):
+                remove_at_end(spark, path)
+            stage, note = f"online {name}", f"{nodes} nodes"
+            start = time.perf_counter()
+            online.start(stream, checkpoint).awaitTermination()
+            report.add(stage, "training seconds", time.perf_counter() - start, note)
+            scored = stored.withColumn("t", online.model().score(stored))
+            predicted = scored.withColumn("prediction", (F.col("t") > 0.5).cast("double"))
+            metrics = evaluate.error_metrics(predicted).first()
+            report.add(stage, "rows", metrics["rows"], note)
+            report.add(stage, "train error", metrics["misclassification"], note)
+
+
 def run_exploration(
     spark: SparkSession, source, params: JobParams = JobParams(), init: str = "uniform"
 ) -> JobResult:
-    """Sizes, velocities, networks with a threshold sweep, and a binomial model.
+    """Sizes, velocities, networks with a threshold sweep, online networks, and a binomial model.
 
     Test figures are those of the held-out rows, by the training part's
     extremes and best threshold.
@@ -364,6 +402,8 @@ def run_exploration(
             ).first()
             report.add(name, "test accuracy", cut["accuracy"])
 
+    _explore_online(report, spark, data, params.scale)
+
     five = JobParams(features=tuple(GLM_FEATURES), key=params.key, tune=False)
     with kept(_training_frame(spark, data, five, vector=True)) as rows:
         train, _ = _split(rows, params, EXPLORE_FRACTION)
@@ -374,4 +414,7 @@ def run_exploration(
         error = evaluate.error_metrics(predicted).first()["misclassification"]
         report.add("binomial", "train error", error)
         report.add("binomial", "deviance", binomial.summary.deviance)
+        for row in linear.summary_table(binomial, GLM_FEATURES, spark).collect():
+            for metric in ("estimate", "std_error", "z", "p"):
+                report.add("binomial", metric, row[metric], row["feature"])
     return JobResult(report.table(spark), model)

@@ -13,14 +13,13 @@ from pyspark.sql import functions as F
 from sensorlab.functions.labels import above
 from sensorlab.operators import evaluate, features, linear, prepare, tune
 from sensorlab.plans import oracles as o
-from sensorlab.plans.jobs import LogisticJobParams, run_logistic
+from sensorlab.plans.jobs import LogisticJobParams, run_logistic, run_pca_logistic
 from sensorlab.plans.registry import query
-from sensorlab.schema import CHEST, LOGISTIC_FEATURES
+from sensorlab.schema import CHANNELS, CHEST, GLM_FEATURES, LOGISTIC_FEATURES
 from sensorlab.session import kept
 from sensorlab.sources.adapters import labelled_readings, labelled_vectors, readings, vectors
 
 AXES = [f"x{i + 1}" for i in range(64)]
-EIGHT = AXES[:8]
 TIGHT = linear.LogisticParams(tol=1e-12, maxIter=200)
 
 
@@ -80,33 +79,48 @@ def glm_binomial(spark, sf_dir):
     return _moments(scored, F.col("probability"), AXES)
 
 
-def _newton(tables: str, rows: str, names: list[str], steps: int = 8) -> tuple[str, str]:
-    """WITH list of Newton's method on rows with columns y and ``names``, one
-    solved linear system per step; and the name of its last weights."""
+def _newton_parts(
+    rows: str, names: list[str], steps: int = 8, tag: str = "", penalty: float = 0.0
+) -> tuple[list[str], str]:
+    """Newton's method on rows with columns y and ``names``, one solved linear
+    system per step; and the name of its last weights.
+
+    A penalty holds the weights of standardised features, as the estimator's does.
+    """
     n = len(names) + 1
     x = ["1.0::DOUBLE", *names]
-    parts = [tables, f"w0 AS (SELECT [{', '.join(['0.0::DOUBLE'] * n)}] AS b)"]
+    parts = [f"{tag}w0 AS (SELECT [{', '.join(['0.0::DOUBLE'] * n)}] AS b)"]
     for step in range(steps):
+        weights = f"{tag}w{step}"
+        held = [f"{penalty} * count(*) * var_samp({a})" if penalty and i else "0" for i, a in enumerate(x)]
         parts.append(
-            f"p{step} AS (SELECT {rows}.*, {_probability(names)} AS p FROM {rows}, w{step})"
+            f"{tag}p{step} AS (SELECT {rows}.*, {weights}.b, {_probability(names)} AS p "
+            f"FROM {rows}, {weights})"
         )
         sums = [
-            f"sum(p * (1 - p) * {a} * {b}) AS g{i}_{j}"
+            f"sum(p * (1 - p) * {a} * {b}) + {held[i] if i == j else 0} AS g{i}_{j}"
             for i, a in enumerate(x)
             for j, b in enumerate(x)
         ]
-        sums += [f"sum((y - p) * {a}) AS r{i}" for i, a in enumerate(x)]
-        parts.append(f"s{step} AS (SELECT {', '.join(sums)} FROM p{step})")
+        sums += [
+            f"sum((y - p) * {a}) - {held[i]} * first(b[{i + 1}]) AS r{i}" for i, a in enumerate(x)
+        ]
+        parts.append(f"{tag}s{step} AS (SELECT {', '.join(sums)} FROM {tag}p{step})")
         lists = [
             f"SELECT {i + 1} AS i, [{', '.join([f'g{i}_{j}' for j in range(n)] + [f'r{i}'])}] AS r "
-            f"FROM s{step}"
+            f"FROM {tag}s{step}"
             for i in range(n)
         ]
-        parts.append(f"e{step} AS ({' UNION ALL '.join(lists)})")
-        parts.append(o.gauss_jordan(f"e{step}", n, f"d{step}"))
-        moved = ", ".join(f"w{step}.b[{i + 1}] + d{step}.b[{i + 1}]" for i in range(n))
-        parts.append(f"w{step + 1} AS (SELECT [{moved}] AS b FROM w{step}, d{step})")
-    return f"WITH RECURSIVE {', '.join(parts)} ", f"w{steps}"
+        parts.append(f"{tag}e{step} AS ({' UNION ALL '.join(lists)})")
+        parts.append(o.gauss_jordan(f"{tag}e{step}", n, f"{tag}d{step}"))
+        moved = ", ".join(f"{weights}.b[{i + 1}] + {tag}d{step}.b[{i + 1}]" for i in range(n))
+        parts.append(f"{tag}w{step + 1} AS (SELECT [{moved}] AS b FROM {weights}, {tag}d{step})")
+    return parts, f"{tag}w{steps}"
+
+
+def _newton(tables: str, rows: str, names: list[str], steps: int = 8) -> tuple[str, str]:
+    parts, weights = _newton_parts(rows, names, steps)
+    return f"WITH RECURSIVE {', '.join([tables, *parts])} ", weights
 
 
 def _probability(names: list[str]) -> str:
@@ -114,36 +128,80 @@ def _probability(names: list[str]) -> str:
     return f"(1 / (1 + exp(-({z}))))"
 
 
-def _axes_tables(count: int) -> str:
-    return (
-        f"{o.LABELLED_VECTORS}, axes AS (SELECT binaryLabel AS y, {_axes(count)} FROM labelled)"
-    )
+def _reading_tables(names: list[str]) -> str:
+    return f"{o.LABELLED}, rows_ AS (SELECT binaryLabel AS y, {', '.join(names)} FROM labelled)"
+
+
+def _reading_features(spark, sf_dir, names, *keep):
+    rows = labelled_readings(spark, sf_dir).select("binaryLabel", *names, *keep)
+    return features.assemble(rows, names)
 
 
 def _coefficients_sql(names: list[str]) -> str:
-    newton, weights = _newton(_axes_tables(len(names)), "axes", names)
+    newton, weights = _newton(_reading_tables(names), "rows_", names)
     return (
         f"{newton} SELECT unnest({['(intercept)', *names]!r}) AS feature, "
-        f"unnest([round(v, 4) + 0.0 for v in b]) AS coefficient FROM {weights}"
+        f"unnest([round(v, 6) + 0.0 for v in b]) AS coefficient FROM {weights}"
     )
 
 
 def _cut_error_sql(names: list[str]) -> str:
-    newton, weights = _newton(_axes_tables(len(names)), "axes", names)
+    newton, weights = _newton(_reading_tables(names), "rows_", names)
     return (
-        f"{newton} SELECT {o.rounded(f'avg(CASE WHEN ({_probability(names)} > 0.4) <> (y > 0.5) THEN 1.0 ELSE 0.0 END)', 9)} "
-        f"AS error FROM axes, {weights}"
+        f"{newton} SELECT {o.rounded(f'avg(CASE WHEN ({_probability(names)} > 0.4) <> (y > 0.5) THEN 1.0 ELSE 0.0 END)', 5)} "
+        f"AS error FROM rows_, {weights}"
     )
 
 
-@query("glm_cut_error", _cut_error_sql(EIGHT))
+@query("glm_cut_error", _cut_error_sql(GLM_FEATURES))
 def glm_cut_error(spark, sf_dir):
     """Error of class 1 above a probability of 0.4."""
-    rows = _vector_features(spark, sf_dir, 8)
+    rows = _reading_features(spark, sf_dir, GLM_FEATURES)
     scored = linear.fit_binomial(rows, tol=1e-12).transform(rows)
     predicted = scored.withColumn("prediction", above("probability", linear.GLM_CUT))
     return evaluate.error_metrics(predicted).select(
-        F.round("misclassification", 9).alias("error")
+        F.round("misclassification", 5).alias("error")
+    )
+
+
+def _summary_sql(names: list[str]) -> str:
+    """Estimates, and their errors from the inverse of the information matrix."""
+    newton, weights = _newton(_reading_tables(names), "rows_", names)
+    n = len(names) + 1
+    x = ["1.0::DOUBLE", *names]
+    sums = ", ".join(
+        f"sum(p * (1 - p) * {a} * {b}) AS g{i}_{j}" for i, a in enumerate(x) for j, b in enumerate(x)
+    )
+    lists = []
+    for i in range(n):
+        cells = [f"g{i}_{j}" for j in range(n)]
+        cells += ["1.0::DOUBLE" if i == j else "0.0::DOUBLE" for j in range(n)]
+        lists.append(f"SELECT {i + 1} AS i, [{', '.join(cells)}] AS r FROM information")
+    parts = [
+        f"fitted AS (SELECT rows_.*, {_probability(names)} AS p FROM rows_, {weights})",
+        f"information AS (SELECT {sums} FROM fitted)",
+        f"augmented AS ({' UNION ALL '.join(lists)})",
+        o.gauss_jordan("augmented", n, "inverse", n),
+        f"errors AS (SELECT i, {weights}.b[i] AS estimate, sqrt(inverse.b[i]) AS error "
+        f"FROM inverse, {weights})",
+    ]
+    return (
+        f"{newton.rstrip()}, {', '.join(parts)} SELECT ({['(intercept)', *names]!r})[i] AS feature, "
+        f"{o.rounded('estimate', 6)} AS estimate, {o.rounded('error', 6)} AS std_error, "
+        f"{o.rounded('estimate / error', 4)} AS z FROM errors"
+    )
+
+
+@query("glm_summary", _summary_sql(GLM_FEATURES))
+def glm_summary(spark, sf_dir):
+    """Estimate, standard error and z of every coefficient of the binomial model."""
+    model = linear.fit_binomial(_reading_features(spark, sf_dir, GLM_FEATURES), tol=1e-12)
+    table = linear.summary_table(model, GLM_FEATURES, spark)
+    return table.select(
+        "feature",
+        F.round("estimate", 6).alias("estimate"),
+        F.round("std_error", 6).alias("std_error"),
+        F.round("z", 4).alias("z"),
     )
 
 
@@ -161,7 +219,10 @@ def _job_sql() -> str:
         "train_scored AS (SELECT * FROM scored WHERE NOT is_test)",
         "test_scored AS (SELECT * FROM scored WHERE is_test)",
     ]
-    rows = ["SELECT 'data' AS stage, 'samples' AS metric, '' AS note, count(*)::DOUBLE AS value FROM split"]
+    rows = [
+        "SELECT 'data' AS stage, 'samples' AS metric, '' AS note, count(*)::DOUBLE AS value FROM split",
+        "SELECT 'tuned', 'rows', '', count(*)::DOUBLE FROM split",
+    ]
     for stage in ("train", "test"):
         wrong = "avg(CASE WHEN (p > 0.5) <> (y > 0.5) THEN 1.0 ELSE 0.0 END)"
         rows.append(f"SELECT '{stage}', 'rows', '', count(*)::DOUBLE FROM {stage}_scored")
@@ -183,9 +244,13 @@ def _job_sql() -> str:
 @query("job_logistic", _job_sql())
 def job_logistic(spark, sf_dir):
     """What the logistic job reports, but for its timings."""
-    params = LogisticJobParams(key="session_id", tune=False, model=TIGHT)
+    params = LogisticJobParams(key="session_id", model=TIGHT)
     report = run_logistic(spark, readings(spark, sf_dir), params).report
-    return report.where(~F.col("metric").endswith("seconds")).select(
+    # which point is best is checked by the grid's own query
+    known = ~F.col("metric").endswith("seconds") & (
+        ~F.col("stage").isin("tune", "tuned") | (F.col("metric") == "rows")
+    )
+    return report.where(known).select(
         "stage",
         "metric",
         F.coalesce("note", F.lit("")).alias("note"),
@@ -193,19 +258,138 @@ def job_logistic(spark, sf_dir):
     )
 
 
-@query("logistic_coefficients", _coefficients_sql(EIGHT[:3]))
+@query("logistic_coefficients", _coefficients_sql(LOGISTIC_FEATURES))
 def logistic_coefficients(spark, sf_dir):
-    model = linear.fit_logistic(_vector_features(spark, sf_dir, 3), TIGHT)
-    table = linear.coefficient_table(model, EIGHT[:3], spark)
-    return table.select("feature", F.round("coefficient", 4).alias("coefficient"))
+    model = linear.fit_logistic(_reading_features(spark, sf_dir, LOGISTIC_FEATURES), TIGHT)
+    table = linear.coefficient_table(model, LOGISTIC_FEATURES, spark)
+    return table.select("feature", F.round("coefficient", 6).alias("coefficient"))
+
+
+def _components_sql(rows: str, names: list[str], k: int, where: str = "TRUE", steps: int = 200) -> list[str]:
+    """Components c1 .. ck of the covariance, by power iteration with deflation, and their shares."""
+    n = len(names)
+    cells = [f"covar_samp({names[min(i, j)]}, {names[max(i, j)]})" for i in range(n) for j in range(n)]
+    lists = ", ".join("[" + ", ".join(cells[i * n : (i + 1) * n]) + "]" for i in range(n))
+    parts = [f"m1 AS (SELECT [{lists}] AS m FROM {rows} WHERE {where})"]
+    for c in range(1, k + 1):
+        parts.append(
+            f"i{c} AS (SELECT 0 AS step, m, [sin({c} + range) for range in range({n})] AS v FROM m{c} "
+            f"UNION ALL SELECT step + 1, m, [x / sqrt(list_dot_product(u, u)) for x in u] FROM "
+            f"(SELECT step, m, [list_dot_product(r, v) for r in m] AS u FROM i{c} WHERE step < {steps}))"
+        )
+        parts.append(
+            f"c{c} AS (SELECT v, m, list_dot_product(v, [list_dot_product(r, v) for r in m]) AS size "
+            f"FROM i{c} WHERE step = {steps})"
+        )
+        parts.append(
+            f"m{c + 1} AS (SELECT [[m[i][j] - size * v[i] * v[j] for j in range(1, {n + 1})] "
+            f"for i in range(1, {n + 1})] AS m FROM c{c})"
+        )
+    return parts
 
 
-@query("pca_logistic_check", _moment_sql(EIGHT[:3]))
+def _pca_projection_sql() -> str:
+    names = CHANNELS
+    x = "[" + ", ".join(names) + "]"
+    sums = [
+        f"SELECT {c} AS component, {o.rounded(f'avg(pow(list_dot_product({x}, v), 2))', 3)} AS mean_square, "
+        f"{o.rounded(f'stddev_samp(list_dot_product({x}, v))', 4)} AS spread FROM labelled, c{c}"
+        for c in (1, 2, 3)
+    ]
+    parts = [o.LABELLED, *_components_sql("labelled", names, 3)]
+    return f"WITH RECURSIVE {', '.join(parts)} {' UNION ALL '.join(sums)}"
+
+
+@query("pca_project", _pca_projection_sql())
+def pca_project(spark, sf_dir):
+    """All channels of the readings on three components: mean square and spread of each."""
+    rows = features.assemble(labelled_readings(spark, sf_dir), CHANNELS)
+    projected = features.fit_pca(rows, 3).transform(rows).select(vector_to_array("pca").alias("pca"))
+    cells = projected.select(F.posexplode("pca").alias("place", "x"))
+    return cells.groupBy((F.col("place") + 1).cast("int").alias("component")).agg(
+        F.round(F.avg(F.col("x") * F.col("x")), 3).alias("mean_square"),
+        F.round(F.stddev_samp("x"), 4).alias("spread"),
+    )
+
+
+def _pca_job_sql() -> str:
+    """The job on three components, but for its timings: sizes, shares and both metrics."""
+    test = f"{o.knuth('session_id', 12345)} < {int(0.5 * 2**32)}"
+    x = "[" + ", ".join(CHANNELS) + "]"
+    split = [
+        o.LABELLED,
+        f"split AS (SELECT binaryLabel AS y, {test} AS is_test, {', '.join(CHANNELS)} FROM labelled)",
+        *_components_sql("split", CHANNELS, 3, "NOT is_test"),
+        "trace AS (SELECT list_sum([m[i][i] for i in range(1, 24)]) AS total FROM m1)",
+        "projected AS (SELECT y, is_test, "
+        + ", ".join(f"list_dot_product({x}, c{c}.v) / 1e4 AS x{c}" for c in (1, 2, 3))
+        + " FROM split, c1, c2, c3)",
+        "train AS (SELECT * FROM projected WHERE NOT is_test)",
+    ]
+    names = ["x1", "x2", "x3"]
+    newton, weights = _newton_parts("train", names)
+    split += [*newton, f"scored AS (SELECT projected.*, {_probability(names)} AS p FROM projected, {weights})"]
+    rows = ["SELECT 'data' AS stage, 'samples' AS metric, '' AS note, count(*)::DOUBLE AS value FROM split"]
+    for c in (1, 2, 3):
+        rows.append(
+            f"SELECT 'fit', 'explained variance', 'component {c}', {o.rounded('size / total', 5)} "
+            f"FROM c{c}, trace"
+        )
+    for stage, where in (("train", "NOT is_test"), ("test", "is_test")):
+        wrong = "avg(CASE WHEN (p > 0.5) <> (y > 0.5) THEN 1.0 ELSE 0.0 END)"
+        area = o.ranked_area(f"(SELECT * FROM scored WHERE {where})", "p", "y")
+        rows.append(f"SELECT '{stage}', 'rows', '', count(*)::DOUBLE FROM scored WHERE {where}")
+        rows.append(f"SELECT '{stage}', 'misclassification', '', {o.rounded(wrong, 5)} FROM scored WHERE {where}")
+        rows.append(f"SELECT '{stage}', 'auroc', '', {o.rounded('area', 5)} FROM ({area})")
+    rows.append("SELECT 'tuned', 'rows', '', count(*)::DOUBLE FROM split WHERE is_test")
+    return f"WITH RECURSIVE {', '.join(split)} {' UNION ALL '.join(rows)}"
+
+
+@query("job_pca_logistic", _pca_job_sql())
+def job_pca_logistic(spark, sf_dir):
+    """What the job on three components of all channels reports, but for its timings."""
+    params = LogisticJobParams(features=tuple(CHANNELS), key="session_id", model=TIGHT)
+    report = run_pca_logistic(spark, readings(spark, sf_dir), params).report
+    known = ~F.col("metric").endswith("seconds") & (
+        ~F.col("stage").isin("tune", "tuned") | (F.col("metric") == "rows")
+    )
+    return report.where(known).select(
+        "stage",
+        "metric",
+        F.coalesce("note", F.lit("")).alias("note"),
+        F.round("value", 5).alias("value"),
+    )
+
+
+def _pca_fit_sql() -> str:
+    names = ["x1", "x2", "x3"]
+    x = "[" + ", ".join(CHANNELS) + "]"
+    parts = [
+        o.LABELLED,
+        *_components_sql("labelled", CHANNELS, 3),
+        "rows_ AS (SELECT subject, binaryLabel AS y, "
+        + ", ".join(f"list_dot_product({x}, c{c}.v) / 1e4 AS x{c}" for c in (1, 2, 3))
+        + " FROM labelled, c1, c2, c3)",
+    ]
+    newton, weights = _newton_parts("rows_", names)
+    return (
+        f"WITH RECURSIVE {', '.join([*parts, *newton])} SELECT subject, count(*) AS rows, "
+        f"{o.rounded(f'avg({_probability(names)})', 6)} AS fitted, "
+        f"{o.rounded(f'stddev_samp({_probability(names)})', 5)} AS spread FROM rows_, {weights} GROUP BY subject"
+    )
+
+
+@query("pca_logistic_check", _pca_fit_sql())
 def pca_logistic(spark, sf_dir):
-    """Three axes on three components: a rotation, so the moments must hold."""
-    rows = _vector_features(spark, sf_dir, 3).drop("features")
-    scored = linear.pca_logistic(EIGHT[:3], TIGHT).fit(rows).transform(rows)
-    return _moments(scored, vector_to_array("probability")[1], EIGHT[:3])
+    """Fitted probabilities by subject of a fit on three components of all channels."""
+    rows = labelled_readings(spark, sf_dir).select("subject", "binaryLabel", *CHANNELS)
+    scored = linear.pca_logistic(CHANNELS, TIGHT).fit(rows).transform(rows)
+    p = vector_to_array("probability")[1]
+    return scored.withColumn("p", p).groupBy("subject").agg(
+        F.count("*").alias("rows"),
+        F.round(F.avg("p"), 6).alias("fitted"),
+        F.round(F.stddev_samp("p"), 5).alias("spread"),
+    )
 
 
 _COVARIANCES = [(i, j) for i in range(64) for j in range(i, 64)]
@@ -265,24 +449,42 @@ def pca_explained(spark, sf_dir):
     return table.select("component", F.round("share", 9).alias("share"))
 
 
-@query(
-    "pca_project",
-    f"WITH {o.VECTORS} SELECT vec_id, {o.rounded('list_sum([v * v for v in embedding])', 6)} "
-    "AS squares FROM vectors",
-)
-def pca_project(spark, sf_dir):
-    """On all 64 components: a rotation, so every row keeps its length."""
-    rows = features.as_vector(vectors(spark, sf_dir), "embedding")
-    projected = features.fit_pca(rows, 64).transform(rows)
-    squares = F.aggregate(vector_to_array("pca"), F.lit(0.0), lambda a, v: a + v * v)
-    return projected.select("vec_id", F.round(squares, 6).alias("squares"))
+PENALTIES = [0.0, 0.01, 0.1]
 
 
-@query("logistic_grid_check")
+def _grid_sql() -> str:
+    """Points without penalty or with the squared one, past the first iteration limit."""
+    names, folds = LOGISTIC_FEATURES, tune.LOGISTIC_FOLDS
+    fold = f"CAST(floor({o.knuth_twice('session_id')} * {folds} / 4294967296) AS INTEGER)"
+    parts = [
+        o.LABELLED,
+        f"folded AS (SELECT binaryLabel AS y, {fold} AS fold, {', '.join(names)} FROM labelled)",
+    ]
+    areas = []
+    for f in range(folds):
+        parts.append(f"train{f} AS (SELECT * FROM folded WHERE fold <> {f})")
+        for i, penalty in enumerate(PENALTIES):
+            newton, weights = _newton_parts(f"train{f}", names, 7, f"f{f}l{i}", penalty)
+            scored = f"(SELECT y, {_probability(names)} AS p FROM folded, {weights} WHERE fold = {f})"
+            parts += newton
+            areas.append(f"SELECT {penalty}::DOUBLE AS reg_param, area FROM ({o.ranked_area(scored, 'p', 'y')})")
+    parts.append(f"areas AS ({' UNION ALL '.join(areas)})")
+    return (
+        f"WITH RECURSIVE {', '.join(parts)} SELECT reg_param, elastic_net, CAST(max_iter AS INTEGER) AS max_iter, "
+        f"{o.rounded('metric', 4)} AS metric FROM (SELECT reg_param, avg(area) AS metric FROM areas GROUP BY 1), "
+        "(SELECT unnest([0.0::DOUBLE, 0.5, 1.0]) AS elastic_net), (SELECT unnest([50, 100]) AS max_iter) "
+        "WHERE reg_param = 0 OR elastic_net = 0"
+    )
+
+
+@query("logistic_grid_check", _grid_sql())
 def logistic_grid(spark, sf_dir):
-    """The job's whole grid, five folds by key: metric and rank per point."""
-    rows = prepare.with_fold(_vector_features(spark, sf_dir), "vec_id", tune.LOGISTIC_FOLDS)
+    """The job's whole grid, five folds by key; of its metrics those that SQL can work out."""
+    rows = _reading_features(spark, sf_dir, LOGISTIC_FEATURES, "session_id")
+    rows = prepare.with_fold(rows, "session_id", tune.LOGISTIC_FOLDS)
     with kept(rows.select("features", "binaryLabel", "fold")) as held:
-        return tune.logistic_cross_validate(
-            held, linear.LogisticParams().estimator(), parallelism=8
-        )
+        table = tune.logistic_cross_validate(held, linear.LogisticParams().estimator(), parallelism=8)
+    plain = (F.col("reg_param") == 0) | (F.col("elastic_net") == 0)
+    return table.where(plain & (F.col("max_iter") > 10)).select(
+        "reg_param", "elastic_net", "max_iter", F.round("metric", 4).alias("metric")
+    )

@@ -1,8 +1,10 @@
 """Queries over the random-hidden-layer networks.
 
-The checking SQL solves the narrow fits itself.  For the wide production layer
-it uses what defines a least-squares fit: per hidden node, the fitted outputs
-and the targets have the same moment.
+The checking SQL solves the narrow fits itself.  Layers of smooth nodes that are
+too wide for it are held against a narrower layer that it solves: its nodes are
+the wide layer's first, so the wide fit can leave no more squares than it does.
+Steps on one input are solved exactly, since their fit is the mean of each
+interval.
 """
 
 from __future__ import annotations
@@ -22,14 +24,20 @@ from sensorlab.operators.elm.model import (
     score_activations,
     score_column,
 )
-from sensorlab.operators.elm.solver import gram, layer_moments
+from sensorlab.operators.elm.solver import gram
 from sensorlab.operators.features import cross_product
 from sensorlab.operators.pinv import pseudo_inverse, row_product
 from sensorlab.plans import oracles as o
-from sensorlab.plans.jobs import ElmJobParams, JobParams, LogisticJobParams
-from sensorlab.plans.jobs import run_elm, run_exploration, run_pca_logistic
+from sensorlab.plans.jobs import (
+    ONLINE_NODES,
+    VELOCITIES,
+    ElmJobParams,
+    JobParams,
+    run_elm,
+    run_exploration,
+)
 from sensorlab.plans.registry import query, written_once
-from sensorlab.schema import CHANNELS, CHEST
+from sensorlab.schema import CHEST, LABEL
 from sensorlab.session import scratch_path
 from sensorlab.sources.adapters import labelled_readings, labelled_vectors, readings, vectors
 from sensorlab.streaming.online import OnlineElm
@@ -228,44 +236,46 @@ _fit_query("elm_fit_radbas", "radbas")
 _fit_query("elm_fit_sigmoid", "sigmoid")
 
 
-def _moment_sql(tables, rows, inputs, nodes, act, target) -> str:
-    """Per node, the mean of output times target; and that of output times
-    residual, which least squares makes zero."""
-    sums = [f"avg(h{i} * {target}) AS m{i}" for i in range(1, nodes + 1)]
-    cells = [o.rounded(f"m{i}", 9) for i in range(1, nodes + 1)]
-    parts = [
-        tables,
-        o.layer(nodes, len(inputs)),
-        o.hidden(rows, [target], inputs, nodes, act),
-        f"sums AS (SELECT {', '.join(sums)} FROM hidden)",
-    ]
+# nodes of the narrow fit that a wide one is held against
+NARROW = 16
+
+
+def _wide_sql(act) -> str:
+    """Squares that the narrow fit leaves; the wide one must leave fewer, and as many
+    positive as negative residuals in sum."""
+    fitted = o.fitted_network(o.LABELLED, "labelled", ["binaryLabel"], INPUTS, NARROW, act)
     return (
-        f"WITH {', '.join(parts)} SELECT unnest(range({nodes})) AS node, "
-        f"unnest([{', '.join(cells)}]) AS moment, 0.0::DOUBLE AS residual FROM sums"
+        f"{fitted} SELECT count(*) AS rows, {o.rounded('avg(pow(t - binaryLabel, 2))', 7)} AS narrow, "
+        "TRUE AS wide_leaves_less, 0.0::DOUBLE AS mean_residual FROM scored"
     )
 
 
-def _moments(rows, layer, output, target):
-    """The same, of fitted rows: target 0 is the label, target 1 its residual."""
-    sums = layer_moments(rows, layer, [target, output - target])
-    count = rows.agg(F.count("*")).scalar()
-    mean = F.col("value") / count
-    return sums.groupBy(F.col("node").cast("bigint").alias("node")).agg(
-        F.round(F.max(F.when(F.col("target") == 0, mean)), 9).alias("moment"),
-        F.round(F.max(F.when(F.col("target") == 1, mean)), 5).alias("residual"),
+def wide_check(spark, sf_dir, act, nodes, **settings):
+    rows = _rows(spark, sf_dir)
+    wide, narrow = (
+        ElmClassifier(activationFunc=act, hiddenNodes=n, init="arithmetic", **more).fit(rows)
+        for n, more in ((nodes, settings), (NARROW, {}))
+    )
+    scored = rows.withColumn("w", wide.score(rows)).withColumn("n", narrow.score(rows))
+    label = F.col("binaryLabel")
+    left = scored.agg(
+        F.count("*").alias("rows"),
+        F.avg((F.col("n") - label) ** 2).alias("narrow"),
+        F.avg((F.col("w") - label) ** 2).alias("wide"),
+        F.avg(F.col("w") - label).alias("mean"),
+    )
+    return left.select(
+        "rows",
+        F.round("narrow", 7).alias("narrow"),
+        (F.col("wide") <= F.col("narrow") + 1e-9).alias("wide_leaves_less"),
+        (F.round("mean", 6) + 0.0).alias("mean_residual"),
     )
 
 
 def _wide_fit(name: str, act: str, nodes: int):
-    @query(
-        name,
-        _moment_sql(o.LABELLED, "labelled", INPUTS, nodes, act, "binaryLabel"),
-    )
+    @query(name, _wide_sql(act))
     def run(spark, sf_dir):
-        rows = _rows(spark, sf_dir)
-        model = _classifier(act, nodes).fit(rows)
-        scored = rows.withColumn("t", model.score(rows))
-        return _moments(scored, model.layer, F.col("t"), F.col("binaryLabel"))
+        return wide_check(spark, sf_dir, act, nodes)
 
     return run
 
@@ -274,25 +284,22 @@ _wide_fit("elm_normal_equations", "tanh", 100)
 _wide_fit("elm_normal_equations_sigmoid", "sigmoid", 50)
 
 
-@query(
-    "elm_normal_equations_vectors",
-    _moment_sql(
-        o.LABELLED_VECTORS,
-        "labelled",
-        [f"embedding[{i}]" for i in range(1, 65)],
-        40,
-        "sigmoid",
-        "binaryLabel",
-    ),
-)
+def _vector_fit_sql() -> str:
+    inputs = [f"embedding[{i}]" for i in range(1, 65)]
+    fitted = o.fitted_network(
+        o.LABELLED_VECTORS, "labelled", ["vec_id", "binaryLabel"], inputs, 40, "sigmoid"
+    )
+    return f"{fitted} SELECT vec_id, {o.rounded('t', 5)} AS fitted FROM scored"
+
+
+@query("elm_normal_equations_vectors", _vector_fit_sql())
 def elm_normal_equations_vectors(spark, sf_dir):
-    """All 64 axes as features."""
+    """All 64 axes as features: the fitted output of every row."""
     rows = labelled_vectors(spark, sf_dir).select(
-        F.col("embedding").alias("features"), "binaryLabel"
+        "vec_id", F.col("embedding").alias("features"), "binaryLabel"
     )
     model = _classifier("sigmoid", 40).fit(rows)
-    scored = rows.withColumn("t", model.score(rows))
-    return _moments(scored, model.layer, F.col("t"), F.col("binaryLabel"))
+    return rows.select("vec_id", F.round(model.score(rows), 5).alias("fitted"))
 
 
 # regression: the square root of an amount, both scaled to [-1, 1]
@@ -315,14 +322,38 @@ def _regression_rows(spark, sf_dir):
     return scaled.select(F.array("x").alias("features"), "y")
 
 
-@query("elm_regression_check", _moment_sql(_SCALED, "scaled", ["x"], 40, "hardlim", "y"))
+def _steps_sql() -> str:
+    """Nodes that step on one input cut it into intervals; the fit is each one's mean."""
+    active = " + ".join(f"h{i}" for i in range(1, 41))
+    parts = [
+        _SCALED,
+        o.layer(40, 1),
+        o.hidden("scaled", ["y"], ["x"], 40, "hardlim"),
+        f"cut AS (SELECT y, CAST({active} AS BIGINT) AS active FROM hidden)",
+    ]
+    return (
+        f"WITH {', '.join(parts)} SELECT active, count(*) AS rows, {o.rounded('avg(y)', 7)} AS lowest, "
+        f"{o.rounded('avg(y)', 7)} AS highest FROM cut GROUP BY active"
+    )
+
+
+def steps_of(scored, layer):
+    """Rows, and the least and greatest fitted value, by the number of active nodes."""
+    active = sum(hidden_columns([F.col("features")[0]], layer))
+    return scored.groupBy(active.cast("bigint").alias("active")).agg(
+        F.count("*").alias("rows"),
+        (F.round(F.min("prediction"), 7) + 0.0).alias("lowest"),
+        (F.round(F.max("prediction"), 7) + 0.0).alias("highest"),
+    )
+
+
+@query("elm_regression_check", _steps_sql())
 def elm_regression(spark, sf_dir):
     rows = _regression_rows(spark, sf_dir)
     model = ElmRegressor(
         labelCol="y", activationFunc="hardlim", hiddenNodes=40, init="arithmetic"
     ).fit(rows)
-    scored = model.transform(rows)
-    return _moments(scored, model.layer, F.col("prediction"), F.col("y"))
+    return steps_of(model.transform(rows), model.layer)
 
 
 def _train_online(spark, folder, schema, layer, target):
@@ -347,7 +378,7 @@ def elm_online(spark, sf_dir):
     return _fitted_means(online.model(), _rows(spark, sf_dir, "subject"))
 
 
-@query("elm_online_regression", _moment_sql(_SCALED, "scaled", ["x"], 40, "hardlim", "y"))
+@query("elm_online_regression", _steps_sql())
 def elm_online_regression(spark, sf_dir):
     rows = _regression_rows(spark, sf_dir)
     folder = written_once(
@@ -358,8 +389,7 @@ def elm_online_regression(spark, sf_dir):
     )
     layer = _layer("hardlim", 40, 1)
     online = _train_online(spark, folder, "features array<double>, y double", layer, "y")
-    scored = online.model(regression=True).transform(rows)
-    return _moments(scored, layer, F.col("prediction"), F.col("y"))
+    return steps_of(online.model(regression=True).transform(rows), layer)
 
 
 @query("elm_save_load", _fit_sql("tanh"))
@@ -427,16 +457,39 @@ def elm_grid(spark, sf_dir):
     return table.select("activation", "hidden_nodes", F.round("error", 9).alias("error"), "rows")
 
 
-@query("elm_grid_production")
+def _production_sql() -> str:
+    """On readings every score is above 0, so that every point calls all rows active: the
+    error is the share of inactive rows, and the first point is the best of equals."""
+    folds = tune.ELM_FOLDS
+    fold = f"CAST(floor({o.knuth_twice('session_id')} * {folds} / 4294967296) AS INTEGER)"
+    fitted = o.fitted_network(
+        o.LABELLED, "labelled", ["session_id", "binaryLabel"], INPUTS, NODES, "tanh"
+    )
+    points = ", ".join(
+        f"({i}, '{a}', {n})" for i, (a, n) in enumerate(tune.elm_grid_points())
+    )
+    return (
+        f"{fitted}, shares AS (SELECT {fold} AS fold, avg(CASE WHEN (t > 0) <> (binaryLabel > 0.5) "
+        "THEN 1.0 ELSE 0.0 END) AS e, count(*) AS n FROM scored GROUP BY 1) "
+        "SELECT CAST(point AS INTEGER) AS point, activation, CAST(hidden_nodes AS INTEGER) AS hidden_nodes, "
+        f"{o.rounded('error', 9)} AS error, rows, CAST(point + 1 AS INTEGER) AS rank FROM "
+        f"(VALUES {points}) p(point, activation, hidden_nodes), "
+        "(SELECT avg(e) AS error, CAST(sum(n) AS BIGINT) AS rows FROM shares)"
+    ).replace(") , shares", "), shares")
+
+
+@query("elm_grid_production", _production_sql())
 def elm_grid_production(spark, sf_dir):
     """The job's whole grid on readings; folds by session."""
     rows = prepare.with_fold(_rows(spark, sf_dir, "session_id"), "session_id", tune.ELM_FOLDS)
-    return tune.elm_cross_validate(rows, tune.elm_grid_points())
+    return tune.elm_cross_validate(rows, tune.elm_grid_points()).withColumn(
+        "error", F.round("error", 9)
+    )
 
 
 # --- pseudo-inverse --------------------------------------------------------
 
-_AXES = 4
+_AXES = 64
 
 
 def _pinv_sql() -> str:
@@ -459,8 +512,8 @@ def _pinv_sql() -> str:
 
 @query("svd_pseudo_inverse_check", _pinv_sql())
 def svd_pseudo_inverse(spark, sf_dir):
-    """Each row's column of the pseudo-inverse of all vectors' first axes."""
-    rows = vectors(spark, sf_dir).select("vec_id", F.slice("embedding", 1, _AXES).alias("features"))
+    """Each row's column of the pseudo-inverse of all vectors."""
+    rows = vectors(spark, sf_dir).select("vec_id", F.col("embedding").alias("features"))
     inverse = pseudo_inverse(rows, _AXES)
     return inverse.select("vec_id", F.posexplode("pinv").alias("axis", "value")).select(
         "vec_id", (F.col("axis") + 1).alias("axis"), F.round("value", 9).alias("value")
@@ -469,28 +522,22 @@ def svd_pseudo_inverse(spark, sf_dir):
 
 @query(
     "svd_reconstruction",
-    f"WITH {o.VECTORS} SELECT vec_id, unnest(range(64)) AS axis, unnest(embedding) AS value "
-    "FROM vectors",
+    f"WITH {o.VECTORS} SELECT vec_id, unnest(range(64)) AS axis, "
+    "unnest([round(v, 7) + 0.0 for v in embedding]) AS value FROM vectors",
 )
 def svd_reconstruction(spark, sf_dir):
-    """A times A+ times A gives back A, on all 64 axes.
-
-    Values are doubles made of floats; what agrees to 1e-9 is shown as given.
-    """
+    """A times A+ times A gives back A, on all 64 axes."""
     rows = vectors(spark, sf_dir)
     product_ = cross_product(pseudo_inverse(rows, 64, "embedding"), "pinv", "embedding").collect()
-    identity = np.zeros((64, 64))
+    near_identity = np.zeros((64, 64))
     for cell in product_:
-        identity[cell["i"], cell["j"]] = cell["value"]
-    rebuilt = rows.withColumn("rebuilt", row_product(F.col("embedding"), identity))
-    cells = rebuilt.select(
-        "vec_id", F.posexplode(F.arrays_zip("embedding", "rebuilt")).alias("axis", "cell")
-    )
-    given, found = F.col("cell.embedding"), F.col("cell.rebuilt")
+        near_identity[cell["i"], cell["j"]] = cell["value"]
+    rebuilt = rows.withColumn("rebuilt", row_product(F.col("embedding"), near_identity))
+    cells = rebuilt.select("vec_id", F.posexplode("rebuilt").alias("axis", "value"))
     return cells.select(
         "vec_id",
         F.col("axis").cast("bigint").alias("axis"),
-        F.when(F.abs(given - found) < 1e-9, given).otherwise(found).alias("value"),
+        (F.round("value", 7) + 0.0).alias("value"),
     )
 
 
@@ -498,49 +545,85 @@ def svd_reconstruction(spark, sf_dir):
 
 
 def _job_sql() -> str:
+    """Sizes and errors of the job with its narrow network; the tuned one's follow from
+    scores above 0, as in the grid's query."""
     test = f"{o.knuth('session_id', 12345)} < {int(0.6 * 2**32)}"
+    fold = f"CAST(floor({o.knuth_twice('session_id', 12345)} * {tune.ELM_FOLDS} / 4294967296) AS INTEGER)"
     fitted = o.fitted_network(
         o.LABELLED, "labelled", ["session_id", "binaryLabel"], INPUTS, NODES, "tanh",
         train=f"NOT ({test})",
     )
     wrong = "avg(CASE WHEN (t > 0) <> (binaryLabel > 0.5) THEN 1.0 ELSE 0.0 END)"
     rows = ["SELECT 'data' AS stage, 'samples' AS metric, count(*)::DOUBLE AS value FROM scored"]
-    for stage, where in (("train", f"NOT ({test})"), ("test", test)):
+    for stage, where in (("train", f"NOT ({test})"), ("test", test), ("tuned", test)):
         rows.append(f"SELECT '{stage}', 'rows', count(*)::DOUBLE FROM scored WHERE {where}")
         rows.append(
             f"SELECT '{stage}', 'misclassification', {o.rounded(wrong, 9)} FROM scored "
             f"WHERE {where}"
         )
+    rows.append(f"SELECT 'tune', 'best hidden nodes', {tune.ELM_GRID_NODES[0]}::DOUBLE")
+    rows.append(
+        f"SELECT 'tune', 'best misclassification', {o.rounded('avg(e)', 9)} FROM (SELECT {wrong} AS e "
+        f"FROM scored WHERE {test} GROUP BY {fold})"
+    )
     return fitted + " UNION ALL ".join(rows)
 
 
-@query("job_report", _job_sql())
-def job_report(spark, sf_dir):
-    """What the network job reports of sizes and errors."""
-    params = ElmJobParams(
-        scale=SCALE, key="session_id", hiddenNodes=NODES, init="arithmetic", tune=False
-    )
-    report = run_elm(spark, readings(spark, sf_dir), params).report
-    return report.where(F.col("metric").isin("samples", "rows", "misclassification")).select(
+def _sizes_and_errors(report):
+    known = ["samples", "rows", "misclassification", "best hidden nodes", "best misclassification"]
+    return report.where(F.col("metric").isin(known)).select(
         "stage", "metric", F.round("value", 9).alias("value")
     )
 
 
-@query("job_elm")
-def job_elm(spark, sf_dir):
-    return run_elm(
-        spark, readings(spark, sf_dir), ElmJobParams(scale=SCALE, key="session_id")
-    ).report
+@query("job_report", _job_sql())
+def job_report(spark, sf_dir):
+    """What the network job reports of sizes and errors, with a narrow network."""
+    params = ElmJobParams(scale=SCALE, key="session_id", hiddenNodes=NODES, init="arithmetic")
+    return _sizes_and_errors(run_elm(spark, readings(spark, sf_dir), params).report)
 
 
-@query("job_pca_logistic")
-def job_pca_logistic(spark, sf_dir):
-    params = LogisticJobParams(features=tuple(CHANNELS), key="session_id", tune=False)
-    return run_pca_logistic(spark, readings(spark, sf_dir), params).report
+@query("job_elm", _job_sql())
+def job_elm(spark, sf_dir):
+    """The same of the job as it stands."""
+    params = ElmJobParams(scale=SCALE, key="session_id")
+    return _sizes_and_errors(run_elm(spark, readings(spark, sf_dir), params).report)
+
+
+def _exploration_sql() -> str:
+    labelled, unlabelled = f"{LABEL} > 0", f"{LABEL} = 0"
+    speeds = []
+    for name, (x, y, z) in VELOCITIES.items():
+        speed = f"sqrt({' + '.join(f'pow({c} * 0.02, 2)' for c in (x, y, z))})"
+        speeds.append(
+            f"SELECT 'data', 'mean velocity', '{name}', {o.rounded(f'avg({speed})', 6)} FROM labelled"
+        )
+    online = [
+        f"SELECT 'online {name}', 'rows', '{nodes} nodes', count(*)::DOUBLE FROM labelled"
+        for name in ("channels", "velocities", "scaled velocities")
+        for nodes in ONLINE_NODES
+    ]
+    rows = [
+        "SELECT 'data' AS stage, 'all rows' AS metric, '' AS note, count(*)::DOUBLE AS value FROM readings",
+        f"SELECT 'data', 'unlabelled rows', '', count(*)::DOUBLE FROM readings WHERE {unlabelled}",
+        f"SELECT 'data', 'labelled rows', '', count(*)::DOUBLE FROM readings WHERE {labelled}",
+        *speeds,
+        *online,
+    ]
+    return f"WITH {o.LABELLED} {' UNION ALL '.join(rows)}"
 
 
-@query("job_exploration")
+@query("job_exploration", _exploration_sql())
 def job_exploration(spark, sf_dir):
-    return run_exploration(
+    """Sizes, speeds and the rows that the online networks have seen; the networks' own
+    figures and the binomial model have queries and tests of their own."""
+    report = run_exploration(
         spark, readings(spark, sf_dir), JobParams(scale=SCALE, key="session_id")
     ).report
+    known = (F.col("stage") == "data") | (F.col("stage").startswith("online") & (F.col("metric") == "rows"))
+    return report.where(known).select(
+        "stage",
+        "metric",
+        F.coalesce("note", F.lit("")).alias("note"),
+        F.round("value", 6).alias("value"),
+    )

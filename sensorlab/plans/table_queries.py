@@ -299,13 +299,28 @@ def exact_split(spark, sf_dir):
 
 @query(
     "random_split",
-    f"WITH {o.VECTORS} SELECT vec_id, 1 AS parts FROM vectors",
+    f"WITH {o.VECTORS} SELECT count(*) AS rows, count(*) AS in_one_part, TRUE AS near_fraction, "
+    "TRUE AS same_again FROM vectors",
 )
 def random_split(spark, sf_dir):
-    """In how many of the two parts each row is."""
-    train, test = prepare.random_split(vectors(spark, sf_dir).select("vec_id"), 0.6)
-    return prepare.union_by_position([train, test]).groupBy("vec_id").agg(
-        F.count("*").cast("int").alias("parts")
+    """Rows in exactly one part; the test part's size against the fraction, within five
+    standard deviations; and whether the same seed gives the same parts."""
+    ids = vectors(spark, sf_dir).select("vec_id")
+
+    def parts():
+        train, test = prepare.random_split(ids, 0.6)
+        return prepare.union_all(
+            [train.withColumn("held", F.lit(0)), test.withColumn("held", F.lit(1))]
+        ).groupBy("vec_id").agg(F.count("*").alias("n"), F.sum("held").alias("held"))
+
+    both = parts().alias("a").join(parts().alias("b"), "vec_id", "full")
+    n, held = F.count("*"), F.sum("a.held")
+    spread = 5 * F.sqrt(n * 0.6 * 0.4)
+    return both.agg(
+        n.alias("rows"),
+        F.count_if((F.col("a.n") == 1) & (F.col("b.n") == 1)).alias("in_one_part"),
+        (F.abs(held - n * 0.6) <= spread).alias("near_fraction"),
+        F.bool_and(F.col("a.held") == F.col("b.held")).alias("same_again"),
     )
 
 
@@ -613,6 +628,17 @@ def auroc_ties(spark, sf_dir):
     )
 
 
+@query(
+    "auroc_readings",
+    f"WITH {o.LABELLED} SELECT round(area, 9) AS area FROM ("
+    + o.ranked_area("labelled", "ecg_1", "binaryLabel")
+    + ")",
+)
+def auroc_readings(spark, sf_dir):
+    """A score of nearly as many values as rows, over several tasks."""
+    return _area(spark, evaluate.area_under(labelled_readings(spark, sf_dir), "ecg_1"))
+
+
 @query(
     "aupr_check",
     f"WITH {o.LABELLED_VECTORS}, points AS (SELECT embedding[1] AS s, sum(binaryLabel) AS p, "

@@ -13,7 +13,7 @@ def connection(sf_dir):
     return database(sf_dir)
 
 
-@pytest.mark.parametrize("name", sorted(set(QUERIES) - {"logistic_grid_check"}))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query(spark, connection, sf_dir, name):
     ok, note = compare(spark, connection, QUERIES[name], ORACLES.get(name), sf_dir)
     assert ok, note
