@@ -191,7 +191,7 @@ def sources_of(sized: DataFrame) -> list[Source]:
 
 
 def draw_slots(spark: SparkSession, sources: list[Source]) -> DataFrame:
-    """The mix: shard, slot in it, and the source's number, pass, block and words taken."""
+    """Write the mix: shard, slot in it, and the source's number, pass, block and words taken."""
     totals = np.array([s.slots for s in sources], np.int64)
     shards = max(1, -(-int(totals.sum()) // SHARD))
 
@@ -216,7 +216,8 @@ def draw_slots(spark: SparkSession, sources: list[Source]) -> DataFrame:
                 )
 
     schema = "shard long, slot long, number long, pass long, block long, words long"
-    return spark.range(shards).mapInArrow(run, schema)
+    # written, so that its size is known: it grows with the corpus and must not be broadcast
+    return written(spark.range(shards).mapInArrow(run, schema), "slots")
 
 
 def lay_out(sized: DataFrame, sources: list[Source]) -> DataFrame:
@@ -327,37 +328,34 @@ def mix_documents(docs: DataFrame) -> DataFrame:
     layout = written(lay_out(sized, sources), "layout")
     parts = F.collect_list(F.struct("pass", "from", "to")).alias("parts")
     taken = take(layout, draw_slots(spark, sources)).groupBy("number", "start").agg(parts)
-    key = F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), "text_hash")
+    # equal rows of a source are told apart by counting; the key is that of rows that may be equal
+    text = F.xxhash64("text")
+    key = lambda text: F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), text)
     copies = (
         layout.join(taken, ["number", "start"])
-        .groupBy(key.alias("row_key"), F.col("number").alias("row_number_of_source"))
-        .agg(F.map_from_entries(F.collect_list(F.struct("copy", "parts"))).alias("copies"))
+        .groupBy(key("text_hash").alias("__key"), F.col("number").alias("__number"))
+        .agg(F.map_from_entries(F.collect_list(F.struct("copy", "parts"))).alias("__copies"))
     )
-    own = docs.withColumn("text_hash", F.xxhash64("text")).withColumn("row_key", key)
-    names = spark.createDataFrame(
-        [(s.name, s.number) for s in sources], "name string, row_number_of_source long"
+    names = spark.createDataFrame([(s.name, s.number) for s in sources], "__name string, __number long")
+    numbered = docs.withColumn("__key", key(text)).join(
+        names, docs["source"].eqNullSafe(names["__name"])
     )
-    numbered = own.join(names, own["source"].eqNullSafe(names["name"]))
-    same = Window.partitionBy("row_key", "row_number_of_source").orderBy(F.lit(1))
+    same = Window.partitionBy("__key", "__number").orderBy(F.lit(1))
     chosen = (
-        numbered.withColumn("copy", F.row_number().over(same))
-        .join(copies, ["row_key", "row_number_of_source"])
-        .withColumn("parts", F.col("copies")[F.col("copy")])
-        .where("parts IS NOT NULL")
-        .select(*docs.columns, "parts")
+        numbered.withColumn("__copy", F.row_number().over(same))
+        .join(copies, ["__key", "__number"])
+        .withColumn("__parts", F.col("__copies")[F.col("__copy")])
+        .where("__parts IS NOT NULL")
+        .select(*docs.columns, "__parts")
     )
-    at = docs.columns.index("text")
+    at, columns_ = docs.columns.index("text"), docs.columns
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        texts = [
-            taken_text(t, p)
-            for t, p in zip(batch.column(at).to_pylist(), batch.column(len(docs_columns)).to_pylist())
-        ]
-        columns = list(batch.columns[:-1])
+        columns = list(batch.columns)
+        taken_parts = columns.pop().to_pylist()
+        texts = map(taken_text, columns[at].to_pylist(), taken_parts)
         columns[at] = pa.array(texts, pa.string())
-        return pa.RecordBatch.from_arrays(columns, names=docs_columns)
+        return pa.RecordBatch.from_arrays(columns, names=columns_)
 
-    docs_columns = docs.columns
     types = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    mixed = map_arrow(chosen, run, types)
-    return mixed.withColumn("n_chars", F.length("text").cast("bigint")) if "n_chars" in docs_columns else mixed
+    return map_arrow(chosen, run, types)
