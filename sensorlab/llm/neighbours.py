@@ -24,8 +24,9 @@ table's visited buckets held about half of all vectors.
 
 Vectors that are null, zero, of another length than most, or hold null or
 non-finite components take no part, nor do rows with a null id. Rows with one id
-and equal vectors are one. Queries with fewer candidates get all of them; an
-empty table gives an empty table. Further columns are ignored.
+and equal vectors are one. A query whose buckets held fewer than k others is
+held against all vectors of one table, in blocks, so it gets k, or all there are;
+an empty table gives an empty table. Further columns are ignored.
 """
 
 from __future__ import annotations
@@ -322,28 +323,6 @@ def nearest(embeddings: DataFrame, every: int = 20, k: int = 20) -> DataFrame:
         "codes",
         "vector",
     )
-    probes = (
-        asked.select("vec_id", "vector")
-        .dropDuplicates(["vec_id"])
-        .mapInArrow(_query_rows(index), "block string, vec_id long, cutoff double, vector array<double>")
-        .join(chunks, "block")
-        .withColumn("part", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
-        .select(
-            F.concat_ws(":", "block", "part").alias("chunk"),
-            F.lit(True).alias("is_query"),
-            "vec_id",
-            "cutoff",
-            F.lit(None).cast("array<bigint>").alias("members"),
-            F.lit(None).cast("array<int>").alias("codes"),
-            "vector",
-        )
-    )
-    found = (
-        dealt.unionByName(probes)
-        .repartition("chunk")
-        .sortWithinPartitions("chunk", "is_query")
-        .mapInArrow(_search(index), "vec_id long, ids array<bigint>, scores array<double>")
-    )
 
     def merge(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
         best = {
@@ -356,9 +335,40 @@ def nearest(embeddings: DataFrame, every: int = 20, k: int = 20) -> DataFrame:
             {"vec_id": [key[0]], "ids": [[i for i, _ in order]], "scores": [[s for _, s in order]]}
         )
 
-    merged = found.groupBy("vec_id").applyInPandas(
-        merge, "vec_id long, ids array<bigint>, scores array<double>"
-    )
+    def search(visits: DataFrame) -> DataFrame:
+        """Best entries of every query over the blocks it visits; visits have the blocks' chunks."""
+        probes = visits.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+        probes = probes.select(
+            F.concat_ws(":", "block", "part").alias("chunk"),
+            F.lit(True).alias("is_query"),
+            "vec_id",
+            "cutoff",
+            F.lit(None).cast("array<bigint>").alias("members"),
+            F.lit(None).cast("array<int>").alias("codes"),
+            "vector",
+        )
+        found = (
+            dealt.unionByName(probes)
+            .repartition("chunk")
+            .sortWithinPartitions("chunk", "is_query")
+            .mapInArrow(_search(index), "vec_id long, ids array<bigint>, scores array<double>")
+        )
+        return found.groupBy("vec_id").applyInPandas(
+            merge, "vec_id long, ids array<bigint>, scores array<double>"
+        )
+
+    queries = asked.select("vec_id", "vector").dropDuplicates(["vec_id"])
+    visits = queries.mapInArrow(
+        _query_rows(index), "block string, vec_id long, cutoff double, vector array<double>"
+    ).join(chunks, "block")
+    merged = written(search(visits), "found")
+    # queries whose buckets held too few vectors go through all blocks of one table
+    short = queries.join(merged.where(F.size("ids") > k).select("vec_id"), "vec_id", "left_anti")
+    short = written(short.withColumn("table", F.lit("0")), "short")
+    if not short.isEmpty():
+        all_blocks = chunks.withColumn("table", F.substring_index("block", ":", 1))
+        rest = search(short.withColumn("cutoff", F.lit(-1e300)).join(all_blocks, "table"))
+        merged = merged.join(short.select("vec_id"), "vec_id", "left_anti").unionByName(rest)
     pairs = F.expr("filter(arrays_zip(ids, scores), p -> p.ids != query_id)")
     return (
         asked.select("query_id", "vec_id")
