@@ -22,9 +22,9 @@ from sensorlab.operators.elm.layer import draw_layer
 from sensorlab.operators.elm.model import ElmClassifier
 from sensorlab.operators.tune import elm_grid_points
 from sensorlab.plans import all_queries
-from sensorlab.plans.jobs import VELOCITIES
+from sensorlab.plans.jobs import ONLINE_NODES, VELOCITIES
 from sensorlab.plans.registry import written_once
-from sensorlab.schema import CHEST, GLM_FEATURES, LABEL, LOGISTIC_FEATURES
+from sensorlab.schema import CHANNELS, CHEST, GLM_FEATURES, LABEL, LOGISTIC_FEATURES
 from sensorlab.session import kept, scratch_path
 from sensorlab.sources.adapters import labelled_readings, readings, table
 from sensorlab.sources.text import read_readings
@@ -72,9 +72,6 @@ def main() -> None:
         )
 
     chest = inputs(CHEST)
-    velocity = prepare.with_velocity(rows, VELOCITIES).select(
-        F.array(*VELOCITIES).alias("features"), "binaryLabel"
-    )
     half, _ = prepare.hash_split(inputs(CHEST, "session_id"), "session_id", 0.5)
 
     def fit(frame, activation, nodes):
@@ -83,16 +80,35 @@ def main() -> None:
     model = fit(chest, "tanh", 100)()
     predictions = model.transform(chest)
 
-    def online():
-        state = OnlineElm(spark, draw_layer(40, 3, "sigmoid"), scratch_path(spark, "state"))
-        stream = (
-            spark.readStream.schema(source.schema).option("maxFilesPerTrigger", 4).parquet(columnar)
-        )
-        live = prepare.with_binary_label(prepare.labelled(stream)).select(
-            F.array(*[F.col(c) / SCALE for c in CHEST]).alias("features"), "binaryLabel"
+    # what the online networks read: channels of all rows, velocities of a half, plain and scaled
+    speeds = prepare.with_velocity(rows, VELOCITIES).select("session_id", "binaryLabel", *VELOCITIES)
+    part, _ = prepare.hash_split(speeds, "session_id", 0.5)
+    streams = {
+        "channels": chest,
+        "velocity_half": part.select(F.array(*VELOCITIES).alias("features"), "binaryLabel"),
+        "scaled_half": prepare.scale_symmetric(part, list(VELOCITIES)).select(
+            F.array(*VELOCITIES).alias("features"), "binaryLabel"
+        ),
+    }
+    folders = {
+        name: written_once(
+            spark, sf_dir, f"bench-{name}", lambda path, t=t: t.repartition(int(cpus)).write.parquet(path)
         )
-        state.start(live, scratch_path(spark, "checkpoint")).awaitTermination()
-        state.model()
+        for name, t in streams.items()
+    }
+
+    def online(name, nodes):
+        def run():
+            state = OnlineElm(spark, draw_layer(nodes, 3, "sigmoid"), scratch_path(spark, "state"))
+            stream = (
+                spark.readStream.schema("features array<double>, binaryLabel double")
+                .option("maxFilesPerTrigger", 4)
+                .parquet(folders[name])
+            )
+            state.start(stream, scratch_path(spark, "checkpoint")).awaitTermination()
+            state.model()
+
+        return run
 
     def ten_subjects():
         """As the published figure: the table of ten subjects' files, built but not run."""
@@ -138,14 +154,18 @@ def main() -> None:
         "elm_fit_sigmoid_50": fit(chest, "sigmoid", 50),
         "elm_fit_sigmoid_50_half": fit(half, "sigmoid", 50),
         "elm_fit_radbas_50_half": fit(half, "radbas", 50),
-        "elm_fit_sigmoid_40": fit(chest, "sigmoid", 40),
-        "elm_fit_sigmoid_10": fit(chest, "sigmoid", 10),
-        "elm_fit_velocity_sigmoid_100": fit(velocity, "sigmoid", 100),
-        "elm_online_sigmoid_40": online,
+        "elm_online_sigmoid_10": online("channels", 10),
+        "elm_online_sigmoid_40": online("channels", 40),
+        **{
+            f"elm_online_{name}_{nodes}": online(name, nodes)
+            for name in ("velocity_half", "scaled_half")
+            for nodes in ONLINE_NODES
+        },
         "elm_score_tanh_100": lambda: force(predictions.select("rawPrediction", "prediction")),
         "misclassification": lambda: evaluate.error_metrics(predictions).collect(),
         "auroc": lambda: evaluate.area_under(predictions),
         "elm_grid_6_points_3_folds": grid,
+        "pca_fit_23_channels": lambda: features.fit_pca(assembled(CHANNELS), 3),
         "logistic_fit": logistic,
         "binomial_fit": binomial,
     }
