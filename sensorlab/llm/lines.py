@@ -44,7 +44,7 @@ PHRASES = (
     "terms of use",
 )
 #: Share of a document's word characters that its removed lines may hold, per cent.
-MAX_LOSS = 40
+MAX_LOSS = 60
 #: Words of a window, and the words below which a document fails.
 WINDOW, LEAST_WORDS = 8, 20
 
