@@ -257,7 +257,9 @@ def labelled_page(rng: np.random.Generator) -> tuple[str, list[bool]]:
 
     def words(low: int, high: int, end: str = "") -> str:
         n = int(rng.integers(low, high + 1))
-        return " ".join("".join(pick("ab ce di fo gu ha".split()) for _ in range(rng.integers(1, 5))) for _ in range(n)) + end
+        syllables = "ab ce di fo gu ha".split()
+        made = ("".join(pick(syllables) for _ in range(rng.integers(1, 5))) for _ in range(n))
+        return " ".join(made) + end
 
     def block(tag: str, text: str, label: bool, link: float = 0.0) -> None:
         if rng.random() < link:
@@ -272,7 +274,8 @@ def labelled_page(rng: np.random.Generator) -> tuple[str, list[bool]]:
         tag = {"comments": "section", "notice": "div", "advert": "div"}.get(kind, kind)
         semantic = rng.random() < 0.5
         tag = tag if semantic else "div"
-        named = rng.random() < (0.5 if semantic and kind in ("nav", "header", "footer", "aside", "form") else 1.0)
+        told_by_tag = semantic and kind in ("nav", "header", "footer", "aside", "form")
+        named = rng.random() < (0.5 if told_by_tag else 1.0)
         key = pick(("class", "class", "id"))
         parts.append(f'<{tag} {key}="{name}">' if named else f"<{tag}>")
         if kind == "nav" or kind in ("header", "footer", "aside") and rng.random() < 0.4:
@@ -380,7 +383,9 @@ def fit_field(pages: list[tuple[list[Block], list[bool]]]) -> Field:
     rows_, columns_ = np.array(rows), np.array(columns)
     held = truth.astype(int)
     seen = np.zeros((2, 2, 2))
-    np.add.at(seen, (same[:, 1:][alive[:, 1:]].astype(int), held[:, :-1][alive[:, 1:]], held[:, 1:][alive[:, 1:]]), 1)
+    follows = alive[:, 1:]
+    kinds = same[:, 1:][follows].astype(int)
+    np.add.at(seen, (kinds, held[:, :-1][follows], held[:, 1:][follows]), 1)
     weights, pairs = np.zeros(len(names)), np.zeros((2, 2, 2))
     squares, pair_squares = np.full(len(names), 1e-8), np.full((2, 2, 2), 1e-8)
     for _ in range(STEPS):

@@ -142,7 +142,8 @@ def _fit(entries: DataFrame, k: int) -> Index | None:
     sample = entries.where(F.size("vector") == dim).where(
         F.pmod(F.xxhash64("vec_id", F.lit(SEED)), F.lit(1_000_000)) < int(share * 1_000_000) + 1
     )
-    found = np.array([r[0] for r in sample.select("vector").limit(SAMPLE_ROWS).collect()])
+    order = sample.orderBy(F.xxhash64("vec_id", F.lit(SEED)), "vec_id").limit(SAMPLE_ROWS)
+    found = np.array([r[0] for r in order.select("vector").collect()])
     if not len(found):
         return Index(dim, rows, norm, 0.0, k)
     queries = found[:SAMPLE_QUERIES]
