@@ -20,8 +20,8 @@ U = np.uint64
 MIX_A, MIX_B = U(0xBF58476D1CE4E5B9), U(0x94D049BB133111EB)
 GOLDEN = U(0x9E3779B97F4A7C15)
 
-#: Bytes of text that a task takes into numpy arrays at once.
-SLICE_BYTES = 2_000_000
+#: Bytes of text that a task takes into numpy arrays at once, and rows that it takes as objects.
+SLICE_BYTES, SLICE_ROWS = 1_000_000, 500
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -46,15 +46,21 @@ def written(df: DataFrame, tag: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def small_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Parts of at most SLICE_ROWS rows, so that few texts are held as objects at a time."""
+    for batch in batches:
+        for start in range(0, batch.num_rows, SLICE_ROWS):
+            yield batch.slice(start, SLICE_ROWS)
+    pa.default_memory_pool().release_unused()
+
+
 def map_arrow(
     df: DataFrame, function: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str
 ) -> DataFrame:
-    """Apply a function of one Arrow batch to every batch."""
+    """Apply a function of one Arrow batch to every small batch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
-                yield function(batch)
+        yield from map(function, small_batches(batches))
 
     return df.mapInArrow(run, schema)
 

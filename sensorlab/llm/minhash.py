@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from sensorlab.llm.common import U, mix, slices, text_bytes, word_hashes, written
+from sensorlab.llm.common import U, mix, slices, small_batches, text_bytes, word_hashes, written
 
 SHINGLE = 5
 COORDINATES, BAND = 64, 4
@@ -101,7 +101,7 @@ def signatures(shingles: np.ndarray, sizes: np.ndarray) -> np.ndarray:
 
 
 def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in small_batches(batches):
         texts = text_bytes(batch.column(1))
         for a, b in slices(texts):
             shingles, sizes = shingle_sets(texts[a:b])
@@ -152,7 +152,7 @@ def _verify_pairs(per_cent: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, sets = None, []
-        for batch in batches:
+        for batch in small_batches(batches):
             links = []
             rows = zip(
                 batch.column("a").to_pylist(),
@@ -226,7 +226,7 @@ def _verify_blocks(per_cent: int):
                     [pa.array(x, pa.int64()) for x in zip(*links)], names=["a", "b"]
                 )
 
-        for batch in batches:
+        for batch in small_batches(batches):
             rows = zip(
                 batch.column("block").to_pylist(),
                 batch.column("side").to_pylist(),
@@ -393,5 +393,5 @@ def drop_near_duplicates(docs: DataFrame, per_cent: int = 85) -> DataFrame:
     kept = near_duplicates(docs, per_cent).where("kept AND doc_id IS NOT NULL")
     own = docs.join(kept.select("doc_id").distinct(), "doc_id", "left_semi")
     first = Window.partitionBy("doc_id").orderBy("text")
-    own = own.withColumn("row_of_id", F.row_number().over(first)).where("row_of_id = 1")
+    own = own.withColumn("__row_of_id", F.row_number().over(first)).where("__row_of_id = 1")
     return own.select(*docs.columns).unionByName(docs.where("doc_id IS NULL"))

@@ -16,7 +16,7 @@ from itertools import accumulate, chain
 import numpy as np
 
 #: Distinct pretokens after which a worker remembers no more; the others are encoded each time.
-REMEMBERED = 700_000
+REMEMBERED = 400_000
 
 # Latin-1 letters and numbers, and the vocabularies' pretoken patterns over them.
 _L = "A-Za-zªµºÀ-ÖØ-öø-ÿ"

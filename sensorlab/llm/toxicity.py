@@ -29,7 +29,7 @@ from pyspark.ml.linalg import SparseVector, VectorUDT
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sensorlab.llm.common import slices, text_bytes, word_hashes
+from sensorlab.llm.common import slices, small_batches, text_bytes, word_hashes
 from sensorlab.llm.rule_ensemble import learned_from, remainder
 
 SAMPLE_ROWS = 20_000
@@ -75,7 +75,7 @@ class Machine:
 
 
 def _terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in small_batches(batches):
         texts = text_bytes(batch.column(1))
         for a, b in slices(texts):
             terms, owner = text_terms(texts[a:b])
@@ -169,7 +169,7 @@ def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
     machine = fit(learned_from(texts, labels, "toxic", SAMPLE_ROWS, held_out))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small_batches(batches):
             found = text_bytes(batch.column(2))
             for a, b in slices(found):
                 scores = machine.scores(found[a:b])
