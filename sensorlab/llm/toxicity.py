@@ -34,7 +34,7 @@ from sensorlab.llm.rule_ensemble import learned_from, remainder
 
 SAMPLE_ROWS = 20_000
 PLACES = 1 << 22
-TERMS, LEAST_ROWS = 2048, 12
+TERMS, LEAST_ROWS = 2048, 5
 FACTORS, ROUNDS, STEP, SEED = 4, 120, 0.05, 37
 #: Lengths in bytes of the word beginnings that are terms.
 HEADS = (4, 5)
