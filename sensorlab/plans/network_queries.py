@@ -12,6 +12,7 @@ from __future__ import annotations
 from itertools import product
 
 import numpy as np
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from sensorlab.functions.hashing import lattice
@@ -416,21 +417,20 @@ def elm_auroc(spark, sf_dir):
 
 _POINTS = [("tanh", 10), ("tanh", 12), ("sin", 10), ("sin", 12)]
 _FOLDS = 3
-_FOLD_SQL = f"CAST(floor({o.knuth_twice('vec_id')} * {_FOLDS} / 4294967296) AS INTEGER)"
 
 
-def _grid_sql() -> str:
-    parts = [
-        o.LABELLED_VECTORS,
-        o.layer(12, 3),
-        f"folded AS (SELECT *, {_FOLD_SQL} AS fold FROM labelled)",
-    ]
+def _errors_sql(tables, inputs, key, points, threshold) -> str:
+    """WITH list that ends in ``errors``: error and rows of every point on every fold, from
+    a fit on the other folds."""
+    fold = f"CAST(floor({o.knuth_twice(key)} * {_FOLDS} / 4294967296) AS INTEGER)"
+    widest = max(n for _, n in points)
+    parts = [tables, o.layer(widest, len(inputs)), f"folded AS (SELECT *, {fold} AS fold FROM labelled)"]
     errors = []
-    for act in dict.fromkeys(a for a, _ in _POINTS):
+    for act in dict.fromkeys(a for a, _ in points):
         parts.append(
-            o.hidden("folded", ["fold", "binaryLabel"], VECTOR_INPUTS, 12, act, f"hidden_{act}")
+            o.hidden("folded", ["fold", "binaryLabel"], inputs, widest, act, f"hidden_{act}")
         )
-    for (act, nodes), fold in product(_POINTS, range(_FOLDS)):
+    for (act, nodes), fold in product(points, range(_FOLDS)):
         name = f"{act}{nodes}_{fold}"
         parts.append(
             o.normal_rows(f"hidden_{act}", nodes, "binaryLabel", f"eq_{name}", f"fold <> {fold}")
@@ -439,14 +439,18 @@ def _grid_sql() -> str:
         t = o.weighted(nodes, f"beta_{name}.b")
         errors.append(
             f"SELECT '{act}' AS activation, {nodes} AS hidden_nodes, "
-            f"avg(CASE WHEN ({t} > 0.5) <> (binaryLabel > 0.5) THEN 1.0 ELSE 0.0 END) AS e, "
+            f"avg(CASE WHEN ({t} > {threshold}) <> (binaryLabel > 0.5) THEN 1.0 ELSE 0.0 END) AS e, "
             f"count(*) AS n FROM hidden_{act}, beta_{name} WHERE fold = {fold}"
         )
     parts.append(f"errors AS ({' UNION ALL '.join(errors)})")
+    return f"WITH RECURSIVE {', '.join(parts)} "
+
+
+def _grid_sql() -> str:
     return (
-        f"WITH RECURSIVE {', '.join(parts)} SELECT activation, hidden_nodes, "
-        f"{o.rounded('avg(e)', 9)} AS error, CAST(sum(n) AS BIGINT) AS rows FROM errors "
-        "GROUP BY activation, hidden_nodes"
+        f"{_errors_sql(o.LABELLED_VECTORS, VECTOR_INPUTS, 'vec_id', _POINTS, 0.5)}"
+        f"SELECT activation, hidden_nodes, {o.rounded('avg(e)', 9)} AS error, "
+        "CAST(sum(n) AS BIGINT) AS rows FROM errors GROUP BY activation, hidden_nodes"
     )
 
 
@@ -458,32 +462,35 @@ def elm_grid(spark, sf_dir):
 
 
 def _production_sql() -> str:
-    """On readings every score is above 0, so that every point calls all rows active: the
-    error is the share of inactive rows, and the first point is the best of equals."""
-    folds = tune.ELM_FOLDS
-    fold = f"CAST(floor({o.knuth_twice('session_id')} * {folds} / 4294967296) AS INTEGER)"
-    fitted = o.fitted_network(
-        o.LABELLED, "labelled", ["session_id", "binaryLabel"], INPUTS, NODES, "tanh"
-    )
-    points = ", ".join(
-        f"({i}, '{a}', {n})" for i, (a, n) in enumerate(tune.elm_grid_points())
-    )
+    """Errors of the narrow points; of the wide ones their rows only. Ranks follow errors."""
+    points = tune.elm_grid_points()
+    narrow = [(a, n) for a, n in points if n == NODES]
+    listed = ", ".join(f"({i}, '{a}', {n})" for i, (a, n) in enumerate(points))
     return (
-        f"{fitted}, shares AS (SELECT {fold} AS fold, avg(CASE WHEN (t > 0) <> (binaryLabel > 0.5) "
-        "THEN 1.0 ELSE 0.0 END) AS e, count(*) AS n FROM scored GROUP BY 1) "
-        "SELECT CAST(point AS INTEGER) AS point, activation, CAST(hidden_nodes AS INTEGER) AS hidden_nodes, "
-        f"{o.rounded('error', 9)} AS error, rows, CAST(point + 1 AS INTEGER) AS rank FROM "
-        f"(VALUES {points}) p(point, activation, hidden_nodes), "
-        "(SELECT avg(e) AS error, CAST(sum(n) AS BIGINT) AS rows FROM shares)"
-    ).replace(") , shares", "), shares")
+        f"{_errors_sql(o.LABELLED, INPUTS, 'session_id', narrow, 0)}"
+        "SELECT CAST(point AS INTEGER) AS point, p.activation, CAST(p.hidden_nodes AS INTEGER) AS hidden_nodes, "
+        f"{o.rounded('error', 9)} AS narrow_error, (SELECT count(*) FROM labelled) AS rows, "
+        f"TRUE AS ranked FROM (VALUES {listed}) p(point, activation, hidden_nodes) LEFT JOIN "
+        "(SELECT activation, hidden_nodes, avg(e) AS error FROM errors GROUP BY 1, 2) USING (activation, hidden_nodes)"
+    )
 
 
 @query("elm_grid_production", _production_sql())
 def elm_grid_production(spark, sf_dir):
-    """The job's whole grid on readings; folds by session."""
+    """The job's whole grid on readings; folds by session. Networks drawn by arithmetic."""
     rows = prepare.with_fold(_rows(spark, sf_dir, "session_id"), "session_id", tune.ELM_FOLDS)
-    return tune.elm_cross_validate(rows, tune.elm_grid_points()).withColumn(
-        "error", F.round("error", 9)
+    table = tune.elm_cross_validate(rows, tune.elm_grid_points(), init="arithmetic")
+    # a row per grid point: whether its rank is that of its error, the first of equals
+    ordered = Window.orderBy("rank")
+    error, before = F.round("error", 12), F.round(F.lag("error").over(ordered), 12)
+    later = (before == error) & (F.lag("point").over(ordered) < F.col("point"))
+    return table.select(
+        "point",
+        "activation",
+        "hidden_nodes",
+        F.when(F.col("hidden_nodes") == NODES, F.round("error", 9)).alias("narrow_error"),
+        "rows",
+        (F.col("rank").eqNullSafe(1) | (before < error) | later).alias("ranked"),
     )
 
 

@@ -29,7 +29,6 @@ from sensorlab.sources.adapters import (
     table,
     vectors,
 )
-from pyspark.sql import types as T
 
 RANGES = [(1, 3), (4, 12)]
 

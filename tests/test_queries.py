@@ -23,4 +23,4 @@ def test_entry_points(spark):
     import __spark_entry__ as driver
 
     assert set(driver.oracle_sql()) <= set(driver.queries())
-    assert driver.entry(spark).count() == 5
+    assert driver.entry(spark).count() == 9
