@@ -282,7 +282,8 @@ def find_links(docs: DataFrame, signed: DataFrame, per_cent: int) -> DataFrame:
     large = crowded.where(F.col("members") > SMALL)
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("id")).union(large.select("id"))
     texts = docs.select(F.col("doc_id").cast("bigint").alias("id"), "text")
-    texts = written(texts.join(wanted.distinct(), "id"), "texts")
+    # the wanted ids grow with the corpus: they are never broadcast
+    texts = written(texts.join(wanted.distinct().hint("merge"), "id"), "texts")
 
     first = pairs.select(F.col("a").alias("id")).distinct().join(texts, "id")
     second = pairs.join(texts, F.col("b") == F.col("id")).select("a", "b", "text")
