@@ -63,7 +63,7 @@ _LINE_SYMBOL = re.compile(r"[#*$%&<>]")
 _SEPARATOR = re.compile(r"[|>»·•]")
 _UPPER = re.compile(r"[A-ZÀ-ÖØ-Þ]")
 _LETTER = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ]")
-_END = re.compile(r"[.!?…:;。！？][\"'”’»)\]]*(?:[\x20\x09-\x0D]|$)")
+_END = re.compile(r"[.!?…:;。！？؟۔।][\"'”’»)\]]*(?:[\x20\x09-\x0D]|$)")
 
 SCHEMA = (
     "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, "
