@@ -464,7 +464,7 @@ def _grid_sql() -> str:
     for f in range(folds):
         parts.append(f"train{f} AS (SELECT * FROM folded WHERE fold <> {f})")
         for i, penalty in enumerate(PENALTIES):
-            newton, weights = _newton_parts(f"train{f}", names, 7, f"f{f}l{i}", penalty)
+            newton, weights = _newton_parts(f"train{f}", names, 5, f"f{f}l{i}", penalty)
             scored = f"(SELECT y, {_probability(names)} AS p FROM folded, {weights} WHERE fold = {f})"
             parts += newton
             areas.append(f"SELECT {penalty}::DOUBLE AS reg_param, area FROM ({o.ranked_area(scored, 'p', 'y')})")
