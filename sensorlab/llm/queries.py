@@ -12,6 +12,7 @@ from sensorlab.llm import (
     minhash,
     mixing,
     neighbours,
+    oracles,
     packing,
     rule_ensemble,
     secret_scan,
@@ -21,7 +22,7 @@ from sensorlab.llm import (
 from sensorlab.llm.common import scratch, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = dict(oracles.SQL)
 
 
 def query(function: Callable[[SparkSession, str], DataFrame]):
