@@ -365,7 +365,7 @@ def test_packing_is_whole_and_tight(odd, clashing, none):
     for df in (odd, clashing):
         check_packing(packing.pack(df, "word_bpe_49k.json", 1, 512).collect(), rows, 512)
     assert packing.pack(none, "word_bpe_49k.json", 1, 512).count() == 0
-    lengths = np.random.default_rng(0).integers(1, 400, 3000)
+    lengths = np.random.default_rng(0).integers(1, 400, 20_000)
     lengths = np.sort(lengths)[::-1]
     numbers, _ = packing.sum_of_squares(lengths, 400)
     assert numbers.max() + 1 <= 1.01 * lengths.sum() / 400

@@ -9,7 +9,9 @@ import pytest
 
 import __spark_entry__ as driver
 import corpus_pipeline
+from check_oracles import compare, database
 from sensorlab.llm import lines, mixing, secret_scan
+from sensorlab.llm.queries import ORACLES, QUERIES
 from tests.llm.test_documents import (
     brute_components,
     check_packing,
@@ -40,6 +42,14 @@ def test_all_are_registered():
     assert "pipeline" in queries and set(driver.oracle_sql()) <= set(queries)
 
 
+def test_sql_gives_the_same_rows(spark, sf_dir):
+    connection = database(sf_dir)
+    assert ORACLES
+    for name, sql in ORACLES.items():
+        same, note = compare(spark, connection, QUERIES[name], sql, sf_dir)
+        assert same, f"{name}: {note}"
+
+
 def test_mixing(run, documents):
     found = {r["doc_id"]: r for r in run("op1")}
     assert len(found) == len(documents)
