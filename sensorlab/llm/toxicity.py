@@ -3,7 +3,9 @@
 Terms of a text are its words, A-Z lower-cased, and the first four and five bytes
 of longer words; a term is present or not. Terms are hashed to 2^22 places. From
 a sample of labelled documents the ``TERMS`` places are kept whose presence tells
-most about the label, at least ``LEAST_ROWS`` documents each. A factorization
+most about the label: they stand in ``LEAST_ROWS`` documents or more, and their
+likelihood-ratio statistic is at least ``LEAST_G``, which a term that has nothing
+to do with the label reaches once in 40 times. A factorization
 machine then learns a weight for every place and, by the product of two factor
 vectors, one for every pair of places that stand in one text, such as an insult
 beside the mention of a group.
@@ -34,7 +36,7 @@ from sensorlab.llm.rule_ensemble import learned_from, remainder
 
 SAMPLE_ROWS = 20_000
 PLACES = 1 << 22
-TERMS, LEAST_ROWS = 2048, 5
+TERMS, LEAST_ROWS, LEAST_G = 2048, 4, 5.0
 FACTORS, ROUNDS, STEP, SEED = 4, 120, 0.05, 37
 #: Lengths in bytes of the word beginnings that are terms.
 HEADS = (4, 5)
@@ -109,7 +111,8 @@ def telling_places(rows: DataFrame) -> np.ndarray:
         + part(F.lit(ones) - a, F.lit(n) - b, F.lit(ones))
         + part(F.lit(n - ones) - b + a, F.lit(n) - b, F.lit(n - ones))
     )
-    best = counts.where(b < n).orderBy(F.desc(told), "place").limit(TERMS).select("place").collect()
+    kept = counts.where((b < n) & (2 * n * told >= LEAST_G))
+    best = kept.orderBy(F.desc(told), "place").limit(TERMS).select("place").collect()
     return np.array(sorted(r["place"] for r in best), np.int64)
 
 
