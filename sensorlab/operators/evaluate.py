@@ -20,6 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sensorlab.functions.labels import above, squared_difference
+from sensorlab.session import kept
 
 # The twenty thresholds 0.05, 0.10, .. 1.00.
 SWEEP_STEP = 0.05
@@ -192,14 +193,17 @@ def area_under_roc(df: DataFrame, score: str = "rawPrediction", label: str = "bi
     across ranges follow from the totals.
     """
     positive = present(label, "label") > 0.5
-    parts = (
-        df.select(_score_column(df, score).alias("score"), positive.alias("positive"))
-        .mapInArrow(_combined, "score double, positives long, negatives long")
-        .repartitionByRange("score")
-        .sortWithinPartitions("score")
-        .mapInArrow(_ranked_pairs, "first double, positives long, negatives long, pairs double")
-        .collect()
-    )
+    counted = df.select(
+        _score_column(df, score).alias("score"), positive.alias("positive")
+    ).mapInArrow(_combined, "score double, positives long, negatives long")
+    # ranging samples its input before it moves it; scores are worked out once
+    with kept(counted):
+        parts = (
+            counted.repartitionByRange("score")
+            .sortWithinPartitions("score")
+            .mapInArrow(_ranked_pairs, "first double, positives long, negatives long, pairs double")
+            .collect()
+        )
     if not parts:
         raise ValueError("no rows to evaluate")
     pairs, below, positives = 0.0, 0, 0
