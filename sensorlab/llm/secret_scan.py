@@ -8,8 +8,13 @@ a decodable part are then validated.
 
 Base kinds: ``assign`` ``access`` ``hex``. Added kinds: ``github`` and ``npm``
 (base-62 crc32 in the last six characters), ``jwt`` (two decodable JSON
-parts), ``pem`` (a private key block's first line) and ``stripe`` (``sk_live_`` or
-``rk_live_`` before 24 or more characters).
+parts), ``pem`` (a private key block) and ``stripe`` (``sk_live_`` or ``rk_live_``
+before 24 or more characters).
+
+A key block goes from its first line over the body to the end of its END line or,
+without one, of the base64 text. Line ends may be escaped, quoted, commented or
+spaces. Where other text stands between body and END line, further parts of the body
+are spans of their own. A first line without a body is a span by itself.
 
 Spans are leftmost and non-overlapping within a kind, in code points, end
 exclusive. Null and empty texts have no spans; equal rows get equal spans; an
@@ -45,6 +50,19 @@ GITHUB = rb"gh[pousr]_[0-9A-Za-z]{36}(?![0-9A-Za-z])"
 NPM = rb"npm_[0-9A-Za-z]{36}(?![0-9A-Za-z])"
 JWT = rb"eyJ[A-Za-z0-9_-]+\.eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+"
 PEM = rb"-----BEGIN (?:[A-Z]+ )*PRIVATE KEY-----"
+PEM_END = rb"-----END (?:[A-Z]+ )*PRIVATE KEY-----"
+#: What may stand between the parts of a key's body: line ends, escaped ones, quotes, comment marks.
+PEM_GAP = (
+    rb"""(?:\s|\\+[nrt]|\\+u000[aAdD9]|\\+(?!/)|&#(?:1[03]|x0?[aAdD]);|<br\x20?/?>"""
+    rb"""|["'`]\s*\+(?=[\s"'`\\])|(?<=\s)(?://|\+)(?=\s)|["'`,;|>\#*()\[\]{}])*+"""
+)
+PEM_HEADERS = (
+    rb"(?:" + PEM_GAP + rb"(?:Proc-Type:\s*4,\s*[A-Z-]+|DEK-Info:\s*[A-Z0-9-]+(?:,\s*[0-9A-Fa-f]+)?"
+    rb"|[A-Z][A-Za-z-]*:[^\r\n\\]*(?=[\r\n\\])))*+" + PEM_GAP
+)
+PEM_PART = rb"(?:[A-Za-z0-9+]|\\*/)+(?:=|\\+u003[dD])*+"
+#: Least characters of a part of a body beside others, and of one amid other text.
+PEM_LEAST, PEM_ALONE = 16, 32
 STRIPE = rb"[sr]k_live_[0-9A-Za-z]{24,}"
 BASE62 = "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
 
@@ -79,6 +97,63 @@ def _jwt_valid(match: re.Match) -> bool:
     return all(map(_json_part, match[0].split(b".")[:2]))
 
 
+_END, _PART, _GAP = re.compile(PEM_END), re.compile(PEM_PART), re.compile(PEM_GAP)
+_HEADERS = re.compile(PEM_HEADERS)
+_PLAIN = re.compile(rb"(?:[A-Za-z0-9+]|\\*/)+")
+_BODY = re.compile(rb"(?:" + PEM_PART + PEM_GAP + rb")*+")
+_WORD = re.compile(rb"[A-Za-z]?[a-z]+|[A-Z]+")
+
+
+def _decodes(part: bytes, least: int) -> bool:
+    """Whether a part is base64 of some length and not a plain word."""
+    bare = re.sub(rb"\\+u003[dD]|[\\=]", b"", part)
+    if len(bare) < least or _WORD.fullmatch(bare):
+        return False
+    whole = len(bare) // 4 * 4
+    return len(base64.b64decode(bare[:whole])) == whole // 4 * 3
+
+
+def _run_end(text: bytes, at: int, stop: int) -> int:
+    """End of the parts of a key's body that follow each other from ``at``; ``at`` if there are none."""
+    end, found = at, False
+    while part := _PART.match(text, at, stop):
+        at = _GAP.match(text, part.end(), stop).end()
+        padded = part[0][-1] in b"=dD" and not _PLAIN.fullmatch(part[0])
+        if _decodes(part[0], PEM_LEAST):
+            end, found = part.end(), True
+            if not padded:
+                continue
+        # the last part may be short: padded, or the rest of its line
+        elif found and (padded or part.end() == stop or text[part.end()] in b"\r\n\\\"'<&"):
+            end = part.end()
+        break
+    return end
+
+
+def key_spans(text: bytes, start: int, at: int) -> list[tuple[int, int, str]]:
+    """Spans of the private key block whose first line is ``text[start:at]``."""
+    stop = text.find(b"-----BEGIN ", at)
+    stop = len(text) if stop < 0 else stop
+    last = _END.search(text, at, stop)
+    stop = last.start() if last else stop
+    begin = _HEADERS.match(text, at, stop).end()
+    if last and _BODY.match(text, begin, stop).end() == stop:
+        parts = _PART.findall(text, begin, stop)
+        odd = sum(len(p) for p in parts if not _WORD.fullmatch(p))
+        if odd >= PEM_LEAST and 2 * odd >= sum(map(len, parts)):
+            return [(start, last.end(), "pem")]
+    end = _run_end(text, begin, stop)
+    spans = [(start, end if end > begin else at, "pem")]
+    if last:
+        done = spans[0][1]
+        while part := _PART.search(text, done, stop):
+            done = part.end()
+            if _decodes(part[0], PEM_ALONE):
+                done = _run_end(text, part.start(), stop)
+                spans.append((part.start(), done, "pem"))
+    return spans
+
+
 #: Kind: anchored pattern and test of a match. A match that fails the test still uses up its text.
 PATTERNS = {
     "assign": (re.compile(ASSIGN, re.IGNORECASE), lambda m: len(m[2]) >= ASSIGN_LEAST),
@@ -128,7 +203,9 @@ def byte_spans(text: bytes) -> list[tuple[int, int, str]]:
             match = pattern.match(text, start)
             if match:
                 places[kind] = match.end()
-                if valid(match):
+                if kind == "pem":
+                    spans += key_spans(text, start, match.end())
+                elif valid(match):
                     spans.append((start, match.end(), kind))
     classes = text.translate(_HEX_CLASS)
     start = classes.find(_HEX_RUN)

@@ -1,5 +1,6 @@
 """Operators on odd documents: nulls, empty and long texts, repeats, clashing columns."""
 
+import base64
 import hashlib
 import re
 import zlib
@@ -290,6 +291,43 @@ def test_redaction_leaves_no_secret(clashing, none):
     assert secret_scan.scan_secrets(none).count() == 0
 
 
+KEY = base64.b64encode(bytes((i * 89 + i // 7) % 256 for i in range(250))).decode()
+KEY_LINES = [KEY[i : i + 64] for i in range(0, len(KEY), 64)]
+FIRST, LAST = "-----BEGIN RSA PRIVATE KEY-----", "-----END RSA PRIVATE KEY-----"
+
+
+@pytest.mark.parametrize(
+    "block, rest",
+    [
+        ("\n".join([FIRST, *KEY_LINES, LAST]), ""),
+        ("\r\n".join([FIRST, "Proc-Type: 4,ENCRYPTED", "DEK-Info: AES-128-CBC,0A1B", "", *KEY_LINES, LAST]), ""),
+        (" ".join([FIRST, *KEY_LINES, LAST]), ""),
+        (FIRST + KEY + LAST, ""),
+        ("\\n".join([FIRST, *KEY_LINES, LAST]), ""),
+        ("\\\\n".join([FIRST, *KEY_LINES, LAST]).replace("/", "\\/"), ""),
+        ('\\n" +\n  "'.join([FIRST, *KEY_LINES, LAST]), ""),
+        ("\n# ".join([FIRST, *KEY_LINES, LAST]), ""),
+        ("\n".join([FIRST, *(KEY[i : i + 8] for i in range(0, len(KEY), 8)), LAST]), ""),
+        ("\n".join([FIRST, *KEY_LINES]), ""),
+        ("\n".join([FIRST, *KEY_LINES[:-1], "xY3", ""]), ""),
+        ("\\n".join([FIRST, *KEY_LINES]), ""),
+        (FIRST + " " + KEY, ""),
+        ("\n".join([FIRST, KEY_LINES[0], "... and so on ...", *KEY_LINES[1:], LAST]), "... and so on ..."),
+        (f"{FIRST} and the {LAST}", f" and the {LAST}"),
+    ],
+)
+def test_redaction_covers_the_key(block, rest):
+    text = f"é the key {block} is mine. Nothing else, internationalization."
+    spans = secret_scan.find_spans(text.encode())
+    clean = secret_scan.redact(text, spans, "#")
+    before, after = "é the key ", " is mine. Nothing else, internationalization."
+    assert clean.startswith(before + "#") and clean.endswith(after)
+    left = clean[len(before) : -len(after)].replace("#", "").replace(LAST, "")
+    assert left.strip() == rest.replace(LAST, "").strip()
+    assert not any(KEY[i : i + 6] in clean for i in range(len(KEY) - 5))
+    assert {s[2] for s in spans} == {"pem"}
+
+
 # --- tokens, files, packing ------------------------------------------------
 
 ODD_TEXTS = [
