@@ -17,10 +17,10 @@ blocks that can hold a bucket it visits. Blocks of more than ``CHUNK`` vectors a
 dealt to several. Equal vectors are one entry with the smallest ids that any
 result can hold, so copies do not crowd a block, and no copy is lost.
 
-The usual similarity of a near vector is fitted on a sample of at most
-``SAMPLE_ROWS`` vectors and ``SAMPLE_QUERIES`` queries. All vectors are indexed.
-On 51,000 vectors without clusters recall of the nearest 20 was 0.96, and a
-table's visited buckets held about half of all vectors.
+Every query has its own similarity of a near vector: at first that of its k-th
+nearest in a sample of at most ``SAMPLE_ROWS`` vectors. A query whose k-th found lies
+further off than that by more than ``SLACK`` searches once more, for the similarity it
+found, which its true k-th nearest has at least. All vectors are indexed.
 
 Vectors that are null, zero, of another length than most, or hold null or
 non-finite components take no part, nor do rows with a null id. Rows with one id
@@ -47,7 +47,10 @@ TABLES, SUCCESS = 2, 0.75
 PROJECTIONS, BEYOND = 10, 6
 #: Width of an interval, and intervals on either side of zero; the outer ones are open.
 WIDTH, SIDE = 1.0, 3
-CHUNK, SAMPLE_ROWS, SAMPLE_QUERIES, DRAWS = 4096, 20_000, 200, 400
+CHUNK, SAMPLE_ROWS, DRAWS = 4096, 20_000, 400
+#: Highest similarity looked for, and growth of 1 - similarity that no search is repeated for. The
+#: lowest is 0: from there on, nearer vectors lie at least as often in the buckets visited.
+MOST, SLACK = 0.95, 1.05
 QUERY_ROWS = 256
 SEED = 29
 
@@ -59,10 +62,10 @@ def _cdf(x: np.ndarray) -> np.ndarray:
 
 
 class Index:
-    """Projections and constants; the same on every task."""
+    """Projections and constants; the same on every task. ``near`` is of queries without their own."""
 
     def __init__(self, dim: int, rows: int, norm: float, near: float, k: int):
-        self.dim, self.norm, self.near, self.k = dim, norm, near, k
+        self.dim, self.rows, self.norm, self.near, self.k = dim, rows, norm, near, k
         self.prefix = max(0, round(math.log(max(rows, 1) / CHUNK, 4)))
         self.projections = max(PROJECTIONS, self.prefix + BEYOND)
         rng = np.random.default_rng(SEED)
@@ -76,11 +79,14 @@ class Index:
         places = np.c_[scaled, rest] @ self.lines[table] / WIDTH + self.shifts[table]
         return np.clip(np.floor(places).astype(np.int64) + SIDE, 0, 2 * SIDE - 1)
 
-    def chances(self, table: int, queries: np.ndarray) -> np.ndarray:
+    def chances(
+        self, table: int, queries: np.ndarray, near: np.ndarray | None = None
+    ) -> np.ndarray:
         """Log chance of every interval: queries x projections x intervals."""
         own = queries / np.linalg.norm(queries, axis=1, keepdims=True)
-        centre = self.near * (own @ self.lines[table][:-1])
-        spread = math.sqrt(max(1e-6, 1 - self.near**2))
+        near = np.full(len(own), self.near) if near is None else near
+        centre = near[:, None] * (own @ self.lines[table][:-1])
+        spread = np.sqrt(np.maximum(1e-6, 1 - near**2))[:, None, None]
         edges = (np.arange(1 - SIDE, SIDE) - self.shifts[table][:, None]) * WIDTH
         below = _cdf((edges[None] - centre[:, :, None]) / spread)
         ones, zeros = np.ones_like(below[:, :, :1]), np.zeros_like(below[:, :, :1])
@@ -129,7 +135,8 @@ def usable(embeddings: DataFrame) -> DataFrame:
     return rows
 
 
-def _fit(entries: DataFrame, k: int) -> Index | None:
+def _fit(entries: DataFrame, k: int) -> tuple[Index, np.ndarray] | None:
+    """The index, and a sample of the vectors, divided by the largest norm."""
     lengths = entries.groupBy(F.size("vector").alias("dim")).agg(
         F.count("*").alias("n"),
         F.max(F.expr("aggregate(vector, 0D, (s, x) -> s + x * x)")).alias("square"),
@@ -144,15 +151,36 @@ def _fit(entries: DataFrame, k: int) -> Index | None:
     )
     order = sample.orderBy(F.xxhash64("vec_id", F.lit(SEED)), "vec_id").limit(SAMPLE_ROWS)
     found = np.array([r[0] for r in order.select("vector").collect()])
-    if not len(found):
-        return Index(dim, rows, norm, 0.0, k)
-    queries = found[:SAMPLE_QUERIES]
-    own = queries / np.linalg.norm(queries, axis=1, keepdims=True)
-    scores = -np.sort(-(own @ found.T) / norm, axis=1)
-    # place in the sample of the k-th nearest of all; the query itself is first
-    place = min(len(found) - 1, max(1, math.ceil(k * len(found) / rows)))
-    near = float(np.clip(np.quantile(scores[:, place], 0.25), 0.0, 0.95))
-    return Index(dim, rows, norm, near, k)
+    return Index(dim, rows, norm, 0.0, k), (found.reshape(-1, dim) / norm).astype(np.float32)
+
+
+def _own_near(index: Index, sample: np.ndarray):
+    """Adds every query's similarity to the k-th nearest, by the sample, and its scale of scores."""
+    # place in the sample of the k-th nearest of all; the query itself may be first
+    place = min(len(sample) - 1, max(1, math.ceil(index.k * len(sample) / index.rows)))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, QUERY_ROWS):
+                part = batch.slice(at, QUERY_ROWS)
+                vectors = _matrix(part.column("vector"))
+                norms = np.linalg.norm(vectors, axis=1)
+                near = np.zeros(len(vectors))
+                if place >= 0:
+                    scores = (vectors / norms[:, None]).astype(np.float32) @ sample.T
+                    near = np.partition(scores, len(sample) - 1 - place, axis=1)
+                    near = near[:, len(sample) - 1 - place].astype(float).clip(0.0, MOST)
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        part.column("vec_id"),
+                        part.column("vector"),
+                        pa.array(near),
+                        pa.array(norms * index.norm),
+                    ],
+                    names=["vec_id", "vector", "near", "scale"],
+                )
+
+    return run
 
 
 def entries_of(vectors: DataFrame, k: int) -> DataFrame:
@@ -200,9 +228,10 @@ def _query_rows(index: Index):
             for at in range(0, batch.num_rows, QUERY_ROWS):
                 part = batch.slice(at, QUERY_ROWS)
                 vectors = _matrix(part.column("vector"))
+                near = part.column("near").to_numpy(zero_copy_only=False)
                 blocks, rows, cutoffs = [], [], []
                 for table in range(TABLES):
-                    chances = index.chances(table, vectors)
+                    chances = index.chances(table, vectors, near)
                     for i, cutoff in enumerate(index.cutoffs(chances).tolist()):
                         names = index.blocks(chances[i], cutoff)
                         blocks += [f"{table}:{name}" for name in names]
@@ -214,9 +243,10 @@ def _query_rows(index: Index):
                         pa.array(blocks, pa.string()),
                         picked.column("vec_id"),
                         pa.array(cutoffs, pa.float64()),
+                        picked.column("near"),
                         picked.column("vector"),
                     ],
-                    names=["block", "vec_id", "cutoff", "vector"],
+                    names=["block", "vec_id", "cutoff", "near", "vector"],
                 )
 
     return run
@@ -238,7 +268,8 @@ def _search(index: Index):
         for at in range(0, queries.num_rows, QUERY_ROWS):
             part = queries.slice(at, QUERY_ROWS)
             own = _matrix(part.column("vector"))
-            chances = index.chances(table, own)
+            near = part.column("near").to_numpy(zero_copy_only=False)
+            chances = index.chances(table, own, near)
             cutoffs = part.column("cutoff").to_numpy(zero_copy_only=False)
             # the margin is that of sums in single precision
             reached = chances.reshape(len(own), width).astype(np.float32) @ hot.T
@@ -295,9 +326,10 @@ def nearest(embeddings: DataFrame, every: int = 20, k: int = 20) -> DataFrame:
     )
     vectors = usable(embeddings)
     entries = written(entries_of(vectors, k), "vectors")
-    index = _fit(entries, k)
-    if index is None:
+    fitted = _fit(entries, k)
+    if fitted is None:
         return empty
+    index, sample = fitted
     entries = entries.where(F.size("vector") == index.dim)
     asked = vectors.where((F.col("vec_id") % every == 0) & (F.size("vector") == index.dim))
     asked = asked.distinct().withColumnRenamed("vec_id", "query_id")
@@ -320,6 +352,7 @@ def nearest(embeddings: DataFrame, every: int = 20, k: int = 20) -> DataFrame:
         F.lit(False).alias("is_query"),
         "vec_id",
         F.lit(None).cast("double").alias("cutoff"),
+        F.lit(None).cast("double").alias("near"),
         "members",
         "codes",
         "vector",
@@ -336,14 +369,18 @@ def nearest(embeddings: DataFrame, every: int = 20, k: int = 20) -> DataFrame:
             {"vec_id": [key[0]], "ids": [[i for i, _ in order]], "scores": [[s for _, s in order]]}
         )
 
-    def search(visits: DataFrame) -> DataFrame:
-        """Best entries of every query over the blocks it visits; visits have the blocks' chunks."""
+    def search(visits: DataFrame, before: DataFrame | None = None) -> DataFrame:
+        """Best entries of every query over the blocks it visits; visits have the blocks' chunks.
+
+        Those found before are taken in.
+        """
         probes = visits.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
         probes = probes.select(
             F.concat_ws(":", "block", "part").alias("chunk"),
             F.lit(True).alias("is_query"),
             "vec_id",
             "cutoff",
+            "near",
             F.lit(None).cast("array<bigint>").alias("members"),
             F.lit(None).cast("array<int>").alias("codes"),
             "vector",
@@ -354,22 +391,47 @@ def nearest(embeddings: DataFrame, every: int = 20, k: int = 20) -> DataFrame:
             .sortWithinPartitions("chunk", "is_query")
             .mapInArrow(_search(index), "vec_id long, ids array<bigint>, scores array<double>")
         )
+        found = found if before is None else found.unionByName(before)
         return found.groupBy("vec_id").applyInPandas(
             merge, "vec_id long, ids array<bigint>, scores array<double>"
         )
 
     queries = asked.select("vec_id", "vector").dropDuplicates(["vec_id"])
-    visits = queries.mapInArrow(
-        _query_rows(index), "block string, vec_id long, cutoff double, vector array<double>"
-    ).join(chunks, "block")
-    merged = written(search(visits), "found")
+    queries = written(
+        queries.mapInArrow(
+            _own_near(index, sample), "vec_id long, vector array<double>, near double, scale double"
+        ),
+        "near",
+    )
+
+    def probed(rows: DataFrame) -> DataFrame:
+        rows = rows.select("vec_id", "vector", "near").mapInArrow(
+            _query_rows(index),
+            "block string, vec_id long, cutoff double, near double, vector array<double>",
+        )
+        return rows.join(chunks, "block")
+
+    merged = written(search(probed(queries)), "found")
     # queries whose buckets held too few vectors go through all blocks of one table
-    short = queries.join(merged.where(F.size("ids") > k).select("vec_id"), "vec_id", "left_anti")
-    short = written(short.withColumn("table", F.lit("0")), "short")
-    if not short.isEmpty():
+    last = F.when(F.size("ids") > k, F.element_at("scores", -1)) / F.col("scale")
+    judged = queries.join(merged, "vec_id", "left").withColumn("reached", last)
+    short = judged.where("reached IS NULL").withColumn("table", F.lit("0"))
+    # those that found only further ones than they looked for look for such
+    wide = judged.where("near > 0").where(1 - F.col("reached") > SLACK * (1 - F.col("near")))
+    wide = wide.withColumn("near", F.greatest("reached", F.lit(0.0)))
+    columns = ["vec_id", "vector", "near", "table"]
+    again = written(
+        short.select(*columns).unionByName(wide.withColumn("table", F.lit("")).select(*columns)),
+        "again",
+    )
+    if not again.isEmpty():
         all_blocks = chunks.withColumn("table", F.substring_index("block", ":", 1))
-        rest = search(short.withColumn("cutoff", F.lit(-1e300)).join(all_blocks, "table"))
-        merged = merged.join(short.select("vec_id"), "vec_id", "left_anti").unionByName(rest)
+        visits = again.withColumn("cutoff", F.lit(-1e300)).join(all_blocks, "table").drop("table")
+        visits = visits.unionByName(probed(again.where("table = ''")))
+        before = merged.join(again.select("vec_id"), "vec_id", "left_semi")
+        merged = merged.join(again.select("vec_id"), "vec_id", "left_anti").unionByName(
+            search(visits, before)
+        )
     pairs = F.expr("filter(arrays_zip(ids, scores), p -> p.ids != query_id)")
     return (
         asked.select("query_id", "vec_id")

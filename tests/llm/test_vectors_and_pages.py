@@ -95,6 +95,31 @@ def test_recall_on_the_tables(spark):
     assert hits >= 0.9 * 20 * len(by_query)
 
 
+@pytest.mark.parametrize("tight, sample", [(0.8, 20_000), (0.9, 20_000), (0.9, 400)])
+def test_recall_of_loose_and_tight_queries(spark, monkeypatch, tight, sample):
+    """Most vectors lie in groups of 40 near copies; the others have no near vectors."""
+    monkeypatch.setattr(neighbours, "SAMPLE_ROWS", sample)
+    rng = np.random.default_rng(3)
+    n, dim = 8000, 64
+    unit = lambda x: x / np.linalg.norm(x, axis=1, keepdims=True)
+    groups = np.repeat(unit(rng.normal(size=(int(n * tight) // 40, dim))), 40, axis=0)
+    groups = unit(groups + 0.2 / np.sqrt(dim) * rng.normal(size=groups.shape))
+    vectors = np.concatenate((groups, unit(rng.normal(size=(n - len(groups), dim)))))
+    loose = np.arange(n) >= len(groups)
+    order = rng.permutation(n)
+    vectors, loose = vectors[order].astype(np.float32).astype(float), loose[order]
+    df = spark.createDataFrame([(i, v, 1) for i, v in enumerate(vectors.tolist())], SCHEMA)
+    found = {}
+    for r in neighbours.nearest(df.repartition(4)).collect():
+        found.setdefault(r["query_id"], set()).add(r["vec_id"])
+    recall = {True: [], False: []}
+    for q in range(0, n, 20):
+        scores = vectors @ vectors[q]
+        scores[q] = -np.inf
+        recall[loose[q]].append(len(found[q] & set(np.argsort(-scores)[:20].tolist())) / 20)
+    assert np.mean(recall[True]) >= 0.9 and np.mean(recall[False]) >= 0.9
+
+
 def test_chances_are_those_of_a_near_vector():
     """Near vectors lie in visited buckets as often as estimated."""
     rng = np.random.default_rng(2)
