@@ -13,7 +13,9 @@ usual containers among menus, headers, footers, sidebars, notices, adverts,
 forms and reader comments, with invented words, so that only layout and shape
 can be learned. Every page is the same labelled set; no page of a table is used.
 
-Scripts, styles and comments of the markup are no blocks. Character references
+Scripts, styles, templates, frames and comments of the markup are no blocks, nor is
+a noscript before the body. All other elements are, or lie in, blocks: svg and math
+are read as inline elements, where ``/>`` ends one. Character references
 are decoded, white space inside a block is one space, blocks are joined by one
 line feed. Null and empty pages, and pages without a main block, give an empty
 text. Unclosed or stray tags end where HTML ends them or are passed over. Rows are
@@ -36,11 +38,16 @@ from sensorlab.llm.common import map_arrow
 TRAIN_PAGES, STEPS, RATE, RIDGE, SEED = 400, 150, 0.15, 0.02, 41
 
 # Elements by their part in HTML.
-RAW = "script|style|noscript|template|svg|iframe|object|math"
+RAW = frozenset("script style template iframe".split())
 INLINE = frozenset(
     "a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd mark q s samp "
-    "small span strike strong sub sup time tt u var wbr br".split()
+    "small span strike strong sub sup time tt u var wbr br noscript object param embed svg math".split()
 )
+#: Inline elements whose end ends the blocks in them.
+CARRIERS = frozenset("noscript object".split())
+#: Elements in svg and math that hold HTML, those whose text stands apart, and tags that end both.
+HOLDS_HTML = frozenset("foreignobject desc title mi mo mn ms mtext annotation-xml".split())
+APART = frozenset("foreignobject desc title text mtd mtr annotation annotation-xml".split())
 VOID = frozenset(
     "area base br col embed hr img input link meta param source track wbr".split()
 )
@@ -61,16 +68,24 @@ ENDS_P = frozenset(
     "address article aside blockquote div dl fieldset figure footer form h1 h2 h3 h4 h5 h6 "
     "header hr main nav ol pre section table ul".split()
 )
+BREAKS_OUT = ENDS_P | frozenset(
+    "b big body br center code dd dt em embed head i img li meta p pre ruby s small span strong "
+    "strike sub sup tt u var".split()
+)
 #: Elements beyond which an implied end does not reach.
-SCOPE = frozenset("table ul ol dl div article section main body html td th".split())
+SCOPE = frozenset("object foreignobject table ul ol dl div article section main body html td th".split())
 
 _TOKEN = re.compile(
-    rf"<!--.*?(?:-->|\Z)|<(?P<raw>{RAW})\b[^>]*>.*?(?:</(?P=raw)\s*[^>]*>|\Z)"
+    r"<!--.*?(?:-->|\Z)"
     r"|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>"
     r"|<(?P<end2>/?)(?P<tag2>[a-zA-Z][^\s/>]*)(?P<attrs2>[^>]*)(?:>|\Z)"
     r"|<[!?/][^>]*(?:>|\Z)",
     re.DOTALL | re.IGNORECASE,
 )
+_RAW_END = {
+    tag: re.compile(rf"</{tag}(?=[\s/>])[^>]*(?:>|\Z)", re.IGNORECASE) for tag in (*RAW, "noscript")
+}
+_UNQUOTED = re.compile(r"=\s*[^\s\"'][^\s]*/\Z")
 _ATTRIBUTE = re.compile(
     r"""\b(class|id|role|style|hidden|aria-label|itemprop)\b(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""",
     re.IGNORECASE,
@@ -117,14 +132,14 @@ def blocks(page: str) -> list[Block]:
     out: list[Block] = []
     stack: list[tuple[str, tuple[str, ...], int]] = []  # tag, features, number
     pieces: list[str] = []
-    linked = numbers = links_open = 0
+    linked = numbers = links_open = foreign_open = 0
 
     def flush() -> None:
         nonlocal linked
         if pieces:
             text = " ".join(html.unescape("".join(pieces)).split())
             if text:
-                holders = [s for s in stack if s[0] not in INLINE]
+                holders = [s for s in stack if s[0] not in INLINE and s[1]]
                 own = holders[-1][0] if holders else "none"
                 parent = holders[-2][2] if len(holders) > 1 else -1
                 features = [f for _, found, _ in stack for f in found]
@@ -135,10 +150,27 @@ def blocks(page: str) -> list[Block]:
         linked = 0
 
     def close(at: int) -> None:
-        nonlocal links_open
+        nonlocal links_open, foreign_open
         links_open -= sum(tag == "a" for tag, _, _ in stack[at:])
+        foreign_open -= sum(tag in ("svg", "math") for tag, _, _ in stack[at:])
         del stack[at:]
 
+    def foreign() -> int:
+        """Place of the svg or math whose own content is read, or -1."""
+        if foreign_open:
+            for at in range(len(stack) - 1, -1, -1):
+                if stack[at][0] in ("svg", "math"):
+                    return at
+                if stack[at][0] in HOLDS_HTML:
+                    break
+        return -1
+
+    def in_head() -> bool:
+        tags = [tag for tag, _, _ in stack]
+        if tags[-1:] == ["head"]:
+            return True
+        return not out and tags in ([], ["html"]) and not "".join(pieces).strip()
+
     def add(text: str) -> None:
         nonlocal linked
         if text:
@@ -147,24 +179,61 @@ def blocks(page: str) -> list[Block]:
                 linked += len(text)
 
     done = 0
-    for match in _TOKEN.finditer(page):
+    while match := _TOKEN.search(page, done):
         add(page[done : match.start()])
         done = match.end()
         tag = (match["tag"] or match["tag2"] or "").lower()
         if not tag:
             continue
+        ending = match["end"] or match["end2"]
+        attributes = match["attrs"] or match["attrs2"] or ""
+        closed = attributes.rstrip().endswith("/") and not _UNQUOTED.search(attributes.rstrip())
+        within = foreign()
+        if not ending:
+            if tag in RAW and not (closed and (within >= 0 or tag == "iframe")):
+                last = _RAW_END[tag].search(page, done)
+                done = last.end() if last else len(page)
+                continue
+            if tag in RAW:
+                continue
+            if tag == "noscript" and in_head() and (last := _RAW_END[tag].search(page, done)):
+                done = last.end()
+                continue
+            if within >= 0 and tag in BREAKS_OUT:
+                close(within)
+                within = -1
         if tag == "br":
             pieces.append(" ")
             continue
-        ending = match["end"] or match["end2"]
+        if foreign_open and tag in APART:
+            pieces.append(" ")
+        if within >= 0 and not ending:
+            if not closed:
+                numbers += 1
+                stack.append((tag, (), numbers))
+                links_open += tag == "a"
+                foreign_open += tag in ("svg", "math")
+            continue
+        if foreign_open and ending:
+            at = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == tag), -1)
+            if at >= 0 and any(s[0] in ("svg", "math") for s in stack[: at + 1]):
+                if any(s[0] in ENDS_P for s in stack[at:]):
+                    flush()
+                close(at)
+                continue
+            if at < 0:
+                continue
+            close(next(i for i in range(at, len(stack)) if stack[i][0] in ("svg", "math")))
         if tag not in INLINE:
             flush()
         if ending:
             for at in range(len(stack) - 1, -1, -1):
                 if stack[at][0] == tag:
+                    if tag in CARRIERS and any(s[0] not in INLINE for s in stack[at:]):
+                        flush()
                     close(at)
                     break
-                if tag in INLINE and stack[at][0] not in INLINE:
+                if tag in INLINE and tag not in CARRIERS and stack[at][0] not in INLINE:
                     break
             continue
         ended = CLOSES.get(tag, {"p"} if tag in ENDS_P else ())
@@ -180,10 +249,12 @@ def blocks(page: str) -> list[Block]:
         if tag in VOID:
             continue
         numbers += 1
-        attributes = match["attrs"] or match["attrs2"] or ""
-        if not attributes.rstrip().endswith("/") or tag not in VOID:
-            stack.append((tag, element_features(tag, attributes), numbers))
-            links_open += tag == "a"
+        if tag in ("svg", "math"):
+            if closed:
+                continue
+            foreign_open += 1
+        stack.append((tag, element_features(tag, attributes), numbers))
+        links_open += tag == "a"
     add(page[done:])
     flush()
     return out

@@ -255,6 +255,33 @@ def test_leaf_blocks(page, texts):
     assert [b.text for b in extraction.blocks(page)] == texts
 
 
+@pytest.mark.parametrize(
+    "inner, texts",
+    [
+        ('<p>One.<svg class="i"/> two.</p><p>Three.</p>', ["One. two.", "Three."]),
+        ('<p>One.<svg><path d="M0"/><g><path d="M1"></g></svg> two.</p><p>Three.</p>', ["One. two.", "Three."]),
+        ("<p>One <svg><title>mark</title><text>A</text><style/></svg> two.", ["One mark A two."]),
+        ("<p>Let <math><mi>x</mi><mo>+</mo><mn>2</mn></math> be.</p><p>So.</p>", ["Let x+2 be.", "So."]),
+        ("<p>One <math/> two.</p><p>Three.</p>", ["One two.", "Three."]),
+        ("<p>One <svg><g> two.</p><p>Three.</p>", ["One two.", "Three."]),
+        ("<svg><p>One.</p><p>Two.</p>", ["One.", "Two."]),
+        ("<svg><foreignObject><p>One.</p><p>Two.</svg><p>Three.", ["One.", "Two.", "Three."]),
+        ('<p>One <object data="x"><param name="a">other</object> two.</p><p>Three.</p>', ["One other two.", "Three."]),
+        ('<p>One <object data="x"> two.</p><p>Three.</p>', ["One two.", "Three."]),
+        ('<p>One <object data="x"/> two.</p><p>Three.</p>', ["One two.", "Three."]),
+        ("<p>One <noscript>still</noscript> two.</p><noscript><p>Three.</noscript><p>Four.", ["One still two.", "Three.", "Four."]),
+        ('<p>One <iframe src="x"/> two.</p><p>Three.</p>', ["One two.", "Three."]),
+        ("<p>One <iframe src=http://x/>gone</iframe> two.</p>", ["One two."]),
+        ("<p>One <template><p>gone</template><script/>gone</script> two.", ["One two."]),
+        ("<style-guide>One.</style-guide><p>Two.", ["One.", "Two."]),
+    ],
+)
+def test_elements_in_an_article(inner, texts):
+    assert [b.text for b in extraction.blocks(f"<article>{inner}</article>")] == texts
+    head = "<head><title>T</title><noscript><style>x</style>y</noscript></head><body>"
+    assert [b.text for b in extraction.blocks(f"{head}<article>{inner}")] == ["T", *texts]
+
+
 def test_page_query_on_the_tables(spark, sf_dir):
     rows = QUERIES["op8_page_text"](spark, sf_dir).collect()
     pages = {r["page_id"]: r["html"] for r in spark.read.parquet(f"{sf_dir}/pages.parquet").collect()}
