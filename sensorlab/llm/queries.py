@@ -8,12 +8,15 @@ from pyspark.sql import DataFrame, SparkSession
 
 from sensorlab.llm import (
     extraction,
+    importance,
     lines,
     minhash,
     mixing,
     neighbours,
     oracles,
     packing,
+    periodic,
+    personal,
     rule_ensemble,
     secret_scan,
     token_files,
@@ -96,3 +99,23 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Secrets of every document: counts, digest of the base spans, and all spans."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return secret_scan.scan_secrets(docs).drop("text")
+
+
+@query
+def op11_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data of every document: counts, digest of the base spans, and all spans."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return personal.scan_personal(docs).drop("text")
+
+
+@query
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Periodic runs of every document with planted repeats, and digests of runs and of what is left."""
+    return periodic.run_report(table(spark, sf_dir, "documents"))
+
+
+@query
+def op13_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Weights, scores and draw of all documents towards the benchmark's words."""
+    docs, target = (table(spark, sf_dir, name) for name in ("documents", "benchmark"))
+    return importance.resample(docs, target)

@@ -37,7 +37,7 @@ def run(spark, sf_dir):
 
 def test_all_are_registered():
     queries = driver.queries()
-    for n in range(1, 11):
+    for n in range(1, 14):
         assert sum(name.startswith(f"op{n}_") for name in queries) == 1
     assert "pipeline" in queries and set(driver.oracle_sql()) <= set(queries)
 
