@@ -16,7 +16,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.ml.linalg import VectorUDT
 from pyspark.ml.param.shared import HasLabelCol, HasPredictionCol, HasRawPredictionCol
 from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sensorlab.functions.labels import above, squared_difference
@@ -218,6 +218,184 @@ def area_under_roc(df: DataFrame, score: str = "rawPrediction", label: str = "bi
     return pairs / (float(positives) * below)
 
 
+def _groups(segments: np.ndarray, scores: np.ndarray) -> np.ndarray:
+    """Starts of the rows of one segment and one score, NaN equal to NaN."""
+    odd = np.isnan(scores)
+    same = (scores[1:] == scores[:-1]) | (odd[1:] & odd[:-1])
+    return np.flatnonzero(np.r_[True, (segments[1:] != segments[:-1]) | ~same])
+
+
+def _combined_by(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Positives and negatives of every distinct segment and score of a batch."""
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        segments, scores = batch.column(0).to_numpy(), batch.column(1).to_numpy() + 0.0
+        positive = batch.column(2).to_numpy(zero_copy_only=False).astype(np.int64)
+        order = np.lexsort((scores, segments))
+        segments, scores, positive = segments[order], scores[order], positive[order]
+        starts = _groups(segments, scores)
+        positives = np.add.reduceat(positive, starts)
+        counts = np.diff(np.append(starts, len(scores)))
+        yield pa.RecordBatch.from_arrays(
+            [*map(pa.array, (segments[starts], scores[starts], positives, counts - positives))],
+            names=["segment", "score", "positives", "negatives"],
+        )
+
+
+def _ranked_pairs_by(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One row for each segment of a range: its first score there and its ranking."""
+    segment, ranking, done = None, None, []
+
+    def settled() -> None:
+        if ranking is not None:
+            ranking.settle()
+            done.append((segment, ranking.first, ranking.positives, ranking.negatives, ranking.pairs))
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        segments, *columns = (batch.column(i).to_numpy() for i in range(4))
+        starts = np.flatnonzero(np.r_[True, segments[1:] != segments[:-1]])
+        for a, b in zip(starts.tolist(), [*starts[1:].tolist(), len(segments)]):
+            if segments[a] != segment:
+                settled()
+                segment, ranking = int(segments[a]), _Ranking()
+            ranking.add(*(c[a:b] for c in columns))
+    settled()
+    kinds = (pa.int64(), pa.float64(), pa.int64(), pa.int64(), pa.float64())
+    if done:
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(x, kind) for x, kind in zip(zip(*done), kinds)],
+            names=["segment", "first", "positives", "negatives", "pairs"],
+        )
+
+
+def area_under_roc_by(
+    df: DataFrame, segment: str, score: str = "rawPrediction", label: str = "binaryLabel"
+) -> DataFrame:
+    """(segment, area, rows): exact area under the ROC curve of every segment, in one ranking.
+
+    All segments share one range exchange keyed by segment and score, so a segment of any
+    size is spread over as many ranges as it needs. Each range leaves one row per segment in it,
+    and pairs across ranges follow from running totals over those. A segment of one class
+    has area 1 if that is the positive one, else 0; a null segment fails the job.
+    """
+    key = present(segment, "segment").cast("bigint")
+    rows = df.select(
+        key.alias("segment"),
+        _score_column(df, score).alias("score"),
+        (present(label, "label") > 0.5).alias("positive"),
+    )
+    counted = rows.mapInArrow(
+        _combined_by, "segment long, score double, positives long, negatives long"
+    )
+    parts = (
+        counted.repartitionByRange("segment", "score")
+        .sortWithinPartitions("segment", "score")
+        .mapInArrow(
+            _ranked_pairs_by,
+            "segment long, first double, positives long, negatives long, pairs double",
+        )
+    )
+    # as many rows as ranges and segments from here on
+    earlier = Window.partitionBy("segment").orderBy("first").rowsBetween(Window.unboundedPreceding, -1)
+    below = F.coalesce(F.sum("negatives").over(earlier), F.lit(0))
+    across = parts.withColumn("ordered", F.col("pairs") + F.col("positives").cast("double") * below)
+    sums = across.groupBy("segment").agg(
+        F.sum("ordered").alias("ordered"),
+        F.sum("positives").cast("double").alias("p"),
+        F.sum("negatives").cast("double").alias("n"),
+    )
+    area = F.when(F.col("p") == 0, 0.0).when(F.col("n") == 0, 1.0).otherwise(
+        F.try_divide(F.col("ordered"), F.col("p") * F.col("n"))
+    )
+    return sums.select("segment", area.alias("area"), (F.col("p") + F.col("n")).cast("bigint").alias("rows"))
+
+
+def _precision_steps(before: dict[int, tuple[int, int]], all_positives: int):
+    """Per range, the area between its points of the curve, from the counts before it."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        areas: dict[int, float] = {}
+        at, held = None, None
+        tp = fp = 0
+        precision = None
+
+        def add(p: np.ndarray, n: np.ndarray) -> None:
+            nonlocal tp, fp, precision
+            if not len(p):
+                return
+            true, false = tp + np.cumsum(p), fp + np.cumsum(n)
+            points = true / (true + false)
+            first = points[0] if precision is None else precision
+            steps = p * (np.r_[first, points[:-1]] + points) / 2
+            areas[at] = areas.get(at, 0.0) + float(steps.sum())
+            tp, fp, precision = int(true[-1]), int(false[-1]), float(points[-1])
+
+        def settled() -> None:
+            if held is not None:
+                add(np.array([held[1]]), np.array([held[2]]))
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            ranges, scores, p, n = (batch.column(i).to_numpy() for i in range(4))
+            edges = np.flatnonzero(np.r_[True, ranges[1:] != ranges[:-1]])
+            for a, b in zip(edges.tolist(), [*edges[1:].tolist(), len(ranges)]):
+                if ranges[a] != at:
+                    settled()
+                    at, held = int(ranges[a]), None
+                    tp, fp = before[at]
+                    precision = tp / (tp + fp) if tp + fp else None
+                own, own_p, own_n = scores[a:b], p[a:b], n[a:b]
+                if held is not None:
+                    own, own_p, own_n = np.r_[held[0], own], np.r_[held[1], own_p], np.r_[held[2], own_n]
+                starts = _groups(np.zeros(len(own)), own)
+                own_p, own_n = np.add.reduceat(own_p, starts), np.add.reduceat(own_n, starts)
+                add(own_p[:-1], own_n[:-1])
+                # rows of the last score, which further rows may share
+                held = own[-1], int(own_p[-1]), int(own_n[-1])
+        settled()
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(list(areas), pa.int32()), pa.array([a / all_positives for a in areas.values()], pa.float64())],
+            names=["range", "area"],
+        )
+
+    return run
+
+
+def area_under_pr(df: DataFrame, score: str = "rawPrediction", label: str = "binaryLabel") -> float:
+    """Exact area under the precision-recall curve, its points joined by straight lines.
+
+    The curve begins at recall 0 with the precision of the highest score. Precision
+    at a score depends on all rows above it: rows are ranged by score once and kept, the ranges'
+    counts (one row each) give what lies above every range, and each range then adds
+    its own steps. Without positives the area is 0.
+    """
+    positive = present(label, "label") > 0.5
+    counted = df.select(
+        _score_column(df, score).alias("score"), positive.alias("positive")
+    ).mapInArrow(_combined, "score double, positives long, negatives long")
+    ranged = (
+        counted.repartitionByRange(F.desc("score"))
+        .sortWithinPartitions(F.desc("score"))
+        .select(F.spark_partition_id().alias("range"), "score", "positives", "negatives")
+    )
+    with kept(ranged):
+        totals = ranged.groupBy("range").agg(F.sum("positives"), F.sum("negatives")).collect()
+        if not totals:
+            raise ValueError("no rows to evaluate")
+        before, p, n = {}, 0, 0
+        for part, positives, negatives in sorted(map(tuple, totals)):
+            before[part] = (p, n)
+            p, n = p + positives, n + negatives
+        if not p:
+            return 0.0
+        steps = ranged.mapInArrow(_precision_steps(before, p), "range int, area double")
+        return float(sum(row["area"] for row in sorted(steps.collect())))
+
+
 def area_under(
     df: DataFrame,
     score: str = "rawPrediction",
@@ -230,8 +408,8 @@ def area_under(
     ``bins=0`` is exact.  With more, Spark merges neighbouring points of the
     curve, which is enough for very many distinct scores.
     """
-    if metric == "areaUnderROC" and bins == 0:
-        return area_under_roc(df, score, label)
+    if bins == 0:
+        return {"areaUnderROC": area_under_roc, "areaUnderPR": area_under_pr}[metric](df, score, label)
     rows = df.select(_score_column(df, score).alias("score"), present(label, "label").alias("label"))
     return BinaryClassificationEvaluator(
         rawPredictionCol="score", labelCol="label", metricName=metric, numBins=bins

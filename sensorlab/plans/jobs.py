@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sensorlab.functions.activations import check_activation
-from sensorlab.operators import evaluate, linear, tune
+from sensorlab.operators import evaluate, linear, penalty_grid, tune
 from sensorlab.operators.elm.model import (
     DEFAULT_ACTIVATION,
     DEFAULT_NODES,
@@ -234,6 +234,10 @@ def run_elm(
     return JobResult(report.table(spark), model, grid, best_model)
 
 
+#: Steps of the estimator that a refit may take for each Newton step of the grid's limit.
+REFIT_STEPS = 10
+
+
 def _tune_logistic(
     report: _Report, estimator, data: DataFrame, params: LogisticJobParams, prefix=()
 ) -> tuple[DataFrame, Model]:
@@ -242,8 +246,12 @@ def _tune_logistic(
     rows = report.timed(
         "tune",
         "cross-validation seconds",
-        lambda: tune.logistic_cross_validate(
-            held, estimator, params.folds, params.grid, prefix=prefix
+        lambda: penalty_grid.cross_validate_penalties(
+            held,
+            tune.logistic_points(params.grid),
+            params.folds,
+            max_iter=params.model.maxIter,
+            prefix=prefix,
         ).collect(),
     )
     best = min(rows, key=lambda r: r["rank"])
@@ -253,6 +261,8 @@ def _tune_logistic(
         "maxIter": best["max_iter"],
     }
     report.add("tune", "best auroc", best["metric"], str(settings))
+    # the grid counts Newton steps, each worth several of the estimator's
+    settings["maxIter"] *= REFIT_STEPS
     chosen = estimator.copy({estimator.getParam(k): v for k, v in settings.items()})
     model = Pipeline(stages=[*prefix, chosen]).fit(data)
     return data.sparkSession.createDataFrame(rows), model
