@@ -2,14 +2,15 @@
 
 A page is read as a sequence of leaf blocks: runs of text between the borders of
 block elements, with the elements they lie in. Each block has features of its
-ancestors (tags; words of class, id and role) and of its text (length, share of
-link text, ends, marks). The field weighs the features, and pairs of neighbouring
+ancestors (tags; words of class, id and role; each counts once, however deep the page is
+nested), of the nearest ancestor that is more than a nameless wrapper, and of its text
+(length, share of link text, ends, marks). The field weighs the features, and pairs of neighbouring
 labels apart for blocks held by one element and by two. Viterbi's algorithm gives the
 likeliest labels of a page's blocks; those labelled main are its text.
 
 It is fitted by gradient steps on the exact likelihood of ``TRAIN_PAGES`` labelled
 pages, which ``labelled_page`` lays out by seeded rules: an article in any of the
-usual containers among menus, headers, footers, sidebars, notices, adverts,
+usual containers, named or not, in up to ``NESTED`` wrappers around it and the page, among menus, headers, footers, sidebars, notices, adverts,
 forms and reader comments, with invented words, so that only layout and shape
 can be learned. Every page is the same labelled set; no page of a table is used.
 
@@ -27,6 +28,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from functools import lru_cache
 
 import numpy as np
@@ -35,7 +37,7 @@ from pyspark.sql import DataFrame
 
 from sensorlab.llm.common import map_arrow
 
-TRAIN_PAGES, STEPS, RATE, RIDGE, SEED = 400, 150, 0.15, 0.02, 41
+TRAIN_PAGES, STEPS, RATE, RIDGE, SEED = 800, 120, 0.15, 0.02, 41
 
 # Elements by their part in HTML.
 RAW = frozenset("script style template iframe".split())
@@ -95,6 +97,10 @@ _MARKS = re.compile(r"[©®]")
 _END = re.compile(r"[.!?…:;。！？][\"'”’»)\]]*$")
 
 
+#: Elements that tell a part of the page by themselves.
+TELLING = frozenset("nav header footer aside form main article".split())
+
+
 class Block:
     """Text of a leaf block, its features, and the element that holds its own."""
 
@@ -104,6 +110,37 @@ class Block:
         self.text, self.features, self.parent = text, features, parent
 
 
+class Element:
+    """An open element, and what holds for all that lies in it.
+
+    ``around`` are the features of all elements open there, each once however often it
+    recurs, so a block's features do not grow with depth. ``telling`` are those of the
+    nearest element that is more than a nameless wrapper.
+    """
+
+    __slots__ = ("tag", "number", "around", "telling", "own", "holder", "outer", "within", "foreign")
+
+    def __init__(self, tag: str, number: int, found: tuple[str, ...], above: Element | None, at: int):
+        self.tag, self.number = tag, number
+        around = above.around if above else frozenset()
+        self.around = around if around.issuperset(found) else around.union(found)
+        self.telling = above.telling if above else ()
+        if found and tag not in INLINE and (len(found) > 1 or tag in TELLING):
+            self.telling = tuple("near:" + f for f in found)
+        self.own, self.holder, self.outer = (
+            (above.own, above.holder, above.outer) if above else ("none", -1, -1)
+        )
+        if found and tag not in INLINE:
+            self.own, self.holder, self.outer = tag, number, self.holder
+        # place of the svg or math whose own content is read, and whether any is open
+        self.within = above.within if above else -1
+        self.foreign = bool(above and above.foreign) or tag in ("svg", "math")
+        if tag in ("svg", "math"):
+            self.within = at
+        elif tag in HOLDS_HTML:
+            self.within = -1
+
+
 @lru_cache(maxsize=20_000)
 def element_features(tag: str, attributes: str) -> tuple[str, ...]:
     found = {f"in:{tag}"}
@@ -130,52 +167,58 @@ def text_features(text: str, linked: int) -> list[str]:
 def blocks(page: str) -> list[Block]:
     """Leaf blocks of a page in page order."""
     out: list[Block] = []
-    stack: list[tuple[str, tuple[str, ...], int]] = []  # tag, features, number
+    stack: list[Element] = []
+    open_tags: Counter = Counter()
     pieces: list[str] = []
-    linked = numbers = links_open = foreign_open = 0
+    linked = numbers = foreign_open = 0
 
     def flush() -> None:
         nonlocal linked
         if pieces:
             text = " ".join(html.unescape("".join(pieces)).split())
             if text:
-                holders = [s for s in stack if s[0] not in INLINE and s[1]]
-                own = holders[-1][0] if holders else "none"
-                parent = holders[-2][2] if len(holders) > 1 else -1
-                features = [f for _, found, _ in stack for f in found]
-                features += text_features(text, linked)
-                features.append(f"own:{own}")
-                out.append(Block(text, features, parent))
+                last = stack[-1] if stack else None
+                features = text_features(text, linked)
+                features.append(f"own:{last.own if last else 'none'}")
+                if last:
+                    features += [*last.telling, *last.around]
+                out.append(Block(text, features, last.outer if last else -1))
             pieces.clear()
         linked = 0
 
+    def push(tag: str, found: tuple[str, ...]) -> None:
+        nonlocal numbers, foreign_open
+        numbers += 1
+        stack.append(Element(tag, numbers, found, stack[-1] if stack else None, len(stack)))
+        open_tags[tag] += 1
+        foreign_open += tag in ("svg", "math")
+
     def close(at: int) -> None:
-        nonlocal links_open, foreign_open
-        links_open -= sum(tag == "a" for tag, _, _ in stack[at:])
-        foreign_open -= sum(tag in ("svg", "math") for tag, _, _ in stack[at:])
+        nonlocal foreign_open
+        for element in stack[at:]:
+            open_tags[element.tag] -= 1
+            foreign_open -= element.tag in ("svg", "math")
         del stack[at:]
 
-    def foreign() -> int:
-        """Place of the svg or math whose own content is read, or -1."""
-        if foreign_open:
+    def last_of(tag: str) -> int:
+        """Place of the innermost open element of a tag, or -1."""
+        if open_tags[tag] > 0:
             for at in range(len(stack) - 1, -1, -1):
-                if stack[at][0] in ("svg", "math"):
+                if stack[at].tag == tag:
                     return at
-                if stack[at][0] in HOLDS_HTML:
-                    break
         return -1
 
     def in_head() -> bool:
-        tags = [tag for tag, _, _ in stack]
-        if tags[-1:] == ["head"]:
+        if stack and stack[-1].tag == "head":
             return True
-        return not out and tags in ([], ["html"]) and not "".join(pieces).strip()
+        bare = not stack or len(stack) == 1 and stack[0].tag == "html"
+        return not out and bare and not "".join(pieces).strip()
 
     def add(text: str) -> None:
         nonlocal linked
         if text:
             pieces.append(text)
-            if links_open:
+            if open_tags["a"] > 0:
                 linked += len(text)
 
     done = 0
@@ -188,7 +231,7 @@ def blocks(page: str) -> list[Block]:
         ending = match["end"] or match["end2"]
         attributes = match["attrs"] or match["attrs2"] or ""
         closed = attributes.rstrip().endswith("/") and not _UNQUOTED.search(attributes.rstrip())
-        within = foreign()
+        within = stack[-1].within if stack else -1
         if not ending:
             if tag in RAW and not (closed and (within >= 0 or tag == "iframe")):
                 last = _RAW_END[tag].search(page, done)
@@ -209,52 +252,44 @@ def blocks(page: str) -> list[Block]:
             pieces.append(" ")
         if within >= 0 and not ending:
             if not closed:
-                numbers += 1
-                stack.append((tag, (), numbers))
-                links_open += tag == "a"
-                foreign_open += tag in ("svg", "math")
+                push(tag, ())
             continue
         if foreign_open and ending:
-            at = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == tag), -1)
-            if at >= 0 and any(s[0] in ("svg", "math") for s in stack[: at + 1]):
-                if any(s[0] in ENDS_P for s in stack[at:]):
+            at = last_of(tag)
+            if at >= 0 and stack[at].foreign:
+                if any(e.tag in ENDS_P for e in stack[at:]):
                     flush()
                 close(at)
                 continue
             if at < 0:
                 continue
-            close(next(i for i in range(at, len(stack)) if stack[i][0] in ("svg", "math")))
+            close(next(i for i in range(at, len(stack)) if stack[i].tag in ("svg", "math")))
         if tag not in INLINE:
             flush()
         if ending:
-            for at in range(len(stack) - 1, -1, -1):
-                if stack[at][0] == tag:
-                    if tag in CARRIERS and any(s[0] not in INLINE for s in stack[at:]):
-                        flush()
-                    close(at)
-                    break
-                if tag in INLINE and tag not in CARRIERS and stack[at][0] not in INLINE:
-                    break
+            if open_tags[tag] > 0:
+                for at in range(len(stack) - 1, -1, -1):
+                    if stack[at].tag == tag:
+                        if tag in CARRIERS and any(e.tag not in INLINE for e in stack[at:]):
+                            flush()
+                        close(at)
+                        break
+                    if tag in INLINE and tag not in CARRIERS and stack[at].tag not in INLINE:
+                        break
             continue
         ended = CLOSES.get(tag, {"p"} if tag in ENDS_P else ())
-        if ended:
+        if any(open_tags[e] > 0 for e in ended):
             at = len(stack)
             for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] in ended:
+                if stack[i].tag in ended:
                     at = i
-                elif stack[i][0] in SCOPE:
+                elif stack[i].tag in SCOPE:
                     break
             if at < len(stack):
                 close(at)
-        if tag in VOID:
+        if tag in VOID or tag in ("svg", "math") and closed:
             continue
-        numbers += 1
-        if tag in ("svg", "math"):
-            if closed:
-                continue
-            foreign_open += 1
-        stack.append((tag, element_features(tag, attributes), numbers))
-        links_open += tag == "a"
+        push(tag, element_features(tag, attributes))
     add(page[done:])
     flush()
     return out
@@ -317,7 +352,14 @@ CONTAINERS = (
     '<div role="main">',
     '<div itemprop="articleBody">',
     '<td class="text">',
+    "<div>",
+    "<section>",
+    "<div>",
 )
+#: Wrappers around a page, an article or a part of it, and the most that are nested.
+WRAPPERS = ("div", "div", "div", "section", "article")
+WRAPPER_NAMES = ("container", "row", "col-md-8", "wrapper", "page", "inner", "layout", "grid", "site")
+NESTED = 15
 
 
 def labelled_page(rng: np.random.Generator) -> tuple[str, list[bool]]:
@@ -332,6 +374,15 @@ def labelled_page(rng: np.random.Generator) -> tuple[str, list[bool]]:
         made = ("".join(pick(syllables) for _ in range(rng.integers(1, 5))) for _ in range(n))
         return " ".join(made) + end
 
+    def wrapped(inner, tags=WRAPPERS) -> None:
+        """What ``inner`` adds, in none to many wrappers."""
+        depth = int(rng.integers(1, NESTED + 1)) if rng.random() < 0.5 else 0
+        made = [pick(tags) for _ in range(depth)]
+        for tag in made:
+            parts.append(f'<{tag} class="{pick(WRAPPER_NAMES)}">' if rng.random() < 0.3 else f"<{tag}>")
+        inner()
+        parts.extend(f"</{tag}>" for tag in reversed(made))
+
     def block(tag: str, text: str, label: bool, link: float = 0.0) -> None:
         if rng.random() < link:
             text = f'<a href="/x">{text}</a>'
@@ -394,18 +445,22 @@ def labelled_page(rng: np.random.Generator) -> tuple[str, list[bool]]:
         parts.append("<html><head>")
         block("title", words(1, 10), False)
         parts.append("<style>p{margin:0}</style><script>var t='</p>';</script></head><body>")
-    for kind in ("notice", "header", "nav", "form", "advert"):
-        if rng.random() < 0.55:
-            around(kind)
-    wrapped = rng.random() < 0.3
-    parts.append('<div class="page">' if wrapped else "")
-    if rng.random() < 0.25:
-        around("aside")
-    article()
-    for kind in ("comments", "aside", "advert", "form", "footer", "notice"):
-        if rng.random() < 0.5:
-            around(kind)
-    parts.append("</div>" if wrapped else "")
+
+    def part(kind: str) -> None:
+        wrapped(lambda: around(kind), ("div",)) if rng.random() < 0.3 else around(kind)
+
+    def body() -> None:
+        for kind in ("notice", "header", "nav", "form", "advert"):
+            if rng.random() < 0.55:
+                part(kind)
+        if rng.random() < 0.25:
+            part("aside")
+        wrapped(article)
+        for kind in ("comments", "aside", "advert", "form", "footer", "notice"):
+            if rng.random() < 0.5:
+                part(kind)
+
+    wrapped(body)
     return "".join(parts), labels
 
 
