@@ -118,7 +118,7 @@ _SPACES = re.compile(r"\s*")
 #: Characters after which a long text is read on in another piece.
 PIECE = 500_000
 #: Bytes of tokens that a task remembers with their symbols.
-REMEMBERED_BYTES = 32_000_000
+REMEMBERED_BYTES = 64_000_000
 _MARKS = ".,:;-/()+@#'\"&_*|<>=[]!?"
 
 
@@ -167,11 +167,12 @@ class Tokens:
         bare = token.rstrip()
         gap = 0 if len(bare) == len(token) else 2 if "\n" in token else 1
         cue = self.cues.get(bare.lower(), 0)
-        return (cue * len(_SHAPES) + _SHAPE_AT[shape(bare)]) * GAPS + gap
+        symbol = (cue * len(_SHAPES) + _SHAPE_AT[shape(bare)]) * GAPS + gap
+        return symbol << 40 | len(token) - len(bare)
 
     def read(self, text: str) -> tuple[np.ndarray, ...]:
         """Shape, cue, gap before, start and end of every token."""
-        symbols, lengths, bare = [], [], []
+        symbols, lengths = [], []
         done = _SPACES.match(text).end()
         first = done
         while done < len(text):
@@ -190,15 +191,14 @@ class Tokens:
                         self.held += 150 + 2 * len(tokens[i])
             symbols.append(np.array(found, np.int64))
             lengths.append(np.fromiter(map(len, tokens), np.int64, len(tokens)))
-            bare.append(np.fromiter((len(t.rstrip()) for t in tokens), np.int64, len(tokens)))
         if not symbols:
             return (np.zeros(0, np.int64),) * 5
-        symbol, length = np.concatenate(symbols), np.concatenate(lengths)
+        packed, length = np.concatenate(symbols), np.concatenate(lengths)
         starts = np.cumsum(length) - length + first
-        kind, gap = np.divmod(symbol, GAPS)
+        kind, gap = np.divmod(packed >> 40, GAPS)
         cue, shapes = np.divmod(kind, len(_SHAPES))
         before = np.concatenate(([2], gap[:-1]))
-        return shapes, cue, before, starts, starts + np.concatenate(bare)
+        return shapes, cue, before, starts, starts + length - (packed & (1 << 40) - 1)
 
 
 # --- the field ---------------------------------------------------------------
@@ -206,6 +206,8 @@ class Tokens:
 REACH = 2
 #: Tokens that are scored at once.
 TILE = 65_536
+#: Tokens to either side that are looked at before a token is decoded.
+ROUNDS = 4
 #: Bytes of texts whose tokens are decoded together.
 TEXT_BYTES = 2_000_000
 
@@ -275,11 +277,56 @@ class Field:
             places.append(place[open_])
             held.append(own[open_])
         if places:
-            place = np.concatenate(places)
-            out[place] = viterbi(place, np.concatenate(held), self.steps)
+            place, own = narrowed(np.concatenate(places), np.concatenate(held), self.steps)
+            out[place] = viterbi(place, own, self.steps)
         return out
 
 
+def narrowed(
+    place: np.ndarray, scores: np.ndarray, steps: np.ndarray
+) -> tuple[np.ndarray, np.ndarray]:
+    """The places that bounds from some tokens before and behind do not settle as none.
+
+    A label's greatest gain over none on a path up to a token is at most its own gain, its step's
+    and the greatest of a label before; likewise from behind. Every round looks one token farther.
+    """
+    labels = range(len(steps))
+    # one row for each label, so that a row of all tokens is worked on at a time
+    gain = np.ascontiguousarray((scores - scores[:, :1]).T, np.float32)
+    moves = {True: steps - steps[0, 0], False: (steps - steps[0, 0]).T}
+    bounds = {}
+    for forward, move in moves.items():
+        bounds[forward] = gain + (move - move[:, :1]).max(axis=0).astype(np.float32)[:, None] + move[0, 0]
+    kept = np.arange(len(place))
+    for _ in range(ROUNDS):
+        if not len(kept):
+            break
+        alone = np.flatnonzero(np.diff(place[kept]) != 1)
+        for forward, move in moves.items():
+            own = bounds[forward]
+            own[0] = 0
+            # beside a settled token no other label than none can be left
+            beside = np.full_like(own, -np.inf)
+            if forward:
+                beside[:, 1:] = own[:, :-1]
+                beside[:, alone + 1] = -np.inf
+            else:
+                beside[:, :-1] = own[:, 1:]
+                beside[:, alone] = -np.inf
+            beside[0] = 0
+            fresh = np.empty_like(own)
+            for y in labels[1:]:
+                most = beside[0] + np.float32(move[0, y])
+                for a in labels[1:]:
+                    np.maximum(most, beside[a] + np.float32(move[a, y]), out=most)
+                np.minimum(own[y], gain[y] + most, out=fresh[y])
+            bounds[forward] = fresh
+        left = ((bounds[True] + bounds[False] - gain)[1:] > -1e-3).any(axis=0)
+        kept, gain = kept[left], gain[:, left]
+        bounds = {forward: own[:, left] for forward, own in bounds.items()}
+    return place[kept], scores[kept]
+
+
 def viterbi(place: np.ndarray, scores: np.ndarray, steps: np.ndarray) -> np.ndarray:
     """Likeliest labels of the tokens at ``place``; those at no place have label 0.
 
