@@ -4,7 +4,8 @@ Both vocabularies cut a text into pretokens before any merge, so a pretoken's
 ids are the same alone as within its text, and a worker lets the library encode
 each distinct one once. Texts of plain Latin characters are cut into pretokens
 here, by the vocabulary's own pattern. Others are cut at white space only,
-where no pretoken crosses, and encoded whole if even that is not certain.
+where no pretoken crosses, and encoded whole if even that is not certain, or if they hold the
+string of an added token, which the library finds before it cuts.
 """
 
 from __future__ import annotations
@@ -15,8 +16,9 @@ from itertools import accumulate, chain
 
 import numpy as np
 
-#: Distinct pretokens after which a worker remembers no more; the others are encoded each time.
-REMEMBERED = 400_000
+#: Pretokens, and bytes of them and their ids, after which a worker remembers no more; the others are
+#: encoded each time, as are units longer than ``LONG``, which seldom come again.
+REMEMBERED, REMEMBERED_BYTES, LONG = 400_000, 100_000_000, 64
 
 # Latin-1 letters and numbers, and the vocabularies' pretoken patterns over them.
 _L = "A-Za-zªµºÀ-ÖØ-öø-ÿ"
@@ -49,9 +51,7 @@ def tokenizer(name: str):
     import public_tokenizers
     from tokenizers import Tokenizer
 
-    found = Tokenizer.from_file(public_tokenizers.path(name))
-    found.encode_special_tokens = True  # their strings in a text are ordinary text
-    return found
+    return Tokenizer.from_file(public_tokenizers.path(name))
 
 
 class Encoder:
@@ -62,6 +62,11 @@ class Encoder:
         self.by_word = name.startswith("word")
         self.letters = _WORD_LETTERS if self.by_word else _BYTE_LETTERS
         self.known: dict[str, bytes] = {}
+        self.held = 0
+        # the library looks for these in the whole text before it cuts it
+        added = tokenizer(name).get_added_tokens_decoder().values()
+        self.whole = re.compile("|".join(re.escape(t.content) for t in added), re.IGNORECASE)
+        self.mark = "<" if all(t.content[0] == "<" for t in added) else ""
         vocabulary = tokenizer(name).get_vocab()
         #: Ids that end a pretoken of letters, or that begin one with its space.
         self.edge = np.zeros(max(vocabulary.values()) + 1, bool)
@@ -69,6 +74,8 @@ class Encoder:
             self.edge[number] = token.endswith("</w>") if self.by_word else token[0] == "Ġ"
 
     def split(self, text: str) -> list[str]:
+        if self.mark in text and self.whole.search(text):
+            return [text]
         if plain(text):
             return (
                 _WORD_PRETOKEN.findall(text.lower())
@@ -117,8 +124,10 @@ class Encoder:
             fresh = self._encode_units(sorted({flat[i] for i in holes}))
             for i in holes:
                 ids[i] = fresh[flat[i]]
-            if len(self.known) < REMEMBERED:
-                self.known.update(fresh)
+            if len(self.known) < REMEMBERED and self.held < REMEMBERED_BYTES:
+                short = {u: x for u, x in fresh.items() if len(u) <= LONG}
+                self.known.update(short)
+                self.held += sum(200 + 2 * len(u) + len(x) for u, x in short.items())
         ends = list(accumulate(map(len, units)))
         return [b"".join(ids[a:b]) for a, b in zip([0, *ends], ends)]
 
