@@ -63,7 +63,15 @@ _LINE_SYMBOL = re.compile(r"[#*$%&<>]")
 _SEPARATOR = re.compile(r"[|>»·•]")
 _UPPER = re.compile(r"[A-ZÀ-ÖØ-Þ]")
 _LETTER = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ]")
-_END = re.compile(r"[.!?…:;。！？؟۔।][\"'”’»)\]]*(?:[\x20\x09-\x0D]|$)")
+# Sentence terminals of the world's scripts, marks that may close a sentence behind
+# them, and letters of scripts that end sentences by a space (Thai, Lao, Tai Tham and others).
+TERMINALS = (
+    ".!?…:;‼‽⁇⁈⁉。！？｡．：；︒﹒﹖﹗"
+    "؟؛۔।॥։՞՜׃܀܁܂߹۝።፤፧፨။၊។៕៖།༎᠃᠉෴᙮᥄᥅᪨᪩᪪᪫᭚᭛᭞᭟᰻᰼᱾᱿⸮⸼꓿꘎꘏꛳꛷꡶꡷꣎꣏꤯꧈꧉꩝꩞꩟꫰꫱꯫"
+)
+CLOSING = "\"'”’»›)」』】〉》〕〗）］｝｣＂＇"
+UNSTOPPED = "\u0e01-\u0e2e\u0e81-\u0eae\u1950-\u1974\u1980-\u19ab\u1a20-\u1a54\uaa80-\uaaaf"
+_END = re.compile(rf"[{TERMINALS}][{CLOSING}\]]*(?:[\x20\x09-\x0D]|$)|[{UNSTOPPED}]")
 
 SCHEMA = (
     "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, "
