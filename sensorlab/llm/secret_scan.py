@@ -176,6 +176,7 @@ KEYWORDS = {
     "rk_live_": "stripe",
 }
 
+_JWT_RUN = re.compile(rb"[A-Za-z0-9_-]++")
 _HEX_RUN = b"h" * HEX_LEAST
 _HEX_CLASS = bytes(104 if chr(i) in "0123456789abcdef" else 46 for i in range(256))
 
@@ -207,6 +208,9 @@ def byte_spans(text: bytes) -> list[tuple[int, int, str]]:
                     spans += key_spans(text, start, match.end())
                 elif valid(match):
                     spans.append((start, match.end(), kind))
+            elif kind == "jwt":
+                # every start in the run of the first part ends as this one did
+                places[kind] = _JWT_RUN.match(text, start).end()
     classes = text.translate(_HEX_CLASS)
     start = classes.find(_HEX_RUN)
     while start >= 0:
