@@ -4,7 +4,7 @@ A document's set is its distinct 5-word shingles, A-Z lower-cased; with fewer
 words the whole sequence. Shingles are 64-bit hashes. One bijection scatters
 them; a second one, shifted circularly by k in the 64-bit universe, gives the
 k-th signature coordinate as its smallest value over the set. So two
-permutations make all 64 coordinates. They are cut into 16 bands of 4: two sets
+permutations make all coordinates. 64 of them are cut into 16 bands of 4: two sets
 of similarity 0.85 share a band but for 7 pairs in a million.
 
 Equal sets are one class, and only its smallest document id goes on. Classes that
@@ -32,19 +32,19 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sensorlab.llm.common import U, mix, slices, small_batches, text_bytes, word_hashes, written
 
 SHINGLE = 5
-COORDINATES, BAND = 64, 4
-BANDS = COORDINATES // BAND
+#: Coordinates of a band, and bands unless more are asked for.
+BAND, BANDS = 4, 16
 #: Classes of a band that are compared pair by pair, and shingles of a chunk otherwise.
 SMALL, CHUNK = 16, 200_000
 _SCATTER = U(0x243F6A8885A308D3)
-#: The circular shift of every coordinate.
-_SHIFTS = np.arange(COORDINATES, dtype=np.uint64) * U(0x9E3779B97F4A7C15)
+#: The circular shift of a coordinate, times its number.
+_SHIFT = U(0x9E3779B97F4A7C15)
 _SHINGLE_BASE = U(0x2545F4914F6CDD1D)
 #: Shingles whose coordinates are worked out at once, so that they stay in cache.
 TILE = 16_384
@@ -76,9 +76,10 @@ def shingle_sets(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return (np.concatenate(sets) if sets else np.zeros(0, np.uint64)), sizes
 
 
-def signatures(shingles: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    """COORDINATES values for every set that is not empty; rows of empty sets are full."""
-    out = np.full((len(sizes), COORDINATES), ~U(0), np.uint64)
+def signatures(shingles: np.ndarray, sizes: np.ndarray, coordinates: int = BAND * BANDS) -> np.ndarray:
+    """That many values for every set that is not empty; rows of empty sets are full."""
+    out = np.full((len(sizes), coordinates), ~U(0), np.uint64)
+    shifts = np.arange(coordinates, dtype=np.uint64) * _SHIFT
     ends = np.cumsum(sizes)
     filled = np.flatnonzero(sizes)
     first = 0
@@ -89,8 +90,8 @@ def signatures(shingles: np.ndarray, sizes: np.ndarray) -> np.ndarray:
         own = filled[first:last]
         part = mix(shingles[base : ends[own[-1]]] ^ _SCATTER)
         starts = ends[own] - sizes[own] - base
-        for k in range(COORDINATES):
-            shifted = part - _SHIFTS[k]
+        for k in range(coordinates):
+            shifted = part - shifts[k]
             shifted ^= shifted >> U(32)
             shifted *= U(0xD6E8FEB86659FD93)
             shifted ^= shifted >> U(32)
@@ -100,39 +101,42 @@ def signatures(shingles: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return out
 
 
-def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in small_batches(batches):
-        texts = text_bytes(batch.column(1))
-        for a, b in slices(texts):
-            shingles, sizes = shingle_sets(texts[a:b])
-            signed = signatures(shingles, sizes)
-            bands = np.zeros((len(sizes), BANDS), np.uint64)
-            for i in range(BANDS):
-                key = np.full(len(sizes), U(i), np.uint64)
-                for j in range(BAND):
-                    key = mix(key * _SHINGLE_BASE + signed[:, i * BAND + j])
-                bands[:, i] = key
-            ends = np.cumsum(sizes)
-            names = [
-                hashlib.md5(shingles[e - n : e].tobytes()).hexdigest() if n else None
-                for n, e in zip(sizes.tolist(), ends.tolist())
-            ]
-            flat = pa.array(bands.view(np.int64).ravel())
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column(0).slice(a, b - a),
-                    pa.array(sizes),
-                    pa.array(names, pa.string()),
-                    pa.FixedSizeListArray.from_arrays(flat, BANDS).cast(pa.list_(pa.int64())),
-                ],
-                names=["doc_id", "n_shingles", "class", "bands"],
-            )
+def _sign(n_bands: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in small_batches(batches):
+            texts = text_bytes(batch.column(1))
+            for a, b in slices(texts):
+                shingles, sizes = shingle_sets(texts[a:b])
+                signed = signatures(shingles, sizes, BAND * n_bands)
+                bands = np.zeros((len(sizes), n_bands), np.uint64)
+                for i in range(n_bands):
+                    key = np.full(len(sizes), U(i), np.uint64)
+                    for j in range(BAND):
+                        key = mix(key * _SHINGLE_BASE + signed[:, i * BAND + j])
+                    bands[:, i] = key
+                ends = np.cumsum(sizes)
+                names = [
+                    hashlib.md5(shingles[e - n : e].tobytes()).hexdigest() if n else None
+                    for n, e in zip(sizes.tolist(), ends.tolist())
+                ]
+                flat = pa.array(bands.view(np.int64).ravel())
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        batch.column(0).slice(a, b - a),
+                        pa.array(sizes),
+                        pa.array(names, pa.string()),
+                        pa.FixedSizeListArray.from_arrays(flat, n_bands).cast(pa.list_(pa.int64())),
+                    ],
+                    names=["doc_id", "n_shingles", "class", "bands"],
+                )
+
+    return run
 
 
-def sign(docs: DataFrame) -> DataFrame:
+def sign(docs: DataFrame, n_bands: int = BANDS) -> DataFrame:
     """Write size, class and bands of every document's set."""
     texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
-    return written(texts.mapInArrow(_sign, SIGNED), "signed")
+    return written(texts.mapInArrow(_sign(n_bands), SIGNED), "signed")
 
 
 def _linked(a: np.ndarray, b: np.ndarray, per_cent: int) -> bool:
@@ -366,12 +370,13 @@ def components(links: DataFrame) -> DataFrame:
         before = after
 
 
-def near_duplicates(docs: DataFrame, per_cent: int = 85) -> DataFrame:
+def near_duplicates(docs: DataFrame, per_cent: int = 85, n_bands: int = BANDS) -> DataFrame:
     """doc_id, n_shingles, component_id and kept of every row.
 
-    Two sets are linked if 100 * intersection >= per_cent * union.
+    Two sets are linked if 100 * intersection >= per_cent * union. A pair of similarity s
+    shares no band, and is missed, with a chance of (1 - s^4)^n_bands.
     """
-    signed = sign(docs)
+    signed = sign(docs, n_bands)
     roots = components(find_links(docs, signed, per_cent))
     reps = class_ids(signed).select("class", "rep")
     # an id with several classes is in the links, so either way leads to its root
@@ -386,13 +391,23 @@ def near_duplicates(docs: DataFrame, per_cent: int = 85) -> DataFrame:
     )
 
 
-def drop_near_duplicates(docs: DataFrame, per_cent: int = 85) -> DataFrame:
-    """One document of each component, the one with the smallest id, with its columns.
+def drop_near_duplicates(docs: DataFrame, per_cent: int = 80, n_bands: int = 24) -> DataFrame:
+    """One row of each component, with its columns; rows are judged by their texts alone.
 
-    Of rows with the same id the first by text stays. Rows with a null id stay.
+    Every row is a document of its own, whatever its id: rows with one id, or none, are
+    linked only if their texts are alike. The row with the smallest id stays, null last;
+    of one id any row may, the same in every run over one table. Rows without words all stay.
     """
-    kept = near_duplicates(docs, per_cent).where("kept AND doc_id IS NOT NULL")
-    own = docs.join(kept.select("doc_id").distinct(), "doc_id", "left_semi")
-    first = Window.partitionBy("doc_id").orderBy("text")
-    own = own.withColumn("__row_of_id", F.row_number().over(first)).where("__row_of_id = 1")
-    return own.select(*docs.columns).unionByName(docs.where("doc_id IS NULL"))
+    row = "__row_of_near_dedup"
+    keyed = written(docs.withColumn(row, F.monotonically_increasing_id()), "keyed")
+    found = near_duplicates(keyed.select(F.col(row).alias("doc_id"), "text"), per_cent, n_bands)
+    rank = F.struct(F.col("id").isNull(), "id", F.col("doc_id"))
+    ids = keyed.select(F.col(row).alias("doc_id"), F.col("doc_id").alias("id"))
+    first = (
+        found.join(ids, "doc_id")
+        .groupBy("component_id")
+        .agg(F.min_by("doc_id", rank).alias(row))
+        .select(row)
+    )
+    # the rows that stay grow with the corpus: they are never broadcast
+    return keyed.join(first.hint("merge"), row, "left_semi").select(*docs.columns)

@@ -3,6 +3,7 @@
 import base64
 import hashlib
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -115,6 +116,30 @@ def test_line_counts_equal_brute_force(odd):
         assert row["base_failed"] == base and not (base and row["kept"])
 
 
+SCRIPTS = {
+    "Armenian": ("աբգդեզէըթժիլխծկհձղճմ", "։"),
+    "Amharic": ("ሀለሐመሠረሰሸቀበተቸኀነኘአከ", "።"),
+    "Burmese": ("ကခဂငစဆဇညတထဒနပဖဗဘမ", "။"),
+    "Khmer": ("កខគឃងចឆជឈញដឋឌណតថទ", "។"),
+    "Thai": ("กขคงจฉชซญดตถทนบปผพ", ""),
+    "Japanese": ("あいうえおかきくけこさしすせそ", "。」"),
+    "Hindi": ("कखगघचछजझटठडढतथदध", "।"),
+    "Urdu": ("ابتثجحخدرزسشصضطظ", "۔"),
+}
+
+
+@pytest.mark.parametrize("script", SCRIPTS)
+def test_line_rules_keep_prose_of_every_script(script):
+    letters, end = SCRIPTS[script]
+    rng = np.random.default_rng(len(script))
+    made = ["".join(rng.choice(list(letters), int(rng.integers(2, 7)))) for _ in range(60)]
+    text = "\n".join(" ".join(made[i : i + 10]) + end for i in range(0, 60, 10))
+    (row,) = lines.clean_texts([text])
+    assert row[-2] and row[-1] == text
+    (row,) = lines.clean_texts([text.replace(end, "") if end else text])
+    assert row[-2] == (script == "Thai")
+
+
 def test_line_rules_remove_what_they_name():
     good = PROSE * 3
     judge = lambda line: lines.line_rule(line, line.encode().split(), False)
@@ -143,7 +168,7 @@ def test_lines_of_empty_and_clashing_tables(none, clashing):
 # --- near-duplicates -------------------------------------------------------
 
 
-def brute_components(rows):
+def brute_components(rows, per_cent=85):
     def shingles(text):
         found = words((text or "").encode().translate(LOWER).decode())
         if len(found) < 5:
@@ -162,7 +187,7 @@ def brute_components(rows):
         for j, b in sets[:n]:
             if i is None or j is None or not a or not b:
                 continue
-            if 100 * len(a & b) >= 85 * len(a | b):
+            if 100 * len(a & b) >= per_cent * len(a | b):
                 x, y = sorted((root(i), root(j)))
                 parent[y] = x
     return [(i, len(s), None if i is None else root(i)) for i, s in sets]
@@ -230,9 +255,35 @@ def test_dedup_keeps_columns_and_one_of_each(clashing, none):
     assert minhash.near_duplicates(none).count() == 0
 
 
+def test_dedup_judges_rows_by_their_texts(spark):
+    base = story(21, 100)
+    words_ = base.split()
+    # 96 shingles each, of which 86 are shared: 100 * 86 / 106 = 81 per cent
+    near = " ".join([*words_[:30], "other", *words_[31:70], "another", *words_[71:]])
+    rows = [
+        (1, story(22, 60)), (1, story(23, 60)), (1, story(22, 60)),
+        (None, story(24, 60)), (None, story(24, 60)), (None, story(25, 60)),
+        (7, base), (8, near), (9, ""), (9, ""), (10, None),
+    ]
+    df = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], SCHEMA).repartition(3)
+    kept = [(r["doc_id"], r["text"]) for r in minhash.drop_near_duplicates(df).collect()]
+    wanted = [rows[0], rows[1], rows[3], rows[5], rows[6], rows[8], rows[9], rows[10]]
+    assert sorted(kept, key=repr) == sorted(wanted, key=repr)
+
+
 # --- secrets ---------------------------------------------------------------
 
 
+@pytest.mark.parametrize(
+    "piece", ["eyJ", "ghp_", "AKIA", "-----BEGIN RSA PRIVATE KEY-----", "token", "eyJa.", "secret=", "eyJ eyJ.eyJ"]
+)
+def test_secrets_of_long_texts_take_linear_time(piece):
+    text = (piece * (3_000_000 // len(piece))).encode()
+    begun = time.monotonic()
+    secret_scan.find_spans(text)
+    assert time.monotonic() - begun < 10
+
+
 def plain_spans(text):
     found = []
     assign = re.compile(secret_scan.ASSIGN.decode(), re.I | re.A)
@@ -332,7 +383,7 @@ def test_redaction_covers_the_key(block, rest):
 
 ODD_TEXTS = [
     "", " ", "  a", "a  b", "\n\n x", "x\n", "a\x1cb", "﻿x", "it's we'll  'S", "'sword I'm",
-    "ΑΣ ΟΔΟΣ", "é ́x", "İI", "<|endoftext|> hi", "tab\tx\r\ny", "a\xa0b", "x \n", "日本語 テスト",
+    "ΑΣ ΟΔΟΣ", "é ́x", "İI", "<|endoftext|> hi", "before <|endoftext|> after", "x<|EndOfText|>y <|startoftext|>", "日本<|endoftext|> 語 <|", "tab\tx\r\ny", "a\xa0b", "x \n", "日本語 テスト",
     "12 345 6", "x\x85y", "ａ Ⅷ ①", "ß ẞ µ ªº ²³ ½", "!!! *** a***b", "Word,word.Word", "​ ​",
 ]
 
@@ -340,7 +391,7 @@ ODD_TEXTS = [
 @pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
 def test_ids_equal_the_library(name, monkeypatch):
     texts = ODD_TEXTS + [t or "" for _, t, *_ in odd_rows()]
-    wanted = [x.ids for x in tokens.tokenizer(name).encode_batch(texts, add_special_tokens=False)]
+    wanted = [x.ids for x in plain_tokenizer(name).encode_batch(texts, add_special_tokens=False)]
     for remembered in (tokens.REMEMBERED, 3):
         monkeypatch.setattr(tokens, "REMEMBERED", remembered)
         own = tokens.Encoder(name)
@@ -348,6 +399,18 @@ def test_ids_equal_the_library(name, monkeypatch):
             assert [np.frombuffer(x, "<u4").tolist() for x in own.encode(texts)] == wanted
 
 
+def test_remembered_units_are_bounded_in_bytes(monkeypatch):
+    texts = [f"{i}\u200b" + story(i % 7, 20)[:80] + "x" * 20_000 for i in range(200)]
+    own = tokens.Encoder("byte_bpe_50k.json")
+    for a in range(0, 200, 50):
+        own.encode(texts[a : a + 50])
+    assert not own.known
+    monkeypatch.setattr(tokens, "REMEMBERED_BYTES", 30_000)
+    for i in range(60):
+        own.encode([" ".join(f"w{i}q{j}" for j in range(40))])
+    assert sum(len(u) + len(x) for u, x in own.known.items()) < 60_000
+
+
 def test_segments_give_any_id():
     rng = np.random.default_rng(0)
     for ids in ([], [5], [300] * 513, rng.integers(0, 2**32, 3000), rng.integers(0, 60_000, 5000)):
@@ -359,9 +422,16 @@ def test_segments_give_any_id():
             segment[len(ids)]
 
 
+def plain_tokenizer(name):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file(public_tokenizers.path(name))
+
+
 def library_ids(name, rows, end):
     texts = [t or "" for _, t in rows]
-    found = tokens.tokenizer(name).encode_batch(texts, add_special_tokens=False)
+    found = plain_tokenizer(name).encode_batch(texts, add_special_tokens=False)
     return [np.array([*x.ids, end], "<u4") for x in found]
 
 

@@ -147,7 +147,7 @@ def test_pipeline_equals_brute_force(spark, sf_dir, documents, tmp_path):
             judged = lines.clean_texts([t or "" for _, t, _ in before])
             wanted = {i: (j[-1], s) for (i, _, s), j in zip(before, judged) if j[-2]}
         elif name == "near_dedup":
-            roots = brute_components([(i, t) for i, t, _ in before])
+            roots = brute_components([(i, t) for i, t, _ in before], 80)
             wanted = {i: held[i] for i, _, root in roots if i == root}
         elif name == "secret_scans":
             mark = corpus_pipeline.SECRET_MARK
