@@ -32,8 +32,8 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays."""
-    return minhash.drop_near_duplicates(docs)
+    """One row of each group of texts with a similarity of 0.80 or more stays, whatever the ids."""
+    return minhash.drop_near_duplicates(docs, per_cent=80, n_bands=24)
 
 
 def secret_scans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
