@@ -24,6 +24,7 @@ result column are replaced.
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterator
 
@@ -36,8 +37,8 @@ from sensorlab.llm.common import WORD, U, map_arrow, mix, n_words, written
 
 #: Words of a block, slots of an output shard, documents of a bucket of the layout.
 BLOCK, SHARD, BUCKET = 64, 16_384, 20_000
-#: Slots among which one multivariate draw is made; more are first divided evenly.
-STRATUM = 2**29
+#: Slots up to which numpy's draw is used; it knows no more than 10^9.
+NUMPY_SLOTS = 2**29
 SEED = 17
 # Weights of the sources in turn, and the shares of the targets.
 WEIGHTS, TOTAL_SHARE, MOST = (3, 1, 2), 1.5, 2.0
@@ -69,14 +70,50 @@ def _seed(*key: int) -> np.random.Generator:
     return np.random.Generator(np.random.Philox(np.random.SeedSequence((SEED, *key))))
 
 
-def _even_split(counts: np.ndarray, half: int) -> np.ndarray:
-    """Counts of a half in proportion to the whole; what is left over by largest remainder."""
-    total = int(counts.sum())
-    exact = [divmod(int(c) * half, total) for c in counts]
-    first = np.array([q for q, _ in exact], np.int64)
-    order = sorted(range(len(counts)), key=lambda i: (-exact[i][1], i))
-    first[order[: half - int(first.sum())]] += 1
-    return first
+def _log_gamma_step(a: float, d: float) -> float:
+    """log gamma(a + d) - log gamma(a), without the loss of taking large values apart."""
+    if min(a, a + d) < 1e5:
+        return math.lgamma(a + d) - math.lgamma(a)
+    tail = (1 / (a + d) - 1 / a) / 12
+    return (a - 0.5) * math.log1p(d / a) + d * math.log(a + d) - d + tail
+
+
+def hypergeometric(rng: np.random.Generator, good: int, bad: int, drawn: int) -> int:
+    """Number of good ones among ``drawn`` of ``good + bad``, for numbers of any size.
+
+    Ratio of uniforms (Stadlober 1990): a point under the square root of the distribution,
+    scaled to its mode, gives a value with the right chance.
+    """
+    low, high = max(0, drawn - bad), min(good, drawn)
+    if low == high:
+        return low
+    total = good + bad
+    share = good / total
+    spread = math.sqrt(drawn * share * (1 - share) * (total - drawn) / (total - 1) + 0.5)
+    # 2 sqrt(2 / e) and 3 - 2 sqrt(3 / e), the width of the hat
+    width = 2 * math.sqrt(2 / math.e) * spread + 3 - 2 * math.sqrt(3 / math.e)
+    mode = min(max((drawn + 1) * (good + 1) // (total + 2), low), high)
+    offset = float(drawn) * good / total - mode + 0.5
+    places = (mode + 1, good - mode + 1, drawn - mode + 1, bad - drawn + mode + 1)
+    while True:
+        u, v = 1 - rng.random(), rng.random()
+        step = math.floor(offset + width * (v - 0.5) / u)
+        if low <= mode + step <= high:
+            ratio = sum(
+                _log_gamma_step(float(a), float(d)) for a, d in zip(places, (step, -step, -step, step))
+            )
+            if 2 * math.log(u) <= -ratio:
+                return mode + step
+
+
+def _large_draw(rng: np.random.Generator, counts: np.ndarray, drawn: int) -> np.ndarray:
+    """What a draw without replacement takes of every source, one source after another."""
+    rest, out = int(counts.sum()), []
+    for count in counts.tolist():
+        rest -= count
+        out.append(hypergeometric(rng, count, rest, drawn))
+        drawn -= out[-1]
+    return np.array(out, np.int64)
 
 
 def shard_draw(totals: np.ndarray, shard: int, shards: int, size: int) -> tuple:
@@ -90,8 +127,8 @@ def shard_draw(totals: np.ndarray, shard: int, shards: int, size: int) -> tuple:
     while high - low > 1:
         middle = (low + high) // 2
         half = int(min((middle - low) * size, counts.sum()))
-        if counts.sum() > STRATUM:
-            first = _even_split(counts, half)
+        if counts.sum() > NUMPY_SLOTS:
+            first = _large_draw(_seed(low, high), counts, half)
         else:
             first = _seed(low, high).multivariate_hypergeometric(counts, half, method="marginals")
         if shard < middle:
