@@ -203,7 +203,11 @@ def remainder(doc_id: Column, divisor: int) -> Column:
 def learned_from(
     scored: DataFrame, labels: DataFrame, target: str, most: int, held_out: Callable[[Column], Column]
 ) -> DataFrame:
-    """Rows that are not held out with their label; at most about ``most``, by hash."""
+    """Rows that are not held out with their label; at most about ``most``, by hash.
+
+    Where the labels left are found to be no more than twice that, they go to the tasks, and no
+    text moves.
+    """
     own = labels.select(
         F.col("doc_id").cast("bigint").alias("doc_id"), F.col(target).cast("int").alias("label")
     ).where("doc_id IS NOT NULL AND label IN (0, 1)")
@@ -211,6 +215,9 @@ def learned_from(
     rows = max(1, usable.count())
     if rows > most:
         usable = usable.where(F.pmod(F.xxhash64("doc_id", F.lit(SEED)), F.lit(rows)) < most)
+    usable = written(usable, "labels")
+    left = usable.count()
+    usable = F.broadcast(usable) if left <= 2 * most else usable.hint("merge")
     return written(scored.where("NOT held_out").drop("held_out").join(usable, "doc_id"), "labelled")
 
 

@@ -5,7 +5,10 @@ of longer words; a term is present or not. Terms are hashed to 2^22 places. From
 a sample of labelled documents the ``TERMS`` places are kept whose presence tells
 most about the label: they stand in ``LEAST_ROWS`` documents or more, and their
 likelihood-ratio statistic is at least ``LEAST_G``, which a term that has nothing
-to do with the label reaches once in 40 times. A factorization
+to do with the label reaches once in 40 times. Places that tell nothing by themselves are kept where
+they tell in pairs: of the ``PAIR_PLACES`` places whose presence varies most, every two are
+counted together in the sample, and both stay if what the pair tells beyond its two places reaches
+``LEAST_PAIR_G``, which one pair in five million does by chance. A factorization
 machine then learns a weight for every place and, by the product of two factor
 vectors, one for every pair of places that stand in one text, such as an insult
 beside the mention of a group.
@@ -27,7 +30,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.ml.classification import FMClassifier
-from pyspark.ml.linalg import SparseVector, VectorUDT
+from pyspark.ml.feature import CountVectorizerModel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -37,6 +40,7 @@ from sensorlab.llm.rule_ensemble import learned_from, remainder
 SAMPLE_ROWS = 20_000
 PLACES = 1 << 22
 TERMS, LEAST_ROWS, LEAST_G = 2048, 4, 5.0
+PAIR_PLACES, PAIRS, LEAST_PAIR_G = 1024, 256, 28.0
 FACTORS, ROUNDS, STEP, SEED = 4, 120, 0.05, 37
 #: Lengths in bytes of the word beginnings that are terms.
 HEADS = (4, 5)
@@ -116,6 +120,87 @@ def telling_places(rows: DataFrame) -> np.ndarray:
     return np.array(sorted(r["place"] for r in best), np.int64)
 
 
+def _both(places: np.ndarray):
+    """Rows of each label that hold each two of the places, as one matrix per task and label."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = np.zeros((2, len(places), len(places)), np.float32)
+        for batch in small_batches(batches):
+            labels = batch.column("label").to_numpy(zero_copy_only=False)
+            lists = batch.column("terms")
+            owner = np.repeat(np.arange(len(lists)), lists.value_lengths().to_numpy())
+            terms = lists.flatten().to_numpy()
+            at = np.searchsorted(places, terms).clip(0, len(places) - 1)
+            hit = places[at] == terms
+            own = np.zeros((len(lists), len(places)), np.float32)
+            own[owner[hit], at[hit]] = 1
+            for label in (0, 1):
+                part = own[labels == label]
+                held[label] += part.T @ part
+        yield pa.RecordBatch.from_arrays(
+            [pa.array([0, 1], pa.int32()), pa.array([h.tobytes() for h in held], pa.binary())],
+            names=["label", "held"],
+        )
+
+    return run
+
+
+def pair_gains(held: np.ndarray, ones: int, zeros: int) -> np.ndarray:
+    """Likelihood-ratio statistic of every pair of places beyond its two places.
+
+    ``held[l, i, j]`` are rows of label l with both. Labels are compared over the four
+    cases of a pair, less what either place tells alone.
+    """
+    sizes = np.array([zeros, ones], float)
+
+    def told(cells: list[np.ndarray]) -> np.ndarray:
+        """G of a table of cases by label; ``cells`` are counts with the labels first."""
+        out = np.zeros(cells[0].shape[1:])
+        n = sizes.sum()
+        for cell in cells:
+            both = cell.sum(axis=0)
+            for label in (0, 1):
+                share = both * sizes[label] / n
+                own = cell[label]
+                out += np.where(own > 0, 2 * own * np.log(np.maximum(own, 1e-300) / np.maximum(share, 1e-300)), 0)
+        return out
+
+    alone = np.einsum("lii->li", held)
+    a, b = alone[:, :, None], alone[:, None, :]
+    whole = sizes[:, None, None]
+    pair = told([held, a - held, b - held, whole - a - b + held])
+    single = told([alone, sizes[:, None] - alone])
+    gains = pair - single[:, None] - single[None, :]
+    gains[np.tril_indices(len(gains))] = -np.inf
+    return gains
+
+
+def paired_places(rows: DataFrame) -> np.ndarray:
+    """Places of the pairs that tell most beyond their two places; bounded by the sample."""
+    totals = rows.agg(F.count("*"), F.sum("label")).first()
+    n, ones = totals[0], totals[1]
+    varied = (
+        rows.select(F.explode("terms").alias("place"))
+        .groupBy("place")
+        .agg(F.count("*").alias("held"))
+        .where((F.col("held") >= LEAST_ROWS) & (F.col("held") <= n - LEAST_ROWS))
+        .orderBy(F.desc(F.col("held") * (n - F.col("held"))), "place")
+        .limit(PAIR_PLACES)
+    )
+    places = np.array(sorted(r["place"] for r in varied.select("place").collect()), np.int64)
+    if len(places) < 2:
+        return places[:0]
+    # the sample is bounded, and so is a task's pair of matrices: 8 MB
+    parts = rows.coalesce(4).mapInArrow(_both(places), "label int, held binary").collect()
+    held = np.zeros((2, len(places), len(places)))
+    for label, counts in parts:
+        held[label] += np.frombuffer(counts, np.float32).reshape(held.shape[1:])
+    gains = pair_gains(held, ones, n - ones)
+    best = np.argsort(-gains, axis=None, kind="stable")[:PAIRS]
+    best = best[gains.ravel()[best] >= LEAST_PAIR_G]
+    return np.unique(places[np.concatenate(np.unravel_index(best, gains.shape))])
+
+
 def fit(labelled: DataFrame) -> Machine:
     """Fit on ``text`` and an integer ``label``."""
     counts = {r["label"]: r["n"] for r in labelled.groupBy("label").agg(F.count("*").alias("n")).collect()}
@@ -127,18 +212,15 @@ def fit(labelled: DataFrame) -> Machine:
         return Machine(prior, none, np.zeros(0), np.zeros((0, FACTORS)))
     rows = labelled.select("label", "text").mapInArrow(_terms, "label int, terms array<bigint>").persist()
     try:
-        places = telling_places(rows)
+        places = np.union1d(telling_places(rows), paired_places(rows))
         if not len(places):
             return Machine(prior, none, np.zeros(0), np.zeros((0, FACTORS)))
-
-        @F.udf(VectorUDT())
-        def vector(terms):
-            found = np.array(terms, np.int64)
-            at = np.searchsorted(places, found).clip(0, len(places) - 1)
-            at = np.unique(at[places[at] == found])
-            return SparseVector(len(places), at, np.ones(len(at)))
-
-        table = rows.select("label", vector("terms").alias("features")).persist()
+        # a vocabulary of places makes sparse vectors of presence in the JVM
+        vectors = CountVectorizerModel.from_vocabulary(
+            [str(p) for p in places.tolist()], inputCol="places", outputCol="features", binary=True
+        )
+        named = rows.select("label", F.transform("terms", lambda t: t.cast("string")).alias("places"))
+        table = vectors.transform(named).select("label", "features").persist()
         machine = FMClassifier(
             labelCol="label",
             factorSize=FACTORS,

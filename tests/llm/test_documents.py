@@ -667,6 +667,91 @@ def test_machine_learns_a_pair(spark):
     assert scores[2] > 0.8 and scores[[0, 1, 3, 4]].max() < 0.2
 
 
+def test_machine_learns_exclusive_words(spark):
+    """Label 1 is exactly one of two words: neither tells anything by itself."""
+    rng = np.random.default_rng(6)
+    rows = []
+    for i in range(1600):
+        a, b = i % 2, i // 2 % 2
+        text = story(9000 + i, 5) + " insultish" * a + " grouplings" * b
+        rows.append((a ^ b, " ".join(rng.permutation(text.split()))))
+    table = spark.createDataFrame(rows, "label int, text string")
+    machine = toxicity.fit(table)
+    scores = machine.scores([b"insultish xx", b"grouplings yy", b"insultish zz grouplings", b"", b"qq"])
+    assert scores[:2].min() > 0.8 and scores[2:].max() < 0.2
+
+
+def test_pair_gains_are_of_the_whole_table():
+    rng = np.random.default_rng(2)
+    x = rng.random((500, 4)) < [0.5, 0.4, 0.2, 0.7]
+    y = (x[:, 0] ^ x[:, 1]).astype(int)
+    held = np.stack([x[y == v].T.astype(float) @ x[y == v] for v in (0, 1)])
+
+    def g(keys):
+        out = 0.0
+        for key in set(keys):
+            for label in (0, 1):
+                n = sum(k == key and v == label for k, v in zip(keys, y))
+                if n:
+                    out += 2 * n * np.log(n * len(y) / (keys.count(key) * (y == label).sum()))
+        return out
+
+    gains = toxicity.pair_gains(held, int(y.sum()), int((1 - y).sum()))
+    for i in range(4):
+        for j in range(i + 1, 4):
+            wanted = g(list(zip(x[:, i], x[:, j]))) - g(list(x[:, i])) - g(list(x[:, j]))
+            assert np.isclose(gains[i, j], wanted)
+    assert np.unravel_index(np.argmax(gains), gains.shape) == (0, 1)
+
+
+def test_scores_equal_the_machine_of_spark(spark, monkeypatch):
+    from pyspark.ml.classification import FMClassifier, FMClassificationModel  # noqa: F401
+
+    kept = {}
+    fit = FMClassifier.fit
+    monkeypatch.setattr(FMClassifier, "fit", lambda self, df: kept.setdefault("m", (fit(self, df), df.collect()))[0])
+    rows = [(i % 2, story(i, 6) + (" foulword" if i % 2 and i % 8 else " kindword" if i % 3 else "")) for i in range(300)]
+    table = spark.createDataFrame(rows, "label int, text string").coalesce(1)
+    machine = toxicity.fit(table)
+    model, vectors = kept["m"]
+    ours = machine.scores([t.encode() for _, t in rows])
+    theirs = [model.predictProbability(r["features"])[1] for r in vectors]
+    assert np.allclose(sorted(ours), sorted(theirs), atol=1e-9)
+
+
+# --- draws beyond numpy's range ----------------------------------------------
+
+
+@pytest.mark.parametrize("good, bad, drawn", [(300, 700, 250), (5, 4000, 2000), (90_000, 10_000, 99_000), (1, 1, 1)])
+def test_large_draws_are_hypergeometric(good, bad, drawn):
+    rng = np.random.default_rng(3)
+    own = np.array([mixing.hypergeometric(rng, good, bad, drawn) for _ in range(6000)])
+    low, high = max(0, drawn - bad), min(good, drawn)
+    assert own.min() >= low and own.max() <= high
+    share, total = good / (good + bad), good + bad
+    mean = drawn * share
+    sd = np.sqrt(drawn * share * (1 - share) * (total - drawn) / (total - 1))
+    assert abs(own.mean() - mean) < 5 * sd / np.sqrt(len(own)) + 1e-9
+    assert abs(own.std() - sd) < 0.05 * sd + 1e-9
+
+
+def test_draws_of_any_size_are_near_their_share():
+    rng = np.random.default_rng(4)
+    good, bad, drawn = 3 * 10**12, 10**13, 5 * 10**12
+    own = np.array([mixing.hypergeometric(rng, good, bad, drawn) for _ in range(2000)], float)
+    total = good + bad
+    sd = np.sqrt(drawn * (good / total) * (bad / total) * (total - drawn) / (total - 1))
+    scaled = (own - drawn * good / total) / sd
+    assert abs(scaled.mean()) < 0.12 and abs(scaled.std() - 1) < 0.08
+    counts = np.array([10**12, 3 * 10**12, 7])
+    size, shards = 2**38, 15
+    parts = [mixing.shard_draw(counts, k, shards, size) for k in range(shards)]
+    assert (sum(p for p, _ in parts) == counts).all()
+    assert all(int(p.sum()) == size for p, _ in parts[:-1])
+    before = np.cumsum([p for p, _ in parts], axis=0)
+    assert all((b == a).all() for a, (_, b) in zip(before[:-1], parts[1:]))
+
+
 # --- pipeline --------------------------------------------------------------
 
 

@@ -10,7 +10,7 @@ import pytest
 import __spark_entry__ as driver
 import corpus_pipeline
 from check_oracles import compare, database
-from sensorlab.llm import lines, mixing, secret_scan
+from sensorlab.llm import lines, secret_scan
 from sensorlab.llm.queries import ORACLES, QUERIES
 from tests.llm.test_documents import (
     brute_components,
@@ -63,7 +63,13 @@ def check_mix(documents, found):
     order = sorted(sizes, key=lambda s: (s is None, s or ""))
     weights = [(3.0, 1.0, 2.0)[i % 3] for i in range(len(order))]
     total = 1.5 * sum(sizes.values())
-    targets = dict(zip(order, mixing.water_fill([sizes[s] for s in order], weights, total)))
+    # one level for all: a source gives its weight times the level, and at most twice its size
+    low, high = 0.0, 4.0 * sum(sizes.values()) + 1
+    for _ in range(200):
+        level = (low + high) / 2
+        given = sum(min(level * w, 2 * sizes[s]) for s, w in zip(order, weights))
+        low, high = (level, high) if given < total else (low, level)
+    targets = {s: min(high * w, 2.0 * sizes[s]) for s, w in zip(order, weights)}
     taken = Counter()
     for i, text, source in documents:
         own, target, size = found[i]
