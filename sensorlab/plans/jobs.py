@@ -83,6 +83,9 @@ class ElmJobParams(JobParams):
     fracTest: float = DEFAULT_TEST_FRACTION
     init: str = "uniform"
     folds: int = tune.ELM_FOLDS
+    #: Output above which class 1 is predicted, and grid points in place of the job's own.
+    decisionThreshold: float = 0.0
+    points: Sequence[tuple[str, int]] | None = None
 
     def __post_init__(self):
         check_activation(self.activationFunc)
@@ -205,6 +208,7 @@ def run_elm(
             hiddenNodes=params.hiddenNodes,
             fracTest=params.fracTest,
             init=params.init,
+            decisionThreshold=params.decisionThreshold,
         )
         model = report.timed("fit", "training seconds", lambda: estimator.fit(train))
         _evaluate(report, "train", model, train)
@@ -212,12 +216,12 @@ def run_elm(
         grid = best_model = None
         if params.tune:
             held = _folds(test, params, params.folds)
-            points = tune.elm_grid_points(params.activationFunc, params.hiddenNodes)
+            points = params.points or tune.elm_grid_points(params.activationFunc, params.hiddenNodes)
             rows = report.timed(
                 "tune",
                 "cross-validation seconds",
                 lambda: tune.elm_cross_validate(
-                    held, points, params.folds, init=params.init
+                    held, points, params.folds, init=params.init, threshold=params.decisionThreshold
                 ).collect(),
             )
             best = min(rows, key=lambda r: r["rank"])

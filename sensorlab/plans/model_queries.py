@@ -11,7 +11,15 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from sensorlab.functions.labels import above
-from sensorlab.operators import evaluate, features, linear, prepare, tune
+from sensorlab.operators import (
+    binomial,
+    components,
+    evaluate,
+    features,
+    linear,
+    prepare,
+    tune,
+)
 from sensorlab.plans import oracles as o
 from sensorlab.plans.jobs import LogisticJobParams, run_logistic, run_pca_logistic
 from sensorlab.plans.registry import query
@@ -488,3 +496,95 @@ def logistic_grid(spark, sf_dir):
     return table.where(plain & (F.col("max_iter") > 10)).select(
         "reg_param", "elastic_net", "max_iter", F.round("metric", 4).alias("metric")
     )
+
+
+def _whole_summary_sql() -> str:
+    """The summary's sections from Newton's weights, the inverse information and plain sums."""
+    names = GLM_FEATURES
+    newton, weights = _newton(_reading_tables(names), "rows_", names)
+    n = len(names) + 1
+    x = ["1.0::DOUBLE", *names]
+    sums = ", ".join(
+        f"sum(p * (1 - p) * {a} * {b}) AS g{i}_{j}" for i, a in enumerate(x) for j, b in enumerate(x)
+    )
+    lists = []
+    for i in range(n):
+        cells = [f"g{i}_{j}" for j in range(n)]
+        cells += ["1.0::DOUBLE" if i == j else "0.0::DOUBLE" for j in range(n)]
+        lists.append(f"SELECT {i + 1} AS i, [{', '.join(cells)}] AS r FROM information")
+    parts = [
+        f"fitted AS (SELECT rows_.*, {_probability(names)} AS p FROM rows_, {weights})",
+        f"information AS (SELECT {sums} FROM fitted)",
+        f"augmented AS ({' UNION ALL '.join(lists)})",
+        o.gauss_jordan("augmented", n, "inverse", n),
+        f"errors AS (SELECT ({['(intercept)', *names]!r})[i] AS name, {weights}.b[i] AS estimate, "
+        f"sqrt(inverse.b[i]) AS error FROM inverse, {weights})",
+        "losses AS (SELECT y, -2 * ln(CASE WHEN y > 0.5 THEN p ELSE 1 - p END) AS d FROM fitted)",
+        "residuals AS (SELECT CASE WHEN y > 0.5 THEN sqrt(d) ELSE -sqrt(d) END AS r FROM losses)",
+        "sizes AS (SELECT count(*)::DOUBLE AS n, avg(y) AS m, sum(d) AS deviance, "
+        "-2 * sum(ln(CASE WHEN y > 0.5 THEN share ELSE 1 - share END)) AS null_deviance "
+        "FROM losses, (SELECT avg(y) AS share FROM losses))",
+    ]
+    rows = [
+        f"SELECT 'estimate' AS section, name, {o.rounded('estimate', 6)} AS value FROM errors",
+        f"SELECT 'std_error', name, {o.rounded('error', 6)} FROM errors",
+        f"SELECT 'z', name, {o.rounded('estimate / error', 4)} FROM errors",
+        f"SELECT 'fit', 'null deviance', {o.rounded('null_deviance', 4)} FROM sizes",
+        "SELECT 'fit', 'null freedom', n - 1 FROM sizes",
+        f"SELECT 'fit', 'residual deviance', {o.rounded('deviance', 4)} FROM sizes",
+        f"SELECT 'fit', 'residual freedom', n - {n} FROM sizes",
+        f"SELECT 'fit', 'aic', {o.rounded(f'deviance + 2 * {n}', 4)} FROM sizes",
+    ]
+    rows += [
+        f"SELECT 'residual', '{name}', {o.rounded(f'quantile_disc(r, {q})', 4)} FROM residuals"
+        for name, q in binomial.QUANTILES.items()
+    ]
+    return f"{newton.rstrip()}, {', '.join(parts)} {' UNION ALL '.join(rows)}"
+
+
+@query("glm_whole_summary", _whole_summary_sql())
+def glm_whole_summary(spark, sf_dir):
+    """Coefficients with errors and z, deviances, AIC and residual quantiles, by triangular factors."""
+    rows = _reading_features(spark, sf_dir, GLM_FEATURES)
+    with kept(rows) as held:
+        table = binomial.fit_binomial_factor(held, tol=1e-12).summary(held, GLM_FEATURES)
+    # p is too small to be told apart from 0 in SQL that has no error function
+    digits = F.when(F.col("section").isin("estimate", "std_error"), F.round("value", 6)).otherwise(
+        F.round("value", 4)
+    )
+    return table.where("section <> 'p'").withColumn("value", digits)
+
+
+def _factor_components_sql() -> str:
+    names = CHANNELS
+    x = "[" + ", ".join(names) + "]"
+    sums = [
+        f"SELECT {c} AS component, {o.rounded('any_value(size)', 3)} AS variance, "
+        f"{o.rounded('any_value(size) / any_value(total)', 9)} AS share, "
+        f"{o.rounded(f'avg(pow(list_dot_product({x}, c{c}.v), 2))', 3)} AS mean_square "
+        f"FROM labelled, c{c}, trace"
+        for c in (1, 2, 3)
+    ]
+    parts = [
+        o.LABELLED,
+        *_components_sql("labelled", names, 3),
+        "trace AS (SELECT list_sum([m[i][i] for i in range(1, 24)]) AS total FROM m1)",
+    ]
+    return f"WITH RECURSIVE {', '.join(parts)} {' UNION ALL '.join(sums)}"
+
+
+@query("pca_factor", _factor_components_sql())
+def pca_factor(spark, sf_dir):
+    """Three components of all channels from a triangular factor: variance, share, mean square of the projection."""
+    rows = labelled_readings(spark, sf_dir).select(F.array(*CHANNELS).alias("features"))
+    fitted = components.fit_components(rows)
+    cells = fitted.project(rows, 3).select(F.posexplode("components").alias("place", "x"))
+    squares = cells.groupBy((F.col("place") + 1).alias("component")).agg(
+        F.avg(F.col("x") * F.col("x")).alias("mean_square")
+    )
+    return fitted.table(spark).where("component <= 3").join(squares, "component").select(
+        "component",
+        F.round("variance", 3).alias("variance"),
+        F.round("share", 9).alias("share"),
+        F.round("mean_square", 3).alias("mean_square"),
+    )

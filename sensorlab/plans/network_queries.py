@@ -597,6 +597,104 @@ def job_elm(spark, sf_dir):
     return _sizes_and_errors(run_elm(spark, readings(spark, sf_dir), params).report)
 
 
+#: Readings whose activity follows the chest channels, with noise from another channel.
+SIGNAL = (
+    "0.2 * (acc_Chest_X - 25.5) + 2 * sin(acc_Chest_Y) - 0.6 * (acc_Chest_Z - 4) "
+    "+ 0.8 * (acc_Arm_X % 7 - 3) > 0"
+)
+SIGNAL_POINTS = (("tanh", 10), ("tanh", 12), ("sin", 10), ("sin", 12))
+
+
+def signal_readings(spark, sf_dir):
+    """All readings, with a code of 5 or 1 in place of each code above 0."""
+    rows = readings(spark, sf_dir)
+    code = F.when(F.col(LABEL) > 0, F.when(F.expr(SIGNAL), 5.0).otherwise(1.0)).otherwise(F.col(LABEL))
+    return rows.withColumn(LABEL, code)
+
+
+def _signal_sql() -> str:
+    """The whole report: two fits, the grid on the test part, and the best point's fit on it."""
+    test = f"{o.knuth('session_id', 12345)} < {int(0.6 * 2**32)}"
+    fold = f"CAST(floor({o.knuth_twice('session_id', 12345)} * {tune.ELM_FOLDS} / 4294967296) AS INTEGER)"
+    parts = [
+        o.LABELLED,
+        f"signal AS (SELECT session_id, CASE WHEN {SIGNAL} THEN 1.0::DOUBLE ELSE 0.0 END AS binaryLabel, "
+        f"{', '.join(CHEST)}, {test} AS is_test, {fold} AS fold FROM labelled)",
+        o.layer(12, len(INPUTS)),
+    ]
+    keep = ["is_test", "fold", "binaryLabel"]
+    for act in ("tanh", "sin"):
+        parts.append(o.hidden("signal", keep, INPUTS, 12, act, f"hidden_{act}"))
+
+    def fit(name: str, act: str, nodes: int, where: str) -> str:
+        parts.append(o.normal_rows(f"hidden_{act}", nodes, "binaryLabel", f"eq_{name}", where))
+        parts.append(o.gauss_jordan(f"eq_{name}", nodes, f"beta_{name}"))
+        return o.weighted(nodes, f"beta_{name}.b")
+
+    def scored(name: str, act: str, t: str, where: str) -> str:
+        return f"SELECT binaryLabel, {t} AS t FROM hidden_{act}, beta_{name} WHERE {where}"
+
+    wrong = "avg(CASE WHEN (t > 0.5) <> (binaryLabel > 0.5) THEN 1.0 ELSE 0.0 END)"
+    t = fit("main", "tanh", NODES, "NOT is_test")
+    tables = {"train": scored("main", "tanh", t, "NOT is_test"), "test": scored("main", "tanh", t, "is_test")}
+    errors = []
+    for p, (act, nodes) in enumerate(SIGNAL_POINTS):
+        for f in range(tune.ELM_FOLDS):
+            own = fit(f"p{p}_{f}", act, nodes, f"is_test AND fold <> {f}")
+            held = scored(f"p{p}_{f}", act, own, f"is_test AND fold = {f}")
+            errors.append(f"SELECT {p} AS point, {wrong} AS e FROM ({held})")
+    parts.append(
+        f"errors AS (SELECT point, avg(e) AS error FROM ({' UNION ALL '.join(errors)}) GROUP BY point)"
+    )
+    listed = ", ".join(f"({p}, '{a}', {n})" for p, (a, n) in enumerate(SIGNAL_POINTS))
+    parts.append(
+        f"best AS (SELECT * FROM errors JOIN (VALUES {listed}) v(point, activation, hidden_nodes) USING (point) "
+        "ORDER BY round(error, 12), point LIMIT 1)"
+    )
+    whole = []
+    for p, (act, nodes) in enumerate(SIGNAL_POINTS):
+        own = fit(f"w{p}", act, nodes, "is_test")
+        whole.append(f"SELECT w.* FROM ({scored(f'w{p}', act, own, 'is_test')}) w, best WHERE point = {p}")
+    tables["tuned"] = " UNION ALL ".join(whole)
+    rows = ["SELECT 'data' AS stage, 'samples' AS metric, '' AS note, count(*)::DOUBLE AS value FROM signal"]
+    for stage, table in tables.items():
+        parts.append(f"{stage} AS ({table})")
+        rows += [
+            f"SELECT '{stage}', 'rows', '', count(*)::DOUBLE FROM {stage}",
+            f"SELECT '{stage}', 'misclassification', '', {o.rounded(wrong, 9)} FROM {stage}",
+            f"SELECT '{stage}', 'auroc', '', {o.rounded('area', 6)} FROM ({o.ranked_area(stage, 't', 'binaryLabel')})",
+        ]
+    rows += [
+        "SELECT 'tune', 'best hidden nodes', activation, hidden_nodes::DOUBLE FROM best",
+        f"SELECT 'tune', 'best misclassification', '', {o.rounded('error', 9)} FROM best",
+    ]
+    rows += [f"SELECT 'grid', 'error', '{a} {n}', {o.rounded('error', 9)} FROM errors WHERE point = {p}" for p, (a, n) in enumerate(SIGNAL_POINTS)]
+    return f"WITH RECURSIVE {', '.join(parts)} {' UNION ALL '.join(rows)}"
+
+
+@query("job_elm_signal", _signal_sql())
+def job_elm_signal(spark, sf_dir):
+    """All that the network job reports but its timings, and its grid, on readings with a signal."""
+    params = ElmJobParams(
+        scale=SCALE, key="session_id", hiddenNodes=NODES, init="arithmetic",
+        decisionThreshold=0.5, points=SIGNAL_POINTS,
+    )
+    result = run_elm(spark, signal_readings(spark, sf_dir), params)
+    report = result.report.where(~F.col("metric").endswith("seconds")).select(
+        "stage",
+        "metric",
+        F.coalesce("note", F.lit("")).alias("note"),
+        F.when(F.col("metric") == "auroc", F.round("value", 6)).otherwise(F.round("value", 9)).alias("value"),
+    )
+    grid = result.grid.select(
+        F.lit("grid").alias("stage"),
+        F.lit("error").alias("metric"),
+        F.concat_ws(" ", "activation", "hidden_nodes").alias("note"),
+        F.round("error", 9).alias("value"),
+    )
+    return report.unionByName(grid)
+
+
 def _exploration_sql() -> str:
     labelled, unlabelled = f"{LABEL} > 0", f"{LABEL} = 0"
     speeds = []

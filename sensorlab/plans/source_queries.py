@@ -103,6 +103,53 @@ def reconcile_counts(spark, sf_dir):
     return reconcile(rows.select(_subject_of("file_path")), "subject")
 
 
+def _faulty_folder(spark, sf_dir):
+    """Text of which some records are short and some hold a word."""
+
+    def write(path: str) -> None:
+        cells = [F.col(c).cast("string") for c in COLUMNS]
+        odd = F.when(F.col("session_id") % 89 == 0, F.lit("n/a")).otherwise(cells[1])
+        fields = F.array(cells[0], odd, *cells[2:])
+        short = F.when(F.col("session_id") % 97 == 0, F.slice(fields, 1, 23)).otherwise(fields)
+        readings(spark, sf_dir).select("subject", F.array_join(short, "\t").alias("value")).write.partitionBy(
+            "subject"
+        ).text(path)
+
+    return written_once(spark, sf_dir, "faulty", write)
+
+
+_FAULT = "CASE WHEN session_id % 97 = 0 THEN 'short' WHEN session_id % 89 = 0 THEN 'not a number' END"
+
+
+@query(
+    "scan_accounted",
+    f"WITH {o.READINGS}, told AS (SELECT *, {_FAULT} AS reason FROM readings) "
+    "SELECT 'readings' AS part, subject, '' AS reason, count(*) AS rows, "
+    f"{o.rounded('sum(acc_Chest_X)', 4)} AS total FROM told WHERE reason IS NULL GROUP BY subject UNION ALL "
+    "SELECT 'rejects', subject, reason, count(*), 0.0 FROM told WHERE reason IS NOT NULL GROUP BY subject, reason "
+    "UNION ALL SELECT 'scan', NULL, 'lines', count(*), 0.0 FROM told UNION ALL SELECT 'scan', NULL, "
+    "coalesce(reason, 'accepted'), count(*), 0.0 FROM told GROUP BY reason",
+)
+def scan_accounted(spark, sf_dir):
+    """Good readings and rejects by subject, and the counts that the scan took on its way."""
+    found = text.read_accounted(spark, _faulty_folder(spark, sf_dir))
+    subject = _subject_of("file_path")
+    good = found.readings.select(subject, "acc_Chest_X").groupBy("subject").agg(
+        F.lit("readings").alias("part"),
+        F.lit("").alias("reason"),
+        F.count("*").alias("rows"),
+        F.round(F.sum("acc_Chest_X"), 4).alias("total"),
+    )
+    bad = found.rejects.select(subject, "reason").groupBy("subject", "reason").agg(
+        F.lit("rejects").alias("part"), F.count("*").alias("rows"), F.lit(0.0).alias("total")
+    )
+    counted = spark.createDataFrame(
+        [("scan", None, name, n, 0.0) for name, n in found.counts.items() if n],
+        "part string, subject long, reason string, rows long, total double",
+    )
+    return counted.unionByName(good).unionByName(bad)
+
+
 @query(
     "scan_numbered",
     f"WITH {o.READINGS} SELECT count(*) AS rows, count(*) AS distinct_positions, "

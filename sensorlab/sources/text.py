@@ -9,9 +9,12 @@ the used columns only, and so notices the faults in those only.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass
+from functools import reduce
+from operator import or_
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -20,6 +23,10 @@ from sensorlab.schema import CHANNELS, EXPLORATION_NAMES, LABEL
 from sensorlab.session import remove_at_end, scratch_path
 
 
+#: Name of the split record while it is converted.
+FIELDS = "__fields"
+
+
 def to_number(text: Column, permissive: bool = False, name: str = "a cell") -> Column:
     """Text to double, blanks around it allowed.  What is no number gives null if
     permissive, else fails the job, whatever the session's ANSI setting."""
@@ -41,22 +48,28 @@ def parse_fields(
     """Replace a text column by one double column per name.
 
     Surplus fields are ignored; a missing one counts as no number.  Unless lazy
-    or permissive, every record is checked as a whole: the filter that does so
-    reads all fields, so no query can leave it out.
+    or permissive, every record is checked as a whole: its fields are converted
+    once, by a generator of one row, and the filter behind it reads all of them,
+    so no query can leave it out and none is converted twice.
     """
     fields = F.split(F.col(line), separator)
     rest = [c for c in lines.columns if c != line]
-    if not (lazy or permissive):
-        cells = F.slice(fields, 1, len(names))
-        faults = F.exists(cells, lambda cell: cell.try_cast("double").isNull())
-        bad = (F.size(cells) < len(names)) | faults
-        problem = F.raise_error(F.lit("a record is short or holds no number")).cast("boolean")
-        lines = lines.where(F.when(bad, problem).otherwise(F.lit(True)))
-    parsed = [
-        to_number(F.get(fields, F.lit(i)), permissive, name).alias(name)
-        for i, name in enumerate(names)
-    ]
-    return lines.select(*rest, *parsed)
+    if lazy or permissive:
+        parsed = [
+            to_number(F.get(fields, F.lit(i)), permissive, name).alias(name)
+            for i, name in enumerate(names)
+        ]
+        return lines.select(*rest, *parsed)
+    parsed = _converted(lines.select(*rest, fields.alias(FIELDS)), names, rest)
+    bad = reduce(or_, [F.col(f"`{name}`").isNull() for name in names])
+    problem = F.raise_error(F.lit("a record is short or holds no number")).cast("boolean")
+    return parsed.where(F.when(bad, problem).otherwise(F.lit(True)))
+
+
+def _converted(split: DataFrame, names: Sequence[str], keep: Sequence[str]) -> DataFrame:
+    """The first fields of every record as doubles, null for what is no number."""
+    cells = [F.get(FIELDS, F.lit(i)).try_cast("double").alias(name) for i, name in enumerate(names)]
+    return split.select(*keep, F.inline(F.array(F.struct(*cells))))
 
 
 def read_readings(
@@ -138,7 +151,13 @@ def _number(scanned: DataFrame, target: str | None = None) -> DataFrame:
     scanned.write.parquet(path)
     if target is None:
         remove_at_end(spark, path)
-    lines = spark.read.parquet(path)
+    rest = [c for c in scanned.columns if c not in ("file_path", "block_start", "scan_id")]
+    return _numbered(spark.read.parquet(path)).select("file_path", "reading_no", *rest)
+
+
+def _numbered(lines: DataFrame) -> DataFrame:
+    """Add the number of every written line in its file; see :func:`_number`."""
+    spark = lines.sparkSession
     earlier = Window.partitionBy("file_path").orderBy("block_start").rowsBetween(
         Window.unboundedPreceding, -1
     )
@@ -157,7 +176,7 @@ def _number(scanned: DataFrame, target: str | None = None) -> DataFrame:
     offsets.write.parquet(splits)
     remove_at_end(spark, splits)
     offsets = spark.read.parquet(splits)
-    rest = [c for c in scanned.columns if c not in ("file_path", "block_start", "scan_id")]
+    rest = [c for c in lines.columns if c not in ("file_path", "block_start", "scan_id")]
     return lines.join(offsets, ["file_path", "block_start"]).select(
         "file_path", (F.col("scan_id") + F.col("shift")).alias("reading_no"), *rest
     )
@@ -211,3 +230,65 @@ def to_parquet(df: DataFrame, path: str, partition_by: str | None = None) -> str
     writer = _arranged(df, partition_by).write.mode("overwrite")
     (writer.partitionBy(partition_by) if partition_by else writer).parquet(path)
     return path
+
+
+@dataclass
+class Accounted:
+    """A recording read with an account of its bad records, from one scan of the text.
+
+    ``readings`` are the good records with file and line number, ``rejects`` the others
+    (file_path, reading_no, reason, value), and ``counts`` lines, accepted, short and
+    not a number, which the scan itself counted.
+    """
+
+    readings: DataFrame
+    rejects: DataFrame
+    counts: dict[str, int]
+
+    def reconciled(self) -> bool:
+        """Whether both tables together hold every line that was scanned."""
+        return self.counts["lines"] == self.readings.count() + self.rejects.count()
+
+
+def read_accounted(
+    spark: SparkSession,
+    path: str | list[str],
+    names: Sequence[str] = (*CHANNELS, LABEL),
+    separator: str = "\t",
+    target: str | None = None,
+) -> Accounted:
+    """Read every record; those with a short or bad field go to a table of their own.
+
+    The text is scanned once: the scan converts each record once, counts good and bad ones on its
+    way (``DataFrame.observe``), and writes both kinds as columns, apart by a partition
+    value. Line numbers are counted per split afterwards, on what was written.
+    """
+    lines = _scan_lines(spark, path)
+    split = lines.withColumn(FIELDS, F.split("value", separator))
+    keep = ["file_path", "block_start", "scan_id", "value", FIELDS]
+    parsed = _converted(split, names, keep)
+    short = F.size(FIELDS) < len(names)
+    bad = reduce(or_, [F.col(f"`{name}`").isNull() for name in names])
+    reason = F.when(short, "short").when(bad, "not a number")
+    told = parsed.withColumn("reason", reason).withColumn("accepted", reason.isNull())
+    told = told.withColumn("value", F.when(reason.isNotNull(), F.col("value"))).drop(FIELDS)
+    seen = Observation()
+    told = told.observe(
+        seen,
+        F.count(F.lit(1)).alias("lines"),
+        F.count_if("accepted").alias("accepted"),
+        F.count_if(F.col("reason") == "short").alias("short"),
+        F.count_if(F.col("reason") == "not a number").alias("not a number"),
+    )
+    place = target or scratch_path(spark, "accounted")
+    told.write.partitionBy("accepted").parquet(place)
+    if target is None:
+        remove_at_end(spark, place)
+    counts = {name: int(value) for name, value in seen.get.items()}
+    # a folder without a partition has no accepted column to infer
+    schema = T.StructType([f for f in told.schema.fields if f.name != "accepted"]).add("accepted", "boolean")
+    held = spark.read.schema(schema).parquet(place)
+    numbered = _numbered(held)
+    readings = numbered.where("accepted").select("file_path", "reading_no", *[f"`{n}`" for n in names])
+    rejects = numbered.where("NOT accepted").select("file_path", "reading_no", "reason", "value")
+    return Accounted(readings, rejects, counts)

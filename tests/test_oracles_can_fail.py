@@ -1,12 +1,14 @@
 """Queries must differ from their SQL where a fit, a projection or a split is wrong."""
 
+from dataclasses import replace
+
 import numpy as np
 import pytest
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import functions as F
 
 from check_oracles import compare, database
-from sensorlab.operators import features, linear, prepare
+from sensorlab.operators import features, linear, penalty_grid, prepare
 from sensorlab.operators.elm import model
 from sensorlab.plans import all_queries, network_queries
 
@@ -64,6 +66,36 @@ def test_a_rotation_shows(spark, connection, sf_dir, monkeypatch):
     assert is_red(spark, connection, sf_dir, "pca_project")
 
 
+@pytest.mark.parametrize("threshold", [-100.0, 100.0])
+def test_a_constant_prediction_shows(spark, connection, sf_dir, monkeypatch, threshold):
+    assert not is_red(spark, connection, sf_dir, "job_elm_signal")
+    params = network_queries.ElmJobParams
+    monkeypatch.setattr(
+        network_queries, "ElmJobParams", lambda **given: params(**{**given, "decisionThreshold": threshold})
+    )
+    assert is_red(spark, connection, sf_dir, "job_elm_signal")
+
+
+def test_a_wider_network_shows(spark, connection, sf_dir, monkeypatch):
+    params = network_queries.ElmJobParams
+    monkeypatch.setattr(
+        network_queries, "ElmJobParams", lambda **given: params(**{**given, "hiddenNodes": 100})
+    )
+    assert is_red(spark, connection, sf_dir, "job_elm_signal")
+
+
+@pytest.mark.parametrize("name", ["logistic_grid_points", "job_logistic_tuned"])
+def test_a_wrong_grid_shows(spark, connection, sf_dir, monkeypatch, name):
+    assert not is_red(spark, connection, sf_dir, name)
+    step = penalty_grid._prox_step
+
+    def without_lasso(h, g, problem):
+        return step(h, g, replace(problem, share=0.0))
+
+    monkeypatch.setattr(penalty_grid, "_prox_step", without_lasso)
+    assert is_red(spark, connection, sf_dir, name)
+
+
 def test_an_empty_split_shows(spark, connection, sf_dir, monkeypatch):
     assert not is_red(spark, connection, sf_dir, "random_split")
     monkeypatch.setattr(
