@@ -24,6 +24,7 @@ from sensorlab.operators.elm.model import (
     ElmRegressor,
     score_activations,
     score_column,
+    score_expression,
 )
 from sensorlab.operators.elm.solver import gram
 from sensorlab.operators.features import cross_product
@@ -162,6 +163,16 @@ def elm_score(spark, sf_dir):
     )
 
 
+@query("elm_score_expression", ORACLES["elm_score"])
+def elm_score_expression(spark, sf_dir):
+    """The same scores as one expression, without a Python worker."""
+    rows = _rows(spark, sf_dir, "subject")
+    scored = rows.withColumn("t", score_expression(F.col("features"), _layer(), _given_beta()))
+    return scored.groupBy("subject").agg(
+        F.round(F.sum("t"), 6).alias("total"), F.round(F.sum(F.col("t") * F.col("t")), 6).alias("squares")
+    )
+
+
 _THREE = ["sigmoid", "tanh", "sin"]
 
 
