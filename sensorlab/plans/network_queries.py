@@ -38,7 +38,7 @@ from sensorlab.plans.jobs import (
     run_elm,
     run_exploration,
 )
-from sensorlab.plans.registry import query, written_once
+from sensorlab.plans.registry import ORACLES, query, written_once
 from sensorlab.schema import CHEST, LABEL
 from sensorlab.session import scratch_path
 from sensorlab.sources.adapters import labelled_readings, labelled_vectors, readings, vectors
