@@ -338,7 +338,14 @@ VELOCITIES = {
 }
 
 
-def _explore_online(report: _Report, spark: SparkSession, data: DataFrame, scale: float) -> None:
+def _explore_online(
+    report: _Report,
+    spark: SparkSession,
+    data: DataFrame,
+    scale: float,
+    sizes: Sequence[int] = ONLINE_NODES,
+    init: str = "uniform",
+) -> None:
     """Networks trained online on channels, on velocities, and on velocities scaled to
     [-1, 1], and their training error and time, in several micro-batches of files."""
     rows = with_velocity(with_binary_label(labelled(data)), VELOCITIES)
@@ -353,8 +360,8 @@ def _explore_online(report: _Report, spark: SparkSession, data: DataFrame, scale
         table.repartition(ONLINE_BATCHES).write.parquet(folder)
         remove_at_end(spark, folder)
         stored = spark.read.parquet(folder)
-        for nodes in ONLINE_NODES:
-            layer = draw_layer(nodes, 3, "sigmoid")
+        for nodes in sizes:
+            layer = draw_layer(nodes, 3, "sigmoid", init)
             online = OnlineElm(spark, layer, scratch_path(spark, "online-state"))
             stream = spark.readStream.schema(stored.schema).option("maxFilesPerTrigger", 1).parquet(folder)
             checkpoint = scratch_path(spark, "online-checkpoint")
@@ -371,6 +378,15 @@ def _explore_online(report: _Report, spark: SparkSession, data: DataFrame, scale
             report.add(stage, "train error", metrics["misclassification"], note)
 
 
+def run_online_exploration(
+    spark: SparkSession, source, scale: float = 1.0, sizes: Sequence[int] = ONLINE_NODES, init: str = "uniform"
+) -> DataFrame:
+    """The online part of the exploration alone: its report."""
+    report = _Report()
+    _explore_online(report, spark, load(spark, source), scale, sizes, init)
+    return report.table(spark)
+
+
 def run_exploration(
     spark: SparkSession, source, params: JobParams = JobParams(), init: str = "uniform"
 ) -> JobResult:

@@ -37,6 +37,7 @@ from sensorlab.plans.jobs import (
     JobParams,
     run_elm,
     run_exploration,
+    run_online_exploration,
 )
 from sensorlab.plans.registry import ORACLES, query, written_once
 from sensorlab.schema import CHEST, LABEL
@@ -743,3 +744,48 @@ def job_exploration(spark, sf_dir):
         F.coalesce("note", F.lit("")).alias("note"),
         F.round("value", 6).alias("value"),
     )
+
+
+def _online_sql() -> str:
+    """Errors of 10-node networks on channels, velocities, and velocities scaled to [-1, 1]."""
+    speed = {
+        name: f"sqrt({' + '.join(f'pow({c} * 0.02, 2)' for c in axes)})" for name, axes in VELOCITIES.items()
+    }
+    scaled = ", ".join(
+        f"2 * ({v} - min({v}) OVER ()) / (max({v}) OVER () - min({v}) OVER ()) - 1 AS s_{v}" for v in VELOCITIES
+    )
+    parts = [
+        o.LABELLED,
+        f"signal AS (SELECT CASE WHEN {SIGNAL} THEN 1.0::DOUBLE ELSE 0.0 END AS binaryLabel, {', '.join(CHEST)}, "
+        f"{', '.join(f'{e} AS {v}' for v, e in speed.items())} FROM labelled)",
+        f"inputs AS (SELECT *, {scaled} FROM signal)",
+        o.layer(NODES, 3),
+    ]
+    sets = {
+        "channels": INPUTS,
+        "velocities": list(VELOCITIES),
+        "scaled velocities": [f"s_{v}" for v in VELOCITIES],
+    }
+    rows = []
+    for i, (name, inputs) in enumerate(sets.items()):
+        parts += [
+            o.hidden("inputs", ["binaryLabel"], inputs, NODES, "sigmoid", f"hidden{i}"),
+            o.normal_rows(f"hidden{i}", NODES, "binaryLabel", f"eq{i}"),
+            o.gauss_jordan(f"eq{i}", NODES, f"beta{i}"),
+            f"scored{i} AS (SELECT binaryLabel, {o.weighted(NODES, f'beta{i}.b')} AS t FROM hidden{i}, beta{i})",
+        ]
+        wrong = "avg(CASE WHEN (t > 0.5) <> (binaryLabel > 0.5) THEN 1.0 ELSE 0.0 END)"
+        rows.append(f"SELECT 'online {name}' AS stage, 'rows' AS metric, count(*)::DOUBLE AS value FROM scored{i}")
+        rows.append(f"SELECT 'online {name}', 'train error', {o.rounded(wrong, 4)} FROM scored{i}")
+    return f"WITH RECURSIVE {', '.join(parts)} {' UNION ALL '.join(rows)}"
+
+
+@query("exploration_online", _online_sql())
+def exploration_online(spark, sf_dir):
+    """Rows and training errors of the exploration's online networks of 10 nodes, on readings with a signal."""
+    report = run_online_exploration(
+        spark, signal_readings(spark, sf_dir), SCALE, sizes=(NODES,), init="arithmetic"
+    )
+    return report.where(~F.col("metric").endswith("seconds")).select(
+        "stage", "metric", F.when(F.col("metric") == "rows", F.col("value")).otherwise(F.round("value", 4)).alias("value")
+    )
