@@ -111,3 +111,23 @@ def test_precision_recall_equals_spark(spark, digits):
     with pytest.raises(ValueError, match="no rows"):
         evaluate.area_under_pr(df.limit(0), "score")
     assert not {"aupr_check"} - set(all_queries()[0])
+
+
+def test_stages_before_the_grid_are_fitted_per_fold(spark):
+    """Components and a grid on them equal a fit per point and fold."""
+    from pyspark.ml.feature import PCA
+
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(900, 4)) * [3, 2, 1, 0.5]
+    y = (x[:, 0] + x[:, 1] + rng.normal(size=900) > 0).astype(float)
+    data = [(*map(float, a), float(b), i % 2) for i, (a, b) in enumerate(zip(x, y))]
+    df = spark.createDataFrame(data, "a double, b double, c double, d double, binaryLabel double, fold int")
+    df = assemble(df, ["a", "b", "c", "d"]).withColumnRenamed("features", "channels").repartition(3).persist()
+    prefix = [PCA(k=2, inputCol="channels", outputCol="features")]
+    points = tune.logistic_points({"regParam": [0.0, 0.1], "maxIter": [50], "elasticNetParam": [0.5]})
+    ours = penalty_grid.cross_validate_penalties(df, points, 2, prefix=prefix).orderBy("point").collect()
+    theirs = tune.logistic_cross_validate(
+        df, linear.LogisticParams(tol=1e-12).estimator(), 2,
+        {"regParam": [0.0, 0.1], "maxIter": [300], "elasticNetParam": [0.5]}, prefix=prefix,
+    ).orderBy("point").collect()
+    assert np.allclose([r["metric"] for r in ours], [r["metric"] for r in theirs], atol=1e-5)
