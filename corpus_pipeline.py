@@ -27,27 +27,37 @@ def _recounted(docs: DataFrame) -> DataFrame:
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Failed lines go, and documents that the rules reject."""
+    """Failed lines go, and documents that the rules reject.
+
+    Null and empty texts are rejected; repeated rows are judged alike.
+    """
     return _recounted(lines.keep_clean(docs))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row of each group of texts with a similarity of 0.80 or more stays, whatever the ids."""
+    """One row of each group of texts with a similarity of 0.80 or more stays, whatever the ids.
+
+    The row with the smallest id stays, a null id last; rows without words all stay.
+    """
     return minhash.drop_near_duplicates(docs, per_cent=80, n_bands=24)
 
 
 def secret_scans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Secrets are replaced by a mark."""
+    """Secrets are replaced by a mark; null texts stay null, no row goes."""
     return _recounted(secret_scan.redact_secrets(docs, SECRET_MARK))
 
 
 def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document with the words that the mix takes of it."""
+    """Every document with the words that the mix takes of it.
+
+    Documents of which it takes none go, as those without words do; repeated rows are
+    documents of their own, and a null source is a source.
+    """
     return _recounted(mixing.mix_documents(docs))
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of documents and their places in sequences."""
+    """Pieces of documents and their places in sequences; a null text is an empty one."""
     return packing.pack(docs, VOCABULARY, END_ID, SEQUENCE_IDS).drop("row_id")
 
 
