@@ -12,45 +12,56 @@ the visited ones hold ``SUCCESS`` of it; the chance of the last one visited is
 estimated by draws. Vectors of the visited buckets, merged over the tables, are
 ranked by the exact inner product in double precision.
 
-The first projections name the block a bucket lies in, and a query goes only to
-blocks that can hold a bucket it visits. Blocks of more than ``CHUNK`` vectors are
-dealt to several. Equal vectors are one entry with the smallest ids that any
-result can hold, so copies do not crowd a block, and no copy is lost.
+The first projections name the block a bucket lies in. A query goes only to blocks that
+can hold a bucket it visits, and meets there the vectors of the visited buckets alone.
+Blocks of more than ``CHUNK`` vectors are dealt to several. A query whose buckets would
+hold over ``MOST_SHARE`` of all vectors, by a sample, is held against all of them once,
+in blocks of ``ALL_BYTES``: without near vectors hashing saves nothing. Equal vectors
+are one entry with the smallest ids that any result can hold, so copies do not crowd a
+block, and no copy is lost.
 
 Every query has its own similarity of a near vector: at first that of its k-th
-nearest in a sample of at most ``SAMPLE_ROWS`` vectors. A query whose k-th found lies
-further off than that by more than ``SLACK`` searches once more, for the similarity it
-found, which its true k-th nearest has at least. All vectors are indexed.
+nearest in a sample of at most ``SAMPLE_ROWS`` vectors, or, where the sample is expected to
+hold fewer than ``RELIABLE`` of the k nearest, the first of ``LADDER``. A query whose k-th
+found lies further off than that by more than ``SLACK`` searches once more, for the next of
+``LADDER`` or, if that is more, the similarity it found, which its true k-th nearest has
+at least. All vectors are indexed.
 
 Vectors that are null, zero, of another length than most, or hold null or
 non-finite components take no part, nor do rows with a null id. Rows with one id
 and equal vectors are one. A query whose buckets held fewer than k others is
-held against all vectors of one table, in blocks, so it gets k, or all there are;
-an empty table gives an empty table. Further columns are ignored.
+held against all vectors, in blocks, so it gets k, or all there are; an empty
+table gives an empty table. Further columns are ignored.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sensorlab.llm.common import written
 
-TABLES, SUCCESS = 2, 0.75
+TABLES, SUCCESS = 2, 0.65
 #: Projections of a table at least, and those beyond the ones that name a block.
-PROJECTIONS, BEYOND = 10, 6
+PROJECTIONS, BEYOND = 6, 4
 #: Width of an interval, and intervals on either side of zero; the outer ones are open.
 WIDTH, SIDE = 1.0, 3
-CHUNK, SAMPLE_ROWS, DRAWS = 4096, 20_000, 400
+CHUNK, SAMPLE_ROWS, DRAWS = 2048, 20_000, 400
+#: Numbers that the sample holds at most, and its rows that estimate what a query's buckets hold.
+SAMPLE_VALUES, SHARE_ROWS = 4_000_000, 2048
+#: Share of all vectors above which a query meets all of them, and bytes of a block of all vectors.
+MOST_SHARE, ALL_BYTES = 0.4, 4_000_000
 #: Highest similarity looked for, and growth of 1 - similarity that no search is repeated for. The
 #: lowest is 0: from there on, nearer vectors lie at least as often in the buckets visited.
 MOST, SLACK = 0.95, 1.05
+#: Similarities looked for in turn, and sampled neighbours that make the sample's own one good enough.
+LADDER, RELIABLE = (0.95, 0.85, 0.7), 4
 QUERY_ROWS = 256
 SEED = 29
 
@@ -72,6 +83,9 @@ class Index:
         self.lines = rng.standard_normal((TABLES, dim + 1, self.projections))
         self.shifts = rng.random((TABLES, self.projections))
 
+    def reliable(self, sampled: int) -> bool:
+        return self.k * sampled >= RELIABLE * self.rows
+
     def codes(self, table: int, vectors: np.ndarray) -> np.ndarray:
         """Interval numbers, 0 .. 2 * SIDE - 1, of vectors."""
         scaled = vectors / self.norm
@@ -85,8 +99,12 @@ class Index:
         """Log chance of every interval: queries x projections x intervals."""
         own = queries / np.linalg.norm(queries, axis=1, keepdims=True)
         near = np.full(len(own), self.near) if near is None else near
-        centre = near[:, None] * (own @ self.lines[table][:-1])
-        spread = np.sqrt(np.maximum(1e-6, 1 - near**2))[:, None, None]
+        lines = self.lines[table][:-1]
+        along = own @ lines
+        centre = near[:, None] * along
+        # what is not along the query points anywhere, so a line shows its own length of it
+        across = np.maximum((lines**2).sum(axis=0) - along**2, 0) / max(1, self.dim - 1)
+        spread = np.sqrt(np.maximum(1e-6, (1 - near**2)[:, None] * across))[:, :, None]
         edges = (np.arange(1 - SIDE, SIDE) - self.shifts[table][:, None]) * WIDTH
         below = _cdf((edges[None] - centre[:, :, None]) / spread)
         ones, zeros = np.ones_like(below[:, :, :1]), np.zeros_like(below[:, :, :1])
@@ -106,6 +124,13 @@ class Index:
             out[i] = np.quantile(sums, 1 - SUCCESS)
         return out
 
+    def marks(self, codes: np.ndarray, first: int = 0) -> np.ndarray:
+        """A one in the place of every interval, from projection ``first`` on."""
+        out = np.zeros((len(codes), (self.projections - first) * 2 * SIDE), np.float32)
+        steps = np.arange(self.projections - first) * 2 * SIDE
+        out[np.arange(len(codes))[:, None], codes[:, first:] + steps] = 1
+        return out
+
     def blocks(self, chance: np.ndarray, cutoff: float) -> list[str]:
         """Names of the blocks that can hold a visited bucket."""
         rest = chance[self.prefix :].max(axis=1).sum()
@@ -145,12 +170,13 @@ def _fit(entries: DataFrame, k: int) -> tuple[Index, np.ndarray] | None:
     if top is None:
         return None
     dim, rows, norm = top["dim"], top["n"], math.sqrt(top["square"])
-    share = min(1.0, 1.2 * SAMPLE_ROWS / rows)
+    most = max(1, min(SAMPLE_ROWS, SAMPLE_VALUES // dim))
+    share = min(1.0, 1.2 * most / rows)
     sample = entries.where(F.size("vector") == dim).where(
         F.pmod(F.xxhash64("vec_id", F.lit(SEED)), F.lit(1_000_000)) < int(share * 1_000_000) + 1
     )
-    order = sample.orderBy(F.xxhash64("vec_id", F.lit(SEED)), "vec_id").limit(SAMPLE_ROWS)
-    found = np.array([r[0] for r in order.select("vector").collect()])
+    order = sample.orderBy(F.xxhash64("vec_id", F.lit(SEED)), "vec_id").limit(most)
+    found = _matrix(order.select("vector").toArrow()["vector"].combine_chunks())
     return Index(dim, rows, norm, 0.0, k), (found.reshape(-1, dim) / norm).astype(np.float32)
 
 
@@ -166,7 +192,9 @@ def _own_near(index: Index, sample: np.ndarray):
                 vectors = _matrix(part.column("vector"))
                 norms = np.linalg.norm(vectors, axis=1)
                 near = np.zeros(len(vectors))
-                if place >= 0:
+                if not index.reliable(len(sample)):
+                    near = np.full(len(vectors), LADDER[0])
+                elif place >= 0:
                     scores = (vectors / norms[:, None]).astype(np.float32) @ sample.T
                     near = np.partition(scores, len(sample) - 1 - place, axis=1)
                     near = near[:, len(sample) - 1 - place].astype(float).clip(0.0, MOST)
@@ -222,21 +250,39 @@ def _index_rows(index: Index):
     return run
 
 
-def _query_rows(index: Index):
+def _query_rows(index: Index, sample: np.ndarray):
+    """A row for every block that a query visits; one without a block if it is to meet all vectors."""
+    some = sample[:SHARE_ROWS].astype(float) * index.norm
+    marks = [index.marks(index.codes(table, some)).T for table in range(TABLES)]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, QUERY_ROWS):
                 part = batch.slice(at, QUERY_ROWS)
                 vectors = _matrix(part.column("vector"))
                 near = part.column("near").to_numpy(zero_copy_only=False)
-                blocks, rows, cutoffs = [], [], []
+                # a negative similarity asks for all vectors
+                plans, share = [], np.where(near < 0, 1.0, 0.0)
+                near = np.maximum(near, 0.0)
                 for table in range(TABLES):
                     chances = index.chances(table, vectors, near)
-                    for i, cutoff in enumerate(index.cutoffs(chances).tolist()):
-                        names = index.blocks(chances[i], cutoff)
+                    cutoffs = index.cutoffs(chances)
+                    flat = chances.reshape(len(vectors), -1).astype(np.float32)
+                    if len(some):
+                        share += (flat @ marks[table] >= cutoffs[:, None]).mean(axis=1)
+                    plans.append((chances, cutoffs))
+                blocks, rows, cutoffs = [], [], []
+                for i in range(len(vectors)):
+                    if share[i] > MOST_SHARE:
+                        blocks.append(None)
+                        rows.append(i)
+                        cutoffs.append(0.0)
+                        continue
+                    for table, (chances, cutoff) in enumerate(plans):
+                        names = index.blocks(chances[i], cutoff[i])
                         blocks += [f"{table}:{name}" for name in names]
                         rows += [i] * len(names)
-                        cutoffs += [cutoff] * len(names)
+                        cutoffs += [float(cutoff[i])] * len(names)
                 picked = part.take(pa.array(rows, pa.int64()))
                 yield pa.RecordBatch.from_arrays(
                     [
@@ -252,43 +298,69 @@ def _query_rows(index: Index):
     return run
 
 
-def _search(index: Index):
-    """Rows sorted by chunk, entries before queries: the nearest in the chunk of every query."""
-    k = index.k
-    width = index.projections * 2 * SIDE
+class _Chunk:
+    """Entries of a chunk, and the buckets they lie in; a chunk of all vectors has no buckets."""
 
-    def nearest(table: int, entries: list[pa.RecordBatch], queries: pa.RecordBatch):
+    def __init__(self, index: Index, name: str, entries: list[pa.RecordBatch]):
         base = pa.Table.from_batches(entries).combine_chunks()
-        vectors = _matrix(base["vector"].combine_chunks())
-        codes = _matrix(base["codes"].combine_chunks())
-        members = base["members"].to_pylist()
-        hot = np.zeros((len(codes), width), np.float32)
-        steps = np.arange(index.projections) * 2 * SIDE
-        hot[np.arange(len(codes))[:, None], codes + steps] = 1
+        self.index = index
+        self.vectors = _matrix(base["vector"].combine_chunks())
+        self.members = base["members"].to_pylist()
+        table, self.block = name.split(":")[:2]
+        self.table = None if table == "all" else int(table)
+        if self.table is not None:
+            codes = _matrix(base["codes"].combine_chunks())[:, index.prefix :]
+            buckets, self.bucket = np.unique(codes, axis=0, return_inverse=True)
+            self.bucket = self.bucket.ravel()
+            first = np.zeros((len(buckets), index.prefix), buckets.dtype)
+            self.marks = index.marks(np.c_[first, buckets], index.prefix).T
+
+    def candidates(self, part: pa.RecordBatch, own: np.ndarray) -> Iterator[np.ndarray]:
+        """Places of the entries to rank, for every query."""
+        most = self.index.k + 1
+        if self.table is None:
+            scores = own @ self.vectors.T
+            if scores.shape[1] <= most:
+                edges = np.full(len(own), -np.inf)
+            else:
+                edges = np.partition(scores, -most, axis=1)[:, -most]
+            # the margin is that of sums in another order
+            edges = edges - 1e-9 * np.maximum(1.0, np.abs(edges))
+            yield from (np.flatnonzero(row >= edge) for row, edge in zip(scores, edges))
+            return
+        near = part.column("near").to_numpy(zero_copy_only=False)
+        cutoffs = part.column("cutoff").to_numpy(zero_copy_only=False)
+        chances = self.index.chances(self.table, own, near)
+        prefix = self.index.prefix
+        held = sum((chances[:, i, int(v)] for i, v in enumerate(self.block)), np.zeros(len(own)))
+        rest = chances[:, prefix:].reshape(len(own), -1).astype(np.float32) @ self.marks
+        # the margin is that of sums in single precision
+        reached = rest + held[:, None] >= cutoffs[:, None] - 1e-4
+        yield from (np.flatnonzero(row[self.bucket]) for row in reached)
+
+    def nearest(self, queries: pa.RecordBatch) -> Iterator[tuple[int, list, list]]:
+        most = self.index.k + 1
         for at in range(0, queries.num_rows, QUERY_ROWS):
             part = queries.slice(at, QUERY_ROWS)
             own = _matrix(part.column("vector"))
-            near = part.column("near").to_numpy(zero_copy_only=False)
-            chances = index.chances(table, own, near)
-            cutoffs = part.column("cutoff").to_numpy(zero_copy_only=False)
-            # the margin is that of sums in single precision
-            reached = chances.reshape(len(own), width).astype(np.float32) @ hot.T
-            scores = own @ vectors.T
-            scores[reached < cutoffs[:, None] - 1e-4] = -np.inf
-            for i, name in enumerate(part.column("vec_id").to_pylist()):
-                row = scores[i]
-                live = np.flatnonzero(row > -np.inf)
-                if len(live) > k + 1:
-                    edge = np.partition(row[live], -(k + 1))[-(k + 1)]
-                    live = live[row[live] >= edge - 1e-9 * max(1.0, abs(edge))]
-                exact = (vectors[live] * own[i]).sum(axis=1)
-                order = [(-s, m) for s, j in zip(exact.tolist(), live.tolist()) for m in members[j]]
-                order = sorted(order)[: k + 1]
-                if order:
-                    yield name, [m for _, m in order], [-s for s, _ in order]
+            names = part.column("vec_id").to_pylist()
+            for i, live in enumerate(self.candidates(part, own)):
+                if not len(live):
+                    continue
+                exact = (self.vectors[live] * own[i]).sum(axis=1)
+                if len(live) > most:
+                    keep = exact >= np.partition(exact, -most)[-most]
+                    live, exact = live[keep], exact[keep]
+                order = [(-s, m) for s, j in zip(exact.tolist(), live.tolist()) for m in self.members[j]]
+                order = sorted(order)[:most]
+                yield names[i], [m for _, m in order], [-s for s, _ in order]
+
+
+def _search(index: Index):
+    """Rows sorted by chunk, entries before queries: the nearest in the chunk of every query."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, entries = None, []
+        own, entries, chunk = None, [], None
         for batch in batches:
             chunks = batch.column("chunk").to_pylist()
             kinds = batch.column("is_query").to_pylist()
@@ -301,11 +373,12 @@ def _search(index: Index):
                 part = batch.slice(start, end - start)
                 start = end
                 if key[0] != own:
-                    own, entries = key[0], []
+                    own, entries, chunk = key[0], [], None
                 if not key[1]:
                     entries.append(part)
                 elif entries:
-                    rows = list(nearest(int(own.split(":")[0]), entries, part))
+                    chunk = chunk or _Chunk(index, own, entries)
+                    rows = list(chunk.nearest(part))
                     if rows:
                         kinds_ = (pa.int64(), pa.list_(pa.int64()), pa.list_(pa.float64()))
                         yield pa.RecordBatch.from_arrays(
@@ -349,52 +422,53 @@ def nearest(embeddings: DataFrame, every: int = 20, k: int = 20) -> DataFrame:
     chunks = base.groupBy("block").agg(F.ceil(F.count("*") / CHUNK).cast("int").alias("chunks"))
     dealt = base.join(chunks, "block").select(
         F.concat_ws(":", "block", F.pmod(F.xxhash64("vec_id"), "chunks")).alias("chunk"),
-        F.lit(False).alias("is_query"),
         "vec_id",
-        F.lit(None).cast("double").alias("cutoff"),
-        F.lit(None).cast("double").alias("near"),
         "members",
         "codes",
         "vector",
     )
+    parts = math.ceil(index.rows * index.dim * 8 / ALL_BYTES)
+    dealt_all = entries.select(
+        F.concat(F.lit("all:"), F.pmod(F.xxhash64("vec_id"), F.lit(parts))).alias("chunk"),
+        "vec_id",
+        "members",
+        F.lit(None).cast("array<int>").alias("codes"),
+        "vector",
+    )
 
-    def merge(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
-        best = {
-            int(i): float(s)
-            for ids, scores in zip(frame["ids"], frame["scores"])
-            for i, s in zip(ids, scores)
-        }
-        order = sorted(best.items(), key=lambda x: (-x[1], x[0]))[: k + 1]
-        return pd.DataFrame(
-            {"vec_id": [key[0]], "ids": [[i for i, _ in order]], "scores": [[s for _, s in order]]}
-        )
-
-    def search(visits: DataFrame, before: DataFrame | None = None) -> DataFrame:
-        """Best entries of every query over the blocks it visits; visits have the blocks' chunks.
-
-        Those found before are taken in.
-        """
-        probes = visits.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
-        probes = probes.select(
-            F.concat_ws(":", "block", "part").alias("chunk"),
-            F.lit(True).alias("is_query"),
-            "vec_id",
-            "cutoff",
-            "near",
-            F.lit(None).cast("array<bigint>").alias("members"),
-            F.lit(None).cast("array<int>").alias("codes"),
-            "vector",
+    def held_against(base_rows: DataFrame, probes: DataFrame) -> DataFrame:
+        rows = base_rows.withColumn("is_query", F.lit(False)).unionByName(
+            probes.select("chunk", "vec_id", "cutoff", "near", "vector", F.lit(True).alias("is_query")),
+            allowMissingColumns=True,
         )
-        found = (
-            dealt.unionByName(probes)
+        columns = ["chunk", "is_query", "vec_id", "cutoff", "near", "members", "codes", "vector"]
+        return (
+            rows.select(*columns)
             .repartition("chunk")
             .sortWithinPartitions("chunk", "is_query")
             .mapInArrow(_search(index), "vec_id long, ids array<bigint>, scores array<double>")
         )
-        found = found if before is None else found.unionByName(before)
-        return found.groupBy("vec_id").applyInPandas(
-            merge, "vec_id long, ids array<bigint>, scores array<double>"
+
+    def merged_of(found: DataFrame) -> DataFrame:
+        """The best k + 1 of what was found of every query; ties to the smaller id."""
+        pair = "transform(arrays_zip(ids, scores), p -> struct(-p.scores AS s, p.ids AS id))"
+        best = F.array_sort(F.array_distinct(F.flatten(F.collect_list(F.expr(pair)))))
+        best = found.groupBy("vec_id").agg(F.slice(best, 1, k + 1).alias("best"))
+        scores = F.expr("transform(best.s, s -> -s)").alias("scores")
+        return best.select("vec_id", F.col("best.id").alias("ids"), scores)
+
+    def search(visits: DataFrame, whole: DataFrame) -> DataFrame:
+        """Best entries of every query over the blocks it visits, or over all vectors."""
+        probes = visits.join(chunks, "block").withColumn(
+            "part", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))
         )
+        found = held_against(dealt, probes.withColumn("chunk", F.concat_ws(":", "block", "part")))
+        if not whole.isEmpty():
+            part = F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))
+            probes = whole.withColumn("part", part)
+            probes = probes.withColumn("chunk", F.concat(F.lit("all:"), "part"))
+            found = found.unionByName(held_against(dealt_all, probes))
+        return merged_of(found)
 
     queries = asked.select("vec_id", "vector").dropDuplicates(["vec_id"])
     queries = written(
@@ -404,34 +478,47 @@ def nearest(embeddings: DataFrame, every: int = 20, k: int = 20) -> DataFrame:
         "near",
     )
 
-    def probed(rows: DataFrame) -> DataFrame:
+    def planned(rows: DataFrame) -> DataFrame:
         rows = rows.select("vec_id", "vector", "near").mapInArrow(
-            _query_rows(index),
+            _query_rows(index, sample),
             "block string, vec_id long, cutoff double, near double, vector array<double>",
         )
-        return rows.join(chunks, "block")
+        return written(rows, "visits")
 
-    merged = written(search(probed(queries)), "found")
-    # queries whose buckets held too few vectors go through all blocks of one table
+    # with a good sample no step of the ladder is taken
+    steps = () if index.reliable(len(sample)) else LADDER[1:]
+    below = F.lit(-1.0)
+    for step in reversed(steps):
+        below = F.when(F.col("near") > step, step).otherwise(below)
     last = F.when(F.size("ids") > k, F.element_at("scores", -1)) / F.col("scale")
-    judged = queries.join(merged, "vec_id", "left").withColumn("reached", last)
-    short = judged.where("reached IS NULL").withColumn("table", F.lit("0"))
-    # those that found only further ones than they looked for look for such
-    wide = judged.where("near > 0").where(1 - F.col("reached") > SLACK * (1 - F.col("near")))
-    wide = wide.withColumn("near", F.greatest("reached", F.lit(0.0)))
-    columns = ["vec_id", "vector", "near", "table"]
-    again = written(
-        short.select(*columns).unionByName(wide.withColumn("table", F.lit("")).select(*columns)),
-        "again",
-    )
-    if not again.isEmpty():
-        all_blocks = chunks.withColumn("table", F.substring_index("block", ":", 1))
-        visits = again.withColumn("cutoff", F.lit(-1e300)).join(all_blocks, "table").drop("table")
-        visits = visits.unionByName(probed(again.where("table = ''")))
-        before = merged.join(again.select("vec_id"), "vec_id", "left_semi")
-        merged = merged.join(again.select("vec_id"), "vec_id", "left_anti").unionByName(
-            search(visits, before)
+    further = (F.col("near") > 0) & (1 - F.col("reached") > SLACK * (1 - F.col("near")))
+    looking, before, results = queries, None, []
+    while True:
+        plan = planned(looking)
+        whole = plan.where("block IS NULL")
+        found = search(plan.where("block IS NOT NULL"), whole)
+        found = found if before is None else merged_of(found.unionByName(before))
+        found = written(found, "found")
+        # what was not held against all, and found too few or further ones than it looked for
+        judged = (
+            looking.join(whole.select("vec_id"), "vec_id", "left_anti")
+            .join(found, "vec_id", "left")
+            .withColumn("reached", last)
+            .where(F.col("reached").isNull() | further)
+        )
+        # beyond the ladder those with too few meet all, others look for what they found
+        least = F.when(F.col("reached").isNull(), below).otherwise(
+            F.greatest(F.col("reached"), below, F.lit(0.0))
+        )
+        looking = written(
+            judged.withColumn("near", least).select("vec_id", "vector", "near", "scale"), "again"
         )
+        if looking.isEmpty():
+            results.append(found)
+            break
+        results.append(found.join(looking.select("vec_id"), "vec_id", "left_anti"))
+        before = found.join(looking.select("vec_id"), "vec_id", "left_semi")
+    merged = reduce(DataFrame.unionByName, results)
     pairs = F.expr("filter(arrays_zip(ids, scores), p -> p.ids != query_id)")
     return (
         asked.select("query_id", "vec_id")

@@ -143,6 +143,49 @@ def test_chances_are_those_of_a_near_vector():
             assert block in index.blocks(chances[i], cutoffs[i])
 
 
+def test_clustered_vectors_are_met_in_few_buckets():
+    """Both tables together hold a query against under a fifth of the vectors."""
+    rng = np.random.default_rng(5)
+    dim, n, k = 64, 50_000, 20
+    unit = lambda x: x / np.linalg.norm(x, axis=1, keepdims=True)
+    groups = np.repeat(unit(rng.normal(size=(n // 40, dim))), 40, axis=0)
+    vectors = unit(groups + 0.35 / np.sqrt(dim) * rng.normal(size=(n, dim)))
+    index = neighbours.Index(dim, n, 1.0, 0.0, k)
+    picked = rng.choice(n, 60, replace=False)
+    queries = vectors[picked]
+    scores = queries @ vectors.T
+    scores[np.arange(60), picked] = -np.inf
+    top = np.argpartition(scores, -k, axis=1)[:, -k:]
+    near = np.partition(scores, -k, axis=1)[:, -k].clip(0, neighbours.MOST)
+    met, share = np.zeros((60, n), bool), np.zeros(60)
+    for table in range(neighbours.TABLES):
+        chances = index.chances(table, queries, near)
+        marks = index.marks(index.codes(table, vectors))
+        reached = chances.reshape(60, -1) @ marks.T >= index.cutoffs(chances)[:, None]
+        met |= reached
+        share += reached.mean(axis=1)
+    assert share.mean() < 0.2
+    assert np.take_along_axis(met, top, 1).mean() >= 0.9
+
+
+def test_queries_without_near_vectors_meet_all(spark):
+    """Vectors without groups: buckets save nothing, and the result is exact."""
+    rng = np.random.default_rng(6)
+    vectors = rng.normal(size=(3000, 48))
+    rows = [(i, v, 1) for i, v in enumerate(vectors.tolist())]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, rank int")
+    found = {}
+    for r in neighbours.nearest(df.repartition(4)).collect():
+        found.setdefault(r["query_id"], []).append((r["rank"], r["vec_id"]))
+    whole = 0
+    for q in range(0, 3000, 20):
+        scores = vectors @ vectors[q]
+        scores[q] = -np.inf
+        wanted = np.lexsort((np.arange(3000), -scores))[:20].tolist()
+        whole += [i for _, i in sorted(found[q])] == wanted
+    assert whole >= 0.9 * 150
+
+
 # --- pages -----------------------------------------------------------------
 
 
