@@ -47,7 +47,7 @@ from pyspark.sql import functions as F
 
 from sensorlab.llm.common import written
 
-TABLES, SUCCESS = 2, 0.65
+TABLES, SUCCESS = 2, 0.72
 #: Projections of a table at least, and those beyond the ones that name a block.
 PROJECTIONS, BEYOND = 6, 4
 #: Width of an interval, and intervals on either side of zero; the outer ones are open.
