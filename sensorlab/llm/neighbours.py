@@ -65,11 +65,10 @@ LADDER, RELIABLE = (0.95, 0.85, 0.7), 4
 QUERY_ROWS = 256
 SEED = 29
 
-_erf = np.vectorize(math.erf, otypes=[float])
-
 
 def _cdf(x: np.ndarray) -> np.ndarray:
-    return 0.5 * (1 + _erf(x / math.sqrt(2)))
+    errors = map(math.erf, (x / math.sqrt(2)).ravel().tolist())
+    return 0.5 * (1 + np.fromiter(errors, float, x.size).reshape(x.shape))
 
 
 class Index:
