@@ -234,3 +234,28 @@ def test_a_hot_value_is_split_when_written(spark, tmp_path):
     finally:
         spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", before)
     assert len(list((tmp_path / "hot").rglob("*.parquet"))) > 2
+
+
+def test_a_partitioned_text_write_neither_buffers_nor_sorts(spark, tmp_path):
+    parts, seen = spark.conf.get("spark.sql.shuffle.partitions"), []
+    rows = spark.range(1_000).select((F.col("id") % 10).alias("subject"), F.col("id").cast("double").alias("x"))
+    arranged = text._arranged
+
+    def watched(df, key):
+        dealt = arranged(df, key)
+        seen.append(spark.conf.get(text.OPEN_FILES_KEY))
+        seen.append(dealt._jdf.queryExecution().executedPlan().toString())
+        return dealt
+
+    spark.conf.set("spark.sql.shuffle.partitions", "400")
+    text._arranged = watched
+    try:
+        text.write_delimited(rows, str(tmp_path / "t"), ["x"], partition_by="subject")
+    finally:
+        text._arranged = arranged
+        spark.conf.set("spark.sql.shuffle.partitions", parts)
+    # over 200 parts a map task buffers what it deals out; without open files it sorts
+    assert seen[0] == str(text.OPEN_FILES) and f", {text.DEALT})" in seen[1] and ", 400)" not in seen[1]
+    assert spark.conf.get(text.OPEN_FILES_KEY) == "0"
+    read = spark.read.text(str(tmp_path / "t")).select(F.col("value").cast("double").cast("long").alias("id"), "subject")
+    assert read.where("id % 10 = subject").distinct().count() == 1_000
