@@ -347,7 +347,10 @@ def _explore_online(
     init: str = "uniform",
 ) -> None:
     """Networks trained online on channels, on velocities, and on velocities scaled to
-    [-1, 1], and their training error and time, in several micro-batches of files."""
+    [-1, 1], and their training error and time, in several micro-batches of files.
+
+    A micro-batch has many files, so that all tasks share it and none reads much of the table.
+    """
     rows = with_velocity(with_binary_label(labelled(data)), VELOCITIES)
     speeds = scale_symmetric(rows.select("binaryLabel", *VELOCITIES), list(VELOCITIES))
     inputs = {
@@ -355,15 +358,17 @@ def _explore_online(
         "velocities": rows.select("binaryLabel", F.array(*VELOCITIES).alias("features")),
         "scaled velocities": speeds.select("binaryLabel", F.array(*VELOCITIES).alias("features")),
     }
+    shuffled = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    files = max(-(-shuffled // ONLINE_BATCHES), spark.sparkContext.defaultParallelism)
     for name, table in inputs.items():
         folder = scratch_path(spark, "stream")
-        table.repartition(ONLINE_BATCHES).write.parquet(folder)
+        table.repartition(ONLINE_BATCHES * files).write.parquet(folder)
         remove_at_end(spark, folder)
         stored = spark.read.parquet(folder)
         for nodes in sizes:
             layer = draw_layer(nodes, 3, "sigmoid", init)
             online = OnlineElm(spark, layer, scratch_path(spark, "online-state"))
-            stream = spark.readStream.schema(stored.schema).option("maxFilesPerTrigger", 1).parquet(folder)
+            stream = spark.readStream.schema(stored.schema).option("maxFilesPerTrigger", files).parquet(folder)
             checkpoint = scratch_path(spark, "online-checkpoint")
             for path in (online.state_path, checkpoint):
                 remove_at_end(spark, path)

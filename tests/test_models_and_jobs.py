@@ -1,3 +1,5 @@
+import pathlib
+
 import numpy as np
 import pytest
 from pyspark.errors import PySparkException
@@ -7,7 +9,7 @@ from pyspark.sql import functions as F
 
 from sensorlab.operators import evaluate, features, linear, prepare, tune
 from sensorlab.plans import jobs
-from sensorlab.schema import CHANNELS, CHEST, GLM_FEATURES, LOGISTIC_FEATURES
+from sensorlab.schema import CHANNELS, CHEST, GLM_FEATURES, LABEL, LOGISTIC_FEATURES
 from sensorlab.session import scratch_path
 from sensorlab.sources.text import to_parquet
 
@@ -247,3 +249,17 @@ def test_area_takes_one_range_exchange(spark):
     assert np.isclose(evaluate.area_under(df, "score"), exact, atol=1e-12)
     zeros = spark.createDataFrame([(0.0, 1.0), (-0.0, 0.0)], "score double, binaryLabel double")
     assert evaluate.area_under(zeros, "score") == 0.5
+
+
+def test_online_rows_are_many_files_a_batch(spark, signal):
+    root = pathlib.Path(spark.conf.get("spark.checkpoint.dir"))
+    known = set(root.glob("*"))
+    report = jobs.run_online_exploration(spark, signal, sizes=(10,)).collect()
+    labelled = signal.where(f"{LABEL} > 0").count()
+    assert [r["value"] for r in report if r["metric"] == "rows"] == [labelled] * 3
+    for folder in set(root.glob("stream-*")) - known:
+        held = [spark.read.parquet(str(f)).count() for f in folder.glob("*.parquet")]
+        assert len(held) >= 3 * spark.sparkContext.defaultParallelism
+        assert max(held) <= 2 * labelled / len(held)
+    states = [len(list(f.glob("run=*/batch=*"))) for f in set(root.glob("online-state-*")) - known]
+    assert states and min(states) >= 2
