@@ -225,24 +225,6 @@ def _groups(segments: np.ndarray, scores: np.ndarray) -> np.ndarray:
     return np.flatnonzero(np.r_[True, (segments[1:] != segments[:-1]) | ~same])
 
 
-def _combined_by(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Positives and negatives of every distinct segment and score of a batch."""
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        segments, scores = batch.column(0).to_numpy(), batch.column(1).to_numpy() + 0.0
-        positive = batch.column(2).to_numpy(zero_copy_only=False).astype(np.int64)
-        order = np.lexsort((scores, segments))
-        segments, scores, positive = segments[order], scores[order], positive[order]
-        starts = _groups(segments, scores)
-        positives = np.add.reduceat(positive, starts)
-        counts = np.diff(np.append(starts, len(scores)))
-        yield pa.RecordBatch.from_arrays(
-            [*map(pa.array, (segments[starts], scores[starts], positives, counts - positives))],
-            names=["segment", "score", "positives", "negatives"],
-        )
-
-
 def _ranked_pairs_by(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """One row for each segment of a range: its first score there and its ranking."""
     segment, ranking, done = None, None, []
@@ -276,9 +258,8 @@ def area_under_roc_by(
 ) -> DataFrame:
     """(segment, area, rows): exact area under the ROC curve of every segment, in one ranking.
 
-    All segments share one range exchange keyed by segment and score, so a segment of any
-    size is spread over as many ranges as it needs. Each range leaves one row per segment in it,
-    and pairs across ranges follow from running totals over those. A segment of one class
+    Equal scores of a segment are counted first, in an aggregate that combines before it moves, so
+    the rows are read once: the ranging samples what the aggregate left. A segment of one class
     has area 1 if that is the positive one, else 0; a null segment fails the job.
     """
     key = present(segment, "segment").cast("bigint")
@@ -287,9 +268,21 @@ def area_under_roc_by(
         _score_column(df, score).alias("score"),
         (present(label, "label") > 0.5).alias("positive"),
     )
-    counted = rows.mapInArrow(
-        _combined_by, "segment long, score double, positives long, negatives long"
+    return areas_of_counts(
+        rows.groupBy("segment", "score").agg(
+            F.count_if("positive").alias("positives"), F.count_if(~F.col("positive")).alias("negatives")
+        )
     )
+
+
+def areas_of_counts(counted: DataFrame) -> DataFrame:
+    """(segment, area, rows) of rows (segment, score, positives, negatives); scores may repeat.
+
+    All segments share one range exchange keyed by segment and score, so a segment of any
+    size is spread over as many ranges as it needs. Each range leaves one row per segment in it,
+    and pairs across ranges follow from running totals over those. Ranging samples its input
+    before it moves it: keep the table first where it is costly to work out.
+    """
     parts = (
         counted.repartitionByRange("segment", "score")
         .sortWithinPartitions("segment", "score")

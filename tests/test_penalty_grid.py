@@ -131,3 +131,23 @@ def test_stages_before_the_grid_are_fitted_per_fold(spark):
         {"regParam": [0.0, 0.1], "maxIter": [300], "elasticNetParam": [0.5]}, prefix=prefix,
     ).orderBy("point").collect()
     assert np.allclose([r["metric"] for r in ours], [r["metric"] for r in theirs], atol=1e-5)
+
+
+def _counting(df, counter):
+    """The same rows; the counter adds those that a task has passed on."""
+
+    def run(batches):
+        for batch in batches:
+            counter.add(batch.num_rows)
+            yield batch
+
+    return df.mapInArrow(run, df.schema)
+
+
+def test_segments_are_ranked_from_one_reading_of_the_rows(spark):
+    seen = spark.sparkContext.accumulator(0)
+    rows = spark.range(3_000).select(
+        (F.col("id") % 3).alias("segment"), F.rand(5).alias("score"), (F.col("id") % 2).alias("binaryLabel")
+    )
+    found = evaluate.area_under_roc_by(_counting(rows, seen), "segment", "score").collect()
+    assert [r["rows"] for r in found] == [1_000] * 3 and seen.value == 3_000
