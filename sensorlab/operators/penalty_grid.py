@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sensorlab.functions.arrow import matrix, numbers
-from sensorlab.operators.evaluate import area_under_roc_by
+from sensorlab.operators.evaluate import areas_of_counts
 from sensorlab.operators.features import as_array
 from sensorlab.session import kept
 
@@ -93,17 +93,18 @@ def _newton_sums(centre: np.ndarray, deviation: np.ndarray, problems: list[tuple
                 part = slice(at, at + rows_at_once)
                 design = np.ones((len(x[part]), width))
                 np.divide(x[part] - centre, deviation, out=design[:, 1:])
-                inside = folds[part, None] != out_folds
+                inside = (folds[part, None] != out_folds).astype(float)
                 z = design @ weights
-                p = 0.5 * (1 + np.tanh(0.5 * z))
+                small = np.exp(-np.abs(z))
+                p = np.where(z < 0, small, 1.0) / (1 + small)
                 target = y[part, None]
                 # log(1 + exp(z)) - y z without overflow
-                loss = np.logaddexp(0.0, z) - target * z
+                loss = np.maximum(z, 0.0) + np.log(1 + small) - target * z
                 total[:, 0] += inside.sum(axis=0)
-                total[:, 1] += np.where(inside, loss, 0.0).sum(axis=0)
-                total[:, 2 : 2 + width] += (design.T @ np.where(inside, p - target, 0.0)).T
+                total[:, 1] += np.einsum("ij,ij->j", inside, loss)
+                total[:, 2 : 2 + width] += (design.T @ ((p - target) * inside)).T
                 products = design[:, upper[0]] * design[:, upper[1]]
-                total[:, 2 + width :] += (products.T @ np.where(inside, p * (1 - p), 0.0)).T
+                total[:, 2 + width :] += (products.T @ (small / (1 + small) ** 2 * inside)).T
         if seen:
             yield pa.RecordBatch.from_arrays(
                 [
@@ -244,8 +245,12 @@ def fit_penalties(
             problem.live = spread > 0
             problem.scale = spread / deviation
             problems.append(problem)
-    while open_ := [(n, p.fold, p.weights) for n, p in enumerate(problems) if not p.done]:
-        sums = rows.mapInArrow(_newton_sums(centre, deviation, open_), SUMS)
+    while open_ := [n for n, p in enumerate(problems) if not p.done]:
+        # problems of one fold that stand at equal weights, as all do at first, share their sums
+        places: dict[tuple[int, bytes], int] = {}
+        of = {n: places.setdefault((problems[n].fold, (problems[n].weights + 0.0).tobytes()), n) for n in open_}
+        asked = [(n, problems[n].fold, problems[n].weights) for n in places.values()]
+        sums = rows.mapInArrow(_newton_sums(centre, deviation, asked), SUMS)
         # the sums of all problems are added place by place, combined before they move
         cells = sums.select("problem", F.posexplode("sums").alias("place", "part"))
         added = cells.groupBy("problem", "place").agg(F.sum("part").alias("sum"))
@@ -253,8 +258,8 @@ def fit_penalties(
         size = 3 + width + (width + 1) * (width + 2) // 2
         for row in added.collect():
             table.setdefault(row["problem"], np.zeros(size))[row["place"]] = row["sum"]
-        for n, _, _ in open_:
-            _advance(problems[n], table[n], tolerance)
+        for n in open_:
+            _advance(problems[n], table[of[n]], tolerance)
     fitted = {}
     for p in problems:
         for limit, weights in p.at_limit.items():
@@ -264,14 +269,15 @@ def fit_penalties(
     return fitted
 
 
-def held_out_scores(
+def held_out_counts(
     df: DataFrame,
     fits: list[tuple[int, int, np.ndarray]],
     features: str,
     label: str,
     fold_column: str,
 ) -> DataFrame:
-    """(segment, score, label): scores of each fit (segment, fold, weights) on the rows of its fold."""
+    """(segment, score, positives, negatives): scores of each fit (segment, fold, weights) on the
+    rows of its fold, equal ones counted batch by batch."""
     by_fold: dict[int, tuple[list[int], np.ndarray]] = {}
     for f in sorted({f for _, f, _ in fits}):
         own = [(s, w) for s, g, w in fits if g == f]
@@ -281,19 +287,24 @@ def held_out_scores(
         for batch in batches:
             if not batch.num_rows:
                 continue
-            x, y = matrix(batch.column("x")), numbers(batch.column("y"))
+            x, y = matrix(batch.column("x")), numbers(batch.column("y")) > 0.5
             folds = batch.column("fold").to_numpy()
             for f, (segments, weights) in by_fold.items():
                 own = folds == f
-                if own.any():
-                    scores = x[own] @ weights[1:] + weights[0]
+                if not own.any():
+                    continue
+                scores, positive = x[own] @ weights[1:] + weights[0], y[own]
+                for segment, column in zip(segments, scores.T):
+                    # adding zero makes one score of both zeros
+                    values, place = np.unique(column + 0.0, return_inverse=True)
+                    positives = np.bincount(place[positive], minlength=len(values))
+                    counts = np.bincount(place, minlength=len(values))
                     yield pa.RecordBatch.from_arrays(
                         [
-                            pa.array(np.tile(segments, int(own.sum())), pa.int64()),
-                            pa.array(scores.ravel()),
-                            pa.array(np.repeat(y[own], len(segments))),
+                            pa.array(np.full(len(values), segment, np.int64)),
+                            *map(pa.array, (values, positives, counts - positives)),
                         ],
-                        names=["segment", "score", "label"],
+                        names=["segment", "score", "positives", "negatives"],
                     )
 
     rows = df.select(
@@ -301,7 +312,7 @@ def held_out_scores(
         F.col(label).cast("double").alias("y"),
         F.col(fold_column).cast("int").alias("fold"),
     )
-    return rows.mapInArrow(run, "segment long, score double, label double")
+    return rows.mapInArrow(run, "segment long, score double, positives long, negatives long")
 
 
 def cross_validate_penalties(
@@ -335,7 +346,8 @@ def cross_validate_penalties(
         for f in range(folds):
             train = df.where(F.col(fold_column) != f)
             before = Pipeline(stages=list(prefix)).fit(train)
-            with kept(before.transform(train).select(features, label)) as moved:
+            moved = before.transform(train)
+            with kept(moved.select(as_array(moved, features).alias(features), label)) as moved:
                 own = fit_penalties(moved, penalties, [-1], features, label, None, tolerance)
             fitted |= {(s, e, f, limit): w for (s, e, _, limit), w in own.items()}
             tables[f] = before.transform(df.where(F.col(fold_column) == f))
@@ -353,13 +365,15 @@ def cross_validate_penalties(
         segment_of[strength, share, f, limit] = segment
     if prefix:
         parts = [
-            held_out_scores(t, [x for x in fits if x[1] == f], features, label, fold_column)
+            held_out_counts(t, [x for x in fits if x[1] == f], features, label, fold_column)
             for f, t in tables.items()
         ]
         scored = reduce(DataFrame.unionByName, parts)
     else:
-        scored = held_out_scores(df, fits, features, label, fold_column)
-    areas = {r["segment"]: r["area"] for r in area_under_roc_by(scored, "segment", "score", "label").collect()}
+        scored = held_out_counts(df, fits, features, label, fold_column)
+    # ranging samples its input before it moves it; scores are worked out once
+    with kept(scored):
+        areas = {r["segment"]: r["area"] for r in areas_of_counts(scored).collect()}
     rows = []
     for number, point in enumerate(points):
         strength, share = key(point)

@@ -151,3 +151,25 @@ def test_segments_are_ranked_from_one_reading_of_the_rows(spark):
     )
     found = evaluate.area_under_roc_by(_counting(rows, seen), "segment", "score").collect()
     assert [r["rows"] for r in found] == [1_000] * 3 and seen.value == 3_000
+
+
+def test_grid_scores_once_and_shares_equal_problems(spark, monkeypatch):
+    seen, asked = spark.sparkContext.accumulator(0), []
+    counts, sums = penalty_grid.held_out_counts, penalty_grid._newton_sums
+    monkeypatch.setattr(penalty_grid, "held_out_counts", lambda *a: _counting(counts(*a), seen))
+
+    def watched(centre, deviation, problems):
+        asked.append(len(problems))
+        return sums(centre, deviation, problems)
+
+    monkeypatch.setattr(penalty_grid, "_newton_sums", watched)
+    rows = spark.range(2_000).select(
+        F.array(F.rand(1), F.rand(2)).alias("features"),
+        (F.rand(3) > 0.4).cast("double").alias("binaryLabel"),
+        (F.col("id") % 2).cast("int").alias("fold"),
+    ).localCheckpoint()
+    points = [{"regParam": r, "elasticNetParam": 0.0, "maxIter": 50} for r in (0.0, 0.01, 0.1)]
+    assert penalty_grid.cross_validate_penalties(rows, points, 2).count() == 3
+    # every row is held out once for each point, and at weights of zero the points of a fold are one
+    assert seen.value == 3 * 2_000
+    assert asked[0] == 2 and max(asked) == 6
