@@ -17,6 +17,7 @@ from sensorlab.operators import (
     evaluate,
     features,
     linear,
+    penalty_grid,
     prepare,
     tune,
 )
@@ -487,11 +488,11 @@ def _grid_sql() -> str:
 
 @query("logistic_grid_check", _grid_sql())
 def logistic_grid(spark, sf_dir):
-    """The job's whole grid, five folds by key; of its metrics those that SQL can work out."""
+    """The job's whole grid, five folds by key, in the job's shared scans; of its metrics those of this SQL."""
     rows = _reading_features(spark, sf_dir, LOGISTIC_FEATURES, "session_id")
     rows = prepare.with_fold(rows, "session_id", tune.LOGISTIC_FOLDS)
     with kept(rows.select("features", "binaryLabel", "fold")) as held:
-        table = tune.logistic_cross_validate(held, linear.LogisticParams().estimator(), parallelism=8)
+        table = penalty_grid.cross_validate_penalties(held, tune.logistic_points(), tune.LOGISTIC_FOLDS)
     plain = (F.col("reg_param") == 0) | (F.col("elastic_net") == 0)
     return table.where(plain & (F.col("max_iter") > 10)).select(
         "reg_param", "elastic_net", "max_iter", F.round("metric", 4).alias("metric")

@@ -173,3 +173,13 @@ def test_grid_scores_once_and_shares_equal_problems(spark, monkeypatch):
     # every row is held out once for each point, and at weights of zero the points of a fold are one
     assert seen.value == 3 * 2_000
     assert asked[0] == 2 and max(asked) == 6
+
+
+def test_grid_query_takes_few_jobs(spark, sf_dir):
+    context = spark.sparkContext
+    context.setJobGroup("grid-check", "jobs of the grid query")
+    try:
+        assert all_queries()[0]["logistic_grid_check"](spark, sf_dir).count() == 10
+        assert len(context.statusTracker().getJobIdsForGroup("grid-check")) < 60
+    finally:
+        context.setLocalProperty("spark.jobGroup.id", None)
