@@ -11,7 +11,7 @@ from collections.abc import Sequence
 from contextlib import ExitStack
 from dataclasses import dataclass, field
 
-from pyspark.ml import Model, Pipeline
+from pyspark.ml import Model, Pipeline, PipelineModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -243,9 +243,15 @@ REFIT_STEPS = 10
 
 
 def _tune_logistic(
-    report: _Report, estimator, data: DataFrame, params: LogisticJobParams, prefix=()
+    report: _Report,
+    estimator,
+    data: DataFrame,
+    params: LogisticJobParams,
+    prefix=(),
+    moved: DataFrame | None = None,
 ) -> tuple[DataFrame, Model]:
-    """Grid table, and the best point fitted on all the data it was tuned on."""
+    """Grid table, and the best point fitted on all the data it was tuned on; ``moved`` is that
+    data behind the stages of the prefix, fitted on all of it."""
     held = _folds(data, params, params.folds)
     rows = report.timed(
         "tune",
@@ -268,7 +274,7 @@ def _tune_logistic(
     # the grid counts Newton steps, each worth several of the estimator's
     settings["maxIter"] *= REFIT_STEPS
     chosen = estimator.copy({estimator.getParam(k): v for k, v in settings.items()})
-    model = Pipeline(stages=[*prefix, chosen]).fit(data)
+    model = chosen.fit(data if moved is None else moved)
     return data.sparkSession.createDataFrame(rows), model
 
 
@@ -306,21 +312,31 @@ def run_pca_logistic(
     data = load(spark, source)
     check_feature_columns(params.features, data)
     rest = ["binaryLabel"] + ([params.key] if params.key else [])
-    rows = with_binary_label(labelled(data)).select(*params.features, *rest)
-    with kept(rows) as data:
+    assembler, *prefix, estimator = linear.pca_logistic(params.features, params.model, k).getStages()
+    rows = assembler.transform(with_binary_label(labelled(data)).select(*params.features, *rest))
+    with ExitStack() as scope:
+        # rows are assembled once, and both parts are projected once on the training part's components
+        data = scope.enter_context(kept(rows.select(assembler.getOutputCol(), *rest)))
         report.add("data", "samples", data.count())
         train, test = _split(data, params, params.fracTest)
-        pipeline = linear.pca_logistic(params.features, params.model, k)
-        model = report.timed("fit", "training seconds", lambda: pipeline.fit(train))
-        for i, share in enumerate(model.stages[1].explainedVariance.toArray()):
+
+        def fit():
+            before = Pipeline(stages=prefix).fit(train)
+            moved = [before.transform(part).select("features", "binaryLabel") for part in (train, test)]
+            moved = [scope.enter_context(kept(part)) for part in moved]
+            return before, moved, estimator.fit(moved[0])
+
+        before, (moved, held), last = report.timed("fit", "training seconds", fit)
+        for i, share in enumerate(before.stages[0].explainedVariance.toArray()):
             report.add("fit", "explained variance", share, f"component {i + 1}")
-        _evaluate(report, "train", model, train)
-        _evaluate(report, "test", model, test)
+        _evaluate(report, "train", last, moved)
+        _evaluate(report, "test", last, held)
         grid = best = None
         if params.tune:
-            *prefix, estimator = pipeline.getStages()
-            grid, best = _tune_logistic(report, estimator, train, params, prefix)
-            _evaluate(report, "tuned", best, test)
+            grid, tuned = _tune_logistic(report, estimator, train, params, prefix, moved)
+            _evaluate(report, "tuned", tuned, held)
+            best = PipelineModel([assembler, *before.stages, tuned])
+        model = PipelineModel([assembler, *before.stages, last])
     return JobResult(report.table(spark), model, grid, best)
 
 

@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 from pyspark.errors import PySparkException
 from pyspark.ml.evaluation import BinaryClassificationEvaluator
+from pyspark.ml.feature import PCA
 from pyspark.ml.tuning import ParamGridBuilder
 from pyspark.sql import functions as F
 
@@ -263,3 +264,20 @@ def test_online_rows_are_many_files_a_batch(spark, signal):
         assert max(held) <= 2 * labelled / len(held)
     states = [len(list(f.glob("run=*/batch=*"))) for f in set(root.glob("online-state-*")) - known]
     assert states and min(states) >= 2
+
+
+def test_components_of_the_job_are_fitted_once_a_part(spark, signal, monkeypatch):
+    fits, fit = [], PCA._fit
+    monkeypatch.setattr(PCA, "_fit", lambda self, rows: fits.append(1) or fit(self, rows))
+    grid = {"regParam": [0.0], "maxIter": [50], "elasticNetParam": [0.0]}
+    params = jobs.LogisticJobParams(features=tuple(CHANNELS), key="key", grid=grid, folds=2)
+    found = jobs.run_pca_logistic(spark, signal, params)
+    # the training part's, which the tuned model shares, and those of two folds
+    assert len(fits) == 3
+    values = _values(found.report)
+    rows = prepare.with_binary_label(prepare.labelled(signal))
+    _, held = prepare.hash_split(rows, "key", params.fracTest, jobs.SPLIT_SEED)
+    for stage, model in (("test", found.model), ("tuned", found.best)):
+        scored = model.transform(held)
+        assert values[stage, "rows", None] == scored.count()
+        assert values[stage, "auroc", None] == pytest.approx(evaluate.area_under(scored), abs=1e-9)
