@@ -207,6 +207,22 @@ def score_activations(
     return score(features)
 
 
+def score_widths(features: Column, layer: Layer, betas: dict[str, np.ndarray]) -> Column:
+    """Outputs of networks made of the first nodes of one layer, as a struct with a field per
+    network; the hidden outputs are computed once."""
+    names = list(betas)
+    weights = np.zeros((layer.nodes, len(names)))
+    for i, name in enumerate(names):
+        weights[: len(betas[name]), i] = betas[name]
+
+    @F.arrow_udf("struct<" + ", ".join(f"{n}: double" for n in names) + ">")
+    def score(x: pa.Array) -> pa.Array:
+        found = layer.scores(matrix(x), weights) if len(x) else np.empty((0, len(names)))
+        return pa.StructArray.from_arrays([pa.array(column.copy()) for column in found.T], names=names)
+
+    return score(features)
+
+
 def _binary(layer: Layer):
     return lambda x: [layer.outputs(x)]
 

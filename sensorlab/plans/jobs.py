@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sensorlab.functions.activations import check_activation
+from sensorlab.functions.labels import is_labelled
 from sensorlab.operators import evaluate, linear, penalty_grid, tune
 from sensorlab.operators.elm.model import (
     DEFAULT_ACTIVATION,
@@ -23,6 +24,8 @@ from sensorlab.operators.elm.model import (
     DEFAULT_TEST_FRACTION,
     NODE_LIMITS,
     ElmClassifier,
+    score_activations,
+    score_widths,
 )
 from sensorlab.operators.elm.layer import draw_layer
 from sensorlab.operators.features import assemble
@@ -366,37 +369,48 @@ def _explore_online(
     [-1, 1], and their training error and time, in several micro-batches of files.
 
     A micro-batch has many files, so that all tasks share it and none reads much of the table.
+    A narrower network's layer is the first nodes of the widest one's, so one stream of each
+    input trains all widths, exactly, and its seconds stand at each of them; the inputs are
+    written once, side by side, and one scan scores all networks.
     """
-    rows = with_velocity(with_binary_label(labelled(data)), VELOCITIES)
-    speeds = scale_symmetric(rows.select("binaryLabel", *VELOCITIES), list(VELOCITIES))
-    inputs = {
-        "channels": rows.select("binaryLabel", F.array(*[F.col(c) / scale for c in CHANNELS[:3]]).alias("features")),
-        "velocities": rows.select("binaryLabel", F.array(*VELOCITIES).alias("features")),
-        "scaled velocities": speeds.select("binaryLabel", F.array(*VELOCITIES).alias("features")),
-    }
+    rows = with_velocity(with_binary_label(labelled(data)), VELOCITIES).select(
+        "binaryLabel",
+        F.array(*[F.col(c) / scale for c in CHANNELS[:3]]).alias("channels"),
+        F.array(*VELOCITIES).alias("velocities"),
+        *VELOCITIES,
+    )
+    rows = scale_symmetric(rows, list(VELOCITIES))
+    rows = rows.select("binaryLabel", "channels", "velocities", F.array(*VELOCITIES).alias("scaled_velocities"))
     shuffled = int(spark.conf.get("spark.sql.shuffle.partitions"))
     files = max(-(-shuffled // ONLINE_BATCHES), spark.sparkContext.defaultParallelism)
-    for name, table in inputs.items():
-        folder = scratch_path(spark, "stream")
-        table.repartition(ONLINE_BATCHES * files).write.parquet(folder)
-        remove_at_end(spark, folder)
-        stored = spark.read.parquet(folder)
+    folder = scratch_path(spark, "stream")
+    rows.repartition(ONLINE_BATCHES * files).write.parquet(folder)
+    remove_at_end(spark, folder)
+    stored = spark.read.parquet(folder)
+    layer = draw_layer(max(sizes), 3, "sigmoid", init)
+    scores, keys = [], []
+    for column in stored.columns[1:]:
+        online = OnlineElm(spark, layer, scratch_path(spark, "online-state"), features=column)
+        stream = spark.readStream.schema(stored.schema).option("maxFilesPerTrigger", files).parquet(folder)
+        checkpoint = scratch_path(spark, "online-checkpoint")
+        for path in (online.state_path, checkpoint):
+            remove_at_end(spark, path)
+        stage = f"online {column.replace('_', ' ')}"
+        start = time.perf_counter()
+        online.start(stream, checkpoint).awaitTermination()
+        seconds = time.perf_counter() - start
         for nodes in sizes:
-            layer = draw_layer(nodes, 3, "sigmoid", init)
-            online = OnlineElm(spark, layer, scratch_path(spark, "online-state"))
-            stream = spark.readStream.schema(stored.schema).option("maxFilesPerTrigger", files).parquet(folder)
-            checkpoint = scratch_path(spark, "online-checkpoint")
-            for path in (online.state_path, checkpoint):
-                remove_at_end(spark, path)
-            stage, note = f"online {name}", f"{nodes} nodes"
-            start = time.perf_counter()
-            online.start(stream, checkpoint).awaitTermination()
-            report.add(stage, "training seconds", time.perf_counter() - start, note)
-            scored = stored.withColumn("t", online.model().score(stored))
-            predicted = scored.withColumn("prediction", (F.col("t") > 0.5).cast("double"))
-            metrics = evaluate.error_metrics(predicted).first()
-            report.add(stage, "rows", metrics["rows"], note)
-            report.add(stage, "train error", metrics["misclassification"], note)
+            report.add(stage, "training seconds", seconds, f"{nodes} nodes")
+        betas = {f"n{nodes}": online.model(nodes=nodes).beta for nodes in sizes}
+        scores.append(score_widths(F.col(column), layer, betas).alias(column))
+        keys += [(f"{column}.n{nodes}", stage, f"{nodes} nodes") for nodes in sizes]
+    scored = stored.select("binaryLabel", *scores)
+    cut = [(F.col(name) > 0.5).cast("double").alias(f"prediction_{i}") for i, (name, _, _) in enumerate(keys)]
+    predicted = scored.select("binaryLabel", *cut)
+    errors = evaluate.error_metrics_of(predicted, predicted.columns[1:]).collect()
+    for metrics, (_, stage, note) in zip(errors, keys):
+        report.add(stage, "rows", metrics["rows"], note)
+        report.add(stage, "train error", metrics["misclassification"], note)
 
 
 def run_online_exploration(
@@ -418,38 +432,41 @@ def run_exploration(
     """
     report = _Report()
     data = load(spark, source)
-    counts = data.agg(
+    counts = with_velocity(data, VELOCITIES).agg(
         F.count("*").alias("all"),
         F.count_if(F.col(LABEL) == 0).alias("unlabelled"),
         F.count_if(F.col(LABEL) > 0).alias("labelled"),
+        *[F.avg(F.when(is_labelled(), F.col(v))).alias(v) for v in VELOCITIES],
     ).first()
     for name in ("all", "unlabelled", "labelled"):
         report.add("data", f"{name} rows", counts[name])
-    speeds = with_velocity(labelled(data), VELOCITIES).agg(*[F.avg(v).alias(v) for v in VELOCITIES])
-    for name, value in speeds.first().asDict().items():
-        report.add("data", "mean velocity", value, name)
+    for name in VELOCITIES:
+        report.add("data", "mean velocity", counts[name], name)
 
-    model = None
-    with kept(_training_frame(spark, data, params, vector=False)) as rows:
+    with ExitStack() as scope:
+        rows = scope.enter_context(kept(_training_frame(spark, data, params, vector=False)))
         train, test = _split(rows, params, EXPLORE_FRACTION)
+        models = {}
         for name in EXPLORE_ACTIVATIONS:
             estimator = ElmClassifier(hiddenNodes=EXPLORE_NODES, activationFunc=name, init=init)
-            model = report.timed(name, "training seconds", lambda: estimator.fit(train))
-            scored = train.withColumn("score", model.score(train))
-            low, high = scored.agg(F.min("score"), F.max("score")).first()
-            normal = F.try_divide(F.col("score") - F.lit(low), F.lit(high - low))
-            sweep = evaluate.threshold_sweep(
-                scored.select(normal.alias("normal"), "binaryLabel"), "normal", "binaryLabel"
-            )
+            models[name] = report.timed(name, "training seconds", lambda: estimator.fit(train))
+        model = models[EXPLORE_ACTIVATIONS[-1]]
+        # the networks have one layer, so one scan of either part scores both and its scores are kept
+        outputs = score_activations(F.col("features"), model.layer, {n: m.beta for n, m in models.items()})
+        scored, held = (
+            scope.enter_context(kept(part.select("binaryLabel", outputs.alias("score")).select("binaryLabel", "score.*")))
+            for part in (train, test)
+        )
+        ends = scored.agg(*[f(n).alias(f"{n}_{f.__name__}") for n in models for f in (F.min, F.max)]).first()
+        for name in EXPLORE_ACTIVATIONS:
+            low, high = ends[f"{name}_min"], ends[f"{name}_max"]
+            normal = F.try_divide(F.col(name) - F.lit(low), F.lit(high - low)).alias("normal")
+            sweep = evaluate.threshold_sweep(scored.select(normal, "binaryLabel"), "normal", "binaryLabel")
             best = evaluate.best_threshold(sweep).first()
             report.add(name, "best threshold", best["threshold"])
             report.add(name, "train accuracy", best["accuracy"])
-            held = test.withColumn("score", model.score(test))
             cut = evaluate.threshold_sweep(
-                held.select(normal.alias("normal"), "binaryLabel"),
-                "normal",
-                "binaryLabel",
-                [best["threshold"]],
+                held.select(normal, "binaryLabel"), "normal", "binaryLabel", [best["threshold"]]
             ).first()
             report.add(name, "test accuracy", cut["accuracy"])
 

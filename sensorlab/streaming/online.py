@@ -148,16 +148,20 @@ class OnlineElm:
             .start()
         )
 
-    def model(self, regression: bool = False) -> ElmClassificationModel | ElmRegressionModel:
-        """Network from the newest state, as a classifier or as a regression."""
+    def model(
+        self, regression: bool = False, nodes: int | None = None
+    ) -> ElmClassificationModel | ElmRegressionModel:
+        """Network from the newest state, as a classifier or as a regression; with ``nodes`` the
+        network of the layer's first nodes alone, as if it had been trained by itself."""
         factor = self._state()
         if factor is None:
             raise ValueError("no rows seen yet")
         kind = ElmRegressionModel if regression else ElmClassificationModel
-        model = kind(self.layer, solve(factor, rcond=self.rcond))
+        layer = self.layer if nodes is None else self.layer.first(nodes)
+        model = kind(layer, solve(factor, layer.nodes, rcond=self.rcond))
         model._set(
-            activationFunc=self.layer.activation,
-            hiddenNodes=self.layer.nodes,
+            activationFunc=layer.activation,
+            hiddenNodes=layer.nodes,
             rcond=self.rcond,
             featuresCol=self.features,
             labelCol=self.target,

@@ -9,10 +9,12 @@ from pyspark.ml.tuning import ParamGridBuilder
 from pyspark.sql import functions as F
 
 from sensorlab.operators import evaluate, features, linear, prepare, tune
+from sensorlab.operators.elm.model import ElmClassifier
 from sensorlab.plans import jobs
 from sensorlab.schema import CHANNELS, CHEST, GLM_FEATURES, LABEL, LOGISTIC_FEATURES
 from sensorlab.session import scratch_path
 from sensorlab.sources.text import to_parquet
+from sensorlab.streaming.online import OnlineElm
 
 
 @pytest.fixture(scope="module")
@@ -281,3 +283,31 @@ def test_components_of_the_job_are_fitted_once_a_part(spark, signal, monkeypatch
         scored = model.transform(held)
         assert values[stage, "rows", None] == scored.count()
         assert values[stage, "auroc", None] == pytest.approx(evaluate.area_under(scored), abs=1e-9)
+
+
+def test_exploration_trains_all_widths_in_one_stream_of_each_input(spark, signal, monkeypatch):
+    starts, start = [], OnlineElm.start
+    monkeypatch.setattr(OnlineElm, "start", lambda self, *args, **kw: starts.append(self) or start(self, *args, **kw))
+    report = jobs.run_online_exploration(spark, signal, sizes=(10, 16, 12)).collect()
+    assert len(starts) == 3
+    values = {(r["stage"], r["metric"], r["note"]): r["value"] for r in report}
+    assert len(values) == len(report) == 27
+    rows = prepare.with_binary_label(prepare.labelled(signal)).select(
+        "binaryLabel", F.array(*CHANNELS[:3]).alias("features")
+    )
+    for nodes in (10, 16, 12):
+        alone = ElmClassifier(hiddenNodes=nodes, activationFunc="sigmoid", decisionThreshold=0.5).fit(rows)
+        error = evaluate.error_metrics(alone.transform(rows)).first()["misclassification"]
+        assert values["online channels", "train error", f"{nodes} nodes"] == pytest.approx(error, abs=1e-9)
+
+
+def test_errors_of_several_predictions_from_one_scan(spark):
+    df = spark.createDataFrame([(0.0, 0.0, 1.0), (1.0, 1.0, 1.0), (1.0, 0.0, 0.0)], "binaryLabel double, a double, b double")
+    found = evaluate.error_metrics_of(df, ["a", "b"]).collect()
+    assert [(r["prediction"], r["total"], r["rows"]) for r in found] == [("a", 1.0, 3), ("b", 2.0, 3)]
+    for p, row in zip("ab", found):
+        assert row["misclassification"] == evaluate.error_metrics(df, p).first()["misclassification"]
+    with pytest.raises(Exception, match="no rows to evaluate"):
+        evaluate.error_metrics_of(df.limit(0), ["a"]).collect()
+    with pytest.raises(Exception, match="null prediction"):
+        evaluate.error_metrics_of(df.withColumn("a", F.lit(None).cast("double")), ["a", "b"]).collect()
