@@ -16,7 +16,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.ml.linalg import VectorUDT
 from pyspark.ml.param.shared import HasLabelCol, HasPredictionCol, HasRawPredictionCol
 from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sensorlab.functions.labels import above, squared_difference
@@ -121,7 +121,7 @@ def best_threshold(sweep: DataFrame) -> DataFrame:
     return sweep.orderBy("error", "step").limit(1)
 
 
-def _score_column(df: DataFrame, score: str) -> Column:
+def score_column(df: DataFrame, score: str) -> Column:
     """A numeric score, or the second element of a raw prediction vector; never null."""
     if isinstance(df.schema[score].dataType, VectorUDT):
         return present(vector_to_array(F.col(score))[1], "score")
@@ -144,6 +144,21 @@ def _combined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
+def _groups(segments: np.ndarray, scores: np.ndarray) -> np.ndarray:
+    """Starts of the rows of one segment and one score, NaN equal to NaN."""
+    odd = np.isnan(scores)
+    same = (scores[1:] == scores[:-1]) | (odd[1:] & odd[:-1])
+    return np.flatnonzero(np.r_[True, (segments[1:] != segments[:-1]) | ~same])
+
+
+def _counted(scores: np.ndarray, *counts: np.ndarray) -> list[np.ndarray]:
+    """Distinct scores in order, NaN last, and the sums of their counts."""
+    order = np.argsort(scores)
+    scores = scores[order]
+    starts = _groups(np.zeros(len(scores)), scores)
+    return [scores[starts], *(np.add.reduceat(c[order].astype(np.int64), starts) for c in counts)]
+
+
 class _Ranking:
     """Positives, negatives, and pairs in which the positive has the higher score,
     ties counting half, over rows in the order of their scores."""
@@ -162,9 +177,7 @@ class _Ranking:
             scores = np.r_[self.last, scores]
             positives = np.r_[self.last_positives, positives]
             negatives = np.r_[self.last_negatives, negatives]
-        scores, place = np.unique(scores, return_inverse=True)
-        p = np.bincount(place, positives, len(scores))
-        n = np.bincount(place, negatives, len(scores))
+        scores, p, n = _counted(scores, positives, negatives)
         self._count(p[:-1], n[:-1])
         self.last, self.last_positives, self.last_negatives = scores[-1], int(p[-1]), int(n[-1])
 
@@ -197,74 +210,158 @@ def _ranked_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         )
 
 
-def area_under_roc(df: DataFrame, score: str = "rawPrediction", label: str = "binaryLabel") -> float:
-    """Exact area under the ROC curve.
+#: Scores that a task packs at once, those that a range should have, and those that one value of a sample stands for.
+BLOCK_SCORES, RANGE_SCORES, SAMPLED_SCORES = 1_000_000, 1_000_000, 16_384
+BLOCKS = "segment long, size long, sample array<double>, scores binary, positives binary, negatives binary"
+SLICES = "range long, segment long, scores binary, positives binary, negatives binary"
+RANKED = "segment long, first double, positives long, negatives long, pairs double"
 
-    It is the share of (positive, negative) pairs that the score puts in order,
-    ties counting half.  Tasks first count equal scores batch by batch, so one
-    score of very many rows is few; then rows are ranged and sorted, once, and
-    each task returns its totals in one row.  Equal scores share a range; pairs
-    across ranges follow from the totals.
-    """
-    positive = present(label, "label") > 0.5
-    counted = df.select(
-        _score_column(df, score).alias("score"), positive.alias("positive")
-    ).mapInArrow(_combined, "score double, positives long, negatives long")
-    # ranging samples its input before it moves it; scores are worked out once
-    with kept(counted):
-        parts = (
-            counted.repartitionByRange("score")
-            .sortWithinPartitions("score")
-            .mapInArrow(_ranked_pairs, "first double, positives long, negatives long, pairs double")
-            .collect()
-        )
-    if not parts:
-        raise ValueError("no rows to evaluate")
-    pairs, below, positives = 0.0, 0, 0
-    # a range of nothing but NaN is the last, as in Spark's order
-    for part in sorted(parts, key=lambda r: (r["first"] != r["first"], r["first"])):
-        pairs += part["pairs"] + float(part["positives"]) * below
-        below += part["negatives"]
-        positives += part["positives"]
-    if not positives or not below:
-        # one class only: what a curve through (1, 1) gives
-        return 1.0 if positives else 0.0
-    return pairs / (float(positives) * below)
 
+def _bytes(counts: np.ndarray) -> bytes:
+    """Counts in as few bytes each as the largest one needs."""
+    return counts.astype(np.min_scalar_type(int(counts.max()))).tobytes()
 
-def _groups(segments: np.ndarray, scores: np.ndarray) -> np.ndarray:
-    """Starts of the rows of one segment and one score, NaN equal to NaN."""
-    odd = np.isnan(scores)
-    same = (scores[1:] == scores[:-1]) | (odd[1:] & odd[:-1])
-    return np.flatnonzero(np.r_[True, (segments[1:] != segments[:-1]) | ~same])
 
+def _unpacked(scores: bytes, *counts: bytes) -> list[np.ndarray]:
+    values = np.frombuffer(scores, np.float64)
+    return [values, *(np.frombuffer(c, f"u{len(c) // len(values)}") for c in counts)]
 
-def _ranked_pairs_by(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """One row for each segment of a range: its first score there and its ranking."""
-    segment, ranking, done = None, None, []
 
-    def settled() -> None:
-        if ranking is not None:
-            ranking.settle()
-            done.append((segment, ranking.first, ranking.positives, ranking.negatives, ranking.pairs))
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sorted distinct scores of a segment with their counts, and a sample of them, a row for many scores."""
+    held: dict[int, list[tuple]] = {}
+    size = 0
+
+    def packed() -> pa.RecordBatch:
+        rows = []
+        for segment, parts in held.items():
+            scores, p, n = _counted(*(np.concatenate(c) for c in zip(*parts)))
+            sample = scores[SAMPLED_SCORES // 2 :: SAMPLED_SCORES] if len(scores) > SAMPLED_SCORES else scores[len(scores) // 2 :][:1]
+            rows.append((segment, len(scores), sample, scores.tobytes(), _bytes(p), _bytes(n)))
+        kinds = (pa.int64(), pa.int64(), pa.list_(pa.float64()), *[pa.binary()] * 3)
+        names = [part.split()[0] for part in BLOCKS.split(", ")]
+        return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows), kinds)], names=names)
 
     for batch in batches:
         if not batch.num_rows:
             continue
-        segments, *columns = (batch.column(i).to_numpy() for i in range(4))
-        starts = np.flatnonzero(np.r_[True, segments[1:] != segments[:-1]])
-        for a, b in zip(starts.tolist(), [*starts[1:].tolist(), len(segments)]):
-            if segments[a] != segment:
-                settled()
-                segment, ranking = int(segments[a]), _Ranking()
-            ranking.add(*(c[a:b] for c in columns))
-    settled()
-    kinds = (pa.int64(), pa.float64(), pa.int64(), pa.int64(), pa.float64())
-    if done:
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(x, kind) for x, kind in zip(zip(*done), kinds)],
-            names=["segment", "first", "positives", "negatives", "pairs"],
-        )
+        segments, scores, *counts = (batch.column(i).to_numpy() for i in range(4))
+        # adding zero makes one score of both zeros
+        columns = (scores + 0.0, *counts)
+        if np.count_nonzero(segments[1:] != segments[:-1]) > 100:
+            order = np.argsort(segments, kind="stable")
+            segments, columns = segments[order], tuple(c[order] for c in columns)
+        starts = np.flatnonzero(np.r_[True, segments[1:] != segments[:-1]]).tolist()
+        for a, b in zip(starts, [*starts[1:], len(segments)]):
+            held.setdefault(int(segments[a]), []).append(tuple(c[a:b] for c in columns))
+        size += len(segments)
+        if size >= BLOCK_SCORES:
+            yield packed()
+            held, size = {}, 0
+    if held:
+        yield packed()
+
+
+def _cuts(sketch: list) -> dict[int, tuple[int, np.ndarray]]:
+    """Number of each segment's first range and the scores at which its further ranges begin."""
+    parts: dict[int, list] = {}
+    for segment, size, sample in sketch:
+        parts.setdefault(segment, []).append((size, np.array(sample, float)))
+    found, ranges = {}, 0
+    for segment, own in sorted(parts.items()):
+        values = np.concatenate([v for _, v in own])
+        weights = np.concatenate([np.full(len(v), size / len(v)) for size, v in own])
+        order = np.argsort(values)
+        values, below = values[order], np.cumsum(weights[order])
+        wanted = np.arange(1, -(-below[-1] // RANGE_SCORES)) * RANGE_SCORES
+        cuts = np.unique(values[np.searchsorted(below, wanted)])
+        cuts = cuts[~np.isnan(cuts)]
+        found[segment] = ranges, cuts
+        ranges += len(cuts) + 1
+    return found
+
+
+def _slices(cuts: dict[int, tuple[int, np.ndarray]]):
+    """Blocks cut at the ranges of their segments."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = [part.split()[0] for part in SLICES.split(", ")]
+        kinds = (pa.int64(), pa.int64(), *[pa.binary()] * 3)
+        for batch in batches:
+            for i in range(batch.num_rows):
+                segment, *parts = (batch.column(c)[i].as_py() for c in range(4))
+                first, own = cuts[segment]
+                scores, p, n = _unpacked(*parts)
+                edges = [0, *np.searchsorted(scores, own, "left").tolist(), len(scores)]
+                rows = [
+                    (first + r, segment, *(c[a:b].tobytes() for c in (scores, p, n)))
+                    for r, (a, b) in enumerate(zip(edges, edges[1:]))
+                    if a < b
+                ]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(x, k) for x, k in zip(zip(*rows), kinds)], names=names
+                )
+
+    return run
+
+
+def _ranked_range(table: pa.Table) -> pa.Table:
+    """One row for a range of a segment: its first score there and its ranking."""
+    slices = [_unpacked(*row.values()) for row in table.select(["scores", "positives", "negatives"]).to_pylist()]
+    batch = pa.RecordBatch.from_arrays(
+        [pa.array(np.concatenate(c)) for c in zip(*slices)], names=["score", "positives", "negatives"]
+    )
+    (ranked,) = _ranked_pairs(iter([batch]))
+    return pa.table({"segment": table.column("segment").slice(0, 1)} | ranked.to_pydict())
+
+
+def _ranked_ranges(counted: DataFrame) -> list:
+    """Rows ``RANKED`` of the ranges of rows (segment, score, positives, negatives); scores may repeat.
+
+    Scores are packed into blocks where they are made, and only the blocks are kept and moved: a
+    range's scores meet as a few arrays, not as rows. Every range of a segment has about
+    RANGE_SCORES scores, by a sample of the blocks, which weighs on their sizes only.
+    """
+    with kept(counted.mapInArrow(_blocks, BLOCKS)) as blocks:
+        cuts = _cuts(blocks.select("segment", "size", "sample").collect())
+        slices = blocks.select("segment", "scores", "positives", "negatives").mapInArrow(_slices(cuts), SLICES)
+        return slices.groupBy("range").applyInArrow(_ranked_range, RANKED).collect()
+
+
+def area_under_roc(df: DataFrame, score: str = "rawPrediction", label: str = "binaryLabel") -> float:
+    """Exact area under the ROC curve.
+
+    It is the share of (positive, negative) pairs that the score puts in order,
+    ties counting half.  Tasks first pack their scores into blocks of sorted, counted
+    values, so one score of very many rows is few; then the blocks' slices are dealt by
+    ranges, and each range returns its totals in one row.  Equal scores share a range;
+    pairs across ranges follow from the totals.
+    """
+    positive = (present(label, "label") > 0.5).cast("bigint")
+    counted = df.select(
+        F.lit(0).cast("bigint").alias("segment"),
+        score_column(df, score).alias("score"),
+        positive.alias("positives"),
+        (1 - positive).alias("negatives"),
+    )
+    parts = _ranked_ranges(counted)
+    if not parts:
+        raise ValueError("no rows to evaluate")
+    return _areas(parts)[0][1]
+
+
+def _areas(parts: list) -> list[tuple[int, float, int]]:
+    """(segment, area, rows) of every segment from the rows of its ranges, in the order of their scores."""
+    found: dict[int, list] = {}
+    # a range of nothing but NaN is the last, as in Spark's order
+    for segment, first, positives, below, pairs in sorted(parts, key=lambda r: (r[0], r[1] != r[1], r[1])):
+        p, n, ordered = found.get(segment, (0, 0, 0.0))
+        found[segment] = p + positives, n + below, ordered + pairs + float(positives) * n
+    # one class only: what a curve through (1, 1) gives
+    return [
+        (segment, ordered / (float(p) * n) if p and n else float(p > 0), p + n)
+        for segment, (p, n, ordered) in found.items()
+    ]
 
 
 def area_under_roc_by(
@@ -279,45 +376,25 @@ def area_under_roc_by(
     key = present(segment, "segment").cast("bigint")
     rows = df.select(
         key.alias("segment"),
-        _score_column(df, score).alias("score"),
+        score_column(df, score).alias("score"),
         (present(label, "label") > 0.5).alias("positive"),
     )
-    return areas_of_counts(
+    found = areas_of_counts(
         rows.groupBy("segment", "score").agg(
             F.count_if("positive").alias("positives"), F.count_if(~F.col("positive")).alias("negatives")
         )
     )
+    return df.sparkSession.createDataFrame(found, "segment long, area double, rows long")
 
 
-def areas_of_counts(counted: DataFrame) -> DataFrame:
+def areas_of_counts(counted: DataFrame) -> list[tuple[int, float, int]]:
     """(segment, area, rows) of rows (segment, score, positives, negatives); scores may repeat.
 
-    All segments share one range exchange keyed by segment and score, so a segment of any
-    size is spread over as many ranges as it needs. Each range leaves one row per segment in it,
-    and pairs across ranges follow from running totals over those. Ranging samples its input
-    before it moves it: keep the table first where it is costly to work out.
+    All segments share one exchange by ranges of their scores, so a segment of any size is spread
+    over as many ranges as it needs. Each range leaves one row, and pairs across ranges follow
+    from running totals over those.
     """
-    parts = (
-        counted.repartitionByRange("segment", "score")
-        .sortWithinPartitions("segment", "score")
-        .mapInArrow(
-            _ranked_pairs_by,
-            "segment long, first double, positives long, negatives long, pairs double",
-        )
-    )
-    # as many rows as ranges and segments from here on
-    earlier = Window.partitionBy("segment").orderBy("first").rowsBetween(Window.unboundedPreceding, -1)
-    below = F.coalesce(F.sum("negatives").over(earlier), F.lit(0))
-    across = parts.withColumn("ordered", F.col("pairs") + F.col("positives").cast("double") * below)
-    sums = across.groupBy("segment").agg(
-        F.sum("ordered").alias("ordered"),
-        F.sum("positives").cast("double").alias("p"),
-        F.sum("negatives").cast("double").alias("n"),
-    )
-    area = F.when(F.col("p") == 0, 0.0).when(F.col("n") == 0, 1.0).otherwise(
-        F.try_divide(F.col("ordered"), F.col("p") * F.col("n"))
-    )
-    return sums.select("segment", area.alias("area"), (F.col("p") + F.col("n")).cast("bigint").alias("rows"))
+    return _areas(_ranked_ranges(counted))
 
 
 def _precision_steps(before: dict[int, tuple[int, int]], all_positives: int):
@@ -382,7 +459,7 @@ def area_under_pr(df: DataFrame, score: str = "rawPrediction", label: str = "bin
     """
     positive = present(label, "label") > 0.5
     counted = df.select(
-        _score_column(df, score).alias("score"), positive.alias("positive")
+        score_column(df, score).alias("score"), positive.alias("positive")
     ).mapInArrow(_combined, "score double, positives long, negatives long")
     ranged = (
         counted.repartitionByRange(F.desc("score"))
@@ -417,7 +494,7 @@ def area_under(
     """
     if bins == 0:
         return {"areaUnderROC": area_under_roc, "areaUnderPR": area_under_pr}[metric](df, score, label)
-    rows = df.select(_score_column(df, score).alias("score"), present(label, "label").alias("label"))
+    rows = df.select(score_column(df, score).alias("score"), present(label, "label").alias("label"))
     return BinaryClassificationEvaluator(
         rawPredictionCol="score", labelCol="label", metricName=metric, numBins=bins
     ).evaluate(rows)

@@ -93,18 +93,20 @@ def _newton_sums(centre: np.ndarray, deviation: np.ndarray, problems: list[tuple
                 part = slice(at, at + rows_at_once)
                 design = np.ones((len(x[part]), width))
                 np.divide(x[part] - centre, deviation, out=design[:, 1:])
-                inside = (folds[part, None] != out_folds).astype(float)
-                z = design @ weights
-                small = np.exp(-np.abs(z))
-                p = np.where(z < 0, small, 1.0) / (1 + small)
-                target = y[part, None]
-                # log(1 + exp(z)) - y z without overflow
-                loss = np.maximum(z, 0.0) + np.log(1 + small) - target * z
-                total[:, 0] += inside.sum(axis=0)
-                total[:, 1] += np.einsum("ij,ij->j", inside, loss)
-                total[:, 2 : 2 + width] += (design.T @ ((p - target) * inside)).T
                 products = design[:, upper[0]] * design[:, upper[1]]
-                total[:, 2 + width :] += (products.T @ (small / (1 + small) ** 2 * inside)).T
+                # rows meet only the problems that do not leave out their fold
+                for f in np.unique(folds[part]):
+                    rows, others = folds[part] == f, out_folds != f
+                    own, target = design[rows], y[part][rows, None]
+                    z = own @ weights[:, others]
+                    small = np.exp(-np.abs(z))
+                    p = np.where(z < 0, small, 1.0) / (1 + small)
+                    # log(1 + exp(z)) - y z without overflow
+                    loss = np.maximum(z, 0.0) + np.log(1 + small) - target * z
+                    total[others, 0] += len(own)
+                    total[others, 1] += loss.sum(axis=0)
+                    total[others, 2 : 2 + width] += (own.T @ (p - target)).T
+                    total[others, 2 + width :] += (products[rows].T @ (small / (1 + small) ** 2)).T
         if seen:
             yield pa.RecordBatch.from_arrays(
                 [
@@ -289,6 +291,7 @@ def held_out_counts(
                 continue
             x, y = matrix(batch.column("x")), numbers(batch.column("y")) > 0.5
             folds = batch.column("fold").to_numpy()
+            found = []
             for f, (segments, weights) in by_fold.items():
                 own = folds == f
                 if not own.any():
@@ -299,13 +302,12 @@ def held_out_counts(
                     values, place = np.unique(column + 0.0, return_inverse=True)
                     positives = np.bincount(place[positive], minlength=len(values))
                     counts = np.bincount(place, minlength=len(values))
-                    yield pa.RecordBatch.from_arrays(
-                        [
-                            pa.array(np.full(len(values), segment, np.int64)),
-                            *map(pa.array, (values, positives, counts - positives)),
-                        ],
-                        names=["segment", "score", "positives", "negatives"],
-                    )
+                    found.append((np.full(len(values), segment, np.int64), values, positives, counts - positives))
+            if found:
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.concatenate(c)) for c in zip(*found)],
+                    names=["segment", "score", "positives", "negatives"],
+                )
 
     rows = df.select(
         as_array(df, features).alias("x"),
@@ -371,9 +373,7 @@ def cross_validate_penalties(
         scored = reduce(DataFrame.unionByName, parts)
     else:
         scored = held_out_counts(df, fits, features, label, fold_column)
-    # ranging samples its input before it moves it; scores are worked out once
-    with kept(scored):
-        areas = {r["segment"]: r["area"] for r in areas_of_counts(scored).collect()}
+    areas = {segment: area for segment, area, _ in areas_of_counts(scored)}
     rows = []
     for number, point in enumerate(points):
         strength, share = key(point)

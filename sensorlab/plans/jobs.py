@@ -169,14 +169,17 @@ def _split(df: DataFrame, params: JobParams, fraction: float):
 
 def _evaluate(report: _Report, stage: str, model: Model, df: DataFrame) -> None:
     """Force and time the scoring, then both metrics of the same kept scores."""
-    predictions = model.transform(df).select("binaryLabel", "rawPrediction", "prediction")
+    scored = model.transform(df)
+    # scores are kept as numbers, not as vectors
+    score = evaluate.score_column(scored, "rawPrediction").alias("score")
+    predictions = scored.select("binaryLabel", score, "prediction")
     with kept(predictions):
         report.timed(
             stage,
             "prediction seconds",
             lambda: predictions.write.format("noop").mode("overwrite").save(),
         )
-        report.add(stage, "auroc", evaluate.area_under(predictions))
+        report.add(stage, "auroc", evaluate.area_under(predictions, "score"))
         metrics = evaluate.error_metrics(predictions).first()
         report.add(stage, "misclassification", metrics["misclassification"])
         report.add(stage, "rows", metrics["rows"])

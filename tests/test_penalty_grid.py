@@ -1,6 +1,8 @@
 """One solver for a whole penalty grid, and areas of many scores at once, against Spark's own."""
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import pytest
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.evaluation import BinaryClassificationEvaluator
@@ -183,3 +185,52 @@ def test_grid_query_takes_few_jobs(spark, sf_dir):
         assert len(context.statusTracker().getJobIdsForGroup("grid-check")) < 60
     finally:
         context.setLocalProperty("spark.jobGroup.id", None)
+
+
+@pytest.mark.parametrize("block, size, sampled", [(50, 64, 8), (7, 5, 1), (1_000, 100_000, 100)])
+def test_areas_from_blocks_and_ranges_of_any_size(spark, monkeypatch, block, size, sampled):
+    """Ties, both zeros, infinities, NaN, a hot score and segments that lie mixed, in many ranges."""
+    for name, value in (("BLOCK_SCORES", block), ("RANGE_SCORES", size), ("SAMPLED_SCORES", sampled)):
+        monkeypatch.setattr(evaluate, name, value)
+    rng = np.random.default_rng(3)
+    n = 3000
+    segment = rng.integers(0, 3, n)
+    score = np.where(segment == 0, rng.normal(size=n), np.where(rng.random(n) < 0.8, 0.0, rng.normal(size=n).round(1)))
+    score[:6] = [np.inf, -np.inf, -0.0, 0.0, np.nan, np.nan]
+    label = rng.integers(0, 2, n)
+    df = spark.createDataFrame(
+        [(int(a), float(b), float(c)) for a, b, c in zip(segment, score, label)], "segment int, score double, binaryLabel double"
+    ).repartition(3)
+    found = {r["segment"]: r for r in evaluate.area_under_roc_by(df, "segment", "score").collect()}
+    # the same steps here, where the sizes hold for the tasks, too
+    columns = [pa.array(c) for c in (segment, score, label, 1 - label)]
+    batch = pa.RecordBatch.from_arrays(columns, names=["segment", "score", "positives", "negatives"])
+    blocks = [b for a in range(0, n, 100) for b in evaluate._blocks(iter([batch.slice(a, 100)]))]
+    names = ["segment", "scores", "positives", "negatives"]
+    cuts = evaluate._cuts([tuple(r[c] for c in ("segment", "size", "sample")) for b in blocks for r in b.to_pylist()])
+    slices = pa.Table.from_batches(evaluate._slices(cuts)(b.select(names) for b in blocks))
+    ranges = [slices.filter(pc.equal(slices["range"], r)) for r in range(pc.max(slices["range"]).as_py() + 1)]
+    parts = [r for t in ranges if t.num_rows for r in evaluate._ranked_range(t).to_pylist()]
+    pairs, below = [0.0] * 3, [0] * 3
+    for r in parts:
+        pairs[r["segment"]] += r["pairs"] + r["positives"] * below[r["segment"]]
+        below[r["segment"]] += r["negatives"]
+    assert len(parts) == (3 if size > n else len(parts)) and (size > n or len(parts) > 6)
+    # NaN is above all numbers and equal to itself
+    place = np.where(np.isnan(score), 3.0, np.where(score == np.inf, 2.0, np.where(score == -np.inf, -2.0, np.tanh(score))))
+    for s in range(3):
+        p, q = (place[(segment == s) & (label == y)] for y in (1, 0))
+        wanted = ((p[:, None] > q).sum() + 0.5 * (p[:, None] == q).sum()) / (len(p) * len(q))
+        assert found[s]["rows"] == len(p) + len(q)
+        assert np.isclose(found[s]["area"], wanted, atol=1e-12)
+        assert np.isclose(pairs[s] / (len(p) * len(q)), wanted, atol=1e-12)
+        assert np.isclose(evaluate.area_under_roc(df.where(F.col("segment") == s), "score"), wanted, atol=1e-12)
+
+
+def test_scores_move_in_blocks_not_as_rows(spark, monkeypatch):
+    moved = []
+    monkeypatch.setattr(evaluate, "_cuts", lambda sketch, of=evaluate._cuts: moved.append(len(sketch)) or of(sketch))
+    rows = spark.range(0, 20_000, 1, 4).select(F.rand(5).alias("score"), (F.col("id") % 2).alias("binaryLabel"))
+    assert 0.4 < evaluate.area_under_roc(rows, "score") < 0.6
+    # a block of each task
+    assert moved == [4]
