@@ -1,6 +1,7 @@
 """Neighbour search and page extraction against brute force and held-out pages."""
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from sensorlab.llm import extraction, neighbours
@@ -186,6 +187,85 @@ def test_queries_without_near_vectors_meet_all(spark):
     assert whole >= 0.9 * 150
 
 
+def _best_pairs(pairs, most):
+    return sorted({(-s, i) for i, s in pairs})[:most]
+
+
+def _rows_found(batches):
+    return [r for b in batches for r in b.to_pylist()]
+
+
+def test_a_task_ranks_all_its_chunks_together():
+    """One row for a query, not one for every chunk that it meets; known floors change nothing."""
+    rng = np.random.default_rng(8)
+    dim, k, chunks = 6, 3, 5
+    vectors = rng.integers(-2, 3, (200, dim)).astype(float)
+    vectors[vectors.any(axis=1) == 0] = 1.0
+    queries = rng.normal(size=(10, dim))
+    index = neighbours.Index(dim, len(vectors), float(np.linalg.norm(vectors, axis=1).max()), 0.0, k)
+    wanted = {
+        q: _best_pairs([(m, float((v * x).sum())) for i, v in enumerate(vectors) for m in (i, 1000 + i)], k + 1)
+        for q, x in enumerate(queries)
+    }
+    schema = pa.schema(
+        [("chunk", pa.string()), ("is_query", pa.bool_()), ("vec_id", pa.int64())]
+        + [(c, pa.float64()) for c in ("cutoff", "near", "floor", "bound")]
+        + [("members", pa.list_(pa.int64())), ("codes", pa.list_(pa.int32())), ("vector", pa.list_(pa.float64()))]
+    )
+    none = dict(cutoff=0.0, near=0.0, floor=None, bound=None, members=None, codes=None)
+    for floors in (False, True):
+        rows = []
+        for c in range(chunks):
+            rows += [
+                {**none, "chunk": f"all:{c}", "is_query": False, "vec_id": i, "members": [i, 1000 + i], "vector": v.tolist()}
+                for i, v in enumerate(vectors)
+                if i % chunks == c
+            ]
+            rows += [
+                {**none, "chunk": f"all:{c}", "is_query": True, "vec_id": q, "vector": x.tolist()}
+                | ({"floor": -wanted[q][-1][0]} if floors and q % 2 else {})
+                for q, x in enumerate(queries)
+            ]
+        table = pa.Table.from_pylist(rows, schema)
+        found = _rows_found(neighbours._search(index)(iter(table.to_batches(max_chunksize=33))))
+        assert len(found) == len(queries)
+        for r in found:
+            assert list(zip([-s for s in r["scores"]], r["ids"])) == wanted[r["vec_id"]]
+
+
+def test_what_tasks_found_is_merged_by_query():
+    """Rows of a query may be many and lie in several batches; pairs found twice are one."""
+    rng = np.random.default_rng(9)
+    rows, all_pairs = [], {}
+    for q in (-3, 5, 6, 70):
+        for _ in range(60):
+            pairs = [(int(i), float(rng.integers(-40, 40))) for i in rng.integers(0, 50, 9)]
+            all_pairs.setdefault(q, []).extend(pairs)
+            rows.append({"vec_id": q, "ids": [i for i, _ in pairs], "scores": [s for _, s in pairs]})
+    schema = pa.schema([("vec_id", pa.int64()), ("ids", pa.list_(pa.int64())), ("scores", pa.list_(pa.float64()))])
+    batches = pa.Table.from_pylist(rows, schema).to_batches(max_chunksize=7)
+    found = _rows_found(neighbours._merge(21)(iter(batches)))
+    assert [r["vec_id"] for r in found] == [-3, 5, 6, 70]
+    for r in found:
+        assert list(zip([-s for s in r["scores"]], r["ids"])) == _best_pairs(all_pairs[r["vec_id"]], 21)
+    assert not list(neighbours._merge(21)(iter([])))
+
+
+def test_vectors_in_very_many_parts(spark, monkeypatch):
+    """All vectors in some 300 parts: the work of merging what was found grows with the parts, not their square."""
+    monkeypatch.setattr(neighbours, "ALL_BYTES", 2_500)
+    rng = np.random.default_rng(10)
+    vectors = rng.normal(size=(2000, 48))
+    df = spark.createDataFrame([(i, v, 1) for i, v in enumerate(vectors.tolist())], "vec_id long, embedding array<double>, rank int")
+    found = {}
+    for r in neighbours.nearest(df.repartition(4)).collect():
+        found.setdefault(r["query_id"], []).append((r["rank"], r["vec_id"]))
+    scores = vectors[::20] @ vectors.T
+    for n, q in enumerate(range(0, 2000, 20)):
+        scores[n, q] = -np.inf
+        assert [i for _, i in sorted(found[q])] == np.lexsort((np.arange(2000), -scores[n]))[:20].tolist()
+
+
 # --- pages -----------------------------------------------------------------
 
 
