@@ -185,6 +185,23 @@ def _evaluate(report: _Report, stage: str, model: Model, df: DataFrame) -> None:
         report.add(stage, "rows", metrics["rows"])
 
 
+#: Bytes of a row group of stored rows: a scan holds one for every task, in the heap and beside it.
+STORED_GROUP = 16 * 1024 * 1024
+
+
+def _stored(df: DataFrame, tag: str) -> DataFrame:
+    """The rows from files that are removed when the application ends.
+
+    Rows of many channels outgrow an executor while Spark keeps them: beside what it counts as kept,
+    each task holds the last hundred batches of 10,000 rows that it has written.
+    """
+    spark = df.sparkSession
+    path = scratch_path(spark, tag)
+    df.write.options(**{"compression": "zstd", "parquet.block.size": STORED_GROUP}).parquet(path)
+    remove_at_end(spark, path)
+    return spark.read.parquet(path)
+
+
 def _folds(df: DataFrame, params: JobParams, folds: int) -> DataFrame:
     """A fold number on every row, the same in every scan.
 
@@ -320,29 +337,29 @@ def run_pca_logistic(
     rest = ["binaryLabel"] + ([params.key] if params.key else [])
     assembler, *prefix, estimator = linear.pca_logistic(params.features, params.model, k).getStages()
     rows = assembler.transform(with_binary_label(labelled(data)).select(*params.features, *rest))
-    with ExitStack() as scope:
-        # rows are assembled once, and both parts are projected once on the training part's components
-        data = scope.enter_context(kept(rows.select(assembler.getOutputCol(), *rest)))
-        report.add("data", "samples", data.count())
-        train, test = _split(data, params, params.fracTest)
-
-        def fit():
-            before = Pipeline(stages=prefix).fit(train)
-            moved = [before.transform(part).select("features", "binaryLabel") for part in (train, test)]
-            moved = [scope.enter_context(kept(part)) for part in moved]
-            return before, moved, estimator.fit(moved[0])
-
-        before, (moved, held), last = report.timed("fit", "training seconds", fit)
-        for i, share in enumerate(before.stages[0].explainedVariance.toArray()):
-            report.add("fit", "explained variance", share, f"component {i + 1}")
-        _evaluate(report, "train", last, moved)
-        _evaluate(report, "test", last, held)
-        grid = best = None
-        if params.tune:
-            grid, tuned = _tune_logistic(report, estimator, train, params, prefix, moved)
-            _evaluate(report, "tuned", tuned, held)
-            best = PipelineModel([assembler, *before.stages, tuned])
-        model = PipelineModel([assembler, *before.stages, last])
+    # rows are assembled once, and both parts are projected once on the training part's components
+    data = _stored(rows.select(assembler.getOutputCol(), *rest), "channels")
+    report.add("data", "samples", data.count())
+    train, test = _split(data, params, params.fracTest)
+
+    def fit():
+        before = Pipeline(stages=prefix).fit(train)
+        moved = [
+            _stored(before.transform(part).select("features", "binaryLabel"), "projected") for part in (train, test)
+        ]
+        return before, moved, estimator.fit(moved[0])
+
+    before, (moved, held), last = report.timed("fit", "training seconds", fit)
+    for i, share in enumerate(before.stages[0].explainedVariance.toArray()):
+        report.add("fit", "explained variance", share, f"component {i + 1}")
+    _evaluate(report, "train", last, moved)
+    _evaluate(report, "test", last, held)
+    grid = best = None
+    if params.tune:
+        grid, tuned = _tune_logistic(report, estimator, train, params, prefix, moved)
+        _evaluate(report, "tuned", tuned, held)
+        best = PipelineModel([assembler, *before.stages, tuned])
+    model = PipelineModel([assembler, *before.stages, last])
     return JobResult(report.table(spark), model, grid, best)
 
 

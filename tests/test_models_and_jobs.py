@@ -285,6 +285,26 @@ def test_components_of_the_job_are_fitted_once_a_part(spark, signal, monkeypatch
         assert values[stage, "auroc", None] == pytest.approx(evaluate.area_under(scored), abs=1e-9)
 
 
+def test_wide_rows_of_the_job_are_not_kept_in_memory(spark, signal, monkeypatch):
+    """Batches of 23 channels outgrow an executor while they are kept; they lie in files, assembled once."""
+    held, kept = [], jobs.kept
+
+    def noted(df, *args):
+        held.append(df.columns)
+        return kept(df, *args)
+
+    monkeypatch.setattr(jobs, "kept", noted)
+    root = pathlib.Path(spark.conf.get("spark.checkpoint.dir"))
+    known = set(root.glob("channels-*"))
+    params = jobs.LogisticJobParams(features=tuple(CHANNELS), key="key", tune=False)
+    values = _values(jobs.run_pca_logistic(spark, signal, params).report)
+    assert held and not any("channels" in columns for columns in held)
+    (folder,) = set(root.glob("channels-*")) - known
+    stored = spark.read.parquet(str(folder))
+    assert sorted(stored.columns) == ["binaryLabel", "channels", "key"]
+    assert stored.count() == values["data", "samples", None] == signal.where(f"{LABEL} > 0").count()
+
+
 def test_exploration_trains_all_widths_in_one_stream_of_each_input(spark, signal, monkeypatch):
     starts, start = [], OnlineElm.start
     monkeypatch.setattr(OnlineElm, "start", lambda self, *args, **kw: starts.append(self) or start(self, *args, **kw))
